@@ -41,12 +41,25 @@ def with_folds(df: DataFrame, key: str, k: int, contiguous: bool, fold_col: str
     return df.withColumn(fold_col, hash_fold(key, k))
 
 
-def replicate_weights(df: DataFrame, key: str, reps: int, rep_col: str = "rep", w_col: str = "w") -> DataFrame:
-    """I4: one row per (row, replicate) with a Poisson(1) weight; zero
-    weights are dropped right away (they contribute nothing)."""
-    exploded = df.withColumn(rep_col, F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    w = poisson1_weight(hash_uniform(key, F.col(rep_col)))
-    return exploded.withColumn(w_col, w).where(F.col(w_col) > 0)
+def replicate_weights(df: DataFrame, key: str, reps: int, rep_col: str = "rep", w_col: str = "w",
+                      partitions: int | None = None) -> DataFrame:
+    """I4: one row per (row, replicate) with a Poisson(1) weight.
+
+    The explode multiplies the volume by ``reps``, so the input is spread
+    over ``partitions`` tasks first (round robin: weights depend on the key
+    only, so where a row lands does not matter, and Spark sorts before a
+    round-robin repartition so a retried task gets the same rows).  A keyed
+    repartition is removed by the optimizer ahead of the ``rep`` aggregation,
+    and AQE would then coalesce a small upstream stage into one task that
+    generates every replicate alone (measured 4.5 s vs 13.7 s, 1000 reps).
+    Zero weights are kept: they add nothing to the weighted sums, and a filter
+    would evaluate the hash twice.
+    """
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = df.repartition(n)
+    exploded = spread.withColumn(rep_col, F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    exploded = exploded.withColumn("__u", hash_uniform(key, F.col(rep_col)))
+    return exploded.withColumn(w_col, poisson1_weight(F.col("__u"))).drop("__u")
 
 
 def percentile_ci(reps: DataFrame, cols: list[str], alpha: float = 0.05) -> DataFrame:
