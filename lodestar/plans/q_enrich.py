@@ -1 +1,202 @@
-"""placeholder"""
+"""Step 9: batch category enrichment (2M M1-M13, 2C C2/C3).
+
+Titles are ``part.p_name`` (the driver's tables hold no job titles), prices
+``p_retailprice`` stand in for salary, descriptions are ``documents.text``
+(whole texts), model replies to parse are the assistant turns of
+``conversations``.  None of the keywords of the rules occurs in the driver's
+invented prose, so on these tables every key gets the rule defaults; the
+labels themselves are tested on fixtures in ``tests/``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lodestar.operators import enrich as en
+from lodestar.plans.registry import query
+from lodestar.sources.tables import read_table
+
+BATCH_TITLES = 5         # titles per prompt
+BATCH_DESCRIPTIONS = 3   # descriptions per prompt
+
+
+def _sql_str(s: str) -> str:
+    parts = [("'" + p.replace("'", "''") + "'") for p in s.split("\n")]
+    return " || chr(10) || ".join(parts)
+
+
+def _cls_sql(col: str) -> str:
+    lvl = en.sql_rule_label(col, en.SENIORITY_RULES, None)
+    return (f"coalesce({lvl}, '{en.SENIORITY_DEFAULT}') AS seniority_level, "
+            f"{en.sql_rule_label(col, en.AREA_RULES, en.AREA_DEFAULT)} AS functional_area, "
+            f"{en.sql_map(en.SALARY_BY_LEVEL, f'coalesce({lvl}, {chr(39)}{en.SENIORITY_DEFAULT}{chr(39)})')} "
+            f"AS salary_expectation, CAST(CASE WHEN {lvl} IS NOT NULL THEN {en.RULE_CONFIDENCE} "
+            f"ELSE {en.DEFAULT_CONFIDENCE} END AS DOUBLE) AS confidence")
+
+
+TITLES_SQL = """titles AS (SELECT DISTINCT p_name FROM part WHERE p_name IS NOT NULL),
+cls AS (SELECT p_name, """ + _cls_sql("p_name") + """ FROM titles)"""
+
+MAPPED_SQL = TITLES_SQL + """,
+mapped AS (SELECT p.p_partkey, p.p_name, p.p_retailprice,
+                  coalesce(c.seniority_level, 'Unknown') AS llm_seniority,
+                  coalesce(c.functional_area, 'Other') AS llm_functional_area,
+                  coalesce(c.salary_expectation, 'Medium') AS llm_salary_expectation,
+                  coalesce(c.confidence, CAST(0.0 AS DOUBLE)) AS llm_confidence
+           FROM part p LEFT JOIN cls c ON c.p_name = p.p_name)"""
+
+
+def _titles(spark, sf):
+    return en.distinct_keys(read_table(spark, sf, "part"), "p_name")
+
+
+def _mapped(spark, sf):
+    part = read_table(spark, sf, "part").select("p_partkey", "p_name", "p_retailprice")
+    return en.map_back(part, "p_name", en.classify_titles(_titles(spark, sf), "p_name"))
+
+
+@query("classify_seniority", "WITH " + TITLES_SQL + """
+SELECT p_name AS job_title, seniority_level, salary_expectation, confidence FROM cls""")
+def classify_seniority(spark, sf):
+    """M1/M7/M9: seniority and salary expectation of each distinct title."""
+    c = en.classify_titles(_titles(spark, sf), "p_name")
+    return c.select(F.col("p_name").alias("job_title"), "seniority_level", "salary_expectation", "confidence")
+
+
+@query("classify_area", "WITH " + TITLES_SQL + """
+SELECT p_name AS job_title, functional_area FROM cls""")
+def classify_area(spark, sf):
+    """M1/M8: functional area of each distinct title."""
+    c = en.classify_titles(_titles(spark, sf), "p_name")
+    return c.select(F.col("p_name").alias("job_title"), "functional_area")
+
+
+@query("map_back_defaults", "WITH " + MAPPED_SQL + """
+SELECT p_partkey, p_name, llm_seniority, llm_functional_area, llm_salary_expectation, llm_confidence FROM mapped""")
+def map_back_defaults(spark, sf):
+    """Per-title results joined back onto every part row, defaults on a miss."""
+    return _mapped(spark, sf).drop("p_retailprice")
+
+
+ITEMS_SQL = """items AS (SELECT p_name, CAST((ROW_NUMBER() OVER (ORDER BY p_name) - 1) // {n} AS BIGINT) AS batch_id,
+                 CAST((ROW_NUMBER() OVER (ORDER BY p_name) - 1) % {n} AS INTEGER) AS pos FROM titles)"""
+
+
+@query("prompt_batches", "WITH " + TITLES_SQL + ",\n" + ITEMS_SQL.format(n=BATCH_TITLES) + """
+SELECT batch_id, CAST(COUNT(*) AS INTEGER) AS n_items, to_json(list(p_name ORDER BY pos)) AS items_json,
+       """ + _sql_str(en.PROMPT_HEAD) + """ || to_json(list(p_name ORDER BY pos)) AS prompt
+FROM items GROUP BY batch_id""")
+def prompt_batches(spark, sf):
+    """Distinct titles in batches of 5 with the JSON list and prompt text."""
+    _, prompts = en.prompt_batches(_titles(spark, sf), "p_name", BATCH_TITLES)
+    return prompts
+
+
+@query("reply_alignment", "WITH " + TITLES_SQL + ",\n" + ITEMS_SQL.format(n=BATCH_TITLES) + """
+SELECT i.batch_id, i.pos, i.p_name, 'ok' AS status, c.seniority_level, c.functional_area, c.salary_expectation,
+       c.confidence FROM items i JOIN cls c ON c.p_name = i.p_name""")
+def reply_alignment(spark, sf):
+    """Default (rule) completion per batch, replies serialised as
+    JSON, parsed back and aligned to the batch items by position."""
+    items, _ = en.prompt_batches(_titles(spark, sf), "p_name", BATCH_TITLES)
+    replies = en.rule_replies(items, "p_name")
+    return en.align_by_position(items, replies, "p_name")
+
+
+_RAW = "trim(regexp_replace(regexp_replace(trim(a.text), '^```(json)?', ''), '```$', ''))"
+# invalid JSON is an error in DuckDB's JSON functions, so only valid bodies reach them
+_BODY = f"(CASE WHEN json_valid({_RAW}) THEN {_RAW} END)"
+_OK = (f"(json_valid({_RAW}) AND (json_type({_BODY}, '$.results') = 'ARRAY' OR json_type({_BODY}) = 'ARRAY' "
+       f"OR (json_type({_BODY}) = 'OBJECT' AND (json_extract({_BODY}, '$.job_title') IS NOT NULL "
+       f"OR json_extract({_BODY}, '$.seniority_level') IS NOT NULL))))")
+
+
+def _first(field: str) -> str:
+    return (f"coalesce(json_extract_string({_BODY}, '$.results[0].{field}'), "
+            f"json_extract_string({_BODY}, '$[0].{field}'), json_extract_string({_BODY}, '$.{field}'))")
+
+
+@query("reply_fallback", f"""
+WITH u AS (SELECT conv_id, turn FROM conversations WHERE role = 'user'),
+p AS (SELECT u.conv_id, u.turn, a.text AS reply,
+             CASE WHEN a.text IS NULL THEN 'no_reply' WHEN {_OK} THEN 'ok' ELSE 'parse_error' END AS status,
+             {_first('seniority_level')} AS s, {_first('functional_area')} AS f,
+             {_first('salary_expectation')} AS x, TRY_CAST({_first('confidence')} AS DOUBLE) AS c
+      FROM u LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant')
+SELECT conv_id, turn, status,
+       CASE WHEN status = 'ok' THEN s ELSE '{en.FALLBACK['seniority_level']}' END AS seniority_level,
+       CASE WHEN status = 'ok' THEN f ELSE '{en.FALLBACK['functional_area']}' END AS functional_area,
+       CASE WHEN status = 'ok' THEN x ELSE '{en.FALLBACK['salary_expectation']}' END AS salary_expectation,
+       CASE WHEN status = 'ok' THEN c WHEN status = 'no_reply' THEN CAST({en.NO_REPLY_CONFIDENCE} AS DOUBLE)
+            ELSE CAST({en.PARSE_ERROR_CONFIDENCE} AS DOUBLE) END AS confidence
+FROM p""")
+def reply_fallback(spark, sf):
+    """M4/M5: parse the reply to every prompt turn (the next assistant turn);
+    a missing reply gives the 0.0 fallback, an unparseable one the 0.5 one."""
+    conv = read_table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    u = conv.where(F.col("role") == "user").select("conv_id", "turn")
+    a = conv.where(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply"))
+    j = u.join(a, ["conv_id", "turn"], "left")
+    results, status = en.parse_reply(F.col("reply"))
+    p = j.select("conv_id", "turn", status.alias("status"), results.getItem(0).alias("r"))
+    rec = F.when(F.col("status") == "ok", F.col("r")).otherwise(en.fallback_record(F.col("status")))
+    return p.select("conv_id", "turn", "status", rec.alias("rec")).select(
+        "conv_id", "turn", "status", "rec.seniority_level", "rec.functional_area", "rec.salary_expectation",
+        "rec.confidence")
+
+
+@query("enrich_report", "WITH " + MAPPED_SQL + """,
+lg AS (SELECT 'seniority' AS dimension, llm_seniority AS label, p_retailprice, llm_confidence FROM mapped
+       UNION ALL SELECT 'functional_area', llm_functional_area, p_retailprice, llm_confidence FROM mapped
+       UNION ALL SELECT 'salary_expectation', llm_salary_expectation, p_retailprice, llm_confidence FROM mapped),
+g AS (SELECT dimension, label, COUNT(*) AS n, AVG(p_retailprice) AS mp, AVG(llm_confidence) AS mc
+      FROM lg GROUP BY dimension, label)
+SELECT dimension, label, CAST(n AS BIGINT) AS n, ROUND(n * 100.0 / SUM(n) OVER (PARTITION BY dimension), 4) AS pct,
+       ROUND(mp, 2) AS mean_price, ROUND(mc, 4) AS mean_confidence FROM g""")
+def enrich_report(spark, sf):
+    """Distribution of each enriched dimension with share, mean price
+    (the salary stand-in) and mean confidence.  One pass: every row emits one
+    (dimension, label) pair per dimension, then one aggregation."""
+    m = _mapped(spark, sf)
+    pairs = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(c).alias("label"))
+                                for d, c in (("seniority", "llm_seniority"),
+                                             ("functional_area", "llm_functional_area"),
+                                             ("salary_expectation", "llm_salary_expectation"))]))
+    lg = m.select(pairs.alias("d"), "p_retailprice", "llm_confidence").select("d.*", "p_retailprice", "llm_confidence")
+    g = lg.groupBy("dimension", "label").agg(F.count(F.lit(1)).alias("n"), F.avg("p_retailprice").alias("mp"),
+                                            F.avg("llm_confidence").alias("mc"))
+    # the aggregated frame holds one row per label (a few dozen): the share
+    # is a window over that small frame, not over the data
+    from pyspark.sql import Window
+    tot = F.sum("n").over(Window.partitionBy("dimension"))
+    return g.select("dimension", "label", F.col("n").cast("bigint").alias("n"),
+                    F.round(F.col("n") * 100.0 / tot, 4).alias("pct"), F.round("mp", 2).alias("mean_price"),
+                    F.round("mc", 4).alias("mean_confidence"))
+
+
+def _dom(vals):
+    return "(" + ", ".join(f"'{v}'" for v in vals) + ")"
+
+
+@query("domain_violations", "WITH " + MAPPED_SQL + f"""
+SELECT 'seniority_level' AS dimension, {len(en.SENIORITY_LEVELS)} AS domain_size, COUNT(llm_seniority) AS n_values,
+       COUNT(*) FILTER (WHERE llm_seniority NOT IN {_dom(en.SENIORITY_LEVELS)}) AS n_violations FROM mapped
+UNION ALL
+SELECT 'functional_area', {len(en.FUNCTIONAL_AREAS)}, COUNT(llm_functional_area),
+       COUNT(*) FILTER (WHERE llm_functional_area NOT IN {_dom(en.FUNCTIONAL_AREAS)}) FROM mapped
+UNION ALL
+SELECT 'salary_expectation', {len(en.SALARY_EXPECTATIONS)}, COUNT(llm_salary_expectation),
+       COUNT(*) FILTER (WHERE llm_salary_expectation NOT IN {_dom(en.SALARY_EXPECTATIONS)}) FROM mapped""")
+def domain_violations(spark, sf):
+    """Enriched values outside the 4 / 9 / 4 demanded categories."""
+    m = _mapped(spark, sf).select(F.col("llm_seniority").alias("seniority_level"),
+                                  F.col("llm_functional_area").alias("functional_area"),
+                                  F.col("llm_salary_expectation").alias("salary_expectation"))
+    return en.domain_violations(m)
+
+
+@query("description_attributes", "SELECT " + en.sql_describe_text("doc_id", "text") + "\nFROM documents")
+def description_attributes(spark, sf):
+    """The description attributes of every document, whole texts."""
+    return en.describe_text(read_table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
