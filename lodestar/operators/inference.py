@@ -70,7 +70,7 @@ def _two_predictor_coefs(sums: DataFrame) -> DataFrame:
     b1 = (c22 * c1y - c12 * c2y) / det
     b2 = (c11 * c2y - c12 * c1y) / det
     b0 = c("sy") / sw - b1 * c("sx1") / sw - b2 * c("sx2") / sw
-    keep = [x for x in sums.columns if x == "rep"]
+    keep = [x for x in sums.columns if x in ("rep", "fold")]
     return sums.select(*keep, b0.alias("b0"), b1.alias("b1"), b2.alias("b2"))
 
 

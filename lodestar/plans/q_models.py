@@ -1 +1,347 @@
-"""placeholder"""
+"""Step 10: model records and reports (L13, L15-L19, C5, A9) with SQL
+oracles, and the tree pipeline (K7-K13, I6, L14, L20), checked on rows.
+
+The oracle-checked reports stack deterministic records: two simple
+regressions (type Baseline) and a two-predictor regression with 5-fold CV
+(type Avanzado).  The tree queries fit Spark ML ensembles: their numbers are
+not SQL-expressible, so they get no oracle entry.
+"""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import functions as F
+
+from lodestar.functions.features import clip
+from lodestar.functions.hashing import hash_uniform, sql_hash_u32, sql_hash_uniform
+from lodestar.functions.stats import t_ppf
+from lodestar.operators import inference as inf
+from lodestar.operators import reports as rp
+from lodestar.operators import resample as rs
+from lodestar.operators import trees as tr
+from lodestar.plans.facts import FACTS_SQL, with_sql
+from lodestar.plans.q_split import SPLIT_SQL, split_facts
+from lodestar.plans.registry import query
+from lodestar.sources.tables import read_table
+
+K = 5
+T4 = t_ppf(0.975, K - 1)
+SUM_COLS = ["sw", "sx1", "sx2", "sy", "s11", "s12", "s22", "s1y", "s2y"]
+
+# ---- deterministic linear records ------------------------------------------
+
+
+def _xy(spark, sf):
+    return split_facts(spark, sf).select("id", F.col("n_lines").cast("double").alias("x1"), F.col("qty").alias("x2"),
+                                         F.col("total").alias("y"), "is_test")
+
+
+def _test_metrics(pred, name):
+    e = F.col("y") - F.col("pred")
+    return pred.agg((F.lit(1.0) - F.sum(e * e) / (F.var_pop("y") * F.count(F.lit(1)))).alias("r2_test"),
+                    F.sqrt(F.avg(e * e)).alias("rmse_test"), F.avg(F.abs(e)).alias("mae_test")) \
+        .select(F.lit(name).alias("modelo"), "*")
+
+
+def linear_records(spark, sf):
+    """Test metrics of three linear models plus the CV summary of the
+    two-predictor one: every fit is an aggregation (closed form), the fold
+    fits come from per-fold sums (train = total - fold), nothing is collected."""
+    d = _xy(spark, sf)
+    train, test = d.where(~F.col("is_test")), d.where(F.col("is_test"))
+    recs = []
+    for name, x in (("Simple OLS (n_lines)", "x1"), ("Simple OLS (qty)", "x2")):
+        fit = train.agg(F.regr_slope("y", x).alias("b1"), F.regr_intercept("y", x).alias("b0"))
+        p = test.crossJoin(F.broadcast(fit)).withColumn("pred", F.col("b0") + F.col("b1") * F.col(x))
+        recs.append(_test_metrics(p, name))
+    co = inf._two_predictor_coefs(train.agg(*inf._weighted_sums(train, F.lit(1.0))))
+    yhat = F.col("b0") + F.col("b1") * F.col("x1") + F.col("b2") * F.col("x2")
+    multi = _test_metrics(test.crossJoin(F.broadcast(co)).withColumn("pred", yhat), "Multiple OLS")
+    folds = train.withColumn("fold", rs.hash_fold("id", K))
+    fs = folds.groupBy("fold").agg(*inf._weighted_sums(folds, F.lit(1.0)))          # K rows
+    tot = fs.agg(*[F.sum(c).alias(f"t_{c}") for c in SUM_COLS])
+    trn = fs.crossJoin(tot).select("fold", *[(F.col(f"t_{c}") - F.col(c)).alias(c) for c in SUM_COLS])
+    cof = inf._two_predictor_coefs(trn)
+    e = F.col("y") - yhat
+    pf = folds.join(F.broadcast(cof), "fold").groupBy("fold").agg(
+        (F.lit(1.0) - F.sum(e * e) / (F.var_pop("y") * F.count(F.lit(1)))).alias("r2"),
+        F.sqrt(F.avg(e * e)).alias("rmse"))
+    aggs = []
+    for m in ("r2", "rmse"):
+        half = F.lit(T4) * F.stddev_samp(m) / F.sqrt(F.count(F.lit(1)))
+        aggs += [F.avg(m).alias(f"{m}_cv_mean"), (F.avg(m) - half).alias(f"{m}_cv_ci_lower"),
+                 (F.avg(m) + half).alias(f"{m}_cv_ci_upper")]
+    aggs.append(F.stddev_samp("r2").alias("r2_cv_std"))
+    cv = pf.agg(*aggs).select(F.lit("Multiple OLS").alias("modelo"), "*")
+    baselines = rp.stack(recs)
+    return rp.comparison_table(cv, multi, baselines.drop("tipo"))
+
+
+_SUMS = ", ".join([f"SUM({w}) AS {n}" for w, n in [
+    ("1.0", "sw"), ("x1", "sx1"), ("x2", "sx2"), ("y", "sy"), ("x1 * x1", "s11"), ("x1 * x2", "s12"),
+    ("x2 * x2", "s22"), ("x1 * y", "s1y"), ("x2 * y", "s2y")]])
+_SOLVE = """(SELECT {k}sy / sw - b1 * sx1 / sw - b2 * sx2 / sw AS b0, b1, b2 FROM (
+    SELECT {k}sw, sx1, sx2, sy, ((s22 - sx2 * sx2 / sw) * (s1y - sx1 * sy / sw) - (s12 - sx1 * sx2 / sw) * (s2y - sx2 * sy / sw))
+             / ((s11 - sx1 * sx1 / sw) * (s22 - sx2 * sx2 / sw) - (s12 - sx1 * sx2 / sw) * (s12 - sx1 * sx2 / sw)) AS b1,
+           ((s11 - sx1 * sx1 / sw) * (s2y - sx2 * sy / sw) - (s12 - sx1 * sx2 / sw) * (s1y - sx1 * sy / sw))
+             / ((s11 - sx1 * sx1 / sw) * (s22 - sx2 * sx2 / sw) - (s12 - sx1 * sx2 / sw) * (s12 - sx1 * sx2 / sw)) AS b2
+    FROM {src}))"""
+
+CMP_SQL = with_sql(FACTS_SQL, SPLIT_SQL) + f""",
+s AS (SELECT id, CAST(n_lines AS DOUBLE) AS x1, qty AS x2, total AS y, is_test FROM split),
+tr AS (SELECT * FROM s WHERE NOT is_test), te AS (SELECT * FROM s WHERE is_test),
+f1 AS (SELECT regr_slope(y, x1) AS b1, regr_intercept(y, x1) AS b0 FROM tr),
+f2 AS (SELECT regr_slope(y, x2) AS b1, regr_intercept(y, x2) AS b0 FROM tr),
+mc AS {_SOLVE.format(k='', src=f'(SELECT {_SUMS} FROM tr)')},
+p AS (SELECT 'Simple OLS (n_lines)' AS modelo, te.y, f1.b0 + f1.b1 * te.x1 AS pred FROM te, f1
+      UNION ALL SELECT 'Simple OLS (qty)', te.y, f2.b0 + f2.b1 * te.x2 FROM te, f2
+      UNION ALL SELECT 'Multiple OLS', te.y, mc.b0 + mc.b1 * te.x1 + mc.b2 * te.x2 FROM te, mc),
+tm AS (SELECT modelo, 1 - SUM(pow(y - pred, 2)) / (VAR_POP(y) * COUNT(*)) AS r2_test,
+              sqrt(AVG(pow(y - pred, 2))) AS rmse_test, AVG(abs(y - pred)) AS mae_test FROM p GROUP BY modelo),
+d AS (SELECT *, CAST({sql_hash_u32('id', "'fold42'")} % {K} AS INTEGER) AS fold FROM tr),
+fs AS (SELECT fold, {_SUMS} FROM d GROUP BY fold),
+tt AS (SELECT {', '.join(f'SUM({c}) AS t_{c}' for c in SUM_COLS)} FROM fs),
+trn AS (SELECT fold, {', '.join(f't_{c} - {c} AS {c}' for c in SUM_COLS)} FROM fs, tt),
+cof AS {_SOLVE.format(k='fold, ', src='trn')},
+pf AS (SELECT d.fold, 1 - SUM(pow(y - (b0 + b1 * x1 + b2 * x2), 2)) / (VAR_POP(y) * COUNT(*)) AS r2,
+              sqrt(AVG(pow(y - (b0 + b1 * x1 + b2 * x2), 2))) AS rmse FROM d JOIN cof ON cof.fold = d.fold GROUP BY d.fold),
+cv AS (SELECT 'Multiple OLS' AS modelo, AVG(r2) AS r2_cv_mean, STDDEV_SAMP(r2) AS r2_cv_std,
+              AVG(r2) - {T4!r} * STDDEV_SAMP(r2) / sqrt(COUNT(*)) AS r2_cv_ci_lower,
+              AVG(r2) + {T4!r} * STDDEV_SAMP(r2) / sqrt(COUNT(*)) AS r2_cv_ci_upper, AVG(rmse) AS rmse_cv_mean,
+              AVG(rmse) - {T4!r} * STDDEV_SAMP(rmse) / sqrt(COUNT(*)) AS rmse_cv_ci_lower,
+              AVG(rmse) + {T4!r} * STDDEV_SAMP(rmse) / sqrt(COUNT(*)) AS rmse_cv_ci_upper FROM pf),
+cmp AS (SELECT tm.modelo, CASE WHEN tm.modelo = 'Multiple OLS' THEN 'Avanzado' ELSE 'Baseline' END AS tipo,
+               r2_cv_mean, r2_cv_std, r2_cv_ci_lower, r2_cv_ci_upper, rmse_cv_mean, rmse_cv_ci_lower, rmse_cv_ci_upper,
+               r2_test, rmse_test, mae_test FROM tm LEFT JOIN cv ON cv.modelo = tm.modelo),
+best AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY tipo ORDER BY r2_test DESC NULLS LAST, modelo) AS rk,
+                COUNT(*) OVER (PARTITION BY tipo) AS n_models FROM cmp),
+ranking AS (SELECT CAST(ROW_NUMBER() OVER (ORDER BY r2_test DESC NULLS LAST, modelo) AS INTEGER) AS rank, modelo, tipo,
+                   ROUND(r2_test, 6) AS r2, ROUND(rmse_test, 2) AS rmse, ROUND(mae_test, 2) AS mae,
+                   ROUND(r2_cv_mean, 6) AS r2_cv_mean,
+                   CASE WHEN r2_test IS NULL THEN 'N/A'
+                        WHEN r2_cv_ci_lower IS NULL OR r2_cv_ci_upper IS NULL THEN printf('%.3f', ROUND(r2_test, 3)) || ' (No IC)'
+                        ELSE printf('%.3f (%.3f-%.3f)', ROUND(r2_test, 3), ROUND(r2_cv_ci_lower, 3), ROUND(r2_cv_ci_upper, 3)) END AS r2_text,
+                   CASE WHEN r2_cv_ci_lower IS NOT NULL AND r2_cv_ci_upper IS NOT NULL THEN 'CV' ELSE 'none' END AS ci_source
+            FROM cmp)
+"""
+
+
+@query("comparison_table", CMP_SQL + "SELECT modelo, tipo, " + ", ".join(
+    f"ROUND({c}, {6 if c.startswith('r2') else 2}) AS {c}" for c in rp.RECORD_COLS[2:]) + " FROM cmp")
+def comparison_table(spark, sf):
+    """CV records joined to test metrics by name, baseline
+    records appended with null CV columns, sorted by test R^2 nulls last."""
+    return rp.rounded(linear_records(spark, sf))
+
+
+@query("type_summary", CMP_SQL + """SELECT tipo, CAST(n_models AS BIGINT) AS n_models, modelo AS best_model,
+       ROUND(r2_test, 6) AS best_r2_test FROM best WHERE rk = 1""")
+def type_summary(spark, sf):
+    """Models per type and the best of each."""
+    return rp.type_summary(linear_records(spark, sf))
+
+
+@query("improvement_report", CMP_SQL + f"""SELECT b.modelo AS best_baseline, a.modelo AS best_advanced,
+       ROUND(a.r2_test - b.r2_test, 6) AS delta_r2, ROUND((a.r2_test - b.r2_test) / b.r2_test * 100, 4) AS delta_r2_pct,
+       ROUND(b.rmse_test - a.rmse_test, 2) AS delta_rmse,
+       ROUND((b.rmse_test - a.rmse_test) / b.rmse_test * 100, 4) AS delta_rmse_pct,
+       CASE WHEN a.r2_test - b.r2_test > {rp.SIGNIFICANT} THEN 'significant'
+            WHEN a.r2_test - b.r2_test > {rp.MARGINAL} THEN 'marginal' ELSE 'none' END AS verdict
+FROM (SELECT * FROM best WHERE tipo = 'Baseline' AND rk = 1) b, (SELECT * FROM best WHERE tipo = 'Avanzado' AND rk = 1) a""")
+def improvement_report(spark, sf):
+    """Best advanced vs best baseline, with the reference's thresholds."""
+    return rp.improvement_report(linear_records(spark, sf))
+
+
+@query("final_ranking", CMP_SQL + "SELECT * FROM ranking")
+def final_ranking(spark, sf):
+    """Ranked records with interval text and CI source."""
+    return rp.final_ranking(linear_records(spark, sf))
+
+
+@query("best_model_card", CMP_SQL + "SELECT * FROM ranking WHERE rank = 1")
+def best_model_card(spark, sf):
+    """The best model's record."""
+    return rp.best_model_card(rp.final_ranking(linear_records(spark, sf)))
+
+
+# ---- synthetic table (A9) ----------------------------------------------------
+
+# Fixed values of the synthetic law: age ~ N(35, 8), experience ~ Exp(mean 7),
+# education 1-4 with p 0.1/0.3/0.4/0.2, gender M/F 0.6/0.4, level
+# Bachelor/Master/PhD 0.5/0.3/0.2, seniority 0-3 0.3/0.3/0.25/0.15, area 0-2
+# 0.4/0.35/0.25; salary = 50000 + 3000 exp + 15000 edu + 500 age +
+# 10000 seniority + 5000 area + N(0, 8000), clipped to [30000, 200000].
+SYN_CHOICES = {
+    "education_numerica": ([1, 2, 3, 4], [0.1, 0.4, 0.8]),
+    "gender": (["M", "F"], [0.6]),
+    "education_level": (["Bachelor", "Master", "PhD"], [0.5, 0.8]),
+    "llm_seniority": ([0, 1, 2, 3], [0.3, 0.6, 0.85]),
+    "llm_functional_area": ([0, 1, 2], [0.4, 0.75]),
+}
+TWO_PI = 6.283185307179586
+
+
+def _u(i):
+    return hash_uniform("id", f"syn{i}")
+
+
+def _su(i):
+    return sql_hash_uniform("id", f"'syn{i}'")
+
+
+def _pick(u, values, cuts):
+    expr = F.lit(values[-1])
+    for v, c in reversed(list(zip(values[:-1], cuts))):
+        expr = F.when(u < F.lit(c), F.lit(v)).otherwise(expr)
+    return expr
+
+
+def _sql_pick(u, values, cuts):
+    lit = (lambda v: f"'{v}'") if isinstance(values[0], str) else str
+    return "(CASE " + " ".join(f"WHEN {u} < {c} THEN {lit(v)}" for v, c in zip(values[:-1], cuts)) + \
+        f" ELSE {lit(values[-1])} END)"
+
+
+@query("synthetic_table", f"""
+WITH k AS (SELECT o_orderkey AS id FROM orders),
+b AS (SELECT id,
+        35 + 8 * sqrt(-2 * ln(1 - {_su(1)})) * cos({TWO_PI} * {_su(2)}) AS age,
+        -7 * ln(1 - {_su(3)}) AS years_experience,
+        {_sql_pick(_su(4), *SYN_CHOICES['education_numerica'])} AS education_numerica,
+        {_sql_pick(_su(5), *SYN_CHOICES['gender'])} AS gender,
+        {_sql_pick(_su(6), *SYN_CHOICES['education_level'])} AS education_level,
+        {_sql_pick(_su(7), *SYN_CHOICES['llm_seniority'])} AS llm_seniority,
+        {_sql_pick(_su(8), *SYN_CHOICES['llm_functional_area'])} AS llm_functional_area,
+        8000 * sqrt(-2 * ln(1 - {_su(9)})) * cos({TWO_PI} * {_su(10)}) AS noise FROM k)
+SELECT id, ROUND(age, 6) AS age, ROUND(years_experience, 6) AS years_experience,
+       CAST(education_numerica AS INTEGER) AS education_numerica,
+       ROUND(years_experience / NULLIF(age, 0), 6) AS ratio_experiencia,
+       ROUND(years_experience * years_experience, 6) AS experience2, ROUND(age * years_experience, 6) AS edad_x_experiencia,
+       ROUND(ln(1 + years_experience), 6) AS log_experiencia, gender, education_level,
+       CAST(llm_seniority AS INTEGER) AS llm_seniority, CAST(llm_functional_area AS INTEGER) AS llm_functional_area,
+       ROUND(greatest(30000, least(200000, 50000 + years_experience * 3000 + education_numerica * 15000 + age * 500
+             + llm_seniority * 10000 + llm_functional_area * 5000 + noise)), 2) AS salary,
+       ROUND(age - years_experience, 6) AS inicio_laboral,
+       ROUND(years_experience / NULLIF(age - 18, 0), 6) AS ratio_velocidad_carrera,
+       ROUND(years_experience * years_experience * years_experience, 6) AS experience3,
+       ROUND(age * years_experience * years_experience, 6) AS edad_x_experiencia2,
+       ROUND(education_numerica * years_experience, 6) AS educacion_x_experiencia,
+       gender || '_' || education_level AS gender_education FROM b""")
+def synthetic_table(spark, sf):
+    """The synthetic fallback table with the reference's linear law, one
+    row per order key (so it grows with the data); every draw is a keyed hash
+    (Box-Muller normals, inverse-CDF exponential, cumulative-weight choices),
+    so it is partition-independent and reproducible by the SQL oracle."""
+    k = read_table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
+    age = F.lit(35.0) + F.lit(8.0) * F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - _u(1))) * F.cos(F.lit(TWO_PI) * _u(2))
+    yrs = F.lit(-7.0) * F.log(F.lit(1.0) - _u(3))
+    noise = F.lit(8000.0) * F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - _u(9))) * F.cos(F.lit(TWO_PI) * _u(10))
+    b = k.select("id", age.alias("age"), yrs.alias("years_experience"),
+                 *[_pick(_u(i), *SYN_CHOICES[c]).alias(c) for i, c in zip(range(4, 9), SYN_CHOICES)],
+                 noise.alias("noise"))
+    a, x, e = F.col("age"), F.col("years_experience"), F.col("education_numerica")
+    sal = (F.lit(50000.0) + x * 3000 + e * 15000 + a * 500 + F.col("llm_seniority") * 10000 +
+           F.col("llm_functional_area") * 5000 + F.col("noise"))
+    r = lambda c: F.round(c, 6)
+    return b.select("id", r(a).alias("age"), r(x).alias("years_experience"), e.cast("int").alias("education_numerica"),
+                    r(F.try_divide(x, a)).alias("ratio_experiencia"), r(x * x).alias("experience2"),
+                    r(a * x).alias("edad_x_experiencia"), r(F.log1p(x)).alias("log_experiencia"), "gender",
+                    "education_level", F.col("llm_seniority").cast("int").alias("llm_seniority"),
+                    F.col("llm_functional_area").cast("int").alias("llm_functional_area"),
+                    F.round(clip(sal, 30000.0, 200000.0), 2).alias("salary"), r(a - x).alias("inicio_laboral"),
+                    r(F.try_divide(x, a - F.lit(18.0))).alias("ratio_velocidad_carrera"),
+                    r(x * x * x).alias("experience3"), r(a * x * x).alias("edad_x_experiencia2"),
+                    r(e * x).alias("educacion_x_experiencia"),
+                    F.concat(F.col("gender"), F.lit("_"), F.col("education_level")).alias("gender_education"))
+
+
+# ---- trees (rows-only checks) --------------------------------------------------
+
+RF_PARAMS = {"numTrees": 50, "maxDepth": 8, "minInstancesPerNode": 2, "featureSubsetStrategy": "sqrt"}
+GBT_PARAMS = {"maxIter": 50, "stepSize": 0.1, "maxDepth": 4, "subsamplingRate": 0.8,
+              "featureSubsetStrategy": "all", "minInstancesPerNode": 5, "minInfoGain": 0.0}
+BOOT_PARAMS = {"numTrees": 20, "maxDepth": 8, "minInstancesPerNode": 2, "featureSubsetStrategy": "sqrt"}
+B_REFIT = 50          # reference: 50 refits for prediction intervals
+
+
+def _matrix(spark, sf):
+    """J12 on the split facts; checkpointed (the fits iterate over it)."""
+    f = split_facts(spark, sf)
+    d, names = tr.model_matrix(f, ["n_lines", "qty"], ["segment"], ["priority"], "total", "id")
+    d = d.join(f.select("id", "is_test"), "id").checkpoint()
+    return d.where(~F.col("is_test")), d.where(F.col("is_test")), names
+
+
+def _predict(spark, sf, kind, params):
+    train, test, names = _matrix(spark, sf)
+    m = tr.estimator(kind, params, "total").fit(train)
+    return m, names, tr.predict(m, test, "id", "total").select("id", "total", F.round("prediction", 2)
+                                                                .alias("prediction"))
+
+
+@query("rf_predict")
+def rf_predict(spark, sf):
+    """Random forest fitted on the training split, test predictions."""
+    return _predict(spark, sf, "rf", RF_PARAMS)[2]
+
+
+@query("gbt_predict")
+def gbt_predict(spark, sf):
+    """Gradient-boosted trees, test predictions."""
+    return _predict(spark, sf, "gbt", GBT_PARAMS)[2]
+
+
+@query("feature_importance")
+def feature_importance(spark, sf):
+    """Top-10 importances of both ensembles, ranked."""
+    rows = []
+    for name, kind, params in (("Random Forest", "rf", RF_PARAMS), ("Gradient Boosting", "gbt", GBT_PARAMS)):
+        m, names, _ = _predict(spark, sf, kind, params)
+        rows += [(name, i + 1, f, round(v, 6)) for i, (f, v) in enumerate(tr.importances(m, names))]
+    return spark.createDataFrame(rows, "modelo string, rank int, feature string, importance double")
+
+
+@query("random_search")
+def random_search(spark, sf):
+    """Quick-mode random search (5 trials, 3 folds, 120 s budget
+    per model family); one row per trial with its CV RMSE and parameters."""
+    train, _, _ = _matrix(spark, sf)
+    rows = []
+    for name, kind, fixed in (("Random Forest", "rf", {"numTrees": 30}), ("Gradient Boosting", "gbt", {"maxIter": 30})):
+        trials, best = tr.random_search(kind, train, "id", "total", n_trials=5, timeout_s=120.0, k=3, fixed=fixed)
+        for t in trials:
+            rows.append((name, t["trial"], round(t["cv_rmse"], 2), json.dumps(t["params"], sort_keys=True),
+                         t["params"] == best))
+    return spark.createDataFrame(rows, "modelo string, trial int, cv_rmse double, params string, is_best boolean")
+
+
+@query("bootstrap_prediction_interval")
+def bootstrap_prediction_interval(spark, sf):
+    """50 Poisson-weighted refits, per-test-row mean and 95 % band."""
+    train, test, _ = _matrix(spark, sf)
+    out = tr.bootstrap_prediction_interval("rf", BOOT_PARAMS, train, test, "id", "total", B_REFIT, parallelism=4)
+    return out.select("id", "total", F.round("pred_mean", 2).alias("pred_mean"),
+                      F.round("pi_lower", 2).alias("pi_lower"), F.round("pi_upper", 2).alias("pi_upper"), "n_reps")
+
+
+@query("pipeline_quick")
+def pipeline_quick(spark, sf):
+    """L20 quick mode: matrix -> split -> search (3 trials, 3 folds) ->
+    final fits -> test metrics -> 3-fold CV -> comparison with the linear
+    baselines -> ranked table."""
+    train, test, _ = _matrix(spark, sf)
+    cvs, tests = [], []
+    for name, kind, fixed in (("Random Forest", "rf", {"numTrees": 30}), ("Gradient Boosting", "gbt", {"maxIter": 30})):
+        _, best = tr.random_search(kind, train, "id", "total", n_trials=3, timeout_s=120.0, k=3, fixed=fixed)
+        m = tr.estimator(kind, best, "total").fit(train)
+        p = m.transform(test).select(F.col("total").alias("y"), F.col("prediction").alias("pred"))
+        tests.append(_test_metrics(p, name))
+        cvs.append(tr.cv_summary(tr.fold_predictions(kind, best, train, "id", "total", 3), "total", 3, name))
+    base = linear_records(spark, sf).where(F.col("tipo") == rp.BASELINE).select(
+        "modelo", "r2_test", "rmse_test", "mae_test")
+    cmp = rp.comparison_table(rp.stack(cvs).select(*[c for c in rp.RECORD_COLS if c not in
+                                                     ("tipo", "r2_test", "rmse_test", "mae_test")]),
+                              rp.stack(tests).select("modelo", "r2_test", "rmse_test", "mae_test"), base)
+    return rp.final_ranking(cmp)
