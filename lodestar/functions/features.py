@@ -61,11 +61,13 @@ def newline_to_space(c: Column) -> Column:
 
 
 def strip_code_fence(c: Column) -> Column:
-    """Trim, drop a leading ```json / ``` fence and a trailing ```."""
-    t = F.trim(c)
+    """Strip whitespace (spaces, tabs, newlines -- ``trim`` alone only
+    removes spaces), drop a leading ```json / ``` fence and a trailing ```."""
+    ws = r"^\s+|\s+$"
+    t = F.regexp_replace(c, ws, "")
     t = F.regexp_replace(t, r"^```(json)?", "")
     t = F.regexp_replace(t, r"```$", "")
-    return F.trim(t)
+    return F.regexp_replace(t, ws, "")
 
 
 def clip(c: Column, lo: float, hi: float) -> Column:

@@ -103,7 +103,8 @@ def reply_alignment(spark, sf):
     return en.align_by_position(items, replies, "p_name")
 
 
-_RAW = "trim(regexp_replace(regexp_replace(trim(a.text), '^```(json)?', ''), '```$', ''))"
+_WS = "'^\\s+|\\s+$', '', 'g'"
+_RAW = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(a.text, {_WS}), '^```(json)?', ''), '```$', ''), {_WS})"
 # invalid JSON is an error in DuckDB's JSON functions, so only valid bodies reach them
 _BODY = f"(CASE WHEN json_valid({_RAW}) THEN {_RAW} END)"
 _OK = (f"(json_valid({_RAW}) AND (json_type({_BODY}, '$.results') = 'ARRAY' OR json_type({_BODY}) = 'ARRAY' "

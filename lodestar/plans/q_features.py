@@ -72,7 +72,8 @@ REPLY_SCHEMA = T.StructType([T.StructField("k", T.IntegerType())])
 
 @query("json_reply_parse", """
 SELECT event_id, event_type,
-       TRY_CAST(json_extract_string(trim(regexp_replace(regexp_replace(trim(props), '^```(json)?', ''), '```$', '')), '$.k')
+       TRY_CAST(json_extract_string(regexp_replace(regexp_replace(regexp_replace(regexp_replace(props, '^\\s+|\\s+$', '', 'g'),
+                '^```(json)?', ''), '```$', ''), '^\\s+|\\s+$', '', 'g'), '$.k')
                 AS INTEGER) AS k
 FROM events""")
 def json_reply_parse(spark, sf):

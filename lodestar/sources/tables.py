@@ -33,6 +33,15 @@ def table_name_from_path(path: str) -> str:
     return os.path.splitext(os.path.basename(path.rstrip("/")))[0]
 
 
+def save_table(df: DataFrame, name: str) -> DataFrame:
+    """Create-or-replace ``name`` as a table whose files live at a fresh path
+    in the shared scratch folder (never a machine-local warehouse, and no
+    clash with files a previous session left under the same name)."""
+    spark = df.sparkSession
+    df.write.mode("overwrite").option("path", scratch_path(spark, f"table-{name}")).saveAsTable(name)
+    return spark.table(name)
+
+
 def csv_to_table(spark: SparkSession, path: str, schema=None, name: str | None = None) -> DataFrame:
     """A1: load a CSV with a header and create-or-replace a table of the same name.
 
@@ -42,23 +51,20 @@ def csv_to_table(spark: SparkSession, path: str, schema=None, name: str | None =
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     df = reader.csv(path)
     name = name or table_name_from_path(path)
-    df.write.mode("overwrite").saveAsTable(name)
-    return spark.table(name)
+    return save_table(df, name)
 
 
 def frame_to_table(df: DataFrame, name: str) -> DataFrame:
     """A4: write a frame as a table (replace); an empty frame is rejected."""
     if df.isEmpty():
         raise ValueError(f"refusing to store an empty frame as {name!r}")
-    df.write.mode("overwrite").saveAsTable(name)
-    return df.sparkSession.table(name)
+    return save_table(df, name)
 
 
 def create_table_as(spark: SparkSession, name: str, query: str | DataFrame) -> DataFrame:
     """A2/A3: CREATE OR REPLACE TABLE name AS <query>; returns the stored table."""
     df = spark.sql(query) if isinstance(query, str) else query
-    df.write.mode("overwrite").saveAsTable(name)
-    return spark.table(name)
+    return save_table(df, name)
 
 
 def run_sql(spark: SparkSession, query: str) -> DataFrame:
