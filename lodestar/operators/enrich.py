@@ -286,38 +286,81 @@ def level_from_years(years: Column) -> Column:
     return expr
 
 
+def keyword_hits(text: Column, words: list[str]) -> Column:
+    """Every whole-word keyword occurrence in ``text`` (lower-cased), found in
+    ONE scan: a zero-width lookahead at each position captures the keyword
+    starting there (longest first), so overlapping keywords at different
+    positions are all reported.  Same semantics as :func:`keyword_pattern`
+    per word, for a family whose keywords never share a starting position."""
+    alt = "|".join(w.replace("&", "[&]") for w in sorted(set(words), key=lambda w: (-len(w), w)))
+    found = F.regexp_extract_all(text, F.lit(f"(?i)(?=(?<![a-z0-9])({alt})(?![a-z0-9]))"), 1)
+    return F.transform(found, lambda w: F.lower(w))
+
+
+def _has_any(hits: Column, words: list[str]) -> Column:
+    return F.arrays_overlap(hits, F.array(*[F.lit(w) for w in words]))
+
+
+def label_from_hits(hits: Column, rules, default: str | None) -> Column:
+    """First rule with a keyword among ``hits`` wins (same order as rule_label)."""
+    expr = F.lit(default)
+    for label, words in reversed(rules):
+        expr = F.when(_has_any(hits, words), F.lit(label)).otherwise(expr)
+    return expr
+
+
+def _words(rules) -> list[str]:
+    return [w for _, ws in rules for w in ws]
+
+
 def describe_text(df: DataFrame, key: str, text: str) -> DataFrame:
     """The 15 description attributes from whole texts, with the
     conservative validation: Executive needs explicit evidence, and a level
-    contradicted by the stated years is replaced by the level of the years."""
+    contradicted by the stated years is replaced by the level of the years.
+
+    Long texts dominate the cost, so each keyword family is scanned once
+    (six scans plus one for the years) into a small array of hits; every
+    label is then an array test.  The hits are a separate projection that
+    Catalyst keeps (it does not inline non-cheap expressions it would have
+    to duplicate)."""
     t = F.coalesce(F.col(text), F.lit(""))
-    raw_level = rule_label(t, SENIORITY_RULES, SENIORITY_DEFAULT)
-    exec_evidence = t.rlike(keyword_pattern(["director", "vp", "ceo", "cto", "executive", "head of department"]))
-    yrs = F.nullif(F.regexp_extract(t, YEARS_PATTERN, 1), F.lit("")).try_cast("int")
+    flag_words = [w for ws in FLAG_RULES.values() for w in ws]
+    staged = df.select(
+        F.col(key),
+        keyword_hits(t, _words(SENIORITY_RULES)).alias("__hs"),
+        keyword_hits(t, _words(AREA_RULES)).alias("__ha"),
+        keyword_hits(t, _words(MANAGEMENT_RULES)).alias("__hm"),
+        keyword_hits(t, _words(EDUCATION_RULES)).alias("__he"),
+        keyword_hits(t, flag_words).alias("__hf"),
+        keyword_hits(t, SKILL_VOCABULARY).alias("__hk"),
+        F.nullif(F.regexp_extract(t, YEARS_PATTERN, 1), F.lit("")).try_cast("int").alias("__yrs"))
+    hs, yrs = F.col("__hs"), F.col("__yrs")
+    raw_level = label_from_hits(hs, SENIORITY_RULES, SENIORITY_DEFAULT)
+    exec_evidence = _has_any(hs, ["director", "vp", "ceo", "cto", "executive", "head of department"])
     lvl0 = F.when((raw_level == "Executive") & ~exec_evidence, F.lit("Senior Level")).otherwise(raw_level)
     by_years = level_from_years(yrs)
-    level = F.when(by_years.isNotNull() & (by_years != lvl0), by_years).otherwise(lvl0)
-    mgmt = rule_label(t, MANAGEMENT_RULES, "None")
-    notes = F.when(by_years.isNotNull() & (by_years != lvl0), F.lit("level set from stated years")) \
+    changed = by_years.isNotNull() & (by_years != lvl0)
+    level = F.when(changed, by_years).otherwise(lvl0)
+    mgmt = label_from_hits(F.col("__hm"), MANAGEMENT_RULES, "None")
+    notes = F.when(changed, F.lit("level set from stated years")) \
         .when((raw_level == "Executive") & ~exec_evidence, F.lit("executive without evidence: downgraded")) \
         .otherwise(F.lit("keyword rules"))
-    # one literal pattern per vocabulary word: compiled once, not per row
-    skills = F.array_compact(F.array(*[F.when(t.rlike(keyword_pattern([s])), F.lit(s)) for s in SKILL_VOCABULARY]))
+    skills = F.array_compact(F.array(*[F.when(F.array_contains("__hk", s), F.lit(s)) for s in SKILL_VOCABULARY]))
     cols = [F.col(key),
             level.alias("llm_seniority"),
-            rule_label(t, AREA_RULES, AREA_DEFAULT).alias("llm_functional_area"),
+            label_from_hits(F.col("__ha"), AREA_RULES, AREA_DEFAULT).alias("llm_functional_area"),
             _map_expr(SALARY_BY_LEVEL, level).alias("llm_salary_expectation"),
             mgmt.alias("llm_management_level"),
             _map_expr(RESPONSIBILITY_BY_MANAGEMENT, mgmt).alias("llm_responsibility_level"),
             F.coalesce(yrs.cast("string"), F.lit("Unknown")).alias("llm_years_experience"),
             yrs.cast("double").alias("llm_years_experience_num")]
-    cols += [t.rlike(keyword_pattern(w)).alias(f"llm_{f}") for f, w in FLAG_RULES.items()]
-    cols += [rule_label(t, EDUCATION_RULES, "Other").alias("llm_education_level"),
+    cols += [_has_any(F.col("__hf"), w).alias(f"llm_{f}") for f, w in FLAG_RULES.items()]
+    cols += [label_from_hits(F.col("__he"), EDUCATION_RULES, "Other").alias("llm_education_level"),
              F.array_join(skills, ", ").alias("llm_key_skills"),
              notes.alias("llm_validation_notes"),
              F.when(raw_level != SENIORITY_DEFAULT, F.lit(RULE_CONFIDENCE)).otherwise(F.lit(DEFAULT_CONFIDENCE))
              .alias("llm_confidence")]
-    return df.select(*cols)
+    return staged.select(*cols)
 
 
 def sql_describe_text(key: str, text: str) -> str:

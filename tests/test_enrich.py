@@ -116,3 +116,25 @@ def test_description_attributes(spark):
     assert got[2]["llm_validation_notes"] == "level set from stated years"
     assert got[3]["llm_years_experience"] == "Unknown"
     assert got[4]["llm_seniority"] == "Mid Level"
+
+
+def test_single_scan_matches_per_rule_sql(spark):
+    """The one-scan-per-family Spark path equals the per-rule SQL twin on
+    texts that do contain keywords (the driver's tables contain none)."""
+    import duckdb
+    texts = [(1, "Head of Department and team lead; customer service, data scientist. 3 years."),
+             (2, "HEAD OF sales, Senior Project Manager with 16-years; MBA; clients & budgeting; R&D"),
+             (3, "leadership? lead! managing the CTO office, high school, Excel/SQL, communication"),
+             (4, "édirector vp_ceo intern-trainee product owner, accounting audit, Técnico: software"),
+             (5, "line one\nJunior\tassistant\nlast line manager\n"),
+             (6, "")]
+    df = spark.createDataFrame(texts, "doc_id int, text string")
+    got = sorted(tuple(r) for r in en.describe_text(df, "doc_id", "text").collect())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE d (doc_id INTEGER, text VARCHAR)")
+    con.executemany("INSERT INTO d VALUES (?, ?)", texts)
+    res = con.execute("SELECT " + en.sql_describe_text("doc_id", "text") + " FROM d")
+    cols = [x[0] for x in res.description]
+    assert cols == en.describe_text(df, "doc_id", "text").columns
+    want = sorted(tuple(r) for r in res.fetchall())
+    assert got == want
