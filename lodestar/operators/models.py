@@ -56,7 +56,9 @@ def design_frame(spark: SparkSession, sf: str):
     and priority (first category dropped).  Returns (train, test, names)."""
     from lodestar.operators.transform import Scaler, one_hot_drop_first
     from lodestar.plans.q_split import split_facts
-    f = split_facts(spark, sf).withColumn("n_lines", F.col("n_lines").cast("double"))
+    # five passes follow (two category lists, scaler, moments, scoring):
+    # materialise the per-order table once in the shared checkpoint folder
+    f = split_facts(spark, sf).withColumn("n_lines", F.col("n_lines").cast("double")).checkpoint()
     f, seg = one_hot_drop_first(f, "segment")
     f, pri = one_hot_drop_first(f, "priority")
     names = ["n_lines", "qty"] + seg + pri
@@ -81,3 +83,38 @@ def penalised_fit(spark: SparkSession, sf: str, alpha: float, l1_ratio: float) -
     rows = [("intercept", float(model.intercept))] + [(n, float(c)) for n, c in zip(names, model.coefficients)]
     rows.append(("r2_test", float(m["r2"])))
     return spark.createDataFrame([(t, round(v, 6)) for t, v in rows], "term string, value double")
+
+
+def gram_penalised_fit(spark: SparkSession, sf: str, alpha: float, l1_ratio: float) -> DataFrame:
+    """K4/K5 without iterating over the data.
+
+    Pass 1 reads the category lists (one aggregation for both columns).
+    Pass 2 computes the co-moments of the raw design for train and test at
+    once (``groupBy(is_test)``, two rows).  The standard scaler fitted on the
+    training rows is applied algebraically to both moment sets, coordinate
+    descent runs on the (p+1)x(p+1) training matrix on the driver, and the
+    test R^2 is the held-out SSE computed from the test moments.  Spark ML's
+    OWL-QN (``penalised_fit``) makes one distributed pass per iteration; the
+    coefficients agree to ~1e-6 relative (checked on sf0.1)."""
+    from lodestar.operators import linear as lin
+    from lodestar.plans.q_split import split_facts
+    f = split_facts(spark, sf)
+    # category lists (bounded by the number of categories) and approximate
+    # means used as the shift of the sums below
+    cats = f.agg(F.sort_array(F.collect_set("segment")).alias("s"), F.sort_array(F.collect_set("priority")).alias("p"),
+                 F.avg("n_lines").alias("n_lines"), F.avg("qty").alias("qty"), F.avg("total").alias("total")).first()
+    names, cols = ["n_lines", "qty"], [F.col("n_lines").cast("double").alias("n_lines"), F.col("qty")]
+    for col, values in (("segment", cats["s"]), ("priority", cats["p"])):
+        for v in values[1:]:                          # first category dropped
+            n = f"{col}_{v}".replace(" ", "_").replace("-", "_")
+            names.append(n)
+            cols.append((F.col(col) == F.lit(v)).cast("double").alias(n))
+    d = f.select("is_test", *cols, "total")
+    shift = {c: float(cats[c] or 0.0) for c in ("n_lines", "qty", "total")}
+    mom = lin.moments_by_sums(d, names, "total", by="is_test", shift=shift)
+    tr_m, te_m = mom[False], mom[True]
+    mu, sd = tr_m.mean[:-1], lin.pop_sd(tr_m)
+    b0, beta = lin.coordinate_descent(tr_m.standardise(mu, sd), alpha, l1_ratio)
+    r2 = lin.r2(te_m.standardise(mu, sd), b0, beta)
+    rows = [("intercept", float(b0))] + [(n, float(c)) for n, c in zip(names, beta)] + [("r2_test", float(r2))]
+    return spark.createDataFrame([(t, round(v, 6)) for t, v in rows], "term string, value double")
