@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.functions.hashing import hash_u32, hash_uniform, poisson1_weight
+from lodestar.functions.hashing import hash_u32, hash_uniform, poisson1_weight, replicate_uniform
 from lodestar.operators.ordering import contiguous_folds
 
 SEED = 42
@@ -52,14 +52,16 @@ def replicate_weights(df: DataFrame, key: str, reps: int, rep_col: str = "rep",
     repartition is removed by the optimizer ahead of the ``rep`` aggregation,
     and AQE would then coalesce a small upstream stage into one task that
     generates every replicate alone (measured 4.5 s vs 13.7 s, 1000 reps).
-    Zero weights are kept: they add nothing to the weighted sums, and a filter
-    would evaluate the hash twice.
+    The row key is hashed (md5) once per row; each replicate's uniform comes
+    from integer mixing of that hash (``replicate_uniform``), which is far
+    cheaper than one md5 per (row, replicate) and reproducible in SQL.
+    Zero weights are kept: they add nothing to the weighted sums.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = df.repartition(n)
+    spread = df.repartition(n).withColumn("__h", hash_u32(key, "boot"))      # md5 once per row
     exploded = spread.withColumn(rep_col, F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    exploded = exploded.withColumn("__u", hash_uniform(key, F.col(rep_col)))
-    return exploded.withColumn(w_col, poisson1_weight(F.col("__u"))).drop("__u")
+    exploded = exploded.withColumn("__u", replicate_uniform(F.col("__h"), F.col(rep_col)))
+    return exploded.withColumn(w_col, poisson1_weight(F.col("__u"))).drop("__u", "__h")
 
 
 def percentile_ci(reps: DataFrame, cols: list[str], alpha: float = 0.05) -> DataFrame:

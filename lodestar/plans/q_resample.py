@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestar.functions.hashing import sql_hash_u32, sql_hash_uniform, sql_poisson1_weight
+from lodestar.functions.hashing import sql_hash_u32, sql_poisson1_weight, sql_replicate_uniform
 from lodestar.functions.stats import t_ppf
 from lodestar.operators import inference as inf
 from lodestar.operators import resample as rs
@@ -19,11 +19,12 @@ K_FOLDS = 5
 T4 = t_ppf(0.975, K_FOLDS - 1)
 
 W_SQL = """w AS (SELECT * FROM (SELECT *, {pois} AS w FROM (SELECT s.*, r.range AS rep, {u} AS u
-                     FROM {src} s, range({B}) r)) WHERE w > 0)"""
+                     FROM (SELECT *, {h} AS h FROM {src}) s, range({B}) r)) WHERE w > 0)"""
 
 
 def _w(src, key, B):
-    return W_SQL.format(src=src, B=B, u=sql_hash_uniform(f"s.{key}", "r.range"), pois=sql_poisson1_weight("u"))
+    return W_SQL.format(src=src, B=B, h=sql_hash_u32(key, "'boot'"), u=sql_replicate_uniform("s.h", "r.range"),
+                        pois=sql_poisson1_weight("u"))
 
 
 @query("bootstrap_metrics_ci", BASE + ",\n" + METRICS_SQL + """,
