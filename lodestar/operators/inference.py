@@ -15,17 +15,15 @@ from pyspark.sql import functions as F
 from lodestar.functions.stats import t_ppf
 from lodestar.operators import linear as lin
 from lodestar.operators.models import point_metrics
-from lodestar.operators.resample import percentile_ci, replicate_weights, with_folds
+from lodestar.operators.resample import percentile_ci, replicate_sums, with_folds
 
 
 def metrics_with_ci(pred: DataFrame, key: str, y: str, yhat: str, reps: int, name: str) -> DataFrame:
     """L2: point RMSE/MAE/R^2 and their percentile bootstrap intervals."""
     point = point_metrics(pred, y, yhat)
-    w = replicate_weights(pred.select(key, y, yhat), key, reps)
     e = F.col(y) - F.col(yhat)
-    per = w.groupBy("rep").agg(F.sum("w").alias("sw"), F.sum(F.col("w") * e * e).alias("se"),
-                               F.sum(F.col("w") * F.abs(e)).alias("sa"), F.sum(F.col("w") * F.col(y)).alias("sy"),
-                               F.sum(F.col("w") * F.col(y) * F.col(y)).alias("syy"))
+    per = replicate_sums(pred.select(key, y, yhat), key, reps,
+                         {"sw": F.lit(1.0), "se": e * e, "sa": F.abs(e), "sy": F.col(y), "syy": F.col(y) * F.col(y)})
     st = per.select(F.sqrt(F.col("se") / F.col("sw")).alias("rmse"), (F.col("sa") / F.col("sw")).alias("mae"),
                     (F.lit(1.0) - F.col("se") / (F.col("syy") - F.col("sy") * F.col("sy") / F.col("sw"))).alias("r2"))
     ci = percentile_ci(st, ["rmse", "mae", "r2"])
@@ -40,11 +38,8 @@ def metrics_with_ci(pred: DataFrame, key: str, y: str, yhat: str, reps: int, nam
 def simple_coef_ci(src: DataFrame, key: str, reps: int) -> DataFrame:
     """Bootstrap intervals of intercept and slope of y ~ x."""
     full = src.agg(F.regr_intercept("y", "x").alias("b0"), F.regr_slope("y", "x").alias("b1"))
-    w = replicate_weights(src, key, reps)
-    W = F.col("w")
-    per = w.groupBy("rep").agg(F.sum(W).alias("sw"), F.sum(W * F.col("x")).alias("sx"), F.sum(W * F.col("y")).alias("sy"),
-                               F.sum(W * F.col("x") * F.col("x")).alias("sxx"),
-                               F.sum(W * F.col("x") * F.col("y")).alias("sxy"))
+    x, yy = F.col("x"), F.col("y")
+    per = replicate_sums(src, key, reps, {"sw": F.lit(1.0), "sx": x, "sy": yy, "sxx": x * x, "sxy": x * yy})
     slope = (F.col("sw") * F.col("sxy") - F.col("sx") * F.col("sy")) / (F.col("sw") * F.col("sxx") - F.col("sx") * F.col("sx"))
     cf = per.select(slope.alias("slope"), (F.col("sy") / F.col("sw") - slope * F.col("sx") / F.col("sw")).alias("intercept"))
     ci = percentile_ci(cf, ["intercept", "slope"])
@@ -85,8 +80,10 @@ def multi_coef_ci(src: DataFrame, key: str, reps: int) -> DataFrame:
     """Refit y ~ x1 + x2 on every replicate from weighted sums; the
     interval excludes zero -> significant."""
     full = _two_predictor_coefs(src.agg(*_weighted_sums(src, F.lit(1.0))))
-    w = replicate_weights(src, key, reps)
-    per = _two_predictor_coefs(w.groupBy("rep").agg(*_weighted_sums(w, F.col("w"))))
+    x1, x2, y = F.col("x1"), F.col("x2"), F.col("y")
+    sums = {"sw": F.lit(1.0), "sx1": x1, "sx2": x2, "sy": y, "s11": x1 * x1, "s12": x1 * x2, "s22": x2 * x2,
+            "s1y": x1 * y, "s2y": x2 * y}
+    per = _two_predictor_coefs(replicate_sums(src, key, reps, sums))
     ci = percentile_ci(per, ["b0", "b1", "b2"])
     j = full.crossJoin(ci)
     rows = [F.struct(F.lit(t).alias("term"), F.col(b).alias("value"), F.col(f"{b}_ci_lower").alias("lo"),
