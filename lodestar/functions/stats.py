@@ -141,3 +141,24 @@ def inv_normal(p: Column) -> Column:
     high = -_horner(_ACKLAM_C, q_hi) / (_horner(_ACKLAM_D, q_hi) * q_hi + 1.0)
     return (F.when((p <= 0) | (p >= 1) | p.isNull(), F.lit(None).cast("double"))
             .when(p < plow, low).when(p > 1 - plow, high).otherwise(mid))
+
+
+def _sql_horner(coefs, x: str) -> str:
+    acc = f"{coefs[0]:.17e}"
+    for c in coefs[1:]:
+        acc = f"(({acc}) * ({x}) + {c:.17e})"
+    return acc
+
+
+def sql_inv_normal(p: str) -> str:
+    """DuckDB twin of :func:`inv_normal` (same operations, same constants)."""
+    plow = 0.02425
+    ql = f"sqrt(-2.0e0 * ln({p}))"
+    low = f"({_sql_horner(_ACKLAM_C, ql)} / ({_sql_horner(_ACKLAM_D, ql)} * {ql} + 1.0e0))"
+    q = f"({p} - 5.0e-1)"
+    r = f"({q} * {q})"
+    mid = f"({_sql_horner(_ACKLAM_A, r)} * {q} / ({_sql_horner(_ACKLAM_B, r)} * {r} + 1.0e0))"
+    qh = f"sqrt(-2.0e0 * ln(1.0e0 - {p}))"
+    high = f"(-{_sql_horner(_ACKLAM_C, qh)} / ({_sql_horner(_ACKLAM_D, qh)} * {qh} + 1.0e0))"
+    return (f"(CASE WHEN {p} IS NULL OR {p} <= 0 OR {p} >= 1 THEN NULL WHEN {p} < {plow:.17e} THEN {low} "
+            f"WHEN {p} > {1 - plow:.17e} THEN {high} ELSE {mid} END)")

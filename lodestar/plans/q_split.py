@@ -106,7 +106,24 @@ def minmax_scale(spark, sf):
     return _scaled(spark, sf, "minmax")
 
 
-@query("quantile_normal")
+def _quantile_normal_sql(n: int = 100, bound: float = 1e-7) -> str:
+    from lodestar.functions.hashing import sql_double
+    from lodestar.functions.stats import sql_inv_normal
+    probs = ", ".join(sql_double(i / (n - 1)) for i in range(n))
+    p_raw = (f"((lo_i - 1 + greatest(0.0e0, least(1.0e0, CASE WHEN g_hi > g_lo THEN (x - g_lo) / (g_hi - g_lo) "
+             f"ELSE 0.0e0 END))) / {float(n - 1):.17e})")
+    return with_sql(FACTS_SQL, SPLIT_SQL) + f""",
+gq AS (SELECT quantile_cont(total, [{probs}]) AS g FROM split WHERE NOT is_test),
+gl AS (SELECT UNNEST(g) AS q FROM gq),
+c AS (SELECT s.id, s.total, CAST(s.total AS DOUBLE) AS x,
+             (SELECT COUNT(*) FROM gl WHERE gl.q <= CAST(s.total AS DOUBLE)) AS cnt FROM split s),
+i AS (SELECT c.*, greatest(1, least(cnt, {n - 1})) AS lo_i FROM c),
+v AS (SELECT i.*, gq.g[lo_i] AS g_lo, gq.g[lo_i + 1] AS g_hi FROM i, gq),
+p AS (SELECT id, total, greatest({bound:.17e}, least({1 - bound:.17e}, {p_raw})) AS p FROM v)
+SELECT id, total, ROUND({sql_inv_normal('p')}, 6) AS total_qn FROM p"""
+
+
+@query("quantile_normal", _quantile_normal_sql())
 def quantile_normal(spark, sf):
     """Quantile-to-normal map (100 training quantiles, Phi^-1)."""
     f = split_facts(spark, sf)
