@@ -75,16 +75,28 @@ def improvement_report(cmp: DataFrame) -> DataFrame:
                     F.round(d_rmse / F.col("b_rmse") * 100, 4).alias("delta_rmse_pct"), verdict.alias("verdict"))
 
 
-def final_ranking(cmp: DataFrame) -> DataFrame:
-    """Rank by test R^2, R^2 text with its interval, CI source."""
+def final_ranking(cmp: DataFrame, boot: DataFrame | None = None) -> DataFrame:
+    """Rank by test R^2, R^2 text with its interval, CI source.
+
+    ``boot`` (modelo, r2_boot_ci_lower, r2_boot_ci_upper) adds bootstrap
+    intervals; a CV interval wins where both exist, as in the reference
+    (baseline rows: bootstrap, advanced rows: CV)."""
+    if boot is not None:
+        cmp = cmp.join(F.broadcast(boot), "modelo", "left")       # one row per model
+    else:
+        cmp = cmp.withColumn("r2_boot_ci_lower", F.lit(None).cast("double")) \
+            .withColumn("r2_boot_ci_upper", F.lit(None).cast("double"))
     w = Window.orderBy(F.col("r2_test").desc_nulls_last(), F.col("modelo"))   # a handful of model rows
-    has_ci = F.col("r2_cv_ci_lower").isNotNull() & F.col("r2_cv_ci_upper").isNotNull()
+    has_cv = F.col("r2_cv_ci_lower").isNotNull() & F.col("r2_cv_ci_upper").isNotNull()
+    has_boot = F.col("r2_boot_ci_lower").isNotNull() & F.col("r2_boot_ci_upper").isNotNull()
+    lo = F.when(has_cv, F.col("r2_cv_ci_lower")).otherwise(F.col("r2_boot_ci_lower"))
+    hi = F.when(has_cv, F.col("r2_cv_ci_upper")).otherwise(F.col("r2_boot_ci_upper"))
     return cmp.select(F.row_number().over(w).alias("rank"), "modelo", "tipo",
                       F.round("r2_test", 6).alias("r2"), F.round("rmse_test", 2).alias("rmse"),
                       F.round("mae_test", 2).alias("mae"), F.round("r2_cv_mean", 6).alias("r2_cv_mean"),
-                      interval_text(F.col("r2_test"), F.col("r2_cv_ci_lower"), F.col("r2_cv_ci_upper"))
-                      .alias("r2_text"),
-                      F.when(has_ci, F.lit("CV")).otherwise(F.lit("none")).alias("ci_source"))
+                      interval_text(F.col("r2_test"), lo, hi).alias("r2_text"),
+                      F.when(has_cv, F.lit("CV")).when(has_boot, F.lit("Bootstrap")).otherwise(F.lit("none"))
+                      .alias("ci_source"))
 
 
 def best_model_card(ranking: DataFrame) -> DataFrame:

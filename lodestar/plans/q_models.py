@@ -21,6 +21,7 @@ from lodestar.operators import reports as rp
 from lodestar.operators import resample as rs
 from lodestar.operators import trees as tr
 from lodestar.plans.facts import FACTS_SQL, with_sql
+from lodestar.plans.q_resample import _w
 from lodestar.plans.q_split import SPLIT_SQL, split_facts
 from lodestar.plans.registry import query
 from lodestar.sources.tables import read_table
@@ -115,18 +116,57 @@ cmp AS (SELECT tm.modelo, CASE WHEN tm.modelo = 'Multiple OLS' THEN 'Avanzado' E
                r2_cv_mean, r2_cv_std, r2_cv_ci_lower, r2_cv_ci_upper, rmse_cv_mean, rmse_cv_ci_lower, rmse_cv_ci_upper,
                r2_test, rmse_test, mae_test FROM tm LEFT JOIN cv ON cv.modelo = tm.modelo),
 best AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY tipo ORDER BY r2_test DESC NULLS LAST, modelo) AS rk,
-                COUNT(*) OVER (PARTITION BY tipo) AS n_models FROM cmp),
+                COUNT(*) OVER (PARTITION BY tipo) AS n_models FROM cmp)
+"""
+
+
+B_RANK = 1000        # reference: 1000 reps for the metric intervals of baseline models
+
+RANK_SQL = CMP_SQL.rstrip() + f""",
+bp AS (SELECT te.id, te.y, f1.b0 + f1.b1 * te.x1 AS p1, f2.b0 + f2.b1 * te.x2 AS p2 FROM te, f1, f2),
+{_w("bp", "id", B_RANK)},
+per AS (SELECT rep, SUM(w) AS sw, SUM(w * y) AS sy, SUM(w * y * y) AS syy, SUM(w * (y - p1) * (y - p1)) AS se1,
+               SUM(w * (y - p2) * (y - p2)) AS se2 FROM w GROUP BY rep),
+rr AS (SELECT 1 - se1 / (syy - sy * sy / sw) AS r1, 1 - se2 / (syy - sy * sy / sw) AS r2 FROM per),
+bci AS (SELECT 'Simple OLS (n_lines)' AS modelo, QUANTILE_CONT(r1, 0.025) AS blo, QUANTILE_CONT(r1, 0.975) AS bhi FROM rr
+        UNION ALL SELECT 'Simple OLS (qty)', QUANTILE_CONT(r2, 0.025), QUANTILE_CONT(r2, 0.975) FROM rr),
+cb AS (SELECT cmp.*, CASE WHEN r2_cv_ci_lower IS NOT NULL AND r2_cv_ci_upper IS NOT NULL THEN r2_cv_ci_lower ELSE blo END AS lo,
+              CASE WHEN r2_cv_ci_lower IS NOT NULL AND r2_cv_ci_upper IS NOT NULL THEN r2_cv_ci_upper ELSE bhi END AS hi,
+              CASE WHEN r2_cv_ci_lower IS NOT NULL AND r2_cv_ci_upper IS NOT NULL THEN 'CV'
+                   WHEN blo IS NOT NULL AND bhi IS NOT NULL THEN 'Bootstrap' ELSE 'none' END AS ci_source
+       FROM cmp LEFT JOIN bci ON bci.modelo = cmp.modelo),
 ranking AS (SELECT CAST(ROW_NUMBER() OVER (ORDER BY r2_test DESC NULLS LAST, modelo) AS INTEGER) AS rank, modelo, tipo,
                    ROUND(r2_test, 6) AS r2, ROUND(rmse_test, 2) AS rmse, ROUND(mae_test, 2) AS mae,
                    ROUND(r2_cv_mean, 6) AS r2_cv_mean,
                    CASE WHEN r2_test IS NULL THEN 'N/A'
-                        WHEN r2_cv_ci_lower IS NULL OR r2_cv_ci_upper IS NULL THEN printf('%.3f', ROUND(r2_test, 3)) || ' (No IC)'
-                        ELSE printf('%.3f (%.3f-%.3f)', ROUND(r2_test, 3), ROUND(r2_cv_ci_lower, 3), ROUND(r2_cv_ci_upper, 3)) END AS r2_text,
-                   CASE WHEN r2_cv_ci_lower IS NOT NULL AND r2_cv_ci_upper IS NOT NULL THEN 'CV' ELSE 'none' END AS ci_source
-            FROM cmp)
+                        WHEN lo IS NULL OR hi IS NULL THEN printf('%.3f', ROUND(r2_test, 3)) || ' (No IC)'
+                        ELSE printf('%.3f (%.3f-%.3f)', ROUND(r2_test, 3), ROUND(lo, 3), ROUND(hi, 3)) END AS r2_text,
+                   ci_source
+            FROM cb)
 """
 
 
+def baseline_bootstrap(spark, sf, reps: int = B_RANK):
+    """Percentile bootstrap interval of the test R^2 of both baseline models:
+    the two predictions share one exploded, keyed-weight pass."""
+    d = _xy(spark, sf)
+    train, test = d.where(~F.col("is_test")), d.where(F.col("is_test"))
+    f1 = train.agg(F.regr_slope("y", "x1").alias("a1"), F.regr_intercept("y", "x1").alias("c1"))
+    f2 = train.agg(F.regr_slope("y", "x2").alias("a2"), F.regr_intercept("y", "x2").alias("c2"))
+    p = test.crossJoin(F.broadcast(f1)).crossJoin(F.broadcast(f2)).select(
+        "id", "y", (F.col("c1") + F.col("a1") * F.col("x1")).alias("p1"),
+        (F.col("c2") + F.col("a2") * F.col("x2")).alias("p2"))
+    y, e1, e2 = F.col("y"), F.col("y") - F.col("p1"), F.col("y") - F.col("p2")
+    per = rs.replicate_sums(p, "id", reps, {"sw": F.lit(1.0), "sy": y, "syy": y * y, "se1": e1 * e1, "se2": e2 * e2})
+    den = F.col("syy") - F.col("sy") * F.col("sy") / F.col("sw")
+    rr = per.select((F.lit(1.0) - F.col("se1") / den).alias("r1"), (F.lit(1.0) - F.col("se2") / den).alias("r2"))
+    ci = rs.percentile_ci(rr, ["r1", "r2"])
+    rows = [F.struct(F.lit(m).alias("modelo"), F.col(f"{c}_ci_lower").alias("r2_boot_ci_lower"),
+                     F.col(f"{c}_ci_upper").alias("r2_boot_ci_upper"))
+            for m, c in (("Simple OLS (n_lines)", "r1"), ("Simple OLS (qty)", "r2"))]
+    return ci.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
 @query("comparison_table", CMP_SQL + "SELECT modelo, tipo, " + ", ".join(
     f"ROUND({c}, {6 if c.startswith('r2') else 2}) AS {c}" for c in rp.RECORD_COLS[2:]) + " FROM cmp")
 def comparison_table(spark, sf):
@@ -154,16 +194,17 @@ def improvement_report(spark, sf):
     return rp.improvement_report(linear_records(spark, sf))
 
 
-@query("final_ranking", CMP_SQL + "SELECT * FROM ranking")
+@query("final_ranking", RANK_SQL + "SELECT * FROM ranking")
 def final_ranking(spark, sf):
-    """Ranked records with interval text and CI source."""
-    return rp.final_ranking(linear_records(spark, sf))
+    """Ranked records with interval text and CI source
+    (bootstrap for baseline rows, CV for advanced ones)."""
+    return rp.final_ranking(linear_records(spark, sf), baseline_bootstrap(spark, sf))
 
 
-@query("best_model_card", CMP_SQL + "SELECT * FROM ranking WHERE rank = 1")
+@query("best_model_card", RANK_SQL + "SELECT * FROM ranking WHERE rank = 1")
 def best_model_card(spark, sf):
     """The best model's record."""
-    return rp.best_model_card(rp.final_ranking(linear_records(spark, sf)))
+    return rp.best_model_card(rp.final_ranking(linear_records(spark, sf), baseline_bootstrap(spark, sf)))
 
 
 # ---- synthetic table (A9) ----------------------------------------------------
