@@ -108,7 +108,7 @@ def sample_params(space: dict, rng: random.Random) -> dict:
 
 
 def fold_predictions(kind: str, params: dict, d: DataFrame, key: str, y: str, k: int,
-                     parallelism: int = 2) -> DataFrame:
+                     parallelism: int | None = None) -> DataFrame:
     """k fits on k-1 folds each, predictions of the held-out fold, unioned:
     (fold, key, y, prediction).  Fits run on a small driver thread pool so
     independent jobs overlap (like ``CrossValidator.parallelism``)."""
@@ -118,7 +118,7 @@ def fold_predictions(kind: str, params: dict, d: DataFrame, key: str, y: str, k:
         m = estimator(kind, params, y).fit(df.where(F.col("fold") != f))
         return m.transform(df.where(F.col("fold") == f)).select("fold", key, y, "prediction")
 
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+    with ThreadPoolExecutor(max_workers=max(1, parallelism or k)) as pool:
         parts = list(pool.map(one, range(k)))
     out = parts[0]
     for p in parts[1:]:

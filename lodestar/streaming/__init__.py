@@ -1,0 +1,5 @@
+"""Streaming: the reference has no stream, watermark, event-time window or
+stateful operator (its only "stream" is an HTTP flag of a model call), so
+nothing is registered here.  Every operator is a batch DataFrame job and
+would run unchanged on a micro-batch of a ``readStream`` source.
+"""
