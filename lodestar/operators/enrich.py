@@ -102,6 +102,8 @@ NO_REPLY_CONFIDENCE = 0.0
 MISS_DEFAULTS = {"llm_seniority": "Unknown", "llm_functional_area": "Other", "llm_salary_expectation": "Medium",
                  "llm_confidence": 0.0}
 RULE_CONFIDENCE, DEFAULT_CONFIDENCE = 0.9, 0.6
+# Null inputs are sent as these texts.
+NO_TITLE, NO_DESCRIPTION = "Unknown", "No description available"
 # ---------------------------------------------------------------------------
 
 
@@ -174,6 +176,28 @@ def prompt_batches(keys: DataFrame, col: str, size: int) -> tuple[DataFrame, Dat
     return items, prompts
 
 
+DESCRIPTION_HEAD = ("Analyse each job description below: seniority, functional area, salary expectation, "
+                    "management and responsibility level, years of experience, five yes/no flags, education, "
+                    "key skills, notes and a confidence.  Answer with JSON only, as {\"results\": [...]}.\n"
+                    "DESCRIPTIONS:\n")
+
+
+def description_batches(docs: DataFrame, key: str, text: str, size: int) -> tuple[DataFrame, DataFrame]:
+    """H15/M2 for descriptions: batches of ``size`` in key order, null text
+    sent as the default text, one prompt per batch with the whole texts.
+    The exact position is computed on the keys alone (the checkpoint inside
+    ``batch_number`` then holds keys, not texts); texts join back by key."""
+    idx = batch_number(docs.select(key), [key], size)
+    items = idx.join(docs.select(key, F.coalesce(F.col(text), F.lit(NO_DESCRIPTION)).alias("item")), key)
+    per = items.groupBy("batch_id").agg(F.sort_array(F.collect_list(F.struct("pos", key, "item"))).alias("__it"),
+                                        F.sum(F.length("item")).alias("n_chars"))
+    prompts = per.select("batch_id", F.size("__it").alias("n_items"),
+                         F.to_json(F.transform("__it", lambda s: s[key])).alias("doc_ids"), "n_chars",
+                         F.concat(F.lit(DESCRIPTION_HEAD), F.to_json(F.transform("__it", lambda s: s["item"])))
+                         .alias("prompt"))
+    return items, prompts
+
+
 # ---- completion (M3) --------------------------------------------------------
 
 REPLY_ITEM = T.StructType([

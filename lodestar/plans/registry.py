@@ -26,4 +26,4 @@ def query(name: str, sql: str | None = None):
 def load_all() -> None:
     # Importing the plan modules fills the registry.
     from lodestar.plans import (q_io, q_profile, q_clean, q_features, q_relations,  # noqa: F401
-                                q_split, q_linear, q_resample, q_enrich, q_models)
+                                q_split, q_linear, q_resample, q_enrich, q_models, q_diagnostics)
