@@ -14,7 +14,7 @@ import json
 from pyspark.sql import functions as F
 
 from lodestar.functions.features import clip
-from lodestar.functions.hashing import hash_uniform, sql_hash_u32, sql_hash_uniform
+from lodestar.functions.hashing import hash_u32, replicate_uniform, sql_hash_u32, sql_replicate_uniform
 from lodestar.functions.stats import t_ppf
 from lodestar.operators import inference as inf
 from lodestar.operators import reports as rp
@@ -225,11 +225,12 @@ TWO_PI = 6.283185307179586
 
 
 def _u(i):
-    return hash_uniform("id", f"syn{i}")
+    # md5 once per row (column __h), then one cheap integer mix per draw
+    return replicate_uniform(F.col("__h"), F.lit(i))
 
 
 def _su(i):
-    return sql_hash_uniform("id", f"'syn{i}'")
+    return sql_replicate_uniform("h", str(i))
 
 
 def _pick(u, values, cuts):
@@ -246,7 +247,7 @@ def _sql_pick(u, values, cuts):
 
 
 @query("synthetic_table", f"""
-WITH k AS (SELECT o_orderkey AS id FROM orders),
+WITH k AS (SELECT o_orderkey AS id, {sql_hash_u32("o_orderkey", "'syn'")} AS h FROM orders),
 b AS (SELECT id,
         35 + 8 * sqrt(-2 * ln(1 - {_su(1)})) * cos({TWO_PI} * {_su(2)}) AS age,
         -7 * ln(1 - {_su(3)}) AS years_experience,
@@ -273,9 +274,11 @@ SELECT id, ROUND(age, 6) AS age, ROUND(years_experience, 6) AS years_experience,
 def synthetic_table(spark, sf):
     """The synthetic fallback table with the reference's linear law, one
     row per order key (so it grows with the data); every draw is a keyed hash
-    (Box-Muller normals, inverse-CDF exponential, cumulative-weight choices),
-    so it is partition-independent and reproducible by the SQL oracle."""
-    k = read_table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
+    (md5 of the key once, then the integer mixer per draw: Box-Muller
+    normals, inverse-CDF exponential, cumulative-weight choices), so it is
+    partition-independent and reproducible by the SQL oracle."""
+    k = read_table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"),
+                                               hash_u32("o_orderkey", "syn").alias("__h"))
     age = F.lit(35.0) + F.lit(8.0) * F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - _u(1))) * F.cos(F.lit(TWO_PI) * _u(2))
     yrs = F.lit(-7.0) * F.log(F.lit(1.0) - _u(3))
     noise = F.lit(8000.0) * F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - _u(9))) * F.cos(F.lit(TWO_PI) * _u(10))
