@@ -49,19 +49,25 @@ def completeness(df: DataFrame) -> DataFrame:
 
 
 def quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | None = None,
-              exact: bool = True, accuracy: int = 10000) -> DataFrame:
+              exact: bool = True, accuracy: int = 10000, tiebreak: str | None = None) -> DataFrame:
     """Quantiles with linear interpolation, per group if ``by``.
 
     Output: by..., ``p_index`` (position in ``probs``), ``q``.  ``exact=False``
     uses the bounded-memory ``percentile_approx`` sketch in one pass.
+
+    The exact path sorts by (group, value, tiebreak).  The tiebreak -- a hash
+    of the whole input row unless a column is given -- spreads a hot value
+    (say a third of all rows equal) over many range partitions instead of one
+    sort task; tie order cannot change an order statistic.
     """
     by = by or []
     spark = df.sparkSession
-    base = df.select(*by, value).where(F.col(value).isNotNull())
+    tb = F.col(tiebreak) if tiebreak else F.xxhash64(*[F.col(c) for c in df.columns])
+    base = df.select(*by, value, tb.alias("__tb")).where(F.col(value).isNotNull())
     if not exact:
         approx = base.groupBy(*by).agg(F.percentile_approx(value, probs, accuracy).alias("__qs"))
         return approx.select(*by, F.posexplode("__qs").alias("p_index", "q"))
-    idx = global_index(base, [*by, value], idx_col="__idx", n_col="__n")
+    idx = global_index(base, [*by, value, "__tb"], idx_col="__idx", n_col="__n")
     if by:
         groups = idx.groupBy(*by).agg(F.min("__idx").alias("__g0"), F.count(F.lit(1)).alias("__gn"))
     else:
@@ -87,10 +93,10 @@ def quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | Non
 
 
 def quantiles_wide(df: DataFrame, value: str, probs: list[float], names: list[str],
-                   by: list[str] | None = None, exact: bool = True) -> DataFrame:
+                   by: list[str] | None = None, exact: bool = True, tiebreak: str | None = None) -> DataFrame:
     """Quantiles as named columns, one row per group."""
     by = by or []
-    long = quantiles(df, value, probs, by, exact)
+    long = quantiles(df, value, probs, by, exact, tiebreak=tiebreak)
     return long.groupBy(*by).agg(*[F.max(F.when(F.col("p_index") == i, F.col("q"))).alias(nm)
                                    for i, nm in enumerate(names)])
 
@@ -103,10 +109,14 @@ def describe(df: DataFrame, cols: list[str], digits: int = 4) -> DataFrame:
     stats = ["count", "mean", "std", "min", "max"]
     long = _stack(moments, cols, {s: [f"{s}__{c}" for c in cols] for s in stats}, "column_name")
     # one distributed sort for all columns: stack to (column_name, x) first
-    values = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"),
-                                                      F.col(c).cast("double").alias("__x")) for c in cols]))
-                       .alias("__s")).select("__s.column_name", "__s.__x")
-    qs = quantiles_wide(values, "__x", [0.25, 0.5, 0.75], ["p25", "p50", "p75"], by=["column_name"])
+    # the row hash is taken before stacking, so equal values of one column
+    # still get distinct tiebreaks
+    values = df.select(F.xxhash64(*[F.col(c) for c in df.columns]).alias("__tb"),
+                       F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"),
+                                                    F.col(c).cast("double").alias("__x")) for c in cols]))
+                       .alias("__s")).select("__s.column_name", "__s.__x", "__tb")
+    qs = quantiles_wide(values, "__x", [0.25, 0.5, 0.75], ["p25", "p50", "p75"], by=["column_name"],
+                        tiebreak="__tb")
     out = long.join(qs, "column_name")
     return out.select("column_name", "count", *[F.round(c, digits).alias(c) for c in
                                                 ["mean", "std", "min", "p25", "p50", "p75", "max"]])

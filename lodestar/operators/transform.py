@@ -39,9 +39,10 @@ class Scaler:
                                                    (F.max(c) - F.min(c)).cast("double").alias(f"{c}__s"))]
             self.params = df.agg(*aggs)
         else:
-            vals = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v"))
-                                                 for c in self.cols])).alias("s")).select("s.name", "s.v")
-            q = pf.quantiles_wide(vals, "v", [0.25, 0.5, 0.75], ["q1", "med", "q3"], by=["name"])
+            vals = df.select(F.xxhash64(*[F.col(c) for c in df.columns]).alias("__tb"),
+                             F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v"))
+                                                 for c in self.cols])).alias("s")).select("s.name", "s.v", "__tb")
+            q = pf.quantiles_wide(vals, "v", [0.25, 0.5, 0.75], ["q1", "med", "q3"], by=["name"], tiebreak="__tb")
             self.params = q.agg(*[e for c in self.cols for e in (
                 F.max(F.when(F.col("name") == c, F.col("med"))).alias(f"{c}__c"),
                 F.max(F.when(F.col("name") == c, F.col("q3") - F.col("q1"))).alias(f"{c}__s"))])

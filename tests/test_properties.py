@@ -107,3 +107,18 @@ def test_bucketed_bootstrap_agrees_with_exact(fx):
     assert b.rmse_ci_lower < point < b.rmse_ci_upper
     wa, wb = a.rmse_ci_upper - a.rmse_ci_lower, b.rmse_ci_upper - b.rmse_ci_lower
     assert abs(wa - wb) / wa < 0.35
+
+
+def test_exact_quantiles_with_a_hot_value(spark):
+    """A third of the rows share one value: the result must equal numpy's
+    linear-interpolation percentiles, per group and overall."""
+    from lodestar.operators import profile as pf
+    vals = [5.0] * 1000 + [float(i % 97) for i in range(2000)]
+    rows = [(i, "a" if i % 2 else "b", v) for i, v in enumerate(vals)]
+    df = spark.createDataFrame(rows, "id long, g string, v double").repartition(6)
+    probs = [0.1, 0.25, 0.5, 0.9]
+    got = {(r.g, r.p_index): r.q for r in pf.quantiles(df, "v", probs, by=["g"]).collect()}
+    for g in ("a", "b"):
+        xs = np.array([v for i, gg, v in rows if gg == g])
+        for k, p in enumerate(probs):
+            assert got[(g, k)] == pytest.approx(float(np.percentile(xs, p * 100)), abs=1e-9)
