@@ -45,17 +45,20 @@ SEED = 42
 
 
 def model_matrix(df: DataFrame, numeric: list[str], one_hot: list[str], labels: list[str], y: str,
-                 key: str) -> tuple[DataFrame, list[str]]:
+                 key: str, keep: list[str] | None = None) -> tuple[DataFrame, list[str]]:
     """Existing columns only -> drop rows with a null in any used column
     -> numeric + one-hot (first category dropped) + label-encoded columns,
-    assembled into ``features``.  Returns (frame, feature names)."""
+    assembled into ``features``; ``keep`` columns pass through untouched.
+    Returns (frame, feature names)."""
+    keep = keep or []
     have = set(df.columns)
     numeric = [c for c in numeric if c in have]
     one_hot = [c for c in one_hot if c in have]
     labels = [c for c in labels if c in have]
     used = numeric + one_hot + labels + [y]
-    d = df.select(key, *used).na.drop("any", subset=used)
-    d = d.select(key, *[F.col(c).cast("double").alias(c) if c in numeric or c == y else F.col(c) for c in used])
+    d = df.select(key, *keep, *used).na.drop("any", subset=used)
+    d = d.select(key, *keep, *[F.col(c).cast("double").alias(c) if c in numeric or c == y else F.col(c)
+                               for c in used])
     names = list(numeric)
     for c in one_hot:
         d, dummies = one_hot_drop_first(d, c, prefix=f"var_{c}")
@@ -64,7 +67,7 @@ def model_matrix(df: DataFrame, numeric: list[str], one_hot: list[str], labels:
         d = label_encode(d, c, out=f"{c}_encoded")
         names.append(f"{c}_encoded")
     asm = VectorAssembler(inputCols=names, outputCol="features")
-    return asm.transform(d).select(key, y, *names, "features"), names
+    return asm.transform(d).select(key, *keep, y, *names, "features"), names
 
 
 def estimator(kind: str, params: dict, label: str, weight: str | None = None):

@@ -313,8 +313,8 @@ B_REFIT = 50          # reference: 50 refits for prediction intervals
 def _matrix(spark, sf):
     """J12 on the split facts; checkpointed (the fits iterate over it)."""
     f = split_facts(spark, sf)
-    d, names = tr.model_matrix(f, ["n_lines", "qty"], ["segment"], ["priority"], "total", "id")
-    d = d.join(f.select("id", "is_test"), "id").checkpoint()
+    d, names = tr.model_matrix(f, ["n_lines", "qty"], ["segment"], ["priority"], "total", "id", keep=["is_test"])
+    d = d.checkpoint()
     return d.where(~F.col("is_test")), d.where(F.col("is_test")), names
 
 
