@@ -342,22 +342,26 @@ def describe_text(df: DataFrame, key: str, text: str) -> DataFrame:
     conservative validation: Executive needs explicit evidence, and a level
     contradicted by the stated years is replaced by the level of the years.
 
-    Long texts dominate the cost, so each keyword family is scanned once
-    (six scans plus one for the years) into a small array of hits; every
-    label is then an array test.  The hits are a separate projection that
+    Long texts dominate the cost, so the keyword families are scanned in two
+    passes (plus one for the years) into small arrays of hits; every label
+    is then an array test.  The hits are a separate projection that
     Catalyst keeps (it does not inline non-cheap expressions it would have
     to duplicate)."""
     t = F.coalesce(F.col(text), F.lit(""))
     flag_words = [w for ws in FLAG_RULES.values() for w in ws]
+    # Two scans cover all six families.  Families share a scan only when no
+    # keyword of one is a longer phrase starting with a different keyword of
+    # the other (e.g. area "customer service" would hide flag "customer"),
+    # so every occurrence a per-rule test finds is still captured.
     staged = df.select(
         F.col(key),
-        keyword_hits(t, _words(SENIORITY_RULES)).alias("__hs"),
-        keyword_hits(t, _words(AREA_RULES)).alias("__ha"),
-        keyword_hits(t, _words(MANAGEMENT_RULES)).alias("__hm"),
-        keyword_hits(t, _words(EDUCATION_RULES)).alias("__he"),
-        keyword_hits(t, flag_words).alias("__hf"),
-        keyword_hits(t, SKILL_VOCABULARY).alias("__hk"),
+        keyword_hits(t, _words(SENIORITY_RULES) + flag_words + _words(EDUCATION_RULES) + SKILL_VOCABULARY)
+        .alias("__h1"),
+        keyword_hits(t, _words(AREA_RULES) + _words(MANAGEMENT_RULES)).alias("__h2"),
         F.nullif(F.regexp_extract(t, YEARS_PATTERN, 1), F.lit("")).try_cast("int").alias("__yrs"))
+    staged = staged.select(key, F.col("__h1").alias("__hs"), F.col("__h1").alias("__hf"),
+                           F.col("__h1").alias("__he"), F.col("__h1").alias("__hk"),
+                           F.col("__h2").alias("__ha"), F.col("__h2").alias("__hm"), "__yrs")
     hs, yrs = F.col("__hs"), F.col("__yrs")
     raw_level = label_from_hits(hs, SENIORITY_RULES, SENIORITY_DEFAULT)
     exec_evidence = _has_any(hs, ["director", "vp", "ceo", "cto", "executive", "head of department"])

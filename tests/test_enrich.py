@@ -127,6 +127,8 @@ def test_single_scan_matches_per_rule_sql(spark):
              (3, "leadership? lead! managing the CTO office, high school, Excel/SQL, communication"),
              (4, "édirector vp_ceo intern-trainee product owner, accounting audit, Técnico: software"),
              (5, "line one\nJunior\tassistant\nlast line manager\n"),
+             (7, "customer service lead, data scientist with data; client relations for clients; Leadership"),
+             (8, "team lead, head of operations, people management; doctorate; java and python; strategic budget"),
              (6, "")]
     df = spark.createDataFrame(texts, "doc_id int, text string")
     got = sorted(tuple(r) for r in en.describe_text(df, "doc_id", "text").collect())
