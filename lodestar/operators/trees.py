@@ -145,25 +145,32 @@ def cv_summary(preds: DataFrame, y: str, k: int, model_name: str) -> DataFrame:
 
 
 def random_search(kind: str, d: DataFrame, key: str, y: str, n_trials: int, timeout_s: float, k: int = 3,
-                  seed: int = SEED, fixed: dict | None = None) -> tuple[list[dict], dict]:
+                  seed: int = SEED, fixed: dict | None = None, parallel_trials: int = 2) -> tuple[list[dict], dict]:
     """Seeded random search, k-fold RMSE per trial; a failing trial
     scores inf; no trial is started after the deadline; if none succeeded
-    the default parameters are returned.  Returns (trials, best params)."""
+    the default parameters are returned.  Returns (trials, best params).
+
+    Parameters are drawn up front in a fixed order, so the trial set does not
+    depend on timing; ``parallel_trials`` trials (each with its k fold fits
+    in parallel) run as concurrent Spark jobs."""
     space = GBT_SPACE if kind == "gbt" else RF_SPACE
     rng = random.Random(seed)
+    plans = [{**sample_params(space, rng), **(fixed or {})} for _ in range(n_trials)]
     deadline = time.monotonic() + timeout_s
-    trials = []
-    for i in range(n_trials):
+
+    def run(i):
         if time.monotonic() > deadline:
-            break
-        params = {**sample_params(space, rng), **(fixed or {})}
+            return None
         try:
-            pr = fold_predictions(kind, params, d, key, y, k)
+            pr = fold_predictions(kind, plans[i], d, key, y, k)
             e = F.col(y) - F.col("prediction")
             rmse = pr.groupBy("fold").agg(F.sqrt(F.avg(e * e)).alias("r")).agg(F.avg("r")).first()[0]
         except Exception:  # noqa: BLE001 -- a failing trial is scored inf, as in the reference
             rmse = float("inf")
-        trials.append({"trial": i, "params": params, "cv_rmse": float(rmse)})
+        return {"trial": i, "params": plans[i], "cv_rmse": float(rmse)}
+
+    with ThreadPoolExecutor(max_workers=max(1, parallel_trials)) as pool:
+        trials = [t for t in pool.map(run, range(n_trials)) if t is not None]
     ok = [t for t in trials if math.isfinite(t["cv_rmse"])]
     default = GBT_DEFAULT if kind == "gbt" else RF_DEFAULT
     best = min(ok, key=lambda t: (t["cv_rmse"], t["trial"]))["params"] if ok else dict(default)
