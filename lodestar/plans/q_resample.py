@@ -15,8 +15,8 @@ from lodestar.plans.registry import query
 B_METRICS = 1000     # reference: 1000 reps for metric intervals
 B_COEF = 1000        # 1000 for the simple-regression coefficients
 B_MULTI = 500        # 500 for the multiple-regression coefficients
-K_FOLDS = 5
-T4 = t_ppf(0.975, K_FOLDS - 1)
+K_FOLDS = 5          # shuffled folds (advanced pipeline) and the multiple regression
+K_SIMPLE = 3         # the reference cross-validates the simple regression with 3 contiguous folds
 
 W_SQL = """w AS (SELECT * FROM (SELECT *, {pois} AS w FROM (SELECT s.*, r.range AS rep, {u} AS u
                      FROM (SELECT *, {h} AS h FROM {src}) s, range({B}) r)) WHERE w > 0)"""
@@ -99,7 +99,8 @@ def bootstrap_multi_coef(spark, sf):
     return inf.multi_coef_ci(src, "id", B_MULTI)
 
 
-def _cv_sql(fold_expr: str, sd_fn: str) -> str:
+def _cv_sql(fold_expr: str, sd_fn: str, k: int) -> str:
+    t = t_ppf(0.975, k - 1)
     return BASE + f""",
 d AS (SELECT id, {fold_expr} AS fold, CAST(n_lines AS DOUBLE) AS x, total AS y FROM tr),
 fs AS (SELECT fold, COUNT(*) AS n, SUM(x) AS sx, SUM(y) AS sy, SUM(x * x) AS sxx, SUM(x * y) AS sxy FROM d GROUP BY fold),
@@ -115,23 +116,23 @@ lg AS (SELECT 'R2' AS metric, r2 AS v FROM pm UNION ALL SELECT 'Root Mean Square
        UNION ALL SELECT 'Mean Absolute Error', mae FROM pm),
 ag AS (SELECT metric, AVG(v) AS mean, {sd_fn}(v) AS sd, COUNT(*) AS k FROM lg GROUP BY metric)
 SELECT metric, {_r('mean')} AS mean, {_r('sd')} AS std,
-       {_r(f'mean - {T4!r} * sd / sqrt(k)')} AS ci_lower, {_r(f'mean + {T4!r} * sd / sqrt(k)')} AS ci_upper FROM ag"""
+       {_r(f'mean - {t!r} * sd / sqrt(k)')} AS ci_lower, {_r(f'mean + {t!r} * sd / sqrt(k)')} AS ci_upper FROM ag"""
 
 
 def _r(e: str) -> str:
     return f"CASE WHEN metric = 'R2' THEN ROUND({e}, 6) ELSE ROUND({e}, 2) END"
 
 
-@query("cv_interval_pop", _cv_sql("CAST(NTILE(5) OVER (ORDER BY id) - 1 AS INTEGER)", "STDDEV_POP"))
+@query("cv_interval_pop", _cv_sql(f"CAST(NTILE({K_SIMPLE}) OVER (ORDER BY id) - 1 AS INTEGER)", "STDDEV_POP", K_SIMPLE))
 def cv_interval_pop(spark, sf):
-    """Contiguous 5-fold CV of the simple regression; t-interval with
-    the population sd of the fold scores."""
+    """Contiguous 3-fold CV of the simple regression (as the
+    reference); t-interval (2 df) with the population sd of the fold scores."""
     train, _ = _train_test(spark, sf)
-    return inf.cv_interval(train, "id", K_FOLDS, contiguous=True, sample_sd=False)
+    return inf.cv_interval(train, "id", K_SIMPLE, contiguous=True, sample_sd=False)
 
 
 @query("cv_interval_sample", _cv_sql(f"CAST({sql_hash_u32('id', chr(39) + 'fold42' + chr(39))} % 5 AS INTEGER)",
-                                     "STDDEV_SAMP"))
+                                     "STDDEV_SAMP", K_FOLDS))
 def cv_interval_sample(spark, sf):
     """Shuffled 5-fold CV; t-interval with the sample sd."""
     train, _ = _train_test(spark, sf)
