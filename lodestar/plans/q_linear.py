@@ -252,17 +252,33 @@ co AS (SELECT alpha, zz.*,
           ((ta11 + alpha) * tc2 - ta12 * tc1) / ((ta11 + alpha) * (ta22 + alpha) - ta12 * ta12) AS b2 FROM zz, al),
 sc2 AS (SELECT alpha, fold, 1 - (hyy - 2 * (b1 * hc1 + b2 * hc2) + (b1 * b1 * ha11 + 2 * b1 * b2 * ha12 + b2 * b2 * ha22)
              + hnn * pow(hym - (tym - b1 * tz1 - b2 * tz2) - b1 * hz1 - b2 * hz2, 2)) / hyy AS r2 FROM co),
-mr AS (SELECT alpha, AVG(r2) AS mean_r2 FROM sc2 GROUP BY alpha)
+mr AS (SELECT alpha, AVG(r2) AS mean_r2 FROM sc2 GROUP BY alpha)"""
+
+
+def _alpha_grid_select():
+    return _alpha_grid_sql() + """
 SELECT alpha, ROUND(mean_r2, 8) AS mean_r2,
        alpha = (SELECT alpha FROM mr ORDER BY mean_r2 DESC, alpha LIMIT 1) AS is_best FROM mr"""
 
 
+def _ridge_cv_sql():
+    return _alpha_grid_sql() + """,
+best AS (SELECT alpha FROM mr ORDER BY mean_r2 DESC, alpha LIMIT 1),
+""" + STATS2.format(src="tr") + """,
+z AS (SELECT n, my, s11 / (s11 / n) AS a11, s22 / (s22 / n) AS a22,
+             s12 / (sqrt(s11 / n) * sqrt(s22 / n)) AS a12, s1y / sqrt(s11 / n) AS c1, s2y / sqrt(s22 / n) AS c2 FROM st),
+r AS (SELECT alpha, my AS b0, ((a22 + alpha) * c1 - a12 * c2) / ((a11 + alpha) * (a22 + alpha) - a12 * a12) AS b1,
+             ((a11 + alpha) * c2 - a12 * c1) / ((a11 + alpha) * (a22 + alpha) - a12 * a12) AS b2 FROM z, best)
+SELECT 'intercept' AS term, alpha, ROUND(b0, 6) AS coef FROM r
+UNION ALL SELECT 'n_lines', alpha, ROUND(b1, 6) FROM r UNION ALL SELECT 'qty', alpha, ROUND(b2, 6) FROM r"""
+
+
 def rs_sql_fold():
     from lodestar.functions.hashing import sql_hash_u32
     return f"{sql_hash_u32('id', chr(39) + 'fold42' + chr(39))} % 5"
 
 
-@query("alpha_grid", _alpha_grid_sql())
+@query("alpha_grid", _alpha_grid_select())
 def alpha_grid(spark, sf):
     """K6: 7 alphas x 5 shuffled folds of ridge from ONE aggregation pass over
     the training rows (per-fold co-moments; training = merge of the others)."""
@@ -287,3 +303,17 @@ def elastic_net(spark, sf):
     objective directly (no conversion to Spark ML's parameterisation)."""
     return md.gram_penalised_fit(spark, sf, alpha=ENET_ALPHA, l1_ratio=ENET_L1)
 
+
+@query("ridge_cv", _ridge_cv_sql())
+def ridge_cv(spark, sf):
+    """K3 + K6: ridge with the alpha the 5-fold grid picks (first maximum of
+    the mean held-out R^2), fitted on the standardised training set -- the
+    grid and the fit share the one-pass fold moments."""
+    train, _ = _train_test(spark, sf)
+    folds = lin.moments(train.withColumn("fold", rs.hash_fold("id", 5)), X2, "total", by="fold")
+    whole = lin.merge_all([folds[k] for k in sorted(folds)])
+    res = lin.alpha_grid(folds, ALPHAS, standardise_with=whole)
+    best = max(res, key=lambda r: (r[1], -r[0]))[0]
+    b0, beta = lin.solve(whole.standardise(whole.mean[:-1], lin.pop_sd(whole)), best)
+    rows = [("intercept", best, float(round(b0, 6)))] + [(n, best, float(round(b, 6))) for n, b in zip(X2, beta)]
+    return spark.createDataFrame(rows, "term string, alpha double, coef double")
