@@ -71,7 +71,7 @@ def quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | Non
     if by:
         groups = idx.groupBy(*by).agg(F.min("__idx").alias("__g0"), F.count(F.lit(1)).alias("__gn"))
     else:
-        groups = idx.select(F.lit(0).cast("bigint").alias("__g0"), F.col("__n").alias("__gn")).limit(1)
+        groups = idx.agg(F.lit(0).cast("bigint").alias("__g0"), F.max("__n").alias("__gn"))
     pframe = spark.createDataFrame([(i, float(p)) for i, p in enumerate(probs)], "p_index int, p double")
     pos = F.col("p") * (F.col("__gn") - 1)
     targets = (groups.crossJoin(F.broadcast(pframe))
