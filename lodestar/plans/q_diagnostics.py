@@ -275,7 +275,7 @@ def fill_llm_defaults(spark, sf):
 WITH it AS (SELECT doc_id, COALESCE(text, '{en.NO_DESCRIPTION}') AS item,
                    CAST((ROW_NUMBER() OVER (ORDER BY doc_id) - 1) // 3 AS BIGINT) AS batch_id,
                    CAST((ROW_NUMBER() OVER (ORDER BY doc_id) - 1) % 3 AS INTEGER) AS pos FROM documents)
-SELECT batch_id, CAST(COUNT(*) AS INTEGER) AS n_items, to_json(list(doc_id ORDER BY pos)) AS doc_ids,
+SELECT batch_id, CAST(COUNT(*) AS INTEGER) AS n_items, CAST(to_json(list(doc_id ORDER BY pos)) AS VARCHAR) AS doc_ids,
        CAST(SUM(length(item)) AS BIGINT) AS n_chars FROM it GROUP BY batch_id""")
 def description_prompts(spark, sf):
     """Descriptions in batches of 3 (null text -> the default text),

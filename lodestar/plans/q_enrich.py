@@ -83,8 +83,8 @@ ITEMS_SQL = """items AS (SELECT p_name, CAST((ROW_NUMBER() OVER (ORDER BY p_name
 
 
 @query("prompt_batches", "WITH " + TITLES_SQL + ",\n" + ITEMS_SQL.format(n=BATCH_TITLES) + """
-SELECT batch_id, CAST(COUNT(*) AS INTEGER) AS n_items, to_json(list(p_name ORDER BY pos)) AS items_json,
-       """ + _sql_str(en.PROMPT_HEAD) + """ || to_json(list(p_name ORDER BY pos)) AS prompt
+SELECT batch_id, CAST(COUNT(*) AS INTEGER) AS n_items, CAST(to_json(list(p_name ORDER BY pos)) AS VARCHAR) AS items_json,
+       """ + _sql_str(en.PROMPT_HEAD) + """ || CAST(to_json(list(p_name ORDER BY pos)) AS VARCHAR) AS prompt
 FROM items GROUP BY batch_id""")
 def prompt_batches(spark, sf):
     """Distinct titles in batches of 5 with the JSON list and prompt text."""

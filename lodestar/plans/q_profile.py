@@ -100,8 +100,8 @@ def crosstab_margins(spark, sf):
 
 
 def _multi_sql():
-    cols = ", ".join(f"ROUND(AVG({m}), 3) AS {m}_mean, ROUND(MAX({m}), 3) AS {m}_max, ROUND(MIN({m}), 3) AS {m}_min"
-                     for m in NUM_COLS)
+    cols = ", ".join(f"ROUND(AVG({m}), 3) AS {m}_mean, ROUND(MAX(CAST({m} AS DOUBLE)), 3) AS {m}_max, "
+                     f"ROUND(MIN(CAST({m} AS DOUBLE)), 3) AS {m}_min" for m in NUM_COLS)
     return with_sql(FACTS_SQL) + f"SELECT segment, {cols} FROM facts GROUP BY segment"
 
 
