@@ -42,6 +42,10 @@ def test_every_oracle_has_a_query():
     assert set(ORACLE) <= set(QUERIES)
 
 
+SPARK_TO_DUCKDB = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                   "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "date": "DATE"}
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_oracle(spark, con, name):
     df = QUERIES[name](spark, SF_SMALL)
@@ -50,3 +54,6 @@ def test_query_matches_oracle(spark, con, name):
     o_cols = [d[0] for d in res.description]
     assert sorted(s_cols) == sorted(o_cols)
     assert _rows(s_cols, s_rows) == _rows(o_cols, res.fetchall())
+    o_types = {r[0]: r[1] for r in con.execute(f"DESCRIBE {ORACLE[name]}").fetchall()}
+    for c, t in df.dtypes:
+        assert SPARK_TO_DUCKDB.get(t, t.upper()) == o_types[c], (c, t, o_types[c])
