@@ -88,6 +88,21 @@ def predict(model, df: DataFrame, key: str, y: str) -> DataFrame:
     return model.transform(df).select(key, y, "prediction")
 
 
+def score_new_data(model, df: DataFrame, key: str, names: list[str], scaler=None) -> DataFrame | None:
+    """Scale (with the fitted scaler, if any), assemble and predict new
+    rows; like the reference, a failure (missing column, unfitted scaler,
+    wrong types) gives ``None`` instead of raising.  The plan is analysed
+    eagerly, so such errors surface here rather than at the first action."""
+    try:
+        d = scaler.transform(df) if scaler is not None else df
+        d = VectorAssembler(inputCols=names, outputCol="features").transform(d)
+        out = model.transform(d).select(key, "prediction")
+        out.schema  # noqa: B018 -- forces analysis
+        return out
+    except Exception:  # noqa: BLE001
+        return None
+
+
 def importances(model, names: list[str], top: int = 10) -> list[tuple[str, float]]:
     """impurity/gain importances, sorted, top ``top``."""
     imp = model.featureImportances.toArray()

@@ -53,3 +53,12 @@ def test_refit_bootstrap_interval(matrix):
     rows = out.collect()
     assert len(rows) == test.count()
     assert all(r.pi_lower <= r.pred_mean <= r.pi_upper and r.n_reps == 4 for r in rows)
+
+
+def test_score_new_data(spark, matrix):
+    d, names = matrix
+    model = tr.estimator("rf", {"numTrees": 3, "maxDepth": 3}, "y").fit(d)
+    fresh = d.select("id", *names)
+    out = tr.score_new_data(model, fresh, "id", names)
+    assert out is not None and out.count() == d.count()
+    assert tr.score_new_data(model, fresh.drop("x1"), "id", names) is None       # missing column -> None
