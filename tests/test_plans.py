@@ -30,3 +30,12 @@ def test_description_rules_scan_each_text_twice(spark):
     docs = spark.createDataFrame([(1, "senior engineer")], "id int, text string")
     p = _plan(en.describe_text(docs, "id", "text"))
     assert p.count("regexp_extract_all") == 2
+
+
+def test_working_table_is_materialised_once(spark):
+    from lodestar.plans.facts import facts
+    first = facts(spark, SF_SMALL)
+    again = facts(spark, SF_SMALL)
+    p = _plan(again)
+    assert "lineitem" not in p and "lodestar-scratch/facts-" in p
+    assert first.count() == again.count() == facts_plan(spark, SF_SMALL).count()
