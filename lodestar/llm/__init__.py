@@ -1,0 +1,2 @@
+"""Training-data operators.  Nothing outside this package imports it; their
+registered queries live in :mod:`lodestar.llm.queries`."""
