@@ -27,7 +27,12 @@ from pyspark.sql import functions as F
 from lodestar.llm.base import lookup, query, store
 from lodestar.session import scratch_path
 
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE = "spark.sql.streaming.stateStore."
+SETTINGS = {    # state on disk; changes are logged, not whole snapshots at each commit; no disk reserved ahead
+    STATE + "providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    STATE + "rocksdb.changelogCheckpointing.enabled": "true",
+    STATE + "rocksdb.allowFAllocate": "false",
+}
 COMPARE_BYTES = 32 << 20       # bytes of hits compared under one (digest, salt) key
 TRIGGER_BYTES = 1 << 40       # input of one micro-batch
 
@@ -56,8 +61,9 @@ def update_state(spark: SparkSession, path: str, state: str, id_col="doc_id", te
                  trigger_bytes: int = TRIGGER_BYTES) -> DataFrame:
     """Take the files under ``path`` that the stream has not yet seen into the
     state kept in the folder ``state``; returns one row per digest."""
-    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    old = {k: spark.conf.get(k, None) for k in SETTINGS}
+    for k, v in SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         table = spark.read.parquet(path)
         stream = (spark.readStream.schema(table.schema).option("maxBytesPerTrigger", trigger_bytes)
@@ -70,10 +76,8 @@ def update_state(spark: SparkSession, path: str, state: str, id_col="doc_id", te
         running.awaitTermination()
         held = spark.read.format("statestore").load(state)
     finally:
-        if old is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     value = [f.name for f in held.schema["value"].dataType]       # buffers in the order of the aggregates
     return held.select(F.col("key.digest").alias("digest"), F.col("value")[value[0]].alias("top"),
                        F.col("value")[value[1]].alias("group_size"))
@@ -105,7 +109,7 @@ def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col
     # rows that hit a digest held by another row: compare full bytes with the row that stays
     multi = held.where("group_size > 1").withColumn(
         "salts", F.ceil(F.col("group_size") * F.greatest("top.n_bytes", F.lit(1)) / F.lit(COMPARE_BYTES)).cast("int"))
-    hits = lookup(seen, multi, "digest", "group_size", total, spread).where("group_size is not null")
+    hits = store(lookup(seen, multi, "digest", "group_size", total, spread).where("group_size is not null"), "dedup-hits")
     is_top = F.col("locator") == F.col("top.locator")
     held_text = (hits.where(is_top).select("digest", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
                                            F.col("text").alias("held_text")))
