@@ -1,2 +1,10 @@
 """Training-data operators.  Nothing outside this package imports it; their
 registered queries live in :mod:`lodestar.llm.queries`."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in executors' Python workers travel with the job: the
+# package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
