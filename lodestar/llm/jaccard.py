@@ -4,8 +4,10 @@ A text's set holds the hashes of its distinct 5-word shingles.  Texts with
 equal sets are one node.  Two nodes with Jaccard >= 0.8 share a hash among the
 smallest fifth of each set (prefix principle), so nodes meet in lists, one per
 such hash.  A list is cut into size bands (sizes within a factor 1.25): in a
-short list all compatible nodes meet, in a long one each meets the band's
-first.  Pairs that meet are dropped when the bit count of their hashed parity
+short list all compatible nodes meet, in a long one each meets the band's hub,
+the node with the largest share of its hashes in long lists (of a group of
+near copies that is the one most like all the others), and hubs meet the hubs
+of the next band.  Pairs that meet are dropped when the bit count of their hashed parity
 bitmaps bounds the overlap below the threshold, then the sorted arrays are
 intersected exactly, and links make components.  Nodes that share a long list
 but are still in different components meet in tiles of blocks of that list,
@@ -35,8 +37,8 @@ from lodestar.llm.base import query, read, store
 K = 5
 SHORT = 8            # up to so many nodes of a list meet pairwise at once
 BLOCK = 2048         # nodes of a long list in one side of a tile
-BEST = 2             # candidates a node tries per foreign component and tile in a guided round
-GUIDED_ROUNDS = 3
+BEST = 3             # candidates that a node outside a tile's largest component tries in a guided round
+BITS = 4             # bitmap bits per element, at least
 
 
 def need(total):
@@ -59,8 +61,8 @@ def sets_of(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """Parity of the number of elements per bit; as many bits as elements, rounded up to a power of two."""
-    bits = 1 << max(6, (len(s) - 1).bit_length())
+    """Parity of the number of elements per bit; BITS for each element, rounded up to a power of two."""
+    bits = 1 << max(6, (BITS * len(s) - 1).bit_length())
     count = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((count & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -109,13 +111,13 @@ MEETS = "token bigint, a bigint, na bigint, b bigint, nb bigint, long boolean"
 
 def _lists(batches):
     """Sorted (token, n, node) rows to meetings.  A run of one token may span
-    batches; only its band's first node and its last SHORT nodes are kept."""
+    batches; only its first SHORT nodes or its band are kept."""
     def emit(rows):
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 5 + [pa.bool_()], strict=True)],
                                           names=["token", "a", "na", "b", "nb", "long"])
 
-    token, members, hub = None, [], None      # members: (n, node) until the list is long; then hub is its band's first
+    token, members, band = None, [], None      # members: (n, node) until the list is long; then the band's smallest size
 
     def short(out):
         for i, (ni, i_) in enumerate(members):
@@ -124,10 +126,10 @@ def _lists(batches):
                     out.append((token, j_, nj, i_, ni, False))
 
     def add(n, node, out):
-        nonlocal hub
-        if 5 * hub[0] < 4 * n:
-            hub = (n, node)
-        out.append((token, node, n, hub[1], hub[0], True))
+        nonlocal band
+        if 5 * band < 4 * n:
+            band = n
+        out.append((token, node, n, None, band, True))
 
     last = None
     for batch in batches:
@@ -142,25 +144,25 @@ def _lists(batches):
             look = np.flatnonzero(~alone)
             for ti, ni, di in zip(t[look].tolist(), n[look].tolist(), node[look].tolist(), strict=True):
                 if ti != token:
-                    if hub is None:
+                    if band is None:
                         short(out)
-                    token, members, hub = ti, [], None
+                    token, members, band = ti, [], None
                 elif last == di:
                     continue
                 last = di
-                if hub is not None:
+                if band is not None:
                     add(ni, di, out)
                 else:
                     members.append((ni, di))
                     if len(members) > SHORT:
-                        hub = members[0]
+                        band = members[0][0]
                         for m in members:
                             add(*m, out)
                         members = []
         if len(out) > 0:
             yield emit(out)
     out = []
-    if hub is None and members:
+    if band is None and members:
         short(out)
     yield emit(out)
 
@@ -228,42 +230,54 @@ TILE = "a bigint, na bigint, b bigint, nb bigint"
 
 def _tile(best: int | None):
     """One tile: rows (side, node, n, label, bits); pairs of different labels
-    that sizes and bitmaps allow, per node and foreign label the ``best``."""
+    that sizes and bitmaps allow.  With ``best``, a node outside the tile's
+    largest component keeps that many at most; if that cuts any off, a row with
+    na = -1 says so of the tile's token."""
     def run(key, table):
         side, node, n, label = (table.column(x).to_numpy() for x in ("side", "node", "n", "label"))
-        raw = [np.frombuffer(x, np.uint8) for x in table.column("bits").to_pylist()]
+        order = np.lexsort((node, n))
+        side, node, n, label = side[order], node[order], n[order], label[order]
+        raw = table.column("bits").to_pylist()
+        raw = [np.frombuffer(raw[i], np.uint8) for i in order]
+        width = np.array([len(x) for x in raw])
         same = key[1].as_py() == key[2].as_py()
-        left = np.flatnonzero(side == 0)
-        right = left if same else np.flatnonzero(side == 1)
-        found = []
-        for size in np.unique([len(raw[i]) for i in left]):
-            rows = left[[len(raw[i]) == size for i in left]]
-            lo, hi = n[rows].min() * 4 // 5, n[rows].max() * 5 // 4 + 1
-            others = right[(n[right] >= lo) & (n[right] <= hi)]
-            for osize in np.unique([len(raw[j]) for j in others]):
-                cols = others[[len(raw[j]) == osize for j in others]]
-                width = int(min(size, osize))
-                y = np.stack([fold(raw[j], width) for j in cols]).view(np.uint64)
-                for i in rows:
-                    x = fold(raw[i], width).view(np.uint64)
-                    ok = (label[cols] != label[i]) & (5 * np.minimum(n[cols], n[i]) >= 4 * np.maximum(n[cols], n[i]))
-                    if same:
-                        ok &= (n[cols] > n[i]) | ((n[cols] == n[i]) & (node[cols] > node[i]))
-                    c = np.flatnonzero(ok)
-                    if not len(c):
+        names, counts = np.unique(label, return_counts=True)
+        out = label != names[counts.argmax()]             # outside the largest component
+        right = np.flatnonzero(side == (0 if same else 1))
+        found, cut = [], False
+        for w in np.unique(width[out]):                   # outsiders of either side against all of the other
+            for of in ((0,) if same else (0, 1)):
+                rows = np.flatnonzero(out & (width == w) & (side == of))
+                others = right if of == 0 else np.flatnonzero(side == 0)
+                for r in range(0, len(rows), 64):
+                    i = rows[r:r + 64]
+                    cols = others[(5 * n[others] >= 4 * n[i[0]]) & (4 * n[others] <= 5 * n[i[-1]])]
+                    hits = []
+                    for v in np.unique(width[cols]):
+                        x = np.stack([fold(raw[k], min(w, v)) for k in i]).view(np.uint64)
+                        group = cols[width[cols] == v]
+                        for c in range(0, len(group), 256):
+                            j = group[c:c + 256]
+                            y = np.stack([fold(raw[k], min(w, v)) for k in j]).view(np.uint64)
+                            differ = np.bitwise_count(x[:, None, :] ^ y[None, :, :]).sum(axis=2, dtype=np.int64)
+                            total = n[i][:, None] + n[j][None, :]
+                            ok = ((total - differ) // 2 >= need(total)) & (label[i][:, None] != label[j][None, :])
+                            ok &= 5 * np.minimum(n[i][:, None], n[j][None, :]) >= 4 * np.maximum(n[i][:, None], n[j][None, :])
+                            p, q = np.nonzero(ok)
+                            hits.append((i[p], j[q], differ[p, q]))
+                    if not hits:
                         continue
-                    total = n[cols[c]] + n[i]
-                    differ = np.bitwise_count(y[c] ^ x).sum(axis=1).astype(np.int64)
-                    room = (total - differ) // 2 - need(total)
-                    c, differ = c[room >= 0], differ[room >= 0]
-                    if best is not None and len(c) > best:
-                        order = np.lexsort((differ, label[cols[c]]))
-                        c = c[order]
-                        lab = label[cols[c]]
-                        rank = np.arange(len(c)) - np.searchsorted(lab, lab)
-                        c = c[rank < best]
-                    found += [(int(node[i]), int(n[i]), int(node[cols[j]]), int(n[cols[j]])) for j in c]
-        cols = list(zip(*found, strict=True)) if found else [[]] * 4
+                    a, b, differ = (np.concatenate(h) for h in zip(*hits, strict=True))
+                    if best is not None:
+                        by = np.lexsort((differ, a))
+                        a, b = a[by], b[by]
+                        keep = np.arange(len(a)) - np.searchsorted(a, a) < best
+                        cut |= not keep.all()
+                        a, b = a[keep], b[keep]
+                    found.append((node[a], n[a], node[b], n[b]))
+        if cut:
+            found.append(([key[0].as_py()], [-1], [None], [None]))
+        cols = [[y for f in found for y in f[k]] for k in range(4)]
         return pa.table([pa.array(c, pa.int64()) for c in cols], names=["a", "na", "b", "nb"])
     return run
 
@@ -309,9 +323,16 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                      .join(bits.withColumnsRenamed({"node": "b", "bits": "bits_b"}), "b").select("a", "na", "b", "nb", "bits_a", "bits_b"))
         return store(with_bits.mapInArrow(_prune, TILE), "jaccard-candidates")
 
-    tried = candidates(met.where("5 * nb >= 4 * na"))
+    long = met.where("long").select("token", F.col("a").alias("node"), F.col("na").alias("n"), F.col("nb").alias("band"))
+    share = long.groupBy("node").agg((F.count(F.lit(1)) / F.first("n")).alias("share"))
+    hubs = store(long.join(share, "node").groupBy("token", "band").agg(F.max(F.struct("share", "node", "n")).alias("hub")), "jaccard-hubs")
+    stars = long.join(hubs, ["token", "band"]).select(F.col("node").alias("a"), F.col("n").alias("na"), "hub.node", "hub.n")
+    after = F.lag("hub").over(Window.partitionBy("token").orderBy("band"))
+    steps = hubs.withColumn("after", after).where("after is not null").select("hub.node", "hub.n", "after.node", "after.n").toDF("a", "na", "b", "nb")
+    tried = candidates(met.where("not long").select("a", "na", "b", "nb").union(stars)
+                       .union(steps.where("5 * least(na, nb) >= 4 * greatest(na, nb)")))
     # texts of the nodes that may ever be compared
-    wanted = tried.select("a").union(tried.select("b")).union(met.where("long").select("a")).distinct().withColumnRenamed("a", "node")
+    wanted = tried.select("a").union(tried.select("b")).union(long.select("node")).distinct().withColumnRenamed("a", "node")
     reps = nodes.select("node", "rep").join(wanted, "node", "left_semi").select("node", F.col("rep").alias("doc_id"))
     packed = docs.mapInArrow(_pack_texts, "doc_id bigint, packed binary")
     texts = packed.join(reps, packed["doc_id"].eqNullSafe(reps["doc_id"])).select(packed["doc_id"], "packed", "node")
@@ -332,31 +353,28 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     linked = links(tried)
     labels = components(linked)
-    lists = met.where("long").select("token", F.col("a").alias("node"), F.col("na").alias("n"))
-    round_ = 0
+    lists, best = long.drop("band"), BEST
     while True:
         held = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         mixed = held.groupBy("token").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("token")
         lists = store(held.join(mixed, "token", "left_semi").select("token", "node", "n", "label"), "jaccard-open")
         if lists.isEmpty():
             break
-        more = _tiles(lists, bits, None if round_ >= GUIDED_ROUNDS else BEST)
+        met = _tiles(lists, bits, best)
+        up = F.struct(F.col("a").alias("x"), F.col("na").alias("nx"))
+        down = F.struct(F.col("b").alias("x"), F.col("nb").alias("nx"))
+        more = met.where("na >= 0").select(F.least(up, down).alias("p"), F.greatest(up, down).alias("q")).distinct()
+        more = more.select("p.*", "q.*").toDF("a", "na", "b", "nb")
         more = store(more.join(tried.select("a", "b"), ["a", "b"], "left_anti")
                      .join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "jaccard-candidates")
         found = links(more)
-        tried = tried.union(more.select("a", "na", "b", "nb"))
-        linked = linked.union(found)
-        if round_ >= GUIDED_ROUNDS or more.isEmpty():
-            if not found.isEmpty():
-                labels = components(linked)
-            if round_ >= GUIDED_ROUNDS:
-                break
-            round_ = GUIDED_ROUNDS                    # nothing untried among the best: one full round to be sure
-        else:
-            if not found.isEmpty():
-                labels = components(linked)
-            round_ += 1
-        lists = lists.drop("label")
+        linked_more = not found.isEmpty()
+        if linked_more:
+            tried, linked = tried.union(more), linked.union(found)
+            labels = components(linked)
+        # lists of which no candidate was cut off are done
+        lists = lists.drop("label").join(met.where("na < 0").select(F.col("a").alias("token")).distinct(), "token", "left_semi")
+        best = None                               # then all the others are tried
 
     named = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     ids = named.groupBy("label").agg(F.min("rep").alias("component_id"))
@@ -377,8 +395,7 @@ def _tiles(lists: DataFrame, bits: DataFrame, best: int | None) -> DataFrame:
     left = placed.join(tiles, "token").where("block = i").withColumn("side", F.lit(0))
     right = placed.join(tiles.where("j > i"), "token").where("block = j").withColumn("side", F.lit(1))
     rows = left.unionByName(right).join(bits, "node").select("token", "i", "j", "side", "node", "n", "label", "bits")
-    out = rows.groupBy("token", "i", "j").applyInArrow(_tile(best), TILE)
-    return out.dropDuplicates(["a", "b"])
+    return store(rows.groupBy("token", "i", "j").applyInArrow(_tile(best), TILE), "jaccard-tiles")
 
 
 def one_per_component(docs: DataFrame) -> DataFrame:
