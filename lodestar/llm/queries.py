@@ -1,4 +1,4 @@
 """Importing this module registers every query of the package."""
 
-from lodestar.llm import exact_dedup, jaccard, mixing, quality  # noqa: F401
+from lodestar.llm import exact_dedup, jaccard, language, mixing, packing, quality, substring  # noqa: F401
 from lodestar.llm.base import ORACLE, QUERIES  # noqa: F401
