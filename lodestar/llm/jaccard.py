@@ -399,13 +399,10 @@ def _tiles(lists: DataFrame, bits: DataFrame, best: int | None) -> DataFrame:
 
 
 def one_per_component(docs: DataFrame) -> DataFrame:
-    """``docs`` with the first document (smallest id, then smallest text) of
-    each component, and every document without shingles."""
-    got = link_components(docs).where("n_shingles > 0")
-    stays = got.select(F.col("doc_id").alias("__id"), "component_id").where("__id is not distinct from component_id").select("__id").distinct()
-    empty = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), "")) == 0
-    kept = docs.join(stays, docs["doc_id"].eqNullSafe(stays["__id"]), "left").where(F.col("__id").isNotNull() | empty)
-    return kept.select(*docs.columns)
+    """``docs`` without the rows linked to a smaller id; rows without shingles
+    and rows with a null id stay."""
+    got = link_components(docs).where("n_shingles > 0 and doc_id <> component_id")
+    return docs.join(store(got.select("doc_id").distinct(), "jaccard-dropped"), "doc_id", "left_anti").select(*docs.columns)
 
 
 @query("op10_ngram_jaccard")

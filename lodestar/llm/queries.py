@@ -1,4 +1,5 @@
 """Importing this module registers every query of the package."""
 
-from lodestar.llm import exact_dedup, jaccard, language, mixing, packing, quality, substring  # noqa: F401
+from lodestar.llm import (archive, exact_dedup, jaccard, language, mixing, packing, pii, quality,  # noqa: F401
+                          substring, templates)
 from lodestar.llm.base import ORACLE, QUERIES  # noqa: F401
