@@ -39,6 +39,22 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BROADCAST_ROWS = 1_000_000         # narrow rows (ids, digests) up to which a lookup side is broadcast
+
+
+def near(small: DataFrame) -> DataFrame:
+    """``small`` (a stored, narrow table), marked for broadcast when its counted
+    rows allow it; beyond that the join shuffles both sides as usual."""
+    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
+
+
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Arrow batches small enough for whole texts in a small worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, str(rows))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it many times inside ``body`` (also
     inside lambdas, where an inlined expression would run per element)."""

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import wordhash as wh
-from lodestar.llm.base import query, read, store
+from lodestar.llm.base import near, query, read, small_batches, store
 
 WINDOW, BLOCKS = 50, 5
 STEP = 25                # words of an anchor
@@ -207,6 +207,7 @@ def _runs(batches):
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     scanned = store(docs.mapInArrow(_scan, SCAN), "suffix-scan")
     firsts = scanned.where("doc_id is not null and anchors is not null").groupBy("seq").agg(F.min("doc_id").alias("first"))
@@ -217,8 +218,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).where("d0 < d1").select("anchor")
     of_text = store(anchors.join(shared, "anchor").groupBy("doc_id", "seq").agg(F.collect_list("anchor").alias("shared")), "suffix-shared")
 
-    packed = docs.mapInArrow(_pack, "doc_id bigint, packed binary")
-    texts = packed.join(of_text.select(F.col("doc_id").alias("__id")).distinct(), F.col("doc_id") == F.col("__id"), "left_semi")
+    wanted = near(store(of_text.select(F.col("doc_id").alias("__id")).distinct(), "suffix-ids"))
+    texts = docs.join(wanted, F.col("doc_id") == F.col("__id"), "left_semi").mapInArrow(_pack, "doc_id bigint, packed binary")
     texts = store(texts.mapInArrow(_with_seq, "doc_id bigint, seq binary, packed binary").dropDuplicates(["doc_id", "seq"])
                   .join(of_text, ["doc_id", "seq"]).select("doc_id", "seq", "packed", "shared"), "suffix-packed")
     suffixes = store(texts.mapInArrow(_suffixes, SUFFIX), "suffixes")

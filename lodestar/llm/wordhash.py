@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 20            # bytes of text hashed at a time (a longer text is one chunk)
+CHUNK = 1 << 18            # bytes of text hashed at a time (a longer text is one chunk)
 _BASE, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 
 
