@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm import wordhash as wh
-from lodestar.llm.base import query, read, store
+from lodestar.llm.base import near, query, read, small_batches, store
 
 K = 5
 SHORT = 8            # up to so many nodes of a list meet pairwise at once
@@ -72,33 +72,41 @@ def fold(b: np.ndarray, size: int) -> np.ndarray:
     return np.bitwise_xor.reduce(b.reshape(-1, size), axis=0) if len(b) > size else b
 
 
+def coarse(b: bytes, n: int) -> bytes:
+    """The bitmap folded to half a bit an element, 512 bits at least: enough to
+    tell texts that are not alike, in tiles, before the whole bitmaps decide."""
+    size = max(64, (1 << max(9, (n // 2).bit_length())) // 8)
+    return fold(np.frombuffer(b, np.uint8), size).tobytes() if len(b) > size else b
+
+
 def _digest(s: np.ndarray, salt: int) -> int:
     x = wh.mix(s + np.uint64(salt)).sum(dtype=np.uint64) + np.uint64(len(s))
     return int(wh.mix(np.array([x], np.uint64)).view(np.int64)[0])
 
 
-SIGNATURE = "doc_id bigint, n bigint, node bigint, proof bigint, keys array<bigint>, bits binary"
+SIGNATURE = "doc_id bigint, n bigint, node bigint, proof bigint, keys array<bigint>, bits binary, small binary"
 
 
 def _signatures(salt: int):
     def run(batches):
         for batch in batches:
-            ids, n, node, proof, keys, bits, seen = [], [], [], [], [], [], set()
+            n, node, proof, keys, bits, small, seen = [], [], [], [], [], [], set()
             for s in sets_of(batch.column(1)):
                 n.append(len(s))
                 if not len(s):
-                    node.append(None), proof.append(None), keys.append(None), bits.append(None)
+                    node.append(None), proof.append(None), keys.append(None), bits.append(None), small.append(None)
                     continue
                 node.append(_digest(s, 1 + salt)), proof.append(_digest(s, 2 + salt))
                 if (node[-1], proof[-1]) in seen:         # a copy within the batch needs no keys of its own
-                    keys.append(None), bits.append(None)
+                    keys.append(None), bits.append(None), small.append(None)
                     continue
                 seen.add((node[-1], proof[-1]))
                 keys.append(s[:len(s) - (4 * len(s) + 4) // 5 + 1].view(np.int64)), bits.append(bitmap(s))
+                small.append(coarse(bits[-1], len(s)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(proof, pa.int64()),
-                 pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
-                names=["doc_id", "n", "node", "proof", "keys", "bits"])
+                 pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array(small, pa.binary())],
+                names=["doc_id", "n", "node", "proof", "keys", "bits", "small"])
     return run
 
 
@@ -189,7 +197,7 @@ def _pack_texts(batches):
     z = zstandard.ZstdCompressor(level=1)
     for batch in batches:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(
-            [z.compress((x or "").encode()) for x in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "packed"])
+            [z.compress((x or "").encode()) for x in batch.column(1).to_pylist()], pa.binary())], names=["node", "packed"])
 
 
 def _unpack(packed) -> list[np.ndarray]:
@@ -211,15 +219,13 @@ def _node_texts(salt: int):
 def _verify(batches):
     """Rows sorted by (hub, member), the hub's own first: exact intersection of
     each member's sorted array with its hub's."""
-    hub, own = None, None
+    own = None
     for batch in batches:
-        hubs, members = _columns(batch, "hub", "member")
+        hubs, members, parts = _columns(batch, "hub", "member", "part")
         a, b = [], []
-        for h, m, s in zip(hubs.tolist(), members.tolist(), _unpack(batch.column("packed").to_pylist()), strict=True):
-            if h != hub:
-                hub, own = h, None
-            if own is None:
-                own = s                    # order 0 is the hub itself
+        for h, m, part, s in zip(hubs.tolist(), members.tolist(), parts.tolist(), _unpack(batch.column("packed").to_pylist()), strict=True):
+            if part == 0:                  # the hub itself comes first
+                own = s
             elif len(np.intersect1d(own, s, assume_unique=True)) >= need(len(own) + len(s)):
                 a.append(m), b.append(h)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -301,13 +307,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, node, component_id."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     salt = 0
     while True:            # a clash of node digests (sets differ, digests agree) is found by the proof: take other digests
         signed = store(docs.mapInArrow(_signatures(salt), SIGNATURE), "jaccard-signatures")
         nodes = store(signed.where("n > 0").groupBy("node", "n").agg(
             F.min("doc_id").alias("rep"), F.min("proof").alias("p0"), F.max("proof").alias("p1"),
-            F.max("bits").alias("bits")), "jaccard-nodes")
+            F.max("bits").alias("bits"), F.max("small").alias("small")), "jaccard-nodes")
         if nodes.where("p0 <> p1").isEmpty():
             break
         salt += 2
@@ -331,25 +338,22 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     steps = hubs.withColumn("after", after).where("after is not null").select("hub.node", "hub.n", "after.node", "after.n").toDF("a", "na", "b", "nb")
     tried = candidates(met.where("not long").select("a", "na", "b", "nb").union(stars)
                        .union(steps.where("5 * least(na, nb) >= 4 * greatest(na, nb)")))
-    # texts of the nodes that may ever be compared
-    wanted = tried.select("a").union(tried.select("b")).union(long.select("node")).distinct().withColumnRenamed("a", "node")
-    reps = nodes.select("node", "rep").join(wanted, "node", "left_semi").select("node", F.col("rep").alias("doc_id"))
-    packed = docs.mapInArrow(_pack_texts, "doc_id bigint, packed binary")
-    texts = packed.join(reps, packed["doc_id"].eqNullSafe(reps["doc_id"])).select(packed["doc_id"], "packed", "node")
-    texts = store(texts.mapInArrow(_node_texts(salt), "node bigint, packed binary").dropDuplicates(["node"]), "jaccard-texts")
+
+    def texts_of(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node")
+        reps = near(store(nodes.select("node", "rep").join(wanted, "node", "left_semi"), "jaccard-wanted"))
+        texts = docs.join(reps, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
+        return texts.mapInArrow(_pack_texts, "node bigint, packed binary").mapInArrow(_node_texts(salt), "node bigint, packed binary")
 
     def links(pairs: DataFrame) -> DataFrame:
-        members = pairs.select(F.col("a").alias("node"), F.col("b").alias("hub")).join(texts, "node").select(
-            "hub", F.col("node").alias("member"), F.lit(1).alias("part"), "packed")
-        hubs = pairs.select(F.col("b").alias("node")).distinct().join(texts, "node").select(
-            F.col("node").alias("hub"), F.col("node").alias("member"), F.lit(0).alias("part"), "packed")
         # a hub of very many members is dealt to several tasks, each with a copy of the hub's text
         deal = pairs.groupBy(F.col("b").alias("hub")).agg(F.ceil(F.count(F.lit(1)) / 1024).cast("int").alias("salts"))
-        members = members.join(deal, "hub").withColumn("salt", F.pmod(F.xxhash64("member"), F.col("salts")).cast("int"))
-        hubs = hubs.join(deal, "hub").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-        rows = hubs.select("hub", "salt", "part", "member", "packed").union(members.select("hub", "salt", "part", "member", "packed"))
+        members = pairs.select(F.col("b").alias("hub"), F.col("a").alias("node")).join(deal, "hub").select(
+            "hub", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("part"), "node")
+        hubs = deal.select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("part"), F.col("hub").alias("node"))
+        rows = hubs.union(members).join(texts_of(pairs), "node").select("hub", "salt", "part", F.col("node").alias("member"), "packed")
         rows = rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "part", "member")
-        return store(rows.mapInArrow(_verify, "a bigint, b bigint"), "jaccard-links")
+        return store(rows.mapInArrow(_verify, "a bigint, b bigint").where("a <> b"), "jaccard-links")
 
     linked = links(tried)
     labels = components(linked)
@@ -360,13 +364,13 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         lists = store(held.join(mixed, "token", "left_semi").select("token", "node", "n", "label"), "jaccard-open")
         if lists.isEmpty():
             break
-        met = _tiles(lists, bits, best)
+        met = _tiles(lists, nodes.select("node", F.col("small").alias("bits")), best)
         up = F.struct(F.col("a").alias("x"), F.col("na").alias("nx"))
         down = F.struct(F.col("b").alias("x"), F.col("nb").alias("nx"))
         more = met.where("na >= 0").select(F.least(up, down).alias("p"), F.greatest(up, down).alias("q")).distinct()
         more = more.select("p.*", "q.*").toDF("a", "na", "b", "nb")
-        more = store(more.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-                     .join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "jaccard-candidates")
+        more = candidates(more.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+                          .join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"))
         found = links(more)
         linked_more = not found.isEmpty()
         if linked_more:
