@@ -30,10 +30,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.base import query, read, store
+from lodestar.llm import wordhash as wh
+from lodestar.llm.base import query, read, small_batches, store
 
 WINDOW = 1024
-SHARD = 512            # tails of one index
+KNOWN = 500_000        # encoded pieces a worker remembers
+SHARD = 256            # tails of one index
 END = 0                # id after each document
 K1, B = 1.2, 0.75
 TASK_TOKENS = 1 << 23  # tail tokens of one packing task
@@ -54,11 +56,45 @@ class Encoder:
         self.full = Tokenizer.from_file(tokenizer)
         self.full.encode_special_tokens = True      # their strings in a text are ordinary text
         self.other = re.compile(PLAIN)
-
-    def ids(self, text: str | None) -> np.ndarray:
-        text = text or ""
-        got = self.full.encode(text, add_special_tokens=False).ids if self.other.search(text) else self.fast.encode_ordinary(text)
-        return np.array([*got, END], np.uint16 if self.full.get_vocab_size() <= 1 << 16 else np.uint32)
+        self.known: dict[bytes, list[int]] = {}
+        self.kind = np.uint16 if self.full.get_vocab_size() <= 1 << 16 else np.uint32
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.full.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def batch(self, column: pa.Array):
+        """ids of each row, with the end id.  No token reaches from a character
+        into white space after it, so a text is the pieces (white space and the
+        word after it) put together, and equal pieces are encoded once."""
+        for lo, data, offsets in wh.chunks(column):
+            plain = [not self.other.search(data[a:b].tobytes().decode()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            space = (data == 32) | (data == 10)
+            start = np.zeros(len(data) + 1, bool)
+            start[1:-1] = space[1:] & ~space[:-1]
+            start[offsets] = True
+            starts = np.flatnonzero(start[:-1])
+            ends = np.append(starts[1:], len(data))
+            _, at, inverse = np.unique(wh.word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+            raw, pieces = data.tobytes(), []
+            for i, j in zip(starts[at].tolist(), ends[at].tolist(), strict=True):
+                piece = raw[i:j]
+                got = self.known.get(piece)
+                if got is None:
+                    if len(self.known) >= KNOWN:
+                        self.known.clear()
+                    # a piece of a text with other characters is not used below
+                    got = self.known[piece] = self.fast.encode_ordinary(piece.decode("utf-8", "replace"))
+                pieces.append(got)
+            size = np.array([len(x) for x in pieces], np.int64)
+            flat = np.fromiter((y for x in pieces for y in x), np.uint32, int(size.sum()))
+            first = (np.cumsum(size) - size)[inverse]
+            count = size[inverse]
+            total = np.append(0, np.cumsum(count))
+            ids = flat[np.repeat(first - total[:-1], count) + np.arange(total[-1])] if len(count) else flat
+            cut = total[np.searchsorted(starts, offsets)]
+            for r, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+                x = ids[a:b] if plain[r] else self.ids(raw[offsets[r]:offsets[r + 1]].decode())
+                yield np.append(x, END).astype(self.kind)
 
 
 def crc(ids: np.ndarray) -> int:
@@ -70,8 +106,8 @@ def _hash(x: np.ndarray, salt: int) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)
 
 
-TOKENISED = ("doc_id bigint, n bigint, crcs array<bigint>, tail binary, tail_n bigint, terms array<int>, counts array<int>, "
-             "sig bigint, full array<binary>")
+TOKENISED = ("doc_id bigint, n bigint, crcs array<bigint>, tail binary, tail_n bigint, terms binary, counts binary, "
+             "top int, sig bigint, full array<binary>")
 
 
 def _tokenise(paths, window, with_ids):
@@ -79,9 +115,8 @@ def _tokenise(paths, window, with_ids):
         encoder = None
         for batch in batches:
             encoder = encoder or Encoder(*paths)
-            rows = {k: [] for k in ("n", "crcs", "tail", "tail_n", "terms", "counts", "sig", "full")}
-            for text in batch.column(1).to_pylist():
-                ids = encoder.ids(text)
+            rows = {k: [] for k in ("n", "crcs", "tail", "tail_n", "terms", "counts", "top", "sig", "full")}
+            for ids in encoder.batch(batch.column(1)):
                 cut = len(ids) // window * window
                 full = [ids[i:i + window] for i in range(0, cut, window)]
                 terms, counts = np.unique(ids, return_counts=True)
@@ -89,10 +124,11 @@ def _tokenise(paths, window, with_ids):
                 rows["crcs"].append([crc(x) for x in full])
                 rows["tail"].append(ids[cut:].astype("<u4" if ids.itemsize == 4 else "<u2").tobytes())
                 rows["tail_n"].append(len(ids) - cut)
-                rows["terms"].append(terms.astype(np.int32)), rows["counts"].append(counts.astype(np.int32))
+                rows["terms"].append(terms.astype("<i4").tobytes()), rows["counts"].append(counts.astype("<i4").tobytes())
+                rows["top"].append(int(terms[-1]))
                 rows["sig"].append(int(_hash(terms, 1).min()) << 24 | int(_hash(terms, 2).min()))
                 rows["full"].append([x.astype("<u4").tobytes() for x in full] if with_ids else [])
-            types = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.list_(pa.binary())]
+            types = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.list_(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(v, t) for v, t in zip(rows.values(), types, strict=True)]],
                                              names=["doc_id", *rows])
     return run
@@ -102,7 +138,7 @@ def _frequencies(size):
     def run(batches):
         df = np.zeros(size, np.int64)
         for batch in batches:
-            got = batch.column(0).flatten().to_numpy()
+            got = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<i4")
             df += np.bincount(got, minlength=size)
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(df[at])], names=["term", "df"])
@@ -195,7 +231,7 @@ def _pack(idf, mean, window, with_ids):
             for r in batch.to_pylist():
                 size = len(r["tail"]) // r["tail_n"]
                 r["ids"], r["at"] = np.frombuffer(r.pop("tail"), "<u4" if size == 4 else "<u2"), r["n"] - r["tail_n"]
-                r["terms"], r["counts"] = np.array(r["terms"], np.int32), np.array(r["counts"], np.int32)
+                r["terms"], r["counts"] = np.frombuffer(r["terms"], "<i4"), np.frombuffer(r["counts"], "<i4")
                 rows.append(r)
                 if len(rows) == SHARD:
                     shard(rows)
@@ -224,11 +260,12 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     """One row per piece; with ``with_ids`` also its ids (little-endian unsigned
     32-bit).  A sequence is its pieces in order of offset."""
     spark = docs.sparkSession
+    small_batches(spark)
     tokenizer = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
     paths = (tokenizer, ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern)
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string"))
     done = store(texts.mapInArrow(_tokenise(paths, window, with_ids), TOKENISED), "pack-tokens")
-    n, mean, tails, top = done.agg(F.count(F.lit(1)), F.avg("n"), F.sum("tail_n"), F.max(F.array_max("terms"))).first()
+    n, mean, tails, top = done.agg(F.count(F.lit(1)), F.avg("n"), F.sum("tail_n"), F.max("top")).first()
     if not n:
         return spark.createDataFrame([], PIECE)
     df = np.zeros(top + 1)
