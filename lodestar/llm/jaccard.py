@@ -38,7 +38,7 @@ K = 5
 SHORT = 8            # up to so many nodes of a list meet pairwise at once
 BLOCK = 2048         # nodes of a long list in one side of a tile
 BEST = 3             # candidates that a node outside a tile's largest component tries in a guided round
-BITS = 4             # bitmap bits per element, at least
+BITS = 2             # bitmap bits per element, at least
 
 
 def need(total):
