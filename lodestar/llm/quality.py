@@ -120,7 +120,7 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = EM_ROUNDS) ->
     probabilities of a bad vote given a bad and given a good document.  Starts
     from rules that are better than chance and keeps them so, which fixes which
     class is which."""
-    k = len(patterns[0][0]) if patterns else 0
+    k = len(patterns[0][0]) if patterns else len(RULES)
     good, rates = 0.8, [(0.6, WORST_GOOD)] * k
     for _ in range(rounds):
         mass, bad, voted = [0.0, 0.0], [[0.0, 0.0] for _ in range(k)], [[0.0, 0.0] for _ in range(k)]
