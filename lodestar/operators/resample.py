@@ -64,32 +64,12 @@ def replicate_weights(df: DataFrame, key: str, reps: int, rep_col: str = "rep",
     return exploded.withColumn(w_col, poisson1_weight(F.col("__u"))).drop("__u", "__h")
 
 
-EXACT_MAX_ROWS = 1_000_000   # above this the bootstrap resamples hash buckets of rows
-BUCKETS = 16384
-
-
-def replicate_sums(df: DataFrame, key: str, reps: int, sums: dict[str, Column],
-                   max_rows_exact: int = EXACT_MAX_ROWS, buckets: int = BUCKETS) -> DataFrame:
+def replicate_sums(df: DataFrame, key: str, reps: int, sums: dict[str, Column]) -> DataFrame:
     """Per replicate, the Poisson-weighted sum of every expression in ``sums``
-    (rows: ``rep`` + one column per name).
-
-    Up to ``max_rows_exact`` input rows every row gets its own weight (the
-    exact Poisson bootstrap, n x B generated rows).  Above it, rows are hashed
-    into ``buckets`` random buckets, each expression is summed per bucket in
-    one pass (partial aggregation, ``buckets`` rows shuffled), and the buckets
-    are resampled instead: B x buckets generated rows whatever n is.  Buckets
-    are random subsets of rows, so for the ratio statistics built from these
-    sums (RMSE, MAE, R^2, regression coefficients) the within-bucket cross
-    terms have mean zero and the interval is asymptotically the same.
-    """
-    n = df.count()                                   # one small aggregate
-    if n <= max_rows_exact:
-        w = replicate_weights(df, key, reps)
-        return w.groupBy("rep").agg(*[F.sum(F.col("w") * e).alias(name) for name, e in sums.items()])
-    bucket = F.pmod(hash_u32(key, "bucket"), F.lit(buckets)).cast("int")
-    per_bucket = df.groupBy(bucket.alias("__bucket")).agg(*[F.sum(e).alias(name) for name, e in sums.items()])
-    w = replicate_weights(per_bucket, "__bucket", reps)
-    return w.groupBy("rep").agg(*[F.sum(F.col("w") * F.col(name)).alias(name) for name in sums])
+    (rows: ``rep`` + one column per name): every row has its own weight at every
+    size; partial aggregation ships at most ``reps`` rows per task."""
+    w = replicate_weights(df, key, reps)
+    return w.groupBy("rep").agg(*[F.sum(F.col("w") * e).alias(name) for name, e in sums.items()])
 
 
 def percentile_ci(reps: DataFrame, cols: list[str], alpha: float = 0.05) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestar.functions.features import metric_name_clean
-from lodestar.functions.hashing import hash_uniform, sql_hash_u32, sql_hash_uniform
+from lodestar.functions.hashing import sql_hash_u32
 from lodestar.functions.stats import sql_t975, t975_expr
 from lodestar.operators import enrich as en
 from lodestar.operators import inference as inf
@@ -138,24 +138,17 @@ def shape(spark, sf):
     return f.agg(F.count(F.lit(1)).alias("n_rows")).select("n_rows", F.lit(len(f.columns)).alias("n_columns"))
 
 
-MAX_POINTS = 5000   # points per scatter series: the sampling is the feature
-
-
-@query("scatter_series", CMP_SQL.rstrip() + f""",
-n AS (SELECT COUNT(*) AS n FROM te)
+@query("scatter_series", CMP_SQL.rstrip() + """
 SELECT te.id, te.y AS actual, ROUND(f1.b0 + f1.b1 * te.x1, 2) AS predicted, sp.segment
-FROM te, f1, n, split sp WHERE sp.id = te.id AND {sql_hash_uniform('te.id', "'plot'")} < least(1.0, {float(MAX_POINTS)!r} / n)""")
+FROM te, f1, split sp WHERE sp.id = te.id""")
 def scatter_series(spark, sf):
     """Actual vs predicted (simple OLS on the test split) with a hue
-    column, thinned to about MAX_POINTS by a keyed hash sample (all rows
-    when there are fewer)."""
+    column, every row of it."""
     d = split_facts(spark, sf)
     x = _xy(spark, sf)
     train, test = x.where(~F.col("is_test")), x.where(F.col("is_test"))
     fit = train.agg(F.regr_slope("y", "x1").alias("b1"), F.regr_intercept("y", "x1").alias("b0"))
-    n = test.agg(F.count(F.lit(1)).alias("__n"))
-    j = test.crossJoin(F.broadcast(fit)).crossJoin(F.broadcast(n))
-    j = j.where(hash_uniform("id", "plot") < F.least(F.lit(1.0), F.lit(float(MAX_POINTS)) / F.col("__n")))
+    j = test.crossJoin(F.broadcast(fit))
     j = j.join(d.select("id", "segment"), "id")
     return j.select("id", F.col("y").alias("actual"), F.round(F.col("b0") + F.col("b1") * F.col("x1"), 2)
                     .alias("predicted"), "segment")
