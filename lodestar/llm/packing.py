@@ -22,6 +22,8 @@ from __future__ import annotations
 import base64
 import re
 import zlib
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,7 @@ from lodestar.llm import wordhash as wh
 from lodestar.llm.base import query, read, small_batches, store
 
 WINDOW = 1024
+CHUNK = 1 << 21        # bytes of text tokenised at a time
 KNOWN = 500_000        # encoded pieces a worker remembers
 SHARD = 256            # tails of one index
 END = 0                # id after each document
@@ -66,7 +69,7 @@ class Encoder:
         """ids of each row, with the end id.  No token reaches from a character
         into white space after it, so a text is the pieces (white space and the
         word after it) put together, and equal pieces are encoded once."""
-        for lo, data, offsets in wh.chunks(column):
+        for lo, data, offsets in wh.chunks(column, CHUNK):
             plain = [not self.other.search(data[a:b].tobytes().decode()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             space = (data == 32) | (data == 10)
             start = np.zeros(len(data) + 1, bool)
@@ -85,8 +88,8 @@ class Encoder:
                     # a piece of a text with other characters is not used below
                     got = self.known[piece] = self.fast.encode_ordinary(piece.decode("utf-8", "replace"))
                 pieces.append(got)
-            size = np.array([len(x) for x in pieces], np.int64)
-            flat = np.fromiter((y for x in pieces for y in x), np.uint32, int(size.sum()))
+            size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+            flat = np.fromiter(chain.from_iterable(pieces), np.uint32, int(size.sum()))
             first = (np.cumsum(size) - size)[inverse]
             count = size[inverse]
             total = np.append(0, np.cumsum(count))
@@ -97,6 +100,12 @@ class Encoder:
                 yield np.append(x, END).astype(self.kind)
 
 
+@cache
+def encoder_of(tokenizer: str, ranks: str, pattern: str) -> Encoder:
+    """One for all tasks of a worker: its files are read once, its pieces stay known."""
+    return Encoder(tokenizer, ranks, pattern)
+
+
 def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
@@ -112,9 +121,8 @@ TOKENISED = ("doc_id bigint, n bigint, crcs array<bigint>, tail binary, tail_n b
 
 def _tokenise(paths, window, with_ids):
     def run(batches):
-        encoder = None
         for batch in batches:
-            encoder = encoder or Encoder(*paths)
+            encoder = encoder_of(*paths)
             rows = {k: [] for k in ("n", "crcs", "tail", "tail_n", "terms", "counts", "top", "sig", "full")}
             for ids in encoder.batch(batch.column(1)):
                 cut = len(ids) // window * window
@@ -164,12 +172,10 @@ class Index:
     def neighbours(self, terms: np.ndarray, unused: np.ndarray) -> np.ndarray:
         """Unused texts, best first; those without a common term last."""
         at = np.searchsorted(self.terms, terms)
-        at = at[at < len(self.terms)]
-        at = at[np.isin(self.terms[at], terms)]
-        spans = [slice(self.first[i], self.first[i + 1]) for i in at]
-        score = np.zeros(self.n)
-        if spans:
-            score = np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
+        at = at[self.terms[np.minimum(at, len(self.terms) - 1)] == terms]
+        size = self.first[at + 1] - self.first[at]
+        post = np.repeat(self.first[at] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        score = np.bincount(self.doc[post], self.weight[post], self.n)
         free = np.flatnonzero(unused)
         return free[np.argsort(-score[free], kind="stable")]
 
