@@ -80,7 +80,9 @@ def lookup(facts: DataFrame, groups: DataFrame, key: str, size: str, total: int,
     heavy = groups.where(is_heavy).select(F.col(key), F.struct(*cols).alias("__heavy"))
     light = groups.where(~is_heavy).select(F.col(key).alias("__key"), F.struct(*cols).alias("__light"))
     out = facts.join(F.broadcast(heavy), key, "left")
-    own = F.concat(F.lit("#"), F.xxhash64(spread).cast("string")).cast(groups.schema[key].dataType)
+    own = F.xxhash64(spread)                       # one that equals a real key does no harm: the heavy match counts
+    if groups.schema[key].dataType.typeName() != "long":
+        own = F.concat(F.lit("#"), own.cast("string")).cast(groups.schema[key].dataType)
     out = out.withColumn("__key", F.when(F.col("__heavy").isNotNull(), own).otherwise(F.col(key)))
     out = out.join(light, "__key", "left").withColumn("__got", F.coalesce("__heavy", "__light"))
     return out.select(*facts.columns, *[F.col("__got")[c].alias(c) for c in cols])

@@ -11,7 +11,7 @@ such lines is boilerplate, and its lines are dropped from every document.
 Results for odd input: null text has no lines; lines without a word are neither
 counted nor dropped; ids are carried as they are (null, repeated); ties of
 tokens take the smallest; an empty table gives no rows; other columns are not
-read.
+read.  Leaves and shapes are known by 64-bit hashes, a shape by both.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.base import SPACE, let, lookup, query, read, store
+from lodestar.llm.base import BROADCAST_ROWS, SPACE, let, lookup, near, query, read, store
 
 LEADING = 3
 MIN_DOCS = 10
@@ -37,48 +37,66 @@ def _lines(text: Column) -> Column:
 
 
 def _leaf(tokens: Column) -> Column:
-    return F.concat_ws(" ", F.size(tokens).cast("string"), F.slice(tokens, 1, LEADING))
+    return F.xxhash64(F.concat_ws(" ", F.size(tokens).cast("string"), F.slice(tokens, 1, LEADING)))
 
 
 def _shapes(docs: DataFrame) -> DataFrame:
-    """One row per document and distinct shape: doc_id, leaf, h, shape."""
+    """One row per document and distinct shape: doc_id, row, leaf, h, shape.
+    Written once, so lines are normalised once; what follows reads the narrow
+    columns, and shape only of one row per shape in a recurring leaf."""
     shapes = F.array_distinct(F.transform(_lines(F.col("text")), shape))
     rows = docs.select("doc_id", F.explode(shapes).alias("shape"))
-    return rows.select("doc_id", "shape", F.xxhash64("shape").alias("h"), _leaf(F.split("shape", " ")).alias("leaf"))
+    return store(rows.select("doc_id", F.monotonically_increasing_id().alias("row"), "shape", F.xxhash64("shape").alias("h"),
+                             _leaf(F.split("shape", " ")).alias("leaf")), "template-shapes")
 
 
-def boilerplate(docs: DataFrame) -> DataFrame:
+def _total(groups: DataFrame) -> int:
+    return groups.agg(F.sum("n")).first()[0] or 0
+
+
+def boilerplate(rows: DataFrame) -> DataFrame:
     """leaf, h, docs of the shapes that belong to a recurring template."""
-    rows = _shapes(docs)
-    recurring = rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= MIN_DOCS)
-    recurring = store(recurring, "template-leaves")
-    total = recurring.agg(F.sum("support")).first()[0] or 0
-    held = lookup(rows, recurring, "leaf", "support", total, F.struct("doc_id", "h")).where("support is not null")
-    lines = store(held.groupBy("leaf", "h").agg(F.min("shape").alias("shape"), F.count(F.lit(1)).alias("docs")), "template-lines")
+    each = rows.groupBy("leaf", "h").agg(F.count(F.lit(1)).alias("docs"), F.min("row").alias("row"))
+    each = store(each, "template-counts")
+    recurring = store(each.groupBy("leaf").agg(F.sum("docs").alias("support"), F.count(F.lit(1)).alias("n"))
+                      .where(F.col("support") >= MIN_DOCS), "template-leaves")
+    held = lookup(each, recurring, "leaf", "n", _total(recurring), F.col("h")).where("support is not null")
+    held = store(held.select("leaf", "h", "docs", "row"), "template-held")
+    lines = store(rows.select("row", "shape").join(near(held), "row").select("leaf", "h", "docs", "shape"), "template-lines")
     at = lines.select("leaf", "docs", F.posexplode(F.split("shape", " ")).alias("pos", "token"))
-    tokens = at.groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("docs"))
-    slots = tokens.groupBy("leaf", "pos").agg(F.max("docs").alias("most"), F.sum("docs").alias("all"), F.min_by("token", F.struct(-F.col("docs"), "token")).alias("token"))
-    slots = slots.select("leaf", "pos", F.when(F.col("most") * 2 >= F.col("all"), F.col("token")).otherwise(F.lit(WILD)).alias("token"))
-    templates = slots.groupBy("leaf").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("template"))
+    tokens = at.groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("n"))
+    slots = tokens.groupBy("leaf", "pos").agg(F.max("docs").alias("most"), F.sum("docs").alias("all"), F.sum("n").alias("n"), F.min_by("token", F.struct(-F.col("docs"), "token")).alias("token"))
+    slots = slots.select("leaf", "pos", "n", F.when(F.col("most") * 2 >= F.col("all"), F.col("token")).otherwise(F.lit(WILD)).alias("token"))
+    templates = slots.groupBy("leaf").agg(F.max("n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("template"))
     split = F.split("shape", " ")
     agree = let(split, lambda t: F.size(F.filter(F.zip_with(t, F.col("template"), lambda a, b: a == b), lambda x: x)) / F.size(t))
-    mine = store(lines.join(templates, "leaf").where(agree >= SIMILAR).select("leaf", "h", "docs"), "template-members")
-    return mine.join(mine.groupBy("leaf").agg(F.sum("docs").alias("members")).where(F.col("members") >= MIN_DOCS), "leaf").select("leaf", "h", "docs")
+    own = lookup(lines, store(templates, "template-slots"), "leaf", "n", lines.count(), F.col("h"))
+    mine = store(own.where(agree >= SIMILAR).select("leaf", "h", "docs"), "template-members")
+    members = store(mine.groupBy("leaf").agg(F.sum("docs").alias("members"), F.count(F.lit(1)).alias("n"))
+                    .where(F.col("members") >= MIN_DOCS), "template-kept")
+    return lookup(mine, members, "leaf", "n", _total(members), F.col("h")).where("members is not null").select("leaf", "h", "docs")
 
 
 def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text without the boilerplate lines, n_lines, n_dropped."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    bad = store(boilerplate(docs).select(F.concat_ws("|", "leaf", F.col("h").cast("string")).alias("key"), "docs"), "template-drop")
-    total = bad.agg(F.sum("docs")).first()[0] or 0
-    rows = _shapes(docs).select("doc_id", "h", F.concat_ws("|", "leaf", F.col("h").cast("string")).alias("key"))
-    hit = lookup(rows, bad, "key", "docs", total, F.struct("doc_id", "h")).where("docs is not null")
-    per_doc = hit.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("h").alias("gone"))
+    rows = _shapes(docs)
+    bad = store(boilerplate(rows).select("leaf", "h", "docs"), "template-drop")
+    if bad.count() <= BROADCAST_ROWS:
+        hit = rows.join(F.broadcast(bad.select("leaf", "h")), ["leaf", "h"]).select("doc_id", "h")
+    else:
+        key = F.concat_ws("|", "leaf", "h").alias("key")
+        total = bad.agg(F.sum("docs")).first()[0] or 0
+        hit = lookup(rows.select("doc_id", "h", key), bad.select(key, "docs"), "key", "docs", total, F.struct("doc_id", "h")).where("docs is not null")
+    per_doc = store(hit.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("h").alias("gone")), "template-gone")
+    if (per_doc.agg(F.sum(F.size("gone"))).first()[0] or 0) <= BROADCAST_ROWS:
+        per_doc = F.broadcast(per_doc)                # texts then stay where they are
     out = docs.join(per_doc, docs["doc_id"].eqNullSafe(per_doc["__id"]), "left")
     keep = F.filter(F.split("text", "\n"), lambda x: ~(x.rlike(r"[^\x20\x09-\x0D]") & F.array_contains("gone", F.xxhash64(shape(x)))))
     n = F.size(_lines(F.col("text"))).cast("bigint")
     out = out.withColumn("kept", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(keep, "\n")))
-    return out.select("doc_id", F.col("kept").alias("text"), n.alias("n_lines"), (n - F.size(_lines(F.col("kept")))).alias("n_dropped"))
+    dropped = F.when(F.col("gone").isNull(), F.lit(0).cast("bigint")).otherwise(n - F.size(_lines(F.col("kept"))))
+    return out.select("doc_id", F.col("kept").alias("text"), n.alias("n_lines"), dropped.alias("n_dropped"))
 
 
 @query("op6_line_templates", f"""
