@@ -22,8 +22,8 @@ from __future__ import annotations
 import base64
 import re
 import zlib
+from array import array
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +36,8 @@ from lodestar.llm import wordhash as wh
 from lodestar.llm.base import query, read, small_batches, store
 
 WINDOW = 1024
-CHUNK = 1 << 21        # bytes of text tokenised at a time
-KNOWN = 500_000        # encoded pieces a worker remembers
+CHUNK = 1 << 20        # bytes of text tokenised at a time
+KNOWN = 200_000        # encoded pieces a worker remembers
 SHARD = 256            # tails of one index
 END = 0                # id after each document
 K1, B = 1.2, 0.75
@@ -59,7 +59,7 @@ class Encoder:
         self.full = Tokenizer.from_file(tokenizer)
         self.full.encode_special_tokens = True      # their strings in a text are ordinary text
         self.other = re.compile(PLAIN)
-        self.known: dict[bytes, list[int]] = {}
+        self.known: dict[bytes, bytes] = {}            # ids as unsigned 32-bit
         self.kind = np.uint16 if self.full.get_vocab_size() <= 1 << 16 else np.uint32
 
     def ids(self, text: str) -> np.ndarray:
@@ -86,10 +86,10 @@ class Encoder:
                     if len(self.known) >= KNOWN:
                         self.known.clear()
                     # a piece of a text with other characters is not used below
-                    got = self.known[piece] = self.fast.encode_ordinary(piece.decode("utf-8", "replace"))
+                    got = self.known[piece] = array("I", self.fast.encode_ordinary(piece.decode("utf-8", "replace"))).tobytes()
                 pieces.append(got)
-            size = np.fromiter(map(len, pieces), np.int64, len(pieces))
-            flat = np.fromiter(chain.from_iterable(pieces), np.uint32, int(size.sum()))
+            size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+            flat = np.frombuffer(b"".join(pieces), np.uint32)
             first = (np.cumsum(size) - size)[inverse]
             count = size[inverse]
             total = np.append(0, np.cumsum(count))
@@ -102,7 +102,8 @@ class Encoder:
 
 @cache
 def encoder_of(tokenizer: str, ranks: str, pattern: str) -> Encoder:
-    """One for all tasks of a worker: its files are read once, its pieces stay known."""
+    """One for all tasks of a worker: its files are read once, its pieces stay
+    known, until a task of a later step needs the memory (``cache_clear``)."""
     return Encoder(tokenizer, ranks, pattern)
 
 
@@ -144,6 +145,7 @@ def _tokenise(paths, window, with_ids):
 
 def _frequencies(size):
     def run(batches):
+        encoder_of.cache_clear()
         df = np.zeros(size, np.int64)
         for batch in batches:
             got = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<i4")
@@ -185,6 +187,7 @@ PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_token
 
 def _pack(idf, mean, window, with_ids):
     def run(batches):
+        encoder_of.cache_clear()
         part, made = TaskContext.get().partitionId(), 0
         out = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids")}
 
