@@ -58,7 +58,7 @@ SENIORITY_DEFAULT = "Mid Level"
 AREA_RULES = [
     ("HR", ["hr", "human resources", "recruiter", "talent", "training", "people management"]),
     ("Product", ["product"]),
-    ("Technology", ["software", "developer", "engineer", "it", "data scientist", "programmer", "technical"]),
+    ("Technology", ["software", "developer", "engineer", "IT", "data scientist", "programmer", "technical"]),
     ("Sales_Marketing", ["sales", "marketing", "account", "business development", "social media", "brand"]),
     ("Finance", ["financial", "accounting", "audit", "treasury", "investment", "budgeting"]),
     ("Operations", ["operations", "project manager", "supply chain", "logistics", "process improvement"]),
@@ -107,11 +107,16 @@ NO_TITLE, NO_DESCRIPTION = "Unknown", "No description available"
 # ---------------------------------------------------------------------------
 
 
+def _alternation(words: list[str]) -> str:
+    """Keywords in capitals match as written ("IT" is not the pronoun)."""
+    return "|".join(f"(?-i:{w})" if w.isupper() else w.replace("&", "[&]") for w in words)
+
+
 def keyword_pattern(words: list[str]) -> str:
     """Case-insensitive whole-word alternation.  The word edges are explicit
     character classes (not ``\\b``), so Java regex and RE2 agree on accented
     letters."""
-    alt = "|".join(w.replace("&", "[&]") for w in words)
+    alt = _alternation(words)
     return f"(?i)(^|[^a-z0-9])({alt})([^a-z0-9]|$)"
 
 
@@ -299,7 +304,7 @@ def map_back(df: DataFrame, col: str, classified: DataFrame) -> DataFrame:
 
 # ---- description attributes (M10, M11) -------------------------------------
 
-YEARS_PATTERN = r"(?i)([0-9]{1,2})\+? ?-?years?"
+YEARS_PATTERN = r"(?i)(?:^|[^0-9])([0-9]{1,2})\+? ?-?years?"
 
 
 def level_from_years(years: Column) -> Column:
@@ -310,19 +315,23 @@ def level_from_years(years: Column) -> Column:
     return expr
 
 
+def level_rank(level: Column) -> Column:
+    return F.array_position(F.array(*[F.lit(x) for x in SENIORITY_LEVELS]), level)
+
+
 def keyword_hits(text: Column, words: list[str]) -> Column:
     """Every whole-word keyword occurrence in ``text`` (lower-cased), found in
     ONE scan: a zero-width lookahead at each position captures the keyword
     starting there (longest first), so overlapping keywords at different
     positions are all reported.  Same semantics as :func:`keyword_pattern`
     per word, for a family whose keywords never share a starting position."""
-    alt = "|".join(w.replace("&", "[&]") for w in sorted(set(words), key=lambda w: (-len(w), w)))
+    alt = _alternation(sorted(set(words), key=lambda w: (-len(w), w)))
     found = F.regexp_extract_all(text, F.lit(f"(?i)(?=(?<![a-z0-9])({alt})(?![a-z0-9]))"), 1)
     return F.transform(found, lambda w: F.lower(w))
 
 
 def _has_any(hits: Column, words: list[str]) -> Column:
-    return F.arrays_overlap(hits, F.array(*[F.lit(w) for w in words]))
+    return F.arrays_overlap(hits, F.array(*[F.lit(w.lower()) for w in words]))
 
 
 def label_from_hits(hits: Column, rules, default: str | None) -> Column:
@@ -339,8 +348,8 @@ def _words(rules) -> list[str]:
 
 def describe_text(df: DataFrame, key: str, text: str) -> DataFrame:
     """The 15 description attributes from whole texts, with the
-    conservative validation: Executive needs explicit evidence, and a level
-    contradicted by the stated years is replaced by the level of the years.
+    conservative validation: Executive needs explicit evidence, and stated
+    years that a level does not allow lower it, never raise it.
 
     Long texts dominate the cost, so the keyword families are scanned in two
     passes (plus one for the years) into small arrays of hits; every label
@@ -367,7 +376,7 @@ def describe_text(df: DataFrame, key: str, text: str) -> DataFrame:
     exec_evidence = _has_any(hs, ["director", "vp", "ceo", "cto", "executive", "head of department"])
     lvl0 = F.when((raw_level == "Executive") & ~exec_evidence, F.lit("Senior Level")).otherwise(raw_level)
     by_years = level_from_years(yrs)
-    changed = by_years.isNotNull() & (by_years != lvl0)
+    changed = by_years.isNotNull() & (level_rank(by_years) < level_rank(lvl0))
     level = F.when(changed, by_years).otherwise(lvl0)
     mgmt = label_from_hits(F.col("__hm"), MANAGEMENT_RULES, "None")
     notes = F.when(changed, F.lit("level set from stated years")) \
@@ -401,7 +410,8 @@ def sql_describe_text(key: str, text: str) -> str:
         f"WHEN {yrs} >= {lo}" + ("" if hi is None else f" AND {yrs} <= {hi}") + f" THEN '{label}'"
         for label, lo, hi in LEVEL_YEARS) + " END)"
     lvl0 = f"(CASE WHEN {raw} = 'Executive' AND NOT {ev} THEN 'Senior Level' ELSE {raw} END)"
-    changed = f"({by_years} IS NOT NULL AND {by_years} <> {lvl0})"
+    ranks = {label: i for i, label in enumerate(SENIORITY_LEVELS)}
+    changed = f"({by_years} IS NOT NULL AND CAST({sql_map(ranks, by_years)} AS INTEGER) < CAST({sql_map(ranks, lvl0)} AS INTEGER))"
     level = f"(CASE WHEN {changed} THEN {by_years} ELSE {lvl0} END)"
     mgmt = sql_rule_label(t, MANAGEMENT_RULES, "None")
     notes = (f"(CASE WHEN {changed} THEN 'level set from stated years' WHEN {raw} = 'Executive' AND NOT {ev} "

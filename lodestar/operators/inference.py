@@ -24,8 +24,8 @@ def metrics_with_ci(pred: DataFrame, key: str, y: str, yhat: str, reps: int, nam
     e = F.col(y) - F.col(yhat)
     per = replicate_sums(pred.select(key, y, yhat), key, reps,
                          {"sw": F.lit(1.0), "se": e * e, "sa": F.abs(e), "sy": F.col(y), "syy": F.col(y) * F.col(y)})
-    st = per.select(F.sqrt(F.col("se") / F.col("sw")).alias("rmse"), (F.col("sa") / F.col("sw")).alias("mae"),
-                    (F.lit(1.0) - F.col("se") / (F.col("syy") - F.col("sy") * F.col("sy") / F.col("sw"))).alias("r2"))
+    st = per.select(F.sqrt(F.try_divide(F.col("se"), F.col("sw"))).alias("rmse"), F.try_divide(F.col("sa"), F.col("sw")).alias("mae"),
+                    (F.lit(1.0) - F.try_divide(F.col("se"), F.col("syy") - F.try_divide(F.col("sy") * F.col("sy"), F.col("sw")))).alias("r2"))
     ci = percentile_ci(st, ["rmse", "mae", "r2"])
     j = point.crossJoin(ci)
     cols = [F.lit(name).alias("modelo")]
@@ -40,8 +40,10 @@ def simple_coef_ci(src: DataFrame, key: str, reps: int) -> DataFrame:
     full = src.agg(F.regr_intercept("y", "x").alias("b0"), F.regr_slope("y", "x").alias("b1"))
     x, yy = F.col("x"), F.col("y")
     per = replicate_sums(src, key, reps, {"sw": F.lit(1.0), "sx": x, "sy": yy, "sxx": x * x, "sxy": x * yy})
-    slope = (F.col("sw") * F.col("sxy") - F.col("sx") * F.col("sy")) / (F.col("sw") * F.col("sxx") - F.col("sx") * F.col("sx"))
-    cf = per.select(slope.alias("slope"), (F.col("sy") / F.col("sw") - slope * F.col("sx") / F.col("sw")).alias("intercept"))
+    slope = F.try_divide(F.col("sw") * F.col("sxy") - F.col("sx") * F.col("sy"), F.col("sw") * F.col("sxx") - F.col("sx") * F.col("sx"))
+    intercept = F.try_divide(F.col("sy"), F.col("sw")) - slope * F.try_divide(F.col("sx"), F.col("sw"))
+    # a replicate that cannot be fitted keeps the original coefficients
+    cf = per.crossJoin(F.broadcast(full)).select(F.coalesce(slope, "b1").alias("slope"), F.coalesce(intercept, "b0").alias("intercept"))
     ci = percentile_ci(cf, ["intercept", "slope"])
     j = full.crossJoin(ci)
     rows = [F.struct(F.lit(t).alias("term"), F.col(v).alias("value"), F.col(f"{c}_ci_lower").alias("lo"),

@@ -66,20 +66,21 @@ def box_stats(df: DataFrame, value: str, by: list[str], digits: int = 4) -> Data
 
 
 def histogram(df: DataFrame, value: str, bins: int = 15, digits: int = 10) -> DataFrame:
-    """Equal-width bins over [min, max] (last bin closed), with density
+    """Equal-width bins over [min, max] (last bin closed; a constant column is all in
+    bin 0, without a density), with density
     count / (n * width); empty bins are kept."""
     spark = df.sparkSession
     m = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(value).alias("n"))
     width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
     binned = df.where(F.col(value).isNotNull()).crossJoin(F.broadcast(m)).select(
-        F.least(F.floor((F.col(value) - F.col("lo")) / width), F.lit(bins - 1)).cast("int").alias("bin"))
+        F.coalesce(F.least(F.floor(F.try_divide(F.col(value) - F.col("lo"), width)), F.lit(bins - 1)), F.lit(0)).cast("int").alias("bin"))
     counts = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
     grid = spark.range(bins).select(F.col("id").cast("int").alias("bin")).crossJoin(F.broadcast(m))
     out = grid.join(counts, "bin", "left").fillna(0, subset=["count"])
     w = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
     return out.select("bin", F.round(F.col("lo") + w * F.col("bin"), 4).alias("bin_lo"),
                       F.round(F.col("lo") + w * (F.col("bin") + 1), 4).alias("bin_hi"), "count",
-                      F.round(F.col("count") / (F.col("n") * w), digits).alias("density"))
+                      F.round(F.try_divide(F.col("count"), F.col("n") * w), digits).alias("density"))
 
 
 def normal_curve(df: DataFrame, value: str, points: int = 100, digits: int = 12) -> DataFrame:
@@ -89,7 +90,7 @@ def normal_curve(df: DataFrame, value: str, points: int = 100, digits: int = 12)
                F.min(value).alias("lo"), F.max(value).alias("hi"))
     grid = spark.range(points).withColumnRenamed("id", "i").crossJoin(F.broadcast(m))
     x = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i").cast("double") / F.lit(float(points - 1))
-    pdf = F.exp(F.lit(-0.5) * F.pow((x - F.col("mu")) / F.col("sd"), 2)) / (F.col("sd") * F.lit(math.sqrt(2 * math.pi)))
+    pdf = F.try_divide(F.exp(F.lit(-0.5) * F.pow(F.try_divide(x - F.col("mu"), F.col("sd")), 2)), F.col("sd") * F.lit(math.sqrt(2 * math.pi)))
     return grid.select("i", F.round(x, 4).alias("x"), F.round(pdf, digits).alias("pdf"))
 
 

@@ -33,14 +33,14 @@ from lodestar.operators.transform import label_encode, one_hot_drop_first
 GBT_PARAM_MAP = {"num_boost_round": "maxIter", "learning_rate": "stepSize", "max_depth": "maxDepth",
                  "bagging_fraction": "subsamplingRate", "feature_fraction": "featureSubsetStrategy",
                  "min_data_in_leaf": "minInstancesPerNode", "min_gain_to_split": "minInfoGain"}
-GBT_SPACE = {"stepSize": ("log", 0.01, 0.3), "maxDepth": ("int", 3, 8), "subsamplingRate": ("float", 0.6, 1.0),
-             "featureSubsetStrategy": ("choice", ["all", "0.6", "0.8"]), "minInstancesPerNode": ("int", 1, 20),
-             "minInfoGain": ("float", 0.0, 0.1)}
-RF_SPACE = {"numTrees": ("int", 50, 300), "maxDepth": ("int", 3, 15), "minInstancesPerNode": ("int", 1, 10),
+GBT_SPACE = {"stepSize": ("float", 0.01, 0.15), "maxDepth": ("int", 3, 6), "subsamplingRate": ("float", 0.6, 0.9),
+             "featureSubsetStrategy": ("fraction", 0.6, 0.9), "minInstancesPerNode": ("int", 20, 60),
+             "minInfoGain": ("float", 0.1, 1.0)}
+RF_SPACE = {"numTrees": ("int", 50, 200), "maxDepth": ("int", 3, 10), "minInstancesPerNode": ("int", 8, 25),
             "featureSubsetStrategy": ("choice", ["sqrt", "log2", "0.5", "0.7"])}
-GBT_DEFAULT = {"maxIter": 100, "stepSize": 0.1, "maxDepth": 5, "subsamplingRate": 0.8,
-               "featureSubsetStrategy": "all", "minInstancesPerNode": 5, "minInfoGain": 0.0}
-RF_DEFAULT = {"numTrees": 100, "maxDepth": 10, "minInstancesPerNode": 2, "featureSubsetStrategy": "sqrt"}
+GBT_DEFAULT = {"maxIter": 100, "stepSize": 0.05, "maxDepth": 4, "subsamplingRate": 0.8,
+               "featureSubsetStrategy": "all", "minInstancesPerNode": 30, "minInfoGain": 0.5}
+RF_DEFAULT = {"numTrees": 100, "maxDepth": 6, "minInstancesPerNode": 12, "featureSubsetStrategy": "sqrt"}
 SEED = 42
 
 
@@ -120,6 +120,8 @@ def sample_params(space: dict, rng: random.Random) -> dict:
             out[name] = int(rng.randint(spec[1], spec[2]))
         elif kind == "float":
             out[name] = float(rng.uniform(spec[1], spec[2]))
+        elif kind == "fraction":                       # a share of the columns, as text
+            out[name] = f"{rng.uniform(spec[1], spec[2]):.4f}"
         else:
             out[name] = rng.choice(spec[1])
     return out

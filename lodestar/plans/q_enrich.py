@@ -3,8 +3,8 @@
 Titles are ``part.p_name`` (the driver's tables hold no job titles), prices
 ``p_retailprice`` stand in for salary, descriptions are ``documents.text``
 (whole texts), model replies to parse are the assistant turns of
-``conversations``.  None of the keywords of the rules occurs in the driver's
-invented prose, so on these tables every key gets the rule defaults; the
+``conversations``.  Few of the keywords of the rules occur in the driver's
+invented prose, so on these tables most keys get the rule defaults; the
 labels themselves are tested on fixtures in ``tests/``.
 """
 

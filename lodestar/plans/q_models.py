@@ -353,7 +353,7 @@ def random_search(spark, sf):
     per model family); one row per trial with its CV RMSE and parameters."""
     train, _, _ = _matrix(spark, sf)
     rows = []
-    for name, kind, fixed in (("Random Forest", "rf", {"numTrees": 30}), ("Gradient Boosting", "gbt", {"maxIter": 30})):
+    for name, kind, fixed in (("Random Forest", "rf", None), ("Gradient Boosting", "gbt", {"maxIter": 30})):
         trials, best = tr.random_search(kind, train, "id", "total", n_trials=5, timeout_s=120.0, k=3, fixed=fixed)
         for t in trials:
             rows.append((name, t["trial"], round(t["cv_rmse"], 2), json.dumps(t["params"], sort_keys=True),
@@ -377,7 +377,7 @@ def pipeline_quick(spark, sf):
     baselines -> ranked table."""
     train, test, _ = _matrix(spark, sf)
     cvs, tests = [], []
-    for name, kind, fixed in (("Random Forest", "rf", {"numTrees": 30}), ("Gradient Boosting", "gbt", {"maxIter": 30})):
+    for name, kind, fixed in (("Random Forest", "rf", None), ("Gradient Boosting", "gbt", {"maxIter": 30})):
         _, best = tr.random_search(kind, train, "id", "total", n_trials=3, timeout_s=120.0, k=3, fixed=fixed)
         m = tr.estimator(kind, best, "total").fit(train)
         p = m.transform(test).select(F.col("total").alias("y"), F.col("prediction").alias("pred"))

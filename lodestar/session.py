@@ -50,6 +50,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not current:
         current = spark.sparkContext.getCheckpointDir()
     if not current:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {_CHECKPOINT_KEY} to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="lodestar-ckpt-")
         spark.conf.set(_CHECKPOINT_KEY, current)
     if not spark.sparkContext.getCheckpointDir():

@@ -81,7 +81,7 @@ def write_csv(df: DataFrame, path: str) -> str:
 def read_csv_optional(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
     """An optional source; a missing path gives ``None`` instead of failing."""
     try:
-        reader = spark.read.option("header", True).option("escape", '"')
+        reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
         reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
         return reader.csv(path)
     except AnalysisException:
@@ -92,4 +92,4 @@ def csv_roundtrip(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as CSV to the shared scratch folder and read it back typed."""
     spark = df.sparkSession
     path = write_csv(df, scratch_path(spark, name))
-    return spark.read.option("header", True).option("escape", '"').schema(df.schema).csv(path)
+    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').schema(df.schema).csv(path)

@@ -103,7 +103,10 @@ def test_description_attributes(spark):
         (1, "We need a Director with 20 years of experience, a PhD and strong budget skills. Python and SQL."),
         (2, "Junior role, 10 years required, bachelor degree, customer support."),
         (3, "Senior engineer position; no years stated."),
-        (4, None)], "id int, text string")
+        (4, None),
+        (5, "We need an analyst with 20 years of experience."),
+        (6, "Junior clerk, a firm with 30 years of history. It is a pronoun."),
+        (7, "Senior role in IT, 100 years of history and 2 years required.")], "id int, text string")
     got = {r["id"]: r for r in en.describe_text(docs, "id", "text").collect()}
     assert got[1]["llm_seniority"] == "Executive"
     assert got[1]["llm_management_level"] == "Director"
@@ -111,16 +114,20 @@ def test_description_attributes(spark):
     assert got[1]["llm_education_level"] == "PhD"
     assert got[1]["llm_has_budget_responsibility"] is True
     assert got[1]["llm_key_skills"] == "python, sql"
-    # a level contradicted by the stated years is replaced by the years' level
-    assert got[2]["llm_seniority"] == "Senior Level"
-    assert got[2]["llm_validation_notes"] == "level set from stated years"
+    # stated years lower a level that does not allow them, they never raise one
+    assert got[2]["llm_seniority"] == "Entry Level"
+    assert got[5]["llm_seniority"] == "Mid Level"
+    assert (got[6]["llm_seniority"], got[6]["llm_functional_area"]) == ("Entry Level", "Other")
+    assert (got[7]["llm_seniority"], got[7]["llm_functional_area"]) == ("Entry Level", "Technology")
+    assert got[7]["llm_years_experience"] == "2"
+    assert got[7]["llm_validation_notes"] == "level set from stated years"
     assert got[3]["llm_years_experience"] == "Unknown"
     assert got[4]["llm_seniority"] == "Mid Level"
 
 
 def test_single_scan_matches_per_rule_sql(spark):
     """The one-scan-per-family Spark path equals the per-rule SQL twin on
-    texts that do contain keywords (the driver's tables contain none)."""
+    texts that do contain keywords (the driver's tables contain few)."""
     import duckdb
     texts = [(1, "Head of Department and team lead; customer service, data scientist. 3 years."),
              (2, "HEAD OF sales, Senior Project Manager with 16-years; MBA; clients & budgeting; R&D"),
