@@ -73,7 +73,7 @@ def histogram(df: DataFrame, value: str, bins: int = 15, digits: int = 10) -> Da
     m = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(value).alias("n"))
     width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
     binned = df.where(F.col(value).isNotNull()).crossJoin(F.broadcast(m)).select(
-        F.coalesce(F.least(F.floor(F.try_divide(F.col(value) - F.col("lo"), width)), F.lit(bins - 1)), F.lit(0)).cast("int").alias("bin"))
+        F.least(F.coalesce(F.floor(F.try_divide(F.col(value) - F.col("lo"), width)), F.lit(0)), F.lit(bins - 1)).cast("int").alias("bin"))
     counts = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
     grid = spark.range(bins).select(F.col("id").cast("int").alias("bin")).crossJoin(F.broadcast(m))
     out = grid.join(counts, "bin", "left").fillna(0, subset=["count"])
