@@ -6,7 +6,7 @@ leave one document of each group; mixing repeats or leaves out documents so the
 sources meet their target weights; packing turns the rest into pieces of
 sequences.  No stage is expressible in SQL as a whole, so there is no oracle
 for the pipeline; each operator is tested by itself and the stages in
-``tests/llm/test_pipeline.py``.
+``tests/llm``.
 """
 
 from __future__ import annotations
