@@ -40,14 +40,15 @@ def apply_patches(df: DataFrame, patches: DataFrame, key: str, override: bool =
     """Keyed point updates from a long patch table (key, column, value).
 
     The patch table is pivoted to one row per key (its size is the number of
-    patched cells, a fixed edit list) and broadcast-joined.  Without
-    ``override`` a patch only fills nulls (imputation); with it the patch wins
-    (correction of a wrong value).
+    patched cells); AQE broadcasts it when its runtime size is under the
+    threshold and shuffles otherwise.  Without ``override`` a patch only fills
+    nulls (imputation); with it the patch wins (correction of a wrong value).
     """
-    cols = [r[0] for r in patches.select("column").distinct().collect()]  # bounded: edit list
+    named = patches.where(F.col("column").isin(df.columns)).select("column").distinct()
+    cols = [r[0] for r in named.collect()]        # at most the columns of df
     wide = patches.groupBy(key).pivot("column", cols).agg(F.first("value"))
     wide = wide.select(key, *[F.col(c).alias(f"__patch_{c}") for c in cols])
-    joined = df.join(F.broadcast(wide), key, "left")
+    joined = df.join(wide, key, "left")
     out = []
     for c in df.columns:
         if c in cols:
