@@ -1,12 +1,16 @@
 """Line deduplication with a log-template tree of fixed depth.
 
 A line is parsed by its number of tokens, then by its first LEADING tokens,
-tokens with a digit standing as a wildcard; that is its leaf.  In a leaf that
-recurs (at least MIN_DOCS lines, a document's equal lines counting once) each
-position keeps its most frequent token if at least half of the lines have it,
-else it is a wildcard: the leaf's template.  A line belongs to the template when
-at least SIMILAR of its tokens agree with it; a template with at least MIN_DOCS
-such lines is boilerplate, and its lines are dropped from every document.
+tokens with a digit standing as a wildcard; that is its leaf.  A line that
+recurs by itself (MIN_DOCS lines, a document's equal lines counting once) is a
+template.  In a leaf that recurs each position keeps its most frequent token if
+at least half of the lines have it, else it is a wildcard: a template of the
+leaf.  A line belongs to it when at least SIMILAR of its tokens agree; a
+template with at least MIN_DOCS such lines is boilerplate, and its lines are
+dropped from every document.  The lines it left take the step again.  Where a
+template has too few lines, the group is parted by the tokens of one position
+(the one whose most frequent token has the largest share under a half) and each
+part takes the step, until no part recurs.
 
 Results for odd input: null text has no lines; lines without a word are neither
 counted nor dropped; ids are carried as they are (null, repeated); ties of
@@ -50,31 +54,64 @@ def _shapes(docs: DataFrame) -> DataFrame:
                              _leaf(F.split("shape", " ")).alias("leaf")), "template-shapes")
 
 
-def _total(groups: DataFrame) -> int:
-    return groups.agg(F.sum("n")).first()[0] or 0
+def _recurring(lines: DataFrame, name: str) -> DataFrame:
+    """g, n (rows of ``lines``) of the groups with at least MIN_DOCS lines."""
+    groups = lines.groupBy("g").agg(F.sum("docs").alias("support"), F.count(F.lit(1)).alias("n"))
+    return store(groups.where(F.col("support") >= MIN_DOCS).select("g", "n"), name)
 
 
-def boilerplate(rows: DataFrame) -> DataFrame:
-    """leaf, h, docs of the shapes that belong to a recurring template."""
+def _recurring_lines(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """g, leaf, h, docs, shape: one row per shape in a leaf that can recur and
+    has more than shapes that recur by themselves."""
     each = rows.groupBy("leaf", "h").agg(F.count(F.lit(1)).alias("docs"), F.min("row").alias("row"))
     each = store(each, "template-counts")
-    recurring = store(each.groupBy("leaf").agg(F.sum("docs").alias("support"), F.count(F.lit(1)).alias("n"))
-                      .where(F.col("support") >= MIN_DOCS), "template-leaves")
-    held = lookup(each, recurring, "leaf", "n", _total(recurring), F.col("h")).where("support is not null")
+    leaves = store(each.groupBy("leaf").agg(F.sum("docs").alias("support"), F.count(F.lit(1)).alias("n"), F.min("docs").alias("least"))
+                   .where((F.col("support") >= MIN_DOCS) & (F.col("least") < MIN_DOCS)), "template-leaves")
+    total = each.count()
+    held = lookup(each, leaves, "leaf", "n", total, F.col("h")).where("support is not null")
     held = store(held.select("leaf", "h", "docs", "row"), "template-held")
-    lines = store(rows.select("row", "shape").join(near(held), "row").select("leaf", "h", "docs", "shape"), "template-lines")
-    at = lines.select("leaf", "docs", F.posexplode(F.split("shape", " ")).alias("pos", "token"))
-    tokens = at.groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("n"))
-    slots = tokens.groupBy("leaf", "pos").agg(F.max("docs").alias("most"), F.sum("docs").alias("all"), F.sum("n").alias("n"), F.min_by("token", F.struct(-F.col("docs"), "token")).alias("token"))
-    slots = slots.select("leaf", "pos", "n", F.when(F.col("most") * 2 >= F.col("all"), F.col("token")).otherwise(F.lit(WILD)).alias("token"))
-    templates = slots.groupBy("leaf").agg(F.max("n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("template"))
-    split = F.split("shape", " ")
-    agree = let(split, lambda t: F.size(F.filter(F.zip_with(t, F.col("template"), lambda a, b: a == b), lambda x: x)) / F.size(t))
-    own = lookup(lines, store(templates, "template-slots"), "leaf", "n", lines.count(), F.col("h"))
-    mine = store(own.where(agree >= SIMILAR).select("leaf", "h", "docs"), "template-members")
-    members = store(mine.groupBy("leaf").agg(F.sum("docs").alias("members"), F.count(F.lit(1)).alias("n"))
-                    .where(F.col("members") >= MIN_DOCS), "template-kept")
-    return lookup(mine, members, "leaf", "n", _total(members), F.col("h")).where("members is not null").select("leaf", "h", "docs")
+    lines = rows.select("row", "shape").join(near(held), "row")
+    return each, store(lines.select(F.col("leaf").alias("g"), "leaf", "h", "docs", "shape"), "template-lines")
+
+
+def _round(lines: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """The majority step in every group that recurs: the lines its template
+    takes, and all the others under the group of the next step.  None at the end."""
+    groups = _recurring(lines, "template-groups")
+    unlike = lines.groupBy("g").agg(F.min("docs").alias("least")).where(F.col("least") < MIN_DOCS).select("g")
+    groups = store(groups.join(unlike, "g", "left_semi"), "template-open")
+    if groups.isEmpty():
+        return None
+    total = lines.count()
+    lines = store(lookup(lines, groups, "g", "n", total, F.col("h")).where("n is not null").select(*lines.columns), "template-active")
+    at = lines.select("g", "docs", F.posexplode(F.split("shape", " ")).alias("pos", "token"))
+    tokens = at.groupBy("g", "pos", "token").agg(F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("n"))
+    slots = tokens.groupBy("g", "pos").agg(F.max("docs").alias("most"), F.sum("docs").alias("all"), F.sum("n").alias("n"), F.min_by("token", F.struct(-F.col("docs"), "token")).alias("token"))
+    kept = F.col("most") * 2 >= F.col("all")
+    slots = slots.select("g", "pos", "n", F.when(kept, F.col("token")).otherwise(F.lit(WILD)).alias("token"),
+                         # where to part lines without a common template: the largest share under a half, else the smallest
+                         F.when(F.col("most") < F.col("all"), F.struct((~kept).alias("wild"), F.when(kept, -F.col("most")).otherwise(F.col("most")).alias("share"), -F.col("pos"))).alias("rank"))
+    templates = slots.groupBy("g").agg(F.max("n").alias("n"), F.max_by("pos", "rank").alias("part"),
+                                       F.transform(F.sort_array(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("template"))
+    agree = let(F.split("shape", " "), lambda t: F.size(F.filter(F.zip_with(t, F.col("template"), lambda a, b: a == b), lambda x: x)) / F.size(t))
+    own = lookup(lines, store(templates, "template-slots"), "g", "n", lines.count(), F.col("h"))
+    own = store(own.select(*lines.columns, "part", (agree >= SIMILAR).alias("mine")), "template-members")
+    found = _recurring(own.where("mine"), "template-kept").select("g", F.lit(True).alias("found"))
+    sizes = own.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    own = store(lookup(own, sizes.join(found, "g", "left"), "g", "n", own.count(), F.col("h")), "template-round")
+    taken = F.col("mine") & F.col("found").isNotNull()
+    into = F.when(F.col("found").isNotNull(), F.col("g")).otherwise(F.xxhash64("g", "part", F.get(F.split("shape", " "), F.col("part"))))
+    return own.where(taken).select("leaf", "h", "docs"), own.where(~taken).withColumn("g", into).select(*lines.columns)
+
+
+def boilerplate(rows: DataFrame) -> DataFrame:
+    """leaf, h, docs of the shapes that belong to a recurring template."""
+    each, lines = _recurring_lines(rows)
+    bad = each.where(F.col("docs") >= MIN_DOCS).select("leaf", "h", "docs")
+    while (step := _round(lines)) is not None:
+        mine, lines = step
+        bad = bad.union(mine.where(F.col("docs") < MIN_DOCS))
+    return bad
 
 
 def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

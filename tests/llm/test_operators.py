@@ -307,3 +307,15 @@ def test_pipeline_stages(spark, docs):
             assert out.columns == before.columns
             out = spark.createDataFrame(out.collect(), SCHEMA)
     assert out.count() > 0
+
+
+def test_templates_of_one_leaf(spark):
+    tails = ["read the whole story", "see our price list", "write to an editor"]
+    texts = [f"own{chr(97 + i)} text\nClick here to {tails[i % 3]} today\n" for i in range(36)]
+    got = templates.drop_templates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert all(r.n_dropped == 1 and "Click" not in r.text for r in got)
+    # the same with a word that is another in every document: no line recurs by itself
+    names = [chr(97 + i // 6) + chr(97 + i % 6) for i in range(36)]
+    texts = [f"own{n} text\nClick here to {tails[i % 3]} by the author {n} now\n" for i, n in enumerate(names)]
+    got = templates.drop_templates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert all(r.n_dropped == 1 and "Click" not in r.text for r in got)
