@@ -2,15 +2,16 @@
 
 A line is parsed by its number of tokens, then by its first LEADING tokens,
 tokens with a digit standing as a wildcard; that is its leaf.  A line that
-recurs by itself (MIN_DOCS lines, a document's equal lines counting once) is a
-template.  In a leaf that recurs each position keeps its most frequent token if
-at least half of the lines have it, else it is a wildcard: a template of the
-leaf.  A line belongs to it when at least SIMILAR of its tokens agree; a
-template with at least MIN_DOCS such lines is boilerplate, and its lines are
-dropped from every document.  The lines it left take the step again.  Where a
-template has too few lines, the group is parted by the tokens of one position
-(the one whose most frequent token has the largest share under a half) and each
-part takes the step, until no part recurs.
+recurs by itself (in MIN_DOCS documents) is a template.  In a leaf that recurs
+(lines of MIN_DOCS documents) each position keeps its most frequent token if at
+least half of the lines have it (a document's equal lines counting once), else
+it is a wildcard: a template of the leaf.  A line belongs to it when at least
+SIMILAR of its tokens agree; a template with such lines in at least MIN_DOCS
+documents is boilerplate, and its lines are dropped from every document.  The
+lines it left take the step again.  Where a template has too few lines, the
+group is parted by the tokens of one position (the one whose most frequent token
+has the largest share under a half) and each part takes the step, until no part
+recurs.
 
 Results for odd input: null text has no lines; lines without a word are neither
 counted nor dropped; ids are carried as they are (null, repeated); ties of
@@ -45,45 +46,62 @@ def _leaf(tokens: Column) -> Column:
 
 
 def _shapes(docs: DataFrame) -> DataFrame:
-    """One row per document and distinct shape: doc_id, row, leaf, h, shape.
+    """One row per document and distinct shape: doc_id, doc (one per row of
+    ``docs``), row, leaf, h, shape.
     Written once, so lines are normalised once; what follows reads the narrow
     columns, and shape only of one row per shape in a recurring leaf."""
     shapes = F.array_distinct(F.transform(_lines(F.col("text")), shape))
-    rows = docs.select("doc_id", F.explode(shapes).alias("shape"))
-    return store(rows.select("doc_id", F.monotonically_increasing_id().alias("row"), "shape", F.xxhash64("shape").alias("h"),
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("doc"), shapes.alias("shapes"))
+    rows = rows.select("doc_id", "doc", F.explode("shapes").alias("shape"))
+    return store(rows.select("doc_id", "doc", F.monotonically_increasing_id().alias("row"), "shape", F.xxhash64("shape").alias("h"),
                              _leaf(F.split("shape", " ")).alias("leaf")), "template-shapes")
 
 
-def _recurring(lines: DataFrame, name: str) -> DataFrame:
-    """g, n (rows of ``lines``) of the groups with at least MIN_DOCS lines."""
-    groups = lines.groupBy("g").agg(F.sum("docs").alias("support"), F.count(F.lit(1)).alias("n"))
-    return store(groups.where(F.col("support") >= MIN_DOCS).select("g", "n"), name)
+def _total(groups: DataFrame) -> int:
+    return groups.agg(F.sum("n")).first()[0] or 0
+
+
+def _groups(lines: DataFrame, name: str) -> DataFrame:
+    """g, n (rows of ``lines``), least (documents of its rarest shape), recurs
+    (in at least MIN_DOCS documents) of each group."""
+    sizes = lines.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("docs").alias("least"))
+    docs = lines.select("g", F.explode("who").alias("doc")).distinct().groupBy("g").agg(F.count(F.lit(1)).alias("found"))
+    return store(sizes.join(docs, "g").select("g", "n", "least", (F.col("found") >= MIN_DOCS).alias("recurs")), name)
+
+
+def _documents(rows: DataFrame, held: DataFrame) -> DataFrame:
+    """leaf, h, who: the documents of each shape of ``held`` that has fewer than MIN_DOCS."""
+    few = F.col("docs") < MIN_DOCS
+    if held.count() <= BROADCAST_ROWS:
+        of = rows.select("leaf", "h", "doc").join(F.broadcast(held.where(few).select("leaf", "h")), ["leaf", "h"])
+    else:
+        key = F.concat_ws("|", "leaf", "h").alias("key")
+        of = lookup(rows.select("leaf", "h", "doc", key), held.select(key, "docs"), "key", "docs", rows.count(), F.struct("doc", "h")).where(few)
+    return of.groupBy("leaf", "h").agg(F.collect_list("doc").alias("who"))
 
 
 def _recurring_lines(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """g, leaf, h, docs, shape: one row per shape in a leaf that can recur and
-    has more than shapes that recur by themselves."""
+    """leaf, h, docs of all shapes; and g, leaf, h, docs, who (documents), shape of
+    those in a leaf that can recur and has more than shapes that recur by themselves."""
     each = rows.groupBy("leaf", "h").agg(F.count(F.lit(1)).alias("docs"), F.min("row").alias("row"))
     each = store(each, "template-counts")
     leaves = store(each.groupBy("leaf").agg(F.sum("docs").alias("support"), F.count(F.lit(1)).alias("n"), F.min("docs").alias("least"))
-                   .where((F.col("support") >= MIN_DOCS) & (F.col("least") < MIN_DOCS)), "template-leaves")
-    total = each.count()
-    held = lookup(each, leaves, "leaf", "n", total, F.col("h")).where("support is not null")
+                   .where(F.col("support") >= MIN_DOCS), "template-leaves")
+    held = lookup(each, leaves, "leaf", "n", _total(leaves), F.col("h")).where(F.col("least") < MIN_DOCS)
     held = store(held.select("leaf", "h", "docs", "row"), "template-held")
-    lines = rows.select("row", "shape").join(near(held), "row")
-    return each, store(lines.select(F.col("leaf").alias("g"), "leaf", "h", "docs", "shape"), "template-lines")
+    lines = rows.select("row", "shape").join(near(held), "row").join(_documents(rows, held), ["leaf", "h"], "left")
+    # a shape that recurs by itself stands for MIN_DOCS documents, whichever they are
+    who = F.coalesce("who", F.sequence(F.lit(-MIN_DOCS).cast("bigint"), F.lit(-1).cast("bigint")))
+    return each, store(lines.select(F.col("leaf").alias("g"), "leaf", "h", "docs", who.alias("who"), "shape"), "template-lines")
 
 
 def _round(lines: DataFrame) -> tuple[DataFrame, DataFrame] | None:
     """The majority step in every group that recurs: the lines its template
     takes, and all the others under the group of the next step.  None at the end."""
-    groups = _recurring(lines, "template-groups")
-    unlike = lines.groupBy("g").agg(F.min("docs").alias("least")).where(F.col("least") < MIN_DOCS).select("g")
-    groups = store(groups.join(unlike, "g", "left_semi"), "template-open")
-    if groups.isEmpty():
+    groups = _groups(lines, "template-groups").select("g", "n", (F.col("recurs") & (F.col("least") < MIN_DOCS)).alias("open"))
+    if groups.where("open").isEmpty():
         return None
-    total = lines.count()
-    lines = store(lookup(lines, groups, "g", "n", total, F.col("h")).where("n is not null").select(*lines.columns), "template-active")
+    lines = store(lookup(lines, groups, "g", "n", _total(groups), F.col("h")).where("open").select(*lines.columns), "template-active")
     at = lines.select("g", "docs", F.posexplode(F.split("shape", " ")).alias("pos", "token"))
     tokens = at.groupBy("g", "pos", "token").agg(F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("n"))
     slots = tokens.groupBy("g", "pos").agg(F.max("docs").alias("most"), F.sum("docs").alias("all"), F.sum("n").alias("n"), F.min_by("token", F.struct(-F.col("docs"), "token")).alias("token"))
@@ -94,13 +112,13 @@ def _round(lines: DataFrame) -> tuple[DataFrame, DataFrame] | None:
     templates = slots.groupBy("g").agg(F.max("n").alias("n"), F.max_by("pos", "rank").alias("part"),
                                        F.transform(F.sort_array(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("template"))
     agree = let(F.split("shape", " "), lambda t: F.size(F.filter(F.zip_with(t, F.col("template"), lambda a, b: a == b), lambda x: x)) / F.size(t))
-    own = lookup(lines, store(templates, "template-slots"), "g", "n", lines.count(), F.col("h"))
+    own = lookup(lines, store(templates, "template-slots"), "g", "n", _total(groups.where("open")), F.col("h"))
     own = store(own.select(*lines.columns, "part", (agree >= SIMILAR).alias("mine")), "template-members")
-    found = _recurring(own.where("mine"), "template-kept").select("g", F.lit(True).alias("found"))
-    sizes = own.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    own = store(lookup(own, sizes.join(found, "g", "left"), "g", "n", own.count(), F.col("h")), "template-round")
-    taken = F.col("mine") & F.col("found").isNotNull()
-    into = F.when(F.col("found").isNotNull(), F.col("g")).otherwise(F.xxhash64("g", "part", F.get(F.split("shape", " "), F.col("part"))))
+    found = _groups(own.where("mine"), "template-kept").where("recurs").select("g", "recurs")
+    own = store(lookup(own, groups.where("open").select("g", "n").join(found, "g", "left"), "g", "n", _total(groups.where("open")), F.col("h")), "template-round")
+    found = F.col("recurs").isNotNull()
+    taken = F.col("mine") & found
+    into = F.when(found, F.col("g")).otherwise(F.xxhash64("g", "part", F.get(F.split("shape", " "), F.col("part"))))
     return own.where(taken).select("leaf", "h", "docs"), own.where(~taken).withColumn("g", into).select(*lines.columns)
 
 

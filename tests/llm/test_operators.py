@@ -319,3 +319,12 @@ def test_templates_of_one_leaf(spark):
     texts = [f"own{n} text\nClick here to {tails[i % 3]} by the author {n} now\n" for i, n in enumerate(names)]
     got = templates.drop_templates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
     assert all(r.n_dropped == 1 and "Click" not in r.text for r in got)
+
+
+def test_templates_recur_in_documents_not_lines(spark):
+    names = "alice bob carol dave erin frank grace heidi ivan judy".split()
+    own = "".join(f"this page lists {n} as a member\n" for n in names)
+    texts = [own, *[f"own{chr(97 + i)} text\nthe shop is open on day {n} of the week\n" for i, n in enumerate(names)]]
+    got = {r.doc_id: r for r in templates.drop_templates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert got[0].n_dropped == 0 and got[0].text == own
+    assert all(r.n_dropped == 1 for i, r in got.items() if i)
