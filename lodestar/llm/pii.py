@@ -215,6 +215,15 @@ def _score(trees, f: Column) -> Column:
     return total
 
 
+def _best(picks: Column) -> Column:
+    """Of overlapping picks the best, then the first: in order of score each is
+    kept that overlaps none kept before it."""
+    order = F.array_sort(F.transform(picks, lambda c: F.struct((-c["z"]).alias("z"), c["start"].alias("start"), c["k"].alias("k"), c["end"].alias("end"))))
+    return F.aggregate(order, F.array().cast("array<struct<start:int,k:int,end:int>>"), lambda kept, c: F.when(
+        F.exists(kept, lambda d: _overlaps(d, c)), kept).otherwise(F.concat(kept, F.array(F.struct(
+            c["start"].alias("start"), c["k"].alias("k"), c["end"].alias("end"))))))
+
+
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", precision: float = PRECISION) -> DataFrame:
     """doc_id, text, base and spans (arrays of struct(start, k, end), by start, then kind)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -238,12 +247,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", precis
                                                    _score(trees, c["f"]).alias("z")))
     picked = F.filter(scored, lambda c: (c["z"] >= F.lit(cut)) & ~F.exists("base", lambda b: _overlaps(b, c)))
 
-    def best(p):       # of overlapping picks the best, then the first
-        def worse(c, d):
-            return (d["z"] > c["z"]) | ((d["z"] == c["z"]) & ((d["start"] < c["start"]) | ((d["start"] == c["start"]) & (d["k"] < c["k"]))))
-        return F.transform(F.filter(p, lambda c: ~F.exists(p, lambda d: _overlaps(c, d) & worse(c, d))),
-                           lambda c: F.struct(c["start"].alias("start"), c["k"].alias("k"), c["end"].alias("end")))
-    more = let(picked, best) if math.isfinite(cut) else F.filter("base", lambda b: F.lit(False))
+    more = let(picked, _best) if math.isfinite(cut) else F.filter("base", lambda b: F.lit(False))
     found = rows.select("doc_id", "base", F.array_sort(F.concat("base", more)).alias("spans"))
     none = F.array().cast("array<struct<start:int,k:int,end:int>>")
     rest = plain.where(~F.col("text").rlike("[0-9@]")).select("doc_id", none.alias("base"), none.alias("spans"))

@@ -328,3 +328,10 @@ def test_templates_recur_in_documents_not_lines(spark):
     got = {r.doc_id: r for r in templates.drop_templates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
     assert got[0].n_dropped == 0 and got[0].text == own
     assert all(r.n_dropped == 1 for i, r in got.items() if i)
+
+
+def test_pii_picks_are_selected_greedily(spark):
+    rows = [([(0, 0, 10, 0.1), (8, 1, 20, 0.5), (18, 0, 30, 0.9)],), ([(0, 0, 10, 0.5), (8, 1, 20, 0.5)],), ([],)]
+    picks = spark.createDataFrame(rows, "p array<struct<start:int,k:int,end:int,z:double>>")
+    got = [[tuple(s) for s in r[0]] for r in picks.select(pii._best("p")).collect()]
+    assert got == [[(18, 0, 30), (0, 0, 10)], [(0, 0, 10)], []]
