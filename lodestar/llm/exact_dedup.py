@@ -84,12 +84,16 @@ def update_state(spark: SparkSession, path: str, state: str, id_col="doc_id", te
 
 
 def scan_path(docs: DataFrame) -> str | None:
-    """Folder (or file) of a plain Parquet scan of one folder, else None."""
+    """Folder (or file) that ``docs`` is a plain Parquet scan of, as a whole, else None."""
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        return None                      # rows or columns may be others than those of the files
     files = docs.inputFiles()
     folders = {posixpath.dirname(f) for f in files}
-    if len(files) == 1:
-        return files[0]
-    return folders.pop() if len(folders) == 1 else None
+    path = files[0] if len(files) == 1 else folders.pop() if len(folders) == 1 else None
+    if path is None:
+        return None
+    whole = docs.sparkSession.read.parquet(path)
+    return path if sorted(whole.inputFiles()) == sorted(files) and whole.dtypes == docs.dtypes else None
 
 
 def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text",

@@ -335,3 +335,21 @@ def test_pii_picks_are_selected_greedily(spark):
     picks = spark.createDataFrame(rows, "p array<struct<start:int,k:int,end:int,z:double>>")
     got = [[tuple(s) for s in r[0]] for r in picks.select(pii._best("p")).collect()]
     assert got == [[(18, 0, 30), (0, 0, 10)], [(0, 0, 10)], []]
+
+
+def test_drop_copies_of_a_frame_that_is_no_whole_scan(spark, docs, tmp_path):
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame([(i, f"text {i % 3}") for i in range(6)], "doc_id bigint, text string").repartition(2).write.parquet(path)
+    whole = spark.read.parquet(path)
+
+    def left(frame):
+        return sorted(map(tuple, exact_dedup.drop_copies(spark, frame).collect()))
+    assert left(whole) == [(3, "text 0"), (4, "text 1"), (5, "text 2")]
+    assert left(whole.where("doc_id < 4")) == [(1, "text 1"), (2, "text 2"), (3, "text 0")]
+    assert left(whole.selectExpr("doc_id", "'same' text")) == [(5, "same")]
+    assert left(whole.union(whole.selectExpr("doc_id + 10", "'other'"))) == [(3, "text 0"), (4, "text 1"), (5, "text 2"), (15, "other")]
+    for file in whole.inputFiles():
+        part = spark.read.parquet(file)
+        ids = {r.text: r.doc_id for r in sorted(part.collect())}
+        assert left(part) == sorted((i, t) for t, i in ids.items())
+    assert exact_dedup.scan_path(whole) and not exact_dedup.scan_path(whole.where("doc_id < 4"))
