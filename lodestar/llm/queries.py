@@ -1,5 +1,5 @@
 """Importing this module registers every query of the package."""
 
-from lodestar.llm import (archive, exact_dedup, jaccard, language, mixing, packing, pii, quality,  # noqa: F401
-                          substring, templates)
+from lodestar.llm import (archive, embeddings, exact_dedup, filter_audit, jaccard, language, mixing, packing, pii,  # noqa: F401
+                          quality, substring, templates, turn_trie)
 from lodestar.llm.base import ORACLE, QUERIES  # noqa: F401
