@@ -145,11 +145,12 @@ class Matrix:
         rows, width = len(n), int(n.max())
         flat = np.repeat(np.arange(rows), n), np.arange(offsets[-1] - offsets[0]) - np.repeat(offsets[:-1] - offsets[0], n)
 
-        def padded(field):
-            m = np.zeros((rows, width), np.int64)
+        def padded(field, empty):
+            m = np.full((rows, width), empty, np.int64)
             m[flat] = turns.values.field(field).to_numpy()[offsets[0]:offsets[-1]]
             return m
-        z1, z2, chars = padded("z1"), padded("z2"), padded("chars")
+        least = np.iinfo(np.int64).min            # a shorter band comes first, as in the order of the shards
+        z1, z2, chars = padded("z1", least), padded("z2", least), padded("chars", 0)
         band, k1, k2 = column("band"), column("k1"), column("k2")
         order = np.lexsort([x for c in range(width - 1, -1, -1) for x in (z2[:, c], z1[:, c])] + [k2, k1, band])
         self.order, self.n, self.z1, self.z2, self.chars = order, n[order], z1[order], z2[order], chars[order]
