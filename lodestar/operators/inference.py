@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.stats import t_ppf
 from lodestar.operators import linear as lin
-from lodestar.operators.models import point_metrics
+from lodestar.operators.models import point_metrics, r_squared
 from lodestar.operators.resample import percentile_ci, replicate_sums, with_folds
 
 
@@ -58,15 +58,16 @@ def _two_predictor_coefs(sums: DataFrame) -> DataFrame:
     """Closed-form 2-predictor OLS from weighted raw sums (per row of ``sums``)."""
     c = F.col
     sw = c("sw")
-    c11 = c("s11") - c("sx1") * c("sx1") / sw
-    c12 = c("s12") - c("sx1") * c("sx2") / sw
-    c22 = c("s22") - c("sx2") * c("sx2") / sw
-    c1y = c("s1y") - c("sx1") * c("sy") / sw
-    c2y = c("s2y") - c("sx2") * c("sy") / sw
+    over = F.try_divide                         # null where there are no rows or the predictors are collinear
+    c11 = c("s11") - over(c("sx1") * c("sx1"), sw)
+    c12 = c("s12") - over(c("sx1") * c("sx2"), sw)
+    c22 = c("s22") - over(c("sx2") * c("sx2"), sw)
+    c1y = c("s1y") - over(c("sx1") * c("sy"), sw)
+    c2y = c("s2y") - over(c("sx2") * c("sy"), sw)
     det = c11 * c22 - c12 * c12
-    b1 = (c22 * c1y - c12 * c2y) / det
-    b2 = (c11 * c2y - c12 * c1y) / det
-    b0 = c("sy") / sw - b1 * c("sx1") / sw - b2 * c("sx2") / sw
+    b1 = over(c22 * c1y - c12 * c2y, det)
+    b2 = over(c11 * c2y - c12 * c1y, det)
+    b0 = over(c("sy"), sw) - b1 * over(c("sx1"), sw) - b2 * over(c("sx2"), sw)
     keep = [x for x in sums.columns if x in ("rep", "fold")]
     return sums.select(*keep, b0.alias("b0"), b1.alias("b1"), b2.alias("b2"))
 
@@ -78,23 +79,6 @@ def _weighted_sums(df: DataFrame, w: Column) -> list[Column]:
             F.sum(w * x1 * y).alias("s1y"), F.sum(w * x2 * y).alias("s2y")]
 
 
-def multi_coef_ci(src: DataFrame, key: str, reps: int) -> DataFrame:
-    """Refit y ~ x1 + x2 on every replicate from weighted sums; the
-    interval excludes zero -> significant."""
-    full = _two_predictor_coefs(src.agg(*_weighted_sums(src, F.lit(1.0))))
-    x1, x2, y = F.col("x1"), F.col("x2"), F.col("y")
-    sums = {"sw": F.lit(1.0), "sx1": x1, "sx2": x2, "sy": y, "s11": x1 * x1, "s12": x1 * x2, "s22": x2 * x2,
-            "s1y": x1 * y, "s2y": x2 * y}
-    per = _two_predictor_coefs(replicate_sums(src, key, reps, sums))
-    ci = percentile_ci(per, ["b0", "b1", "b2"])
-    j = full.crossJoin(ci)
-    rows = [F.struct(F.lit(t).alias("term"), F.col(b).alias("value"), F.col(f"{b}_ci_lower").alias("lo"),
-                     F.col(f"{b}_ci_upper").alias("hi")) for t, b in (("intercept", "b0"), ("n_lines", "b1"), ("qty", "b2"))]
-    out = j.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
-    return out.select("term", F.round("value", 4).alias("value"), F.round("lo", 4).alias("ci_lower"),
-                      F.round("hi", 4).alias("ci_upper"), (~((F.col("lo") <= 0) & (F.col("hi") >= 0))).alias("significant"))
-
-
 def round_metric(metric: Column, value: Column) -> Column:
     """R^2 to 6 decimals, error metrics (money) to 2."""
     return F.when(metric == "R2", F.round(value, 6)).otherwise(F.round(value, 2))
@@ -115,7 +99,7 @@ def cv_interval(train: DataFrame, key: str, k: int, contiguous: bool, sample_sd:
     co = spark.createDataFrame(coefs, "fold int, b0 double, b1 double")
     e = F.col("y") - F.col("b0") - F.col("b1") * F.col("x")
     pm = d.join(F.broadcast(co), "fold").groupBy("fold").agg(
-        (F.lit(1.0) - F.sum(e * e) / (F.var_pop("y") * F.count(F.lit(1)))).alias("r2"),
+        r_squared("y", e).alias("r2"),
         F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"))
     lg = pm.select(F.explode(F.array(
         F.struct(F.lit("R2").alias("metric"), F.col("r2").alias("v")),

@@ -61,40 +61,6 @@ def moments(df: DataFrame, xcols: list[str], y: str, by: str | None = None) -> d
     return out
 
 
-def moments_by_sums(df: DataFrame, xcols: list[str], y: str, by: str | None = None,
-                    shift: dict[str, float] | None = None) -> dict:
-    """Same result as :func:`moments` from plain sums of products.
-
-    A ``sum`` has a one-field buffer, ``covar_pop`` several plus divisions per
-    row; with p features the Gram needs (p+1)(p+2)/2 of them, so for wider
-    designs plain sums are several times faster.  Columns are shifted by
-    ``shift`` (approximate means, e.g. from a previous small aggregate) before
-    squaring, which keeps the cancellation in S - n*mean*mean' small.
-    """
-    cols = xcols + [y]
-    shift = shift or {}
-    v = [(F.col(c).cast("double") - F.lit(float(shift.get(c, 0.0)))) for c in cols]
-    aggs = [F.count(F.lit(1)).alias("__n")] + [F.sum(v[i]).alias(f"__s{i}") for i in range(len(cols))]
-    for i in range(len(cols)):
-        for j in range(i, len(cols)):
-            aggs.append(F.sum(v[i] * v[j]).alias(f"__p{i}_{j}"))
-    base = df.na.drop(subset=cols)
-    rows = (base.groupBy(by).agg(*aggs) if by else base.agg(*aggs)).collect()
-    k = len(cols)
-    sh = np.array([float(shift.get(c, 0.0)) for c in cols])
-    out = {}
-    for r in rows:
-        n = float(r["__n"])
-        s1 = np.array([r[f"__s{i}"] for i in range(k)], dtype=float)
-        P = np.zeros((k, k))
-        for i in range(k):
-            for j in range(i, k):
-                P[i, j] = P[j, i] = r[f"__p{i}_{j}"]
-        m = s1 / n
-        out[r[by] if by else None] = Moments(n, m + sh, P - n * np.outer(m, m))
-    return out
-
-
 def merge_all(parts: list[Moments]) -> Moments:
     acc = parts[0]
     for m in parts[1:]:
@@ -124,8 +90,15 @@ def r2(m: Moments, b0: float, beta: np.ndarray) -> float:
 
 
 def pop_sd(m: Moments) -> np.ndarray:
-    p = len(m.mean) - 1
-    return np.sqrt(np.diag(m.C)[:p] / m.n)
+    """Population deviations of the predictors; 1 for a constant one."""
+    sd = np.sqrt(np.maximum(np.diag(m.C)[:-1] / m.n, 0.0))
+    return np.where(sd > 0, sd, 1.0)
+
+
+def original_units(b0: float, beta: np.ndarray, mu: np.ndarray, sd: np.ndarray) -> tuple[float, np.ndarray]:
+    """Coefficients of standardised predictors as those of the raw ones."""
+    raw = beta / sd
+    return float(b0 - raw @ mu), raw
 
 
 def fold_out(folds: dict, f) -> Moments:
@@ -133,8 +106,9 @@ def fold_out(folds: dict, f) -> Moments:
     return merge_all([m for g, m in sorted(folds.items()) if g != f])
 
 
-def alpha_grid(folds: dict, alphas: list[float], standardise_with: Moments | None = None) -> list[tuple]:
-    """K6: mean held-out R^2 per alpha from per-fold moments (one data pass).
+def alpha_grid(folds: dict, alphas: list[float], standardise_with: Moments | None = None, fit=solve) -> list[tuple]:
+    """K6: mean held-out R^2 per alpha from per-fold moments (one data pass);
+    ``fit(moments, alpha)`` is ridge unless given (the lasso: ``coordinate_descent``).
 
     With ``standardise_with`` the features are z-scored with that set's mean
     and population sd first (the scaler is fitted once, before the folds).
@@ -146,7 +120,7 @@ def alpha_grid(folds: dict, alphas: list[float], standardise_with: Moments | Non
     for a in alphas:
         scores = []
         for f in sorted(folds):
-            b0, beta = solve(fold_out(folds, f), a)
+            b0, beta = fit(fold_out(folds, f), a)
             scores.append(r2(folds[f], b0, beta))
         out.append((float(a), float(np.mean(scores)), [float(s) for s in scores]))
     return out
@@ -177,6 +151,8 @@ def coordinate_descent(m: Moments, alpha: float, l1_ratio: float = 1.0, max_iter
         delta = 0.0
         for j in range(p):
             rho = c[j] - G[j] @ b + G[j, j] * b[j]
+            if G[j, j] + l2 <= 0.0:                   # a constant predictor stays out
+                continue
             new = np.sign(rho) * max(abs(rho) - l1, 0.0) / (G[j, j] + l2)
             delta = max(delta, abs(new - b[j]))
             b[j] = new

@@ -1,26 +1,23 @@
-"""Model evaluation and estimator helpers (2K, 2L).
-
-Point metrics and analytic intervals are expressions over prediction frames;
-penalised linear models use Spark ML's ``LinearRegression`` with the
-reference's (scikit-learn style) penalties converted to Spark's
-parameterisation.
-"""
+"""Point metrics and analytic intervals as expressions over prediction frames (2L)."""
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions.stats import t975_expr
 
 
+def r_squared(y: str, error: Column) -> Column:
+    """Aggregate R^2 of the errors; null for a constant target."""
+    return F.lit(1.0) - F.try_divide(F.sum(error * error), F.var_pop(y) * F.count(F.lit(1)))
+
+
 def point_metrics(df: DataFrame, y: str, pred: str) -> DataFrame:
     """L1: n, RMSE, MAE, R^2 in one aggregation."""
     e = F.col(y) - F.col(pred)
     return df.agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"),
-                  (F.lit(1.0) - F.sum(e * e) / (F.var_pop(y) * F.count(F.lit(1)))).alias("r2"))
+                  r_squared(y, e).alias("r2"))
 
 
 def interval_frame(df: DataFrame, x: Column) -> DataFrame:
@@ -37,84 +34,3 @@ def interval_frame(df: DataFrame, x: Column) -> DataFrame:
     yh = F.col("intercept") + F.col("slope") * x
     return df.select("*", yh.alias("y_hat"), (yh - t * se_m).alias("ci_lower"), (yh + t * se_m).alias("ci_upper"),
                      (yh - t * se_p).alias("pi_lower"), (yh + t * se_p).alias("pi_upper"))
-
-
-def spark_penalties(alpha: float, l1_ratio: float, y_sd: float) -> tuple[float, float]:
-    """(regParam, elasticNetParam) equivalent to the objective
-    1/(2n)|y - Xb|^2 + alpha*l1*|b|_1 + alpha*(1-l1)/2*|b|^2 (standardization
-    off).  Spark scales the label by its sample sd before optimising, which
-    leaves the L1 weight unchanged but multiplies the L2 weight by that sd."""
-    l1 = alpha * l1_ratio
-    l2 = alpha * (1.0 - l1_ratio) * y_sd
-    if l2 == 0.0:
-        return l1, 1.0
-    return l1 + l2, l1 / (l1 + l2)
-
-
-def design_frame(spark: SparkSession, sf: str):
-    """Standardised design on the training split: 2 numeric + one-hot segment
-    and priority (first category dropped).  Returns (train, test, names)."""
-    from lodestar.operators.transform import Scaler, one_hot_drop_first
-    from lodestar.plans.q_split import split_facts
-    # five passes follow (two category lists, scaler, moments, scoring):
-    # materialise the per-order table once in the shared checkpoint folder
-    f = split_facts(spark, sf).withColumn("n_lines", F.col("n_lines").cast("double")).checkpoint()
-    f, seg = one_hot_drop_first(f, "segment")
-    f, pri = one_hot_drop_first(f, "priority")
-    names = ["n_lines", "qty"] + seg + pri
-    train = f.where(~F.col("is_test"))
-    sc = Scaler(names, "standard").fit(train)
-    z = sc.transform(f)
-    return z.where(~F.col("is_test")), z.where(F.col("is_test")), names
-
-
-def penalised_fit(spark: SparkSession, sf: str, alpha: float, l1_ratio: float) -> DataFrame:
-    """K4/K5: lasso / elastic net coefficients plus test R^2."""
-    train, test, names = design_frame(spark, sf)
-    asm = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep")
-    tr = asm.transform(train)
-    y_sd = tr.agg(F.stddev_samp("total")).first()[0]     # one scalar
-    reg, mix = spark_penalties(alpha, l1_ratio, y_sd)
-    lr = LinearRegression(featuresCol="features", labelCol="total", regParam=reg, elasticNetParam=mix,
-                          standardization=False, maxIter=2000, tol=1e-9)
-    model = lr.fit(tr)
-    pred = model.transform(asm.transform(test))
-    m = point_metrics(pred, "total", "prediction").first()
-    rows = [("intercept", float(model.intercept))] + [(n, float(c)) for n, c in zip(names, model.coefficients)]
-    rows.append(("r2_test", float(m["r2"])))
-    return spark.createDataFrame([(t, round(v, 6)) for t, v in rows], "term string, value double")
-
-
-def gram_penalised_fit(spark: SparkSession, sf: str, alpha: float, l1_ratio: float) -> DataFrame:
-    """K4/K5 without iterating over the data.
-
-    Pass 1 reads the category lists (one aggregation for both columns).
-    Pass 2 computes the co-moments of the raw design for train and test at
-    once (``groupBy(is_test)``, two rows).  The standard scaler fitted on the
-    training rows is applied algebraically to both moment sets, coordinate
-    descent runs on the (p+1)x(p+1) training matrix on the driver, and the
-    test R^2 is the held-out SSE computed from the test moments.  Spark ML's
-    OWL-QN (``penalised_fit``) makes one distributed pass per iteration; the
-    coefficients agree to ~1e-6 relative (checked on sf0.1)."""
-    from lodestar.operators import linear as lin
-    from lodestar.plans.q_split import split_facts
-    f = split_facts(spark, sf)
-    # category lists (bounded by the number of categories) and approximate
-    # means used as the shift of the sums below
-    cats = f.agg(F.sort_array(F.collect_set("segment")).alias("s"), F.sort_array(F.collect_set("priority")).alias("p"),
-                 F.avg("n_lines").alias("n_lines"), F.avg("qty").alias("qty"), F.avg("total").alias("total")).first()
-    names, cols = ["n_lines", "qty"], [F.col("n_lines").cast("double").alias("n_lines"), F.col("qty")]
-    for col, values in (("segment", cats["s"]), ("priority", cats["p"])):
-        for v in values[1:]:                          # first category dropped
-            n = f"{col}_{v}".replace(" ", "_").replace("-", "_")
-            names.append(n)
-            cols.append((F.col(col) == F.lit(v)).cast("double").alias(n))
-    d = f.select("is_test", *cols, "total")
-    shift = {c: float(cats[c] or 0.0) for c in ("n_lines", "qty", "total")}
-    mom = lin.moments_by_sums(d, names, "total", by="is_test", shift=shift)
-    tr_m, te_m = mom[False], mom[True]
-    mu, sd = tr_m.mean[:-1], lin.pop_sd(tr_m)
-    b0, beta = lin.coordinate_descent(tr_m.standardise(mu, sd), alpha, l1_ratio)
-    r2 = lin.r2(te_m.standardise(mu, sd), b0, beta)
-    rows = [("intercept", float(b0))] + [(n, float(c)) for n, c in zip(names, beta)] + [("r2_test", float(r2))]
-    return spark.createDataFrame([(t, round(v, 6)) for t, v in rows], "term string, value double")

@@ -1,9 +1,8 @@
 """Profiling operators (survey 2D).
 
 Whole-table profiles are single-pass aggregations (partial aggregates per task,
-one tiny final merge) reshaped with ``stack``.  Exact quantiles never hold the
-whole column in one aggregation buffer: they come from a distributed sort
-(``ordering.global_index``) and a lookup of the two neighbouring ranks.
+one tiny final merge) reshaped with ``stack``.  Exact quantiles are selected
+between sketched brackets (``selection``): no sort, nothing row-sized shuffled.
 """
 
 from __future__ import annotations
@@ -11,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.operators.ordering import global_index
+from lodestar.operators.selection import select_quantiles
 
 
 def _stack(df: DataFrame, names: list[str], value_cols: dict[str, list[str]], label: str) -> DataFrame:
@@ -49,54 +48,26 @@ def completeness(df: DataFrame) -> DataFrame:
 
 
 def quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | None = None,
-              exact: bool = True, accuracy: int = 10000, tiebreak: str | None = None) -> DataFrame:
+              exact: bool = True, accuracy: int = 10000) -> DataFrame:
     """Quantiles with linear interpolation, per group if ``by``.
 
-    Output: by..., ``p_index`` (position in ``probs``), ``q``.  ``exact=False``
-    uses the bounded-memory ``percentile_approx`` sketch in one pass.
-
-    The exact path sorts by (group, value, tiebreak).  The tiebreak -- a hash
-    of the whole input row unless a column is given -- spreads a hot value
-    (say a third of all rows equal) over many range partitions instead of one
-    sort task; tie order cannot change an order statistic.
+    Output: by..., ``p_index`` (position in ``probs``), ``q``.  The exact path
+    selects (two passes over the column, see ``selection``); ``exact=False``
+    uses the bounded-memory ``percentile_approx`` sketch alone.
     """
     by = by or []
-    spark = df.sparkSession
-    tb = F.col(tiebreak) if tiebreak else F.xxhash64(*[F.col(c) for c in df.columns])
-    base = df.select(*by, value, tb.alias("__tb")).where(F.col(value).isNotNull())
-    if not exact:
-        approx = base.groupBy(*by).agg(F.percentile_approx(value, probs, accuracy).alias("__qs"))
-        return approx.select(*by, F.posexplode("__qs").alias("p_index", "q"))
-    idx = global_index(base, [*by, value, "__tb"], idx_col="__idx", n_col="__n")
-    if by:
-        groups = idx.groupBy(*by).agg(F.min("__idx").alias("__g0"), F.count(F.lit(1)).alias("__gn"))
-    else:
-        groups = idx.agg(F.lit(0).cast("bigint").alias("__g0"), F.max("__n").alias("__gn"))
-    pframe = spark.createDataFrame([(i, float(p)) for i, p in enumerate(probs)], "p_index int, p double")
-    pos = F.col("p") * (F.col("__gn") - 1)
-    targets = (groups.crossJoin(F.broadcast(pframe))
-               .withColumn("__lo", F.col("__g0") + F.floor(pos))
-               .withColumn("__hi", F.col("__g0") + F.ceil(pos))
-               .withColumn("__frac", pos - F.floor(pos)))
-    ends = targets.select(*by, "p_index", "__frac",
-                          F.explode(F.array(F.struct(F.lit(0).alias("w"), F.col("__lo").alias("t")),
-                                            F.struct(F.lit(1).alias("w"), F.col("__hi").alias("t")))).alias("e"))
-    ends = ends.select(*by, "p_index", "__frac", F.col("e.w").alias("__w"), F.col("e.t").alias("__t"))
-    vals = idx.select(F.col("__idx").alias("__t"), F.col(value).alias("__v"))
-    picked = ends.join(vals, "__t")
-    res = picked.groupBy(*by, "p_index").agg(
-        F.max(F.when(F.col("__w") == 0, F.col("__v"))).alias("__vlo"),
-        F.max(F.when(F.col("__w") == 1, F.col("__v"))).alias("__vhi"),
-        F.first("__frac").alias("__frac"))
-    return res.select(*by, "p_index",
-                      (F.col("__vlo") + (F.col("__vhi") - F.col("__vlo")) * F.col("__frac")).alias("q"))
+    if exact:
+        return select_quantiles(df, value, probs, by)
+    base = df.select(*by, value).where(F.col(value).isNotNull())
+    approx = base.groupBy(*by).agg(F.percentile_approx(value, probs, accuracy).alias("__qs"))
+    return approx.select(*by, F.posexplode("__qs").alias("p_index", "q"))
 
 
 def quantiles_wide(df: DataFrame, value: str, probs: list[float], names: list[str],
-                   by: list[str] | None = None, exact: bool = True, tiebreak: str | None = None) -> DataFrame:
+                   by: list[str] | None = None, exact: bool = True) -> DataFrame:
     """Quantiles as named columns, one row per group."""
     by = by or []
-    long = quantiles(df, value, probs, by, exact, tiebreak=tiebreak)
+    long = quantiles(df, value, probs, by, exact)
     return long.groupBy(*by).agg(*[F.max(F.when(F.col("p_index") == i, F.col("q"))).alias(nm)
                                    for i, nm in enumerate(names)])
 
@@ -108,15 +79,9 @@ def describe(df: DataFrame, cols: list[str], digits: int = 4) -> DataFrame:
         F.min(F.col(c).cast("double")).alias(f"min__{c}"), F.max(F.col(c).cast("double")).alias(f"max__{c}"))])
     stats = ["count", "mean", "std", "min", "max"]
     long = _stack(moments, cols, {s: [f"{s}__{c}" for c in cols] for s in stats}, "column_name")
-    # one distributed sort for all columns: stack to (column_name, x) first
-    # the row hash is taken before stacking, so equal values of one column
-    # still get distinct tiebreaks
-    values = df.select(F.xxhash64(*[F.col(c) for c in df.columns]).alias("__tb"),
-                       F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"),
-                                                    F.col(c).cast("double").alias("__x")) for c in cols]))
-                       .alias("__s")).select("__s.column_name", "__s.__x", "__tb")
-    qs = quantiles_wide(values, "__x", [0.25, 0.5, 0.75], ["p25", "p50", "p75"], by=["column_name"],
-                        tiebreak="__tb")
+    values = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("__x"))
+                                           for c in cols])).alias("__s")).select("__s.column_name", "__s.__x")
+    qs = quantiles_wide(values, "__x", [0.25, 0.5, 0.75], ["p25", "p50", "p75"], by=["column_name"])
     out = long.join(qs, "column_name")
     return out.select("column_name", "count", *[F.round(c, digits).alias(c) for c in
                                                 ["mean", "std", "min", "p25", "p50", "p75", "max"]])

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.hashing import hash_uniform, poisson1_weight
 from lodestar.functions.stats import t_ppf
-from lodestar.operators.models import point_metrics
+from lodestar.operators.models import r_squared
 from lodestar.operators.resample import hash_fold
 from lodestar.operators.transform import label_encode, one_hot_drop_first
 
@@ -150,7 +150,7 @@ def cv_summary(preds: DataFrame, y: str, k: int, model_name: str) -> DataFrame:
     """L4: per-fold R^2, RMSE, MAE -> mean, sample sd, t-interval (df k-1);
     one aggregation of the fold predictions, then k rows."""
     e = F.col(y) - F.col("prediction")
-    pf = preds.groupBy("fold").agg((F.lit(1.0) - F.sum(e * e) / (F.var_pop(y) * F.count(F.lit(1)))).alias("r2"),
+    pf = preds.groupBy("fold").agg(r_squared(y, e).alias("r2"),
                                    F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"))
     t = t_ppf(0.975, k - 1)
     aggs = []

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.stats import sql_t975
 from lodestar.operators import linear as lin
 from lodestar.operators import models as md
+from lodestar.operators import regression as rg
 from lodestar.operators import resample as rs
+from lodestar.plans import sql_linear as sql
 from lodestar.plans.facts import FACTS_SQL, with_sql
 from lodestar.plans.q_split import SPLIT_SQL, split_facts
 from lodestar.plans.registry import query
@@ -165,18 +168,31 @@ def _coef_frame(spark, names, b0, beta, digits):
     return spark.createDataFrame(rows, "term string, coef double")
 
 
-@query("ols_multi", BASE + ",\n" + STATS2.format(src="tr") + """,
-r AS (SELECT (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) AS b1,
-             (s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12) AS b2, m1, m2, my FROM st)
-SELECT 'intercept' AS term, ROUND(my - b1 * m1 - b2 * m2, 4) AS coef FROM r
-UNION ALL SELECT 'n_lines', ROUND(b1, 4) FROM r
-UNION ALL SELECT 'qty', ROUND(b2, 4) FROM r""")
+def full_design(spark, sf):
+    """(train, test, fitted design): two numeric and two one-hot predictors."""
+    train, test = _train_test(spark, sf)
+    return train, test, rg.fit_design(train, sql.NUMERIC, sql.ONE_HOT, "total")
+
+
+def moment_cube(spark, sf):
+    """(design, test part's moments, {fold: moments}) from one pass over the rows."""
+    design = full_design(spark, sf)[2]
+    part = F.when(F.col("is_test"), F.lit(-1)).otherwise(rs.hash_fold("id", sql.FOLDS))
+    cube = rg.collect_moments(rg.cross_moments(split_facts(spark, sf), design, part), design)
+    return design, cube.pop(-1), cube
+
+
+MULTI_SQL = sql.CUBE + "," + sql.gauss_jordan("ols", "whole", ["g"])
+
+
+@query("ols_multi", MULTI_SQL + """
+SELECT term, ROUND(b / sd, 4) AS coef FROM ols JOIN sd ON sd.i = ols.i
+UNION ALL SELECT 'intercept', ROUND(my + SUM(CASE WHEN ols.i = 0 THEN b ELSE -b * mu / sd END), 4)
+FROM ols LEFT JOIN sd ON sd.i = ols.i, sc GROUP BY my""")
 def ols_multi(spark, sf):
-    """K2: multiple OLS from the one-pass Gram (co-moments), solved on the driver."""
-    train, _ = _train_test(spark, sf)
-    m = lin.moments(train, X2, "total")[None]
-    b0, beta = lin.solve(m)
-    return _coef_frame(spark, X2, b0, beta, 4)
+    """K2: multiple OLS on two numeric and two one-hot predictors."""
+    train, _, design = full_design(spark, sf)
+    return rg.solve_each(rg.cross_moments(train, design, F.lit(0)), design, min_norm=True).select("term", F.round("coef", 4).alias("coef"))
 
 
 def _std_moments(spark, sf):
@@ -194,16 +210,16 @@ def ridge(spark, sf):
     return _coef_frame(spark, X2, b0, beta, 6)
 
 
-@query("linear_importance", BASE + ",\n" + STATS2.format(src="tr") + ",\n" + _ridge_std_sql(0.0) + """,
-c AS (SELECT 'n_lines' AS term, b1 AS coef FROM r UNION ALL SELECT 'qty', b2 FROM r)
-SELECT term, ROUND(coef, 6) AS coef, ROUND(abs(coef), 6) AS abs_coef,
-       CAST(ROW_NUMBER() OVER (ORDER BY abs(coef) DESC, term) AS INTEGER) AS rank FROM c""")
+@query("linear_importance", MULTI_SQL + """
+SELECT term, ROUND(b, 6) AS coef, ROUND(abs(b), 6) AS abs_coef,
+       CAST(ROW_NUMBER() OVER (ORDER BY abs(b) DESC, term) AS INTEGER) AS rank FROM ols JOIN sd ON sd.i = ols.i""")
 def linear_importance(spark, sf):
-    """|standardised coefficient| ranking (argmax = rank 1)."""
-    _, beta = lin.solve(_std_moments(spark, sf), 0.0)
-    order = sorted(range(len(X2)), key=lambda i: (-abs(beta[i]), X2[i]))
-    rows = [(X2[i], float(round(beta[i], 6)), float(round(abs(beta[i]), 6)), r + 1) for r, i in enumerate(order)]
-    return spark.createDataFrame(rows, "term string, coef double, abs_coef double, rank int")
+    """|standardised coefficient| ranking of every predictor (argmax = rank 1)."""
+    train, _, design = full_design(spark, sf)
+    coef = rg.solve_each(rg.cross_moments(train, design, F.lit(0)), design, min_norm=True).where("term <> 'intercept'")
+    size = F.abs("std_coef")
+    rank = F.row_number().over(Window.orderBy(size.desc(), F.col("term")))          # one row per predictor
+    return coef.select("term", F.round("std_coef", 6).alias("coef"), F.round(size, 6).alias("abs_coef"), rank.alias("rank"))
 
 
 @query("trend_top_variable", BASE + ",\n" + STATS2.format(src="tr") + ",\n" + _ridge_std_sql(0.0) + """,
@@ -291,17 +307,53 @@ def alpha_grid(spark, sf):
     return spark.createDataFrame(rows, "alpha double, mean_r2 double, is_best boolean")
 
 
-@query("lasso")
+def _penalised_sql(alpha: float, l1_ratio: float) -> str:
+    params = f"SELECT 0 AS g, CAST({alpha * l1_ratio!r} AS DOUBLE) AS l1, CAST({alpha * (1 - l1_ratio)!r} AS DOUBLE) AS l2"
+    return sql.CUBE + "," + sql.coordinate_descent("fit", "whole", params) + f""",
+full_fit AS (SELECT i, -b AS b FROM fit UNION ALL SELECT {sql.P + 1}, 1.0),
+sse AS (SELECT SUM(a.b * b.b * m.v) AS v FROM full_fit a, full_fit b JOIN cube m ON m.g = -1 AND m.i = a.i AND m.j = b.i),
+te_y AS (SELECT MAX(v) FILTER (i = 0 AND j = 0) AS n, MAX(v) FILTER (i = 0 AND j = {sql.P + 1}) AS sy,
+                MAX(v) FILTER (i = {sql.P + 1} AND j = {sql.P + 1}) AS syy FROM cube WHERE g = -1)
+SELECT 'intercept' AS term, ROUND(my, 6) AS value FROM sc
+UNION ALL SELECT term, ROUND(b, 6) FROM fit JOIN sd ON sd.i = fit.i
+UNION ALL SELECT 'r2_test', ROUND(1 - sse.v / (syy - sy * sy / n), 6) FROM sse, te_y"""
+
+
+def _penalised(spark, sf, alpha: float, l1_ratio: float):
+    """Coefficients on standardised predictors and the R2 of the test part, both
+    from the moment cube: no pass per iteration."""
+    design, test, folds = moment_cube(spark, sf)
+    whole = lin.merge_all([folds[k] for k in sorted(folds)])
+    mu, sd = whole.mean[:-1], lin.pop_sd(whole)
+    b0, beta = lin.coordinate_descent(whole.standardise(mu, sd), alpha, l1_ratio)
+    rows = [("intercept", b0), *zip(design.names, beta), ("r2_test", lin.r2(test.standardise(mu, sd), b0, beta))]
+    return spark.createDataFrame([(t, float(round(v, 6))) for t, v in rows], "term string, value double")
+
+
+@query("lasso", _penalised_sql(LASSO_ALPHA, 1.0))
 def lasso(spark, sf):
-    """K4: lasso on standardised features (Gram + coordinate descent)."""
-    return md.gram_penalised_fit(spark, sf, alpha=LASSO_ALPHA, l1_ratio=1.0)
+    """K4: lasso on standardised features (co-moments + coordinate descent)."""
+    return _penalised(spark, sf, LASSO_ALPHA, 1.0)
 
 
-@query("elastic_net")
+@query("elastic_net", _penalised_sql(ENET_ALPHA, ENET_L1))
 def elastic_net(spark, sf):
-    """K5: elastic net (alpha 0.1, l1_ratio 0.5) on the Gram, the reference's
-    objective directly (no conversion to Spark ML's parameterisation)."""
-    return md.gram_penalised_fit(spark, sf, alpha=ENET_ALPHA, l1_ratio=ENET_L1)
+    """K5: elastic net (alpha 0.1, l1_ratio 0.5) on the co-moments, the
+    reference's objective directly (no conversion to Spark ML's parameterisation)."""
+    return _penalised(spark, sf, ENET_ALPHA, ENET_L1)
+
+
+@query("lasso_alpha_grid", sql.CUBE + "," + sql.lasso_grid("lg", ALPHAS) + """
+SELECT alpha, ROUND(mean_r2, 8) AS mean_r2,
+       alpha = (SELECT alpha FROM lg ORDER BY mean_r2 DESC, alpha LIMIT 1) AS is_best FROM lg""")
+def lasso_alpha_grid(spark, sf):
+    """K6: the lasso over 7 alphas x 5 shuffled folds on all predictors, from
+    the same one-pass cube as the fits."""
+    folds = moment_cube(spark, sf)[2]
+    whole = lin.merge_all([folds[k] for k in sorted(folds)])
+    res = lin.alpha_grid(folds, ALPHAS, standardise_with=whole, fit=lin.coordinate_descent)
+    best = max(res, key=lambda r: (r[1], -r[0]))[0]
+    return spark.createDataFrame([(a, float(round(m, 8)), a == best) for a, m, _ in res], "alpha double, mean_r2 double, is_best boolean")
 
 
 @query("ridge_cv", _ridge_cv_sql())

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from lodestar.functions.hashing import sql_hash_u32, sql_poisson1_weight, sql_replicate_uniform
 from lodestar.functions.stats import t_ppf
 from lodestar.operators import inference as inf
-from lodestar.operators import resample as rs
-from lodestar.plans.q_linear import BASE, METRICS_SQL, _predicted_test, _train_test
+from lodestar.operators import regression as rg
+from lodestar.plans import sql_linear as sql
+from lodestar.plans.q_linear import BASE, METRICS_SQL, MULTI_SQL, _predicted_test, _train_test, full_design
 from lodestar.plans.registry import query
 
 B_METRICS = 1000     # reference: 1000 reps for metric intervals
@@ -63,40 +64,28 @@ def bootstrap_coef_ci(spark, sf):
 
 
 def _multi_sql():
-    comom = """sw, sy / sw AS my, sx1 / sw AS m1, sx2 / sw AS m2,
-      s11 - sx1 * sx1 / sw AS c11, s12 - sx1 * sx2 / sw AS c12, s22 - sx2 * sx2 / sw AS c22,
-      s1y - sx1 * sy / sw AS c1y, s2y - sx2 * sy / sw AS c2y"""
-    sums = """SUM({w}) AS sw, SUM({w} * x1) AS sx1, SUM({w} * x2) AS sx2, SUM({w} * y) AS sy, SUM({w} * x1 * x1) AS s11,
-      SUM({w} * x1 * x2) AS s12, SUM({w} * x2 * x2) AS s22, SUM({w} * x1 * y) AS s1y, SUM({w} * x2 * y) AS s2y"""
-    solve = """(c22 * c1y - c12 * c2y) / (c11 * c22 - c12 * c12) AS b1, (c11 * c2y - c12 * c1y) / (c11 * c22 - c12 * c12) AS b2"""
-    return BASE + f""",
-src AS (SELECT id, CAST(n_lines AS DOUBLE) AS x1, qty AS x2, total AS y FROM tr),
-fs AS (SELECT {sums.format(w='1.0')} FROM src),
-fc AS (SELECT {comom} FROM fs),
-fb AS (SELECT my, m1, m2, {solve} FROM fc),
-fullfit AS (SELECT my - b1 * m1 - b2 * m2 AS b0, b1, b2 FROM fb),
-{_w("src", "id", B_MULTI)},
-per AS (SELECT rep, {sums.format(w='w')} FROM w GROUP BY rep),
-pc AS (SELECT rep, {comom} FROM per),
-pb AS (SELECT rep, my, m1, m2, {solve} FROM pc),
-cf AS (SELECT my - b1 * m1 - b2 * m2 AS b0, b1, b2 FROM pb),
-lg AS (SELECT 'intercept' AS term, b0 AS v FROM cf UNION ALL SELECT 'n_lines', b1 FROM cf UNION ALL SELECT 'qty', b2 FROM cf),
-fl AS (SELECT 'intercept' AS term, b0 AS value FROM fullfit UNION ALL SELECT 'n_lines', b1 FROM fullfit
-       UNION ALL SELECT 'qty', b2 FROM fullfit),
-ci AS (SELECT term, QUANTILE_CONT(v, 0.025) AS lo, QUANTILE_CONT(v, 0.975) AS hi FROM lg GROUP BY term)
-SELECT fl.term, ROUND(value, 4) AS value, ROUND(lo, 4) AS ci_lower, ROUND(hi, 4) AS ci_upper,
-       NOT (lo <= 0 AND hi >= 0) AS significant FROM fl JOIN ci ON ci.term = fl.term"""
+    mean = lambda t, k: f"""{t}_c AS (SELECT o.{k}, term, b / sd AS v FROM {t} o JOIN sd ON sd.i = o.i
+        UNION ALL SELECT o.{k}, 'intercept', my + SUM(CASE WHEN o.i = 0 THEN b ELSE -b * mu / sd END)
+        FROM {t} o LEFT JOIN sd ON sd.i = o.i, sc GROUP BY o.{k}, my)"""
+    return MULTI_SQL + f""",
+zt AS (SELECT * FROM z WHERE NOT is_test),
+{_w("zt", "id", B_MULTI)},{sql.long_moments("rm", "rep", "w", "w * ")},{sql.gauss_jordan("ro", "rm", ["rep"])},
+{mean("ols", "g")},
+{mean("ro", "rep")},
+ci AS (SELECT term, QUANTILE_CONT(v, 0.025) AS lo, QUANTILE_CONT(v, 0.975) AS hi FROM ro_c GROUP BY term)
+SELECT f.term, ROUND(f.v, 4) AS value, ROUND(lo, 4) AS ci_lower, ROUND(hi, 4) AS ci_upper,
+       NOT (lo <= 0 AND hi >= 0) AS significant FROM ols_c f JOIN ci ON ci.term = f.term"""
 
 
 @query("bootstrap_multi_coef", _multi_sql())
 def bootstrap_multi_coef(spark, sf):
-    """Coefficient intervals of a 2-predictor regression refitted on
-    every replicate (weighted co-moments per replicate, closed-form solve),
-    with significance = interval excludes 0."""
-    train, _ = _train_test(spark, sf)
-    src = train.select("id", F.col("n_lines").cast("double").alias("x1"), F.col("qty").alias("x2"),
-                       F.col("total").alias("y"))
-    return inf.multi_coef_ci(src, "id", B_MULTI)
+    """Coefficient intervals of the multiple regression on two numeric
+    and two one-hot predictors, refitted on every replicate (weighted
+    co-moments per replicate, solved where they land), with significance =
+    interval excludes 0."""
+    train, _, design = full_design(spark, sf)
+    out = rg.coefficient_intervals(train, design, "id", B_MULTI)
+    return out.select("term", *[F.round(c, 4).alias(c) for c in ("value", "ci_lower", "ci_upper")], "significant")
 
 
 def _cv_sql(fold_expr: str, sd_fn: str, k: int) -> str:

@@ -41,3 +41,19 @@ def test_working_table_is_materialised_once(spark):
     assert "lineitem" not in p and "Exchange" not in p
     assert "ReadSchema: struct<id:bigint,n_lines:bigint,qty:double,total:double" in p
     assert first.count() == again.count() == facts_plan(spark, SF_SMALL).count()
+
+
+def test_quantiles_read_one_column_and_sort_no_rows(spark, tmp_path):
+    """Two passes over (group, value): no range exchange, no window or sort below
+    the first aggregation, nothing row-sized in an exchange."""
+    from lodestar.operators import profile as pf
+    facts_plan(spark, SF_SMALL).write.parquet(str(tmp_path / "t"))
+    f = spark.read.parquet(str(tmp_path / "t"))
+    p = _plan(pf.quantiles(f, "total", [0.25, 0.5, 0.75], by=["segment"]))
+    assert "rangepartitioning" not in p.lower()
+    scans = [line for line in p.splitlines() if "FileScan parquet" in line]
+    assert scans and all("ReadSchema: struct<total:double,segment:string>" in line for line in scans)
+    for line in scans:
+        above = p[:p.index(line)].splitlines()[::-1]
+        first = next(x for x in above if "Exchange hashpartitioning" in x or "partial_count" in x)
+        assert "partial_count" in first           # aggregated before the first shuffle of a row
