@@ -214,6 +214,8 @@ def coefficient_intervals(df: DataFrame, design: Design, key: str, reps: int, al
     return out.withColumn("significant", ~((F.col("ci_lower") <= 0) & (F.col("ci_upper") >= 0)))
 
 
+# Names of the linear models in the reports.
+FAMILY = ["Lineal Simple (Test)", "Lineal Múltiple (Test)", "Ridge Regression", "Lasso Regression", "Elastic Net"]
 SCORES = "rep bigint, model int, sw double, sy double, syy double, se double, sa double"
 
 
@@ -279,7 +281,7 @@ def linear_family(folds: dict[int, Moments], alphas: list[float], enet: tuple[fl
     def best(fit):
         return max(alpha_grid(folds, alphas, whole, fit), key=lambda r: (r[1], -r[0]))[0]
     ridge, lasso = best(solve), best(coordinate_descent)
-    return {"Simple OLS": (float(whole.mean[-1] - one * mu[simple]), alone), "Multiple OLS": least_squares(whole, min_norm=True),
-            f"Ridge (alpha {ridge:g})": original_units(*solve(scaled, ridge), mu, sd),
-            f"Lasso (alpha {lasso:g})": original_units(*coordinate_descent(scaled, lasso), mu, sd),
-            "Elastic Net": original_units(*coordinate_descent(scaled, *enet), mu, sd)}
+    fits = [(float(whole.mean[-1] - one * mu[simple]), alone), least_squares(whole, min_norm=True),
+            original_units(*solve(scaled, ridge), mu, sd), original_units(*coordinate_descent(scaled, lasso), mu, sd),
+            original_units(*coordinate_descent(scaled, *enet), mu, sd)]
+    return dict(zip(FAMILY, fits, strict=True))

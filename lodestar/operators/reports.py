@@ -75,28 +75,43 @@ def improvement_report(cmp: DataFrame) -> DataFrame:
                     F.round(d_rmse / F.col("b_rmse") * 100, 4).alias("delta_rmse_pct"), verdict.alias("verdict"))
 
 
-def final_ranking(cmp: DataFrame, boot: DataFrame | None = None) -> DataFrame:
-    """Rank by test R^2, R^2 text with its interval, CI source.
-
-    ``boot`` (modelo, r2_boot_ci_lower, r2_boot_ci_upper) adds bootstrap
-    intervals; a CV interval wins where both exist, as in the reference
-    (baseline rows: bootstrap, advanced rows: CV)."""
-    if boot is not None:
-        cmp = cmp.join(F.broadcast(boot), "modelo", "left")       # one row per model
-    else:
-        cmp = cmp.withColumn("r2_boot_ci_lower", F.lit(None).cast("double")) \
-            .withColumn("r2_boot_ci_upper", F.lit(None).cast("double"))
-    w = Window.orderBy(F.col("r2_test").desc_nulls_last(), F.col("modelo"))   # a handful of model rows
-    has_cv = F.col("r2_cv_ci_lower").isNotNull() & F.col("r2_cv_ci_upper").isNotNull()
-    has_boot = F.col("r2_boot_ci_lower").isNotNull() & F.col("r2_boot_ci_upper").isNotNull()
-    lo = F.when(has_cv, F.col("r2_cv_ci_lower")).otherwise(F.col("r2_boot_ci_lower"))
-    hi = F.when(has_cv, F.col("r2_cv_ci_upper")).otherwise(F.col("r2_boot_ci_upper"))
-    return cmp.select(F.row_number().over(w).alias("rank"), "modelo", "tipo",
-                      F.round("r2_test", 6).alias("r2"), F.round("rmse_test", 2).alias("rmse"),
-                      F.round("mae_test", 2).alias("mae"), F.round("r2_cv_mean", 6).alias("r2_cv_mean"),
-                      interval_text(F.col("r2_test"), lo, hi).alias("r2_text"),
-                      F.when(has_cv, F.lit("CV")).when(has_boot, F.lit("Bootstrap")).otherwise(F.lit("none"))
-                      .alias("ci_source"))
+RANK_COLS = ["modelo", "tipo", "r2", "rmse", "mae", "r2_cv_mean", "r2_cv_std", "rmse_cv_mean", "r2_ci_lower", "r2_ci_upper",
+             "rmse_ci_lower", "rmse_ci_upper", "mae_ci_lower", "mae_ci_upper"]
+
+
+def ranking_records(baselines: DataFrame | None, advanced: DataFrame | None = None) -> DataFrame:
+    """One record per model.  ``baselines`` (modelo, r2, rmse, mae and their
+    bootstrap intervals) have no cross-validation; ``advanced`` is a comparison
+    table, whose R2 and RMSE intervals are those of the cross-validation (MAE
+    has none there)."""
+    parts = []
+    if baselines is not None:
+        parts.append(baselines.withColumn("tipo", F.lit(BASELINE)))
+    if advanced is not None:
+        parts.append(advanced.select("modelo", F.lit(ADVANCED).alias("tipo"), F.col("r2_test").alias("r2"), F.col("rmse_test").alias("rmse"),
+                                     F.col("mae_test").alias("mae"), "r2_cv_mean", "r2_cv_std", "rmse_cv_mean",
+                                     *[F.col(f"{m}_cv_ci_{e}").alias(f"{m}_ci_{e}") for m in ("r2", "rmse") for e in ("lower", "upper")]))
+    out = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+    return out.select(*[F.col(c) if c in out.columns else F.lit(None).cast("double").alias(c) for c in RANK_COLS])
+
+
+def final_ranking(records: DataFrame) -> DataFrame:
+    """Records ranked by test R^2, with the text of its interval and
+    where the interval comes from."""
+    w = Window.orderBy(F.col("r2").desc_nulls_last(), F.col("modelo"))   # a handful of model rows
+    known = F.col("r2_ci_lower").isNotNull() & F.col("r2_ci_upper").isNotNull()
+    source = F.when(~known, "none").when(F.col("r2_cv_mean").isNotNull(), "CV").otherwise("Bootstrap")
+    return records.select(F.row_number().over(w).alias("rank"), "modelo", "tipo",
+                          *[F.round(c, 6 if c.startswith("r2") else 2).alias(c) for c in RANK_COLS[2:]],
+                          interval_text(F.col("r2"), F.col("r2_ci_lower"), F.col("r2_ci_upper")).alias("r2_text"),
+                          source.alias("ci_source"))
+
+
+def error_bars(records: DataFrame) -> DataFrame:
+    """(modelo, metric, value, value - lower, upper - value) where an interval is known."""
+    bars = [F.struct(F.lit(m.upper()).alias("metric"), F.round(m, d).alias("value"), F.round(F.col(m) - F.col(f"{m}_ci_lower"), d).alias("err_minus"),
+                     F.round(F.col(f"{m}_ci_upper") - F.col(m), d).alias("err_plus")) for m, d in (("r2", 6), ("rmse", 2), ("mae", 2))]
+    return records.select("modelo", F.explode(F.array(*bars)).alias("b")).select("modelo", "b.*").where("err_minus is not null and err_plus is not null")
 
 
 def best_model_card(ranking: DataFrame) -> DataFrame:

@@ -7,12 +7,12 @@ transforming any other frame is one lazy plan.
 
 from __future__ import annotations
 
-from pyspark.ml.feature import StringIndexer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions.stats import inv_normal
 from lodestar.operators import profile as pf
+from lodestar.operators.categories import encode, fit_categories
 
 METHODS = ("standard", "robust", "minmax")
 
@@ -67,10 +67,20 @@ class Scaler:
         return j.select(*[(F.col(c) * F.col(f"{c}__s") + F.col(f"{c}__c")).alias(c) if c in self.cols
                           else F.col(c) for c in df.columns])
 
-    def scale_column(self, name: str) -> DataFrame:
-        """J9 helper: the scale of one column as a one-row frame."""
+    def scales(self) -> DataFrame:
+        """(feature, scale), one row per scaled column."""
         self._check()
-        return self.params.select(F.col(f"{name}__s").alias("scale"))
+        return self.params.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"{c}__s").alias("scale"))
+                                                      for c in self.cols])).alias("s")).select("s.*")
+
+
+def rescaled_importances(importances: DataFrame, scaler: Scaler, digits: int = 6) -> DataFrame:
+    """(feature, importance) divided by the scale of the feature; a feature
+    without a scale keeps its importance, a scale of zero gives null."""
+    j = importances.join(F.broadcast(scaler.scales()), "feature", "left")          # one row per scaled column
+    rescaled = F.when(F.col("scale").isNotNull(), F.abs(F.try_divide("importance", "scale"))).otherwise(F.col("importance"))
+    return j.select("feature", F.round("importance", digits).alias("importance"), F.round("scale", digits).alias("scale"),
+                    F.round(rescaled, digits).alias("importance_rescaled"))
 
 
 def range_report(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -83,13 +93,16 @@ def range_report(df: DataFrame, cols: list[str]) -> DataFrame:
         .select("s.*")
 
 
-def one_hot_drop_first(df: DataFrame, col: str, prefix: str | None = None) -> tuple[DataFrame, list[str]]:
-    """Dummy columns for every category but the alphabetically first.
+MAX_DUMMIES = 1000       # wide dummy columns; more categories go through ``trees.Matrix`` as a sparse vector
 
-    The category list is a small aggregate (distinct values of a categorical
-    column) read on the driver to name the output columns.
-    """
-    cats = sorted(r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().collect())
+
+def one_hot_drop_first(df: DataFrame, col: str, prefix: str | None = None) -> tuple[DataFrame, list[str]]:
+    """Dummy columns for every category but the alphabetically first.  The
+    categories name columns, so there may be MAX_DUMMIES of them at most."""
+    found = df.select(col).where(F.col(col).isNotNull()).distinct().limit(MAX_DUMMIES + 1).collect()
+    if len(found) > MAX_DUMMIES:
+        raise ValueError(f"{col} has more than {MAX_DUMMIES} categories: use a fitted matrix (trees.Matrix)")
+    cats = sorted(r[0] for r in found)
     prefix = prefix or col
     names = [f"{prefix}_{c}".replace(" ", "_").replace("-", "_") for c in cats[1:]]
     out = df.select("*", *[(F.col(col) == F.lit(c)).cast("double").alias(n) for c, n in zip(cats[1:], names)])
@@ -97,10 +110,10 @@ def one_hot_drop_first(df: DataFrame, col: str, prefix: str | None = None) -> tu
 
 
 def label_encode(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
-    """Sorted classes -> 0..k-1 (Spark's StringIndexer, alphabetical)."""
-    out = out or f"{col}_idx"
-    model = StringIndexer(inputCol=col, outputCol=out, stringOrderType="alphabetAsc", handleInvalid="keep").fit(df)
-    return model.transform(df)
+    """Rows without a value are dropped, the others cast to text and
+    numbered by the sorted distinct values (0..k-1)."""
+    kept = df.where(F.col(col).isNotNull())
+    return encode(kept, col, fit_categories(kept, [col]), out or f"{col}_idx")
 
 
 def quantile_normal(train: DataFrame, df: DataFrame, col: str, n_quantiles: int = 100, out: str | None = None,

@@ -12,21 +12,30 @@ leaf-wise engine: parameters are mapped where an equivalent exists (see
 
 from __future__ import annotations
 
+import json
+import logging
 import math
 import random
 import time
 from concurrent.futures import ThreadPoolExecutor
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions.hashing import hash_uniform, poisson1_weight
 from lodestar.functions.stats import t_ppf
+from lodestar.operators.categories import encode, fit_categories, one_hot_stage, rotated
 from lodestar.operators.models import r_squared
 from lodestar.operators.resample import hash_fold
-from lodestar.operators.transform import label_encode, one_hot_drop_first
+from lodestar.operators.transform import Scaler
+
+log = logging.getLogger(__name__)
+FIT_ERRORS = (PySparkException, Py4JJavaError)      # what a fit on unsuitable data or parameters raises
 
 # Search spaces and fallback parameters (scaled to the Spark
 # estimators' parameter names).
@@ -42,36 +51,74 @@ GBT_DEFAULT = {"maxIter": 100, "stepSize": 0.05, "maxDepth": 4, "subsamplingRate
                "featureSubsetStrategy": "all", "minInstancesPerNode": 30, "minInfoGain": 0.5}
 RF_DEFAULT = {"numTrees": 100, "maxDepth": 6, "minInstancesPerNode": 12, "featureSubsetStrategy": "sqrt"}
 SEED = 42
+SEARCH_ROUNDS, FINAL_ROUNDS, PATIENCE = 200, 300, 30      # boosting rounds of a trial and of the final fit; rounds without a better one
+
+
+class Matrix:
+    """Fitted model matrix over the columns that exist: numeric ones,
+    one-hot ones (first category dropped) and label-encoded ones, assembled into
+    ``features``.  Category tables stay distributed."""
+
+    def __init__(self, numeric: list[str], one_hot: list[str], labels: list[str], table: DataFrame | None,
+                 stages: PipelineModel, sizes: dict[str, int]):
+        self.numeric, self.one_hot, self.labels = numeric, one_hot, labels
+        self.table, self.stages, self.sizes = table, stages, sizes
+
+    @classmethod
+    def fit(cls, df: DataFrame, numeric: list[str], one_hot: list[str], labels: list[str]) -> "Matrix":
+        numeric, one_hot, labels = ([c for c in cols if c in df.columns] for cols in (numeric, one_hot, labels))
+        table = fit_categories(df, [*one_hot, *labels]) if one_hot or labels else None
+        stages, sizes, inputs = [], {}, list(numeric)
+        for c in one_hot:
+            stage, sizes[c] = one_hot_stage(c, table, f"__i_{c}", f"__v_{c}")
+            if stage is not None:
+                stages.append(stage)
+                inputs.append(f"__v_{c}")
+        stages.append(VectorAssembler(inputCols=[*inputs, *[f"{c}_encoded" for c in labels]], outputCol="features"))
+        return cls(numeric, one_hot, labels, table, PipelineModel(stages), sizes)
+
+    @property
+    def columns(self) -> list[str]:
+        return [*self.numeric, *self.one_hot, *self.labels]
+
+    def names(self, limit: int = 1000) -> list[str]:
+        """Names of the entries of ``features``; beyond ``limit`` categories a
+        one-hot column's entries are named by their index."""
+        out = list(self.numeric)
+        for c in self.one_hot:
+            if self.sizes[c] > limit:
+                out += [f"var_{c}_{i}" for i in range(1, self.sizes[c])]
+            else:
+                values = self.table.where((F.col("column") == c) & (F.col("idx") > 0)).orderBy("idx").select("category").collect()
+                out += [f"var_{c}_{r[0]}".replace(" ", "_").replace("-", "_") for r in values]
+        return out + [f"{c}_encoded" for c in self.labels]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """``df`` plus ``features``."""
+        keep = df.columns
+        d = df.select("*", *[F.col(c).cast("double").alias(f"__n_{c}") for c in self.numeric])
+        for c in self.one_hot:
+            d = encode(d, c, self.table, f"__i_{c}").withColumn(f"__i_{c}", rotated(F.col(f"__i_{c}"), max(1, self.sizes[c])))
+        for c in self.labels:
+            d = encode(d, c, self.table, f"{c}_encoded")
+        d = d.drop(*self.numeric).withColumnsRenamed({f"__n_{c}": c for c in self.numeric})
+        rest = [c for c in keep if c != "features" and c not in self.numeric]
+        out = self.stages.transform(d).select(*rest, *[F.col(c) for c in self.numeric], "features")
+        return out.select(*[c for c in keep if c != "features"], "features")
 
 
 def model_matrix(df: DataFrame, numeric: list[str], one_hot: list[str], labels: list[str], y: str,
                  key: str, keep: list[str] | None = None) -> tuple[DataFrame, list[str]]:
-    """Existing columns only -> drop rows with a null in any used column
-    -> numeric + one-hot (first category dropped) + label-encoded columns,
-    assembled into ``features``; ``keep`` columns pass through untouched.
-    Returns (frame, feature names)."""
-    keep = keep or []
-    have = set(df.columns)
-    numeric = [c for c in numeric if c in have]
-    one_hot = [c for c in one_hot if c in have]
-    labels = [c for c in labels if c in have]
-    used = numeric + one_hot + labels + [y]
-    d = df.select(key, *keep, *used).na.drop("any", subset=used)
-    d = d.select(key, *keep, *[F.col(c).cast("double").alias(c) if c in numeric or c == y else F.col(c)
-                               for c in used])
-    names = list(numeric)
-    for c in one_hot:
-        d, dummies = one_hot_drop_first(d, c, prefix=f"var_{c}")
-        names += dummies
-    for c in labels:
-        d = label_encode(d, c, out=f"{c}_encoded")
-        names.append(f"{c}_encoded")
-    asm = VectorAssembler(inputCols=names, outputCol="features")
-    return asm.transform(d).select(key, *keep, y, *names, "features"), names
+    """(key, keep..., y, features) of the rows without a null in any used
+    column, and the names of the features."""
+    used = [c for c in dict.fromkeys([*numeric, *one_hot, *labels]) if c in df.columns]
+    d = df.na.drop("any", subset=[*used, y]).withColumn(y, F.col(y).cast("double"))
+    m = Matrix.fit(d, numeric, one_hot, labels)
+    return m.transform(d).select(key, *(keep or []), y, "features"), m.names()
 
 
 def estimator(kind: str, params: dict, label: str, weight: str | None = None):
-    """K7/K8: a Spark ML regressor with the given parameters."""
+    """K7/K8: a Spark ML regressor with the given parameters (``ols``: plain least squares)."""
     p = dict(params)
     common = {"featuresCol": "features", "labelCol": label, "seed": SEED}
     if weight:
@@ -80,6 +127,8 @@ def estimator(kind: str, params: dict, label: str, weight: str | None = None):
         return GBTRegressor(**common, checkpointInterval=10, **p)
     if kind == "rf":
         return RandomForestRegressor(**common, **p)
+    if kind == "ols":
+        return LinearRegression(featuresCol="features", labelCol=label, solver="normal", regParam=0.0, **p)
     raise ValueError(kind)
 
 
@@ -88,19 +137,44 @@ def predict(model, df: DataFrame, key: str, y: str) -> DataFrame:
     return model.transform(df).select(key, y, "prediction")
 
 
-def score_new_data(model, df: DataFrame, key: str, names: list[str], scaler=None) -> DataFrame | None:
-    """Scale (with the fitted scaler, if any), assemble and predict new
-    rows; like the reference, a failure (missing column, unfitted scaler,
-    wrong types) gives ``None`` instead of raising.  The plan is analysed
-    eagerly, so such errors surface here rather than at the first action."""
-    try:
-        d = scaler.transform(df) if scaler is not None else df
-        d = VectorAssembler(inputCols=names, outputCol="features").transform(d)
-        out = model.transform(d).select(key, "prediction")
-        out.schema  # noqa: B018 -- forces analysis
-        return out
-    except Exception:  # noqa: BLE001
-        return None
+class Scorer:
+    """A fitted matrix, its scaler (if any) and a model, applied to new data
+    or kept in a folder that every executor sees."""
+
+    def __init__(self, matrix: Matrix, model, scaler: Scaler | None = None):
+        self.matrix, self.model, self.scaler = matrix, model, scaler
+
+    def score(self, df: DataFrame, key: str) -> DataFrame | None:
+        """(key, prediction); None where a column of the matrix is missing, as in
+        the reference.  Any other error is raised."""
+        if any(c not in df.columns for c in [key, *self.matrix.columns]):
+            return None
+        d = df.select(key, *self.matrix.columns)
+        d = self.scaler.transform(d) if self.scaler is not None else d
+        return self.model.transform(self.matrix.transform(d)).select(key, "prediction")
+
+    def save(self, spark, folder: str) -> None:
+        m = self.matrix
+        spec = {"numeric": m.numeric, "one_hot": m.one_hot, "labels": m.labels, "sizes": m.sizes, "tables": m.table is not None,
+                "scaler": None if self.scaler is None else [self.scaler.cols, self.scaler.method]}
+        spark.createDataFrame([(json.dumps(spec),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/spec")
+        PipelineModel([*m.stages.stages, self.model]).write().overwrite().save(f"{folder}/stages")
+        if m.table is not None:
+            m.table.write.mode("overwrite").parquet(f"{folder}/categories")
+        if self.scaler is not None:
+            self.scaler.params.write.mode("overwrite").parquet(f"{folder}/scaler")
+
+    @classmethod
+    def load(cls, spark, folder: str) -> "Scorer":
+        spec = json.loads(spark.read.text(f"{folder}/spec").first()[0])
+        stages = PipelineModel.load(f"{folder}/stages").stages
+        table = spark.read.parquet(f"{folder}/categories") if spec["tables"] else None
+        scaler = None
+        if spec["scaler"]:
+            scaler = Scaler(*spec["scaler"])
+            scaler.params = spark.read.parquet(f"{folder}/scaler")
+        matrix = Matrix(spec["numeric"], spec["one_hot"], spec["labels"], table, PipelineModel(stages[:-1]), spec["sizes"])
+        return cls(matrix, stages[-1], scaler)
 
 
 def importances(model, names: list[str], top: int = 10) -> list[tuple[str, float]]:
@@ -127,6 +201,30 @@ def sample_params(space: dict, rng: random.Random) -> dict:
     return out
 
 
+def best_round(errors: list[float], patience: int = PATIENCE) -> int:
+    """1-based round of the least error seen before ``patience`` rounds without a better one."""
+    best = 0
+    for i, e in enumerate(errors):
+        if e < errors[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
+
+
+def boost_with_stopping(params: dict, train: DataFrame, valid: DataFrame, y: str, rounds: int = SEARCH_ROUNDS,
+                        patience: int = PATIENCE) -> tuple[list[float], int]:
+    """K7/K9: (validation RMSE after each round, round chosen by early stopping).
+
+    Boosting is stagewise: the first m trees of a fit are the fit of m rounds,
+    so the errors of every round come from one fit and one pass over the
+    validation rows.  (Spark's own ``validationIndicatorCol`` stops at the first
+    round that is not better, a patience of one.)"""
+    model = estimator("gbt", {**params, "maxIter": rounds}, y).fit(train)
+    errors = [math.sqrt(e) for e in model.evaluateEachIteration(valid, "squared")]
+    return errors, best_round(errors, patience)
+
+
 def fold_predictions(kind: str, params: dict, d: DataFrame, key: str, y: str, k: int,
                      parallelism: int | None = None) -> DataFrame:
     """k fits on k-1 folds each, predictions of the held-out fold, unioned:
@@ -161,30 +259,46 @@ def cv_summary(preds: DataFrame, y: str, k: int, model_name: str) -> DataFrame:
     return pf.agg(*aggs).select(F.lit(model_name).alias("modelo"), "*")
 
 
+def trial_rmse(kind: str, params: dict, d: DataFrame, key: str, y: str, k: int) -> tuple[float, list[int]]:
+    """Mean over k folds of the held-out RMSE, and for boosting the round early
+    stopping chose in each fold."""
+    if kind == "gbt":
+        df = d.withColumn("fold", hash_fold(key, k, seed=SEED))
+
+        def one(f):
+            return boost_with_stopping(params, df.where(F.col("fold") != f), df.where(F.col("fold") == f), y)
+        with ThreadPoolExecutor(max_workers=k) as pool:
+            got = list(pool.map(one, range(k)))
+        return sum(errors[r - 1] for errors, r in got) / k, [r for _, r in got]
+    pr = fold_predictions(kind, params, d, key, y, k)
+    e = F.col(y) - F.col("prediction")
+    return pr.groupBy("fold").agg(F.sqrt(F.avg(e * e)).alias("r")).agg(F.avg("r")).first()[0], []
+
+
 def random_search(kind: str, d: DataFrame, key: str, y: str, n_trials: int, timeout_s: float, k: int = 3,
-                  seed: int = SEED, fixed: dict | None = None, parallel_trials: int = 2) -> tuple[list[dict], dict]:
-    """Seeded random search, k-fold RMSE per trial; a failing trial
-    scores inf; no trial is started after the deadline; if none succeeded
-    the default parameters are returned.  Returns (trials, best params).
+                  seed: int = SEED, overrides: dict | None = None, parallel_trials: int = 5) -> tuple[list[dict], dict]:
+    """Seeded random search, k-fold RMSE per trial (boosting: with early
+    stopping on the held-out fold); a trial whose fit fails scores inf; no
+    trial is started after the deadline; if none succeeded the default
+    parameters are returned.  Returns (trials, best params).
 
     Parameters are drawn up front in a fixed order, so the trial set does not
     depend on timing; ``parallel_trials`` trials (each with its k fold fits
-    in parallel) run as concurrent Spark jobs."""
+    in parallel) run as concurrent Spark jobs.  ``overrides`` fix some of them."""
     space = GBT_SPACE if kind == "gbt" else RF_SPACE
     rng = random.Random(seed)
-    plans = [{**sample_params(space, rng), **(fixed or {})} for _ in range(n_trials)]
+    plans = [{**sample_params(space, rng), **(overrides or {})} for _ in range(n_trials)]
     deadline = time.monotonic() + timeout_s
 
     def run(i):
         if time.monotonic() > deadline:
             return None
         try:
-            pr = fold_predictions(kind, plans[i], d, key, y, k)
-            e = F.col(y) - F.col("prediction")
-            rmse = pr.groupBy("fold").agg(F.sqrt(F.avg(e * e)).alias("r")).agg(F.avg("r")).first()[0]
-        except Exception:  # noqa: BLE001 -- a failing trial is scored inf, as in the reference
-            rmse = float("inf")
-        return {"trial": i, "params": plans[i], "cv_rmse": float(rmse)}
+            rmse, rounds = trial_rmse(kind, plans[i], d, key, y, k)
+        except FIT_ERRORS as e:
+            log.warning("trial %d failed: %s", i, str(e)[:200])
+            rmse, rounds = float("inf"), []
+        return {"trial": i, "params": plans[i], "cv_rmse": float(rmse), "rounds": rounds}
 
     with ThreadPoolExecutor(max_workers=max(1, parallel_trials)) as pool:
         trials = [t for t in pool.map(run, range(n_trials)) if t is not None]
@@ -194,35 +308,41 @@ def random_search(kind: str, d: DataFrame, key: str, y: str, n_trials: int, time
     return trials, best
 
 
+def _percentile(values, share: float):
+    """Linear-interpolation percentile of a sorted array column."""
+    at = F.lit(share) * (F.size(values) - 1)
+    low = F.get(values, F.floor(at).cast("int"))
+    return low + (F.get(values, F.ceil(at).cast("int")) - low) * (at - F.floor(at))
+
+
 def bootstrap_prediction_interval(kind: str, params: dict, train: DataFrame, test: DataFrame, key: str, y: str,
-                                  reps: int, parallelism: int = 2) -> DataFrame:
-    """Refit on Poisson-weighted training rows ``reps`` times, predict
-    the test rows each time, then mean and 2.5/97.5 % percentiles per test
-    key (one aggregation over the unioned predictions).  Failed replicates are
-    skipped; if all fail, the interval is prediction +- 1.96 * 0.1 * sd(pred).
-    """
+                                  reps: int, parallelism: int = 4) -> DataFrame:
+    """Refit on Poisson-weighted training rows ``reps`` times, then score
+    every model over one scan of the test rows: a row's predictions are an array,
+    and its mean and 2.5/97.5 % percentiles come from that array.  Failed
+    replicates are skipped; if all fail, the interval is prediction +- 1.96 *
+    0.1 * sd(pred)."""
     def one(b):
         w = train.withColumn("__w", poisson1_weight(hash_uniform(key, F.lit(f"boot{b}"))).cast("double"))
         try:
-            m = estimator(kind, params, y, weight="__w").fit(w.where(F.col("__w") > 0))
-            return m.transform(test).select(key, F.lit(b).alias("rep"), "prediction")
-        except Exception:  # noqa: BLE001 -- a failed replicate is skipped
+            return estimator(kind, params, y, weight="__w").fit(w.where(F.col("__w") > 0))
+        except FIT_ERRORS as e:
+            log.warning("replicate %d failed: %s", b, str(e)[:200])
             return None
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        parts = [p for p in pool.map(one, range(reps)) if p is not None]
-    if not parts:
+        models = [m for m in pool.map(one, range(reps)) if m is not None]
+    if not models:
         base = estimator(kind, params, y).fit(train).transform(test).select(key, y, "prediction")
         sd = base.agg(F.stddev_samp("prediction")).first()[0] or 0.0
         half = 1.96 * 0.1 * sd
         return base.select(key, y, F.col("prediction").alias("pred_mean"),
                            (F.col("prediction") - half).alias("pi_lower"),
                            (F.col("prediction") + half).alias("pi_upper"), F.lit(0).alias("n_reps"))
-    allp = parts[0]
-    for p in parts[1:]:
-        allp = allp.unionByName(p)
-    agg = allp.groupBy(key).agg(F.avg("prediction").alias("pred_mean"),
-                                F.percentile("prediction", 0.025).alias("pi_lower"),
-                                F.percentile("prediction", 0.975).alias("pi_upper"),
-                                F.count(F.lit(1)).alias("n_reps"))
-    return test.select(key, y).join(agg, key)
+    scored, cols = test.select(key, y, "features"), [f"__p{b}" for b in range(len(models))]
+    for c, m in zip(cols, models):
+        scored = m.setPredictionCol(c).transform(scored)
+    scored = scored.select(key, y, F.array_sort(F.array(*cols)).alias("__all"))
+    total = F.aggregate("__all", F.lit(0.0), lambda a, x: a + x)
+    return scored.select(key, y, (total / F.size("__all")).alias("pred_mean"), _percentile(F.col("__all"), 0.025).alias("pi_lower"),
+                         _percentile(F.col("__all"), 0.975).alias("pi_upper"), F.size("__all").alias("n_reps"))

@@ -13,11 +13,13 @@ from lodestar.functions.hashing import sql_hash_u32
 from lodestar.functions.stats import sql_t975, t975_expr
 from lodestar.operators import enrich as en
 from lodestar.operators import inference as inf
+from lodestar.operators import reports as rp
 from lodestar.operators import resample as rs
+from lodestar.operators import regression as rg
 from lodestar.operators import transform as tf
-from lodestar.operators import trees as tr
 from lodestar.plans.facts import FACTS_SQL, facts, with_sql
-from lodestar.plans.q_models import CMP_SQL, RANK_SQL, RF_PARAMS, _matrix, _xy, baseline_bootstrap, linear_records
+from lodestar.plans.q_models import CMP_SQL, RANK_SQL, _xy, linear_scores
+from lodestar.plans.q_linear import MULTI_SQL, full_design
 from lodestar.plans.q_split import NUM, SPLIT_SQL, split_facts
 from lodestar.plans.registry import query
 from lodestar.sources.tables import read_table
@@ -111,22 +113,19 @@ def scaler_comparison(spark, sf):
     return out
 
 
-@query("importance_rescaled")
+@query("importance_rescaled", MULTI_SQL + """,
+sc2 AS (SELECT 'n_lines' AS feature, QUANTILE_CONT(n_lines, 0.75) - QUANTILE_CONT(n_lines, 0.25) AS scale FROM split WHERE NOT is_test
+        UNION ALL SELECT 'qty', QUANTILE_CONT(qty, 0.75) - QUANTILE_CONT(qty, 0.25) FROM split WHERE NOT is_test)
+SELECT term AS feature, ROUND(abs(b), 6) AS importance, ROUND(scale, 6) AS scale,
+       ROUND(CASE WHEN scale IS NOT NULL THEN abs(abs(b) / NULLIF(scale, 0)) ELSE abs(b) END, 6) AS importance_rescaled
+FROM ols JOIN sd ON sd.i = ols.i LEFT JOIN sc2 ON sc2.feature = sd.term""")
 def importance_rescaled(spark, sf):
-    """Tree importances divided by the robust scale of their feature
-    (absolute value); features without a scale keep their importance."""
-    train, _, names = _matrix(spark, sf)
-    model = tr.estimator("rf", RF_PARAMS, "total").fit(train)
-    imp = spark.createDataFrame([(n, float(v)) for n, v in tr.importances(model, names, top=len(names))],
-                                "feature string, importance double")
-    num = ["n_lines", "qty"]
-    sc = tf.Scaler(num, "robust").fit(train)
-    scales = sc.params.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"{c}__s").alias("scale"))
-                                                  for c in num])).alias("s")).select("s.*")
-    j = imp.join(F.broadcast(scales), "feature", "left")
-    return j.select("feature", F.round("importance", 6).alias("importance"), F.round("scale", 6).alias("scale"),
-                    F.round(F.when(F.col("scale").isNotNull(), F.abs(F.try_divide(F.col("importance"), F.col("scale"))))
-                            .otherwise(F.col("importance")), 9).alias("importance_rescaled"))
+    """Importances (absolute standardised coefficients) divided by the robust
+    scale of their feature; features without a scale keep their importance."""
+    train, _, design = full_design(spark, sf)
+    imp = rg.solve_each(rg.cross_moments(train, design, F.lit(0)), design, min_norm=True).where("term <> 'intercept'").select(
+        F.col("term").alias("feature"), F.abs("std_coef").alias("importance"))
+    return tf.rescaled_importances(imp, tf.Scaler(["n_lines", "qty"], "robust").fit(train))
 
 
 # ---- D24-D26: shape, scatter and error-bar series ----------------------------
@@ -154,26 +153,12 @@ def scatter_series(spark, sf):
                     .alias("predicted"), "segment")
 
 
-@query("error_bar_series", RANK_SQL.rstrip() + """
-SELECT modelo, 'R2' AS metric, ROUND(r2_test, 6) AS value, ROUND(r2_test - lo, 6) AS err_minus,
-       ROUND(hi - r2_test, 6) AS err_plus FROM cb WHERE lo IS NOT NULL AND hi IS NOT NULL
-UNION ALL
-SELECT modelo, 'RMSE_CV', ROUND(rmse_cv_mean, 2), ROUND(rmse_cv_mean - rmse_cv_ci_lower, 2),
-       ROUND(rmse_cv_ci_upper - rmse_cv_mean, 2) FROM cb WHERE rmse_cv_ci_lower IS NOT NULL""")
+@query("error_bar_series", RANK_SQL + " UNION ALL ".join(
+    f"""SELECT modelo, '{m.upper()}' AS metric, ROUND({m}, {d}) AS value, ROUND({m} - {m}_ci_lower, {d}) AS err_minus,
+       ROUND({m}_ci_upper - {m}, {d}) AS err_plus FROM records""" for m, d in (("r2", 6), ("rmse", 2), ("mae", 2))))
 def error_bar_series(spark, sf):
-    """(value, value - lower, upper - value) per model and metric."""
-    cmp = linear_records(spark, sf).join(F.broadcast(baseline_bootstrap(spark, sf)), "modelo", "left")
-    has_cv = F.col("r2_cv_ci_lower").isNotNull() & F.col("r2_cv_ci_upper").isNotNull()
-    lo = F.when(has_cv, F.col("r2_cv_ci_lower")).otherwise(F.col("r2_boot_ci_lower"))
-    hi = F.when(has_cv, F.col("r2_cv_ci_upper")).otherwise(F.col("r2_boot_ci_upper"))
-    r2 = cmp.where(lo.isNotNull() & hi.isNotNull()).select(
-        "modelo", F.lit("R2").alias("metric"), F.round("r2_test", 6).alias("value"),
-        F.round(F.col("r2_test") - lo, 6).alias("err_minus"), F.round(hi - F.col("r2_test"), 6).alias("err_plus"))
-    rm = cmp.where(F.col("rmse_cv_ci_lower").isNotNull()).select(
-        "modelo", F.lit("RMSE_CV").alias("metric"), F.round("rmse_cv_mean", 2).alias("value"),
-        F.round(F.col("rmse_cv_mean") - F.col("rmse_cv_ci_lower"), 2).alias("err_minus"),
-        F.round(F.col("rmse_cv_ci_upper") - F.col("rmse_cv_mean"), 2).alias("err_plus"))
-    return r2.unionByName(rm)
+    """(value, value - lower, upper - value) per linear model and metric."""
+    return rp.error_bars(rp.ranking_records(linear_scores(spark, sf)))
 
 
 # ---- H19: metric names of fold scores ---------------------------------------

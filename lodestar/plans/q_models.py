@@ -11,19 +11,26 @@ from __future__ import annotations
 
 import json
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from lodestar.functions.features import clip
 from lodestar.functions.hashing import hash_u32, replicate_uniform, sql_hash_u32, sql_replicate_uniform
 from lodestar.functions.stats import t_ppf
 from lodestar.operators import inference as inf
+from lodestar.operators import regression as rg
 from lodestar.operators import reports as rp
 from lodestar.operators import resample as rs
+from lodestar.operators import transform as tf
 from lodestar.operators import trees as tr
-from lodestar.plans.facts import FACTS_SQL, with_sql
+from lodestar.operators.models import r_squared
+from lodestar.plans import sql_linear as sql
+from lodestar.plans.facts import FACTS_SQL, facts, with_sql
+from lodestar.plans.q_linear import ALPHAS, ENET_ALPHA, ENET_L1, MULTI_SQL, full_design
 from lodestar.plans.q_resample import _w
 from lodestar.plans.q_split import SPLIT_SQL, split_facts
 from lodestar.plans.registry import query
+from lodestar.session import scratch_path
 from lodestar.sources.tables import read_table
 
 K = 5
@@ -40,7 +47,7 @@ def _xy(spark, sf):
 
 def _test_metrics(pred, name):
     e = F.col("y") - F.col("pred")
-    return pred.agg((F.lit(1.0) - F.sum(e * e) / (F.var_pop("y") * F.count(F.lit(1)))).alias("r2_test"),
+    return pred.agg(r_squared("y", e).alias("r2_test"),
                     F.sqrt(F.avg(e * e)).alias("rmse_test"), F.avg(F.abs(e)).alias("mae_test")) \
         .select(F.lit(name).alias("modelo"), "*")
 
@@ -66,7 +73,7 @@ def linear_records(spark, sf):
     cof = inf._two_predictor_coefs(trn)
     e = F.col("y") - yhat
     pf = folds.join(F.broadcast(cof), "fold").groupBy("fold").agg(
-        (F.lit(1.0) - F.sum(e * e) / (F.var_pop("y") * F.count(F.lit(1)))).alias("r2"),
+        r_squared("y", e).alias("r2"),
         F.sqrt(F.avg(e * e)).alias("rmse"))
     aggs = []
     for m in ("r2", "rmse"):
@@ -122,49 +129,57 @@ best AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY tipo ORDER BY r2_test DESC NU
 
 B_RANK = 1000        # reference: 1000 reps for the metric intervals of baseline models
 
-RANK_SQL = CMP_SQL.rstrip() + f""",
-bp AS (SELECT te.id, te.y, f1.b0 + f1.b1 * te.x1 AS p1, f2.b0 + f2.b1 * te.x2 AS p2 FROM te, f1, f2),
-{_w("bp", "id", B_RANK)},
-per AS (SELECT rep, SUM(w) AS sw, SUM(w * y) AS sy, SUM(w * y * y) AS syy, SUM(w * (y - p1) * (y - p1)) AS se1,
-               SUM(w * (y - p2) * (y - p2)) AS se2 FROM w GROUP BY rep),
-rr AS (SELECT 1 - se1 / (syy - sy * sy / sw) AS r1, 1 - se2 / (syy - sy * sy / sw) AS r2 FROM per),
-bci AS (SELECT 'Simple OLS (n_lines)' AS modelo, QUANTILE_CONT(r1, 0.025) AS blo, QUANTILE_CONT(r1, 0.975) AS bhi FROM rr
-        UNION ALL SELECT 'Simple OLS (qty)', QUANTILE_CONT(r2, 0.025), QUANTILE_CONT(r2, 0.975) FROM rr),
-cb AS (SELECT cmp.*, CASE WHEN r2_cv_ci_lower IS NOT NULL AND r2_cv_ci_upper IS NOT NULL THEN r2_cv_ci_lower ELSE blo END AS lo,
-              CASE WHEN r2_cv_ci_lower IS NOT NULL AND r2_cv_ci_upper IS NOT NULL THEN r2_cv_ci_upper ELSE bhi END AS hi,
-              CASE WHEN r2_cv_ci_lower IS NOT NULL AND r2_cv_ci_upper IS NOT NULL THEN 'CV'
-                   WHEN blo IS NOT NULL AND bhi IS NOT NULL THEN 'Bootstrap' ELSE 'none' END AS ci_source
-       FROM cmp LEFT JOIN bci ON bci.modelo = cmp.modelo),
-ranking AS (SELECT CAST(ROW_NUMBER() OVER (ORDER BY r2_test DESC NULLS LAST, modelo) AS INTEGER) AS rank, modelo, tipo,
-                   ROUND(r2_test, 6) AS r2, ROUND(rmse_test, 2) AS rmse, ROUND(mae_test, 2) AS mae,
-                   ROUND(r2_cv_mean, 6) AS r2_cv_mean,
-                   CASE WHEN r2_test IS NULL THEN 'N/A'
-                        WHEN lo IS NULL OR hi IS NULL THEN printf('%.3f', ROUND(r2_test, 3)) || ' (No IC)'
-                        ELSE printf('%.3f (%.3f-%.3f)', ROUND(r2_test, 3), ROUND(lo, 3), ROUND(hi, 3)) END AS r2_text,
-                   ci_source
-            FROM cb)
+
+def _rank_sql() -> str:
+    """Records of the five linear models: coefficients in z-space, predictions
+    and replicate sums of all of them at once."""
+    ridge = f"""SELECT w.g, w.i, w.j, v + CASE WHEN i = j AND i BETWEEN 1 AND {sql.P} THEN alpha ELSE 0 END AS v
+        FROM whole w, (SELECT alpha FROM rg ORDER BY mean_r2 DESC, alpha LIMIT 1)"""
+    lasso = "SELECT 0 AS g, alpha AS l1, 0.0 AS l2 FROM (SELECT alpha FROM lg ORDER BY mean_r2 DESC, alpha LIMIT 1)"
+    enet = f"SELECT 0 AS g, CAST({ENET_ALPHA * ENET_L1!r} AS DOUBLE) AS l1, CAST({ENET_ALPHA * (1 - ENET_L1)!r} AS DOUBLE) AS l2"
+    coefs = " UNION ALL ".join([
+        f"SELECT 0 AS m, 1 AS i, c.v / d.v AS b FROM whole c, whole d WHERE c.i = 1 AND c.j = {sql.P + 1} AND d.i = 1 AND d.j = 1",
+        "SELECT 1, i, b FROM ols", "SELECT 2, i, b FROM rf", "SELECT 3, i, b FROM lf", "SELECT 4, i, b FROM ef"])
+    n, z = len(rg.FAMILY), ", ".join(f"z{i}" for i in range(sql.P + 1))
+    sums = ", ".join(f"SUM(w * e{m} * e{m}) AS se{m}, SUM(w * abs(e{m})) AS sa{m}" for m in range(n))
+    point = ", ".join(f"SUM(e{m} * e{m}) AS se{m}, SUM(abs(e{m})) AS sa{m}" for m in range(n))
+    long = " UNION ALL ".join(f"SELECT rep, '{name}' AS modelo, 1 - se{m} / (syy - sy * sy / sw) AS r2, sqrt(se{m} / sw) AS rmse, "
+                              f"sa{m} / sw AS mae FROM per" for m, name in enumerate(rg.FAMILY))
+    ci = ", ".join(f"MAX({c}) FILTER (rep < 0) AS {c}, QUANTILE_CONT({c}, 0.025) FILTER (rep >= 0) AS {c}_ci_lower, "
+                   f"QUANTILE_CONT({c}, 0.975) FILTER (rep >= 0) AS {c}_ci_upper" for c in ("r2", "rmse", "mae"))
+    return MULTI_SQL + "," + sql.ridge_grid("rg", ALPHAS) + "," + sql.lasso_grid("lg", ALPHAS) + f""",
+rm_ridge AS MATERIALIZED ({ridge}),""" + sql.gauss_jordan("rf", "rm_ridge", ["g"]) + "," + \
+        sql.coordinate_descent("lf", "whole", lasso) + "," + sql.coordinate_descent("ef", "whole", enet) + f""",
+co AS MATERIALIZED (SELECT m, LIST(COALESCE(b, 0.0) ORDER BY i) AS b FROM
+   (SELECT k.m, k.i, c.b FROM (SELECT m, i FROM range({n}) a(m), range({sql.P + 1}) r(i)) k LEFT JOIN ({coefs}) c ON c.m = k.m AND c.i = k.i) GROUP BY m),
+bm AS (SELECT {", ".join(f"MAX(b) FILTER (m = {m}) AS b{m}" for m in range(n))} FROM co),
+pe AS MATERIALIZED (SELECT id, z{sql.P + 1} AS y, {", ".join(f"z{sql.P + 1} - list_dot_product([{z}], b{m}) AS e{m}" for m in range(n))}
+       FROM z, bm WHERE is_test),
+{_w("pe", "id", B_RANK)},
+per AS (SELECT rep, SUM(w) AS sw, SUM(w * y) AS sy, SUM(w * y * y) AS syy, {sums} FROM w GROUP BY rep
+        UNION ALL SELECT -1, COUNT(*), SUM(y), SUM(y * y), {point} FROM pe),
+lg_scores AS ({long}),
+records AS (SELECT modelo, 'Baseline' AS tipo, {ci} FROM lg_scores GROUP BY modelo),
+ranking AS (SELECT CAST(ROW_NUMBER() OVER (ORDER BY r2 DESC NULLS LAST, modelo) AS INTEGER) AS rank, modelo, tipo,
+                   ROUND(r2, 6) AS r2, ROUND(rmse, 2) AS rmse, ROUND(mae, 2) AS mae, CAST(NULL AS DOUBLE) AS r2_cv_mean,
+                   CAST(NULL AS DOUBLE) AS r2_cv_std, CAST(NULL AS DOUBLE) AS rmse_cv_mean,
+                   {", ".join(f"ROUND({c}_ci_{e}, {6 if c == 'r2' else 2}) AS {c}_ci_{e}" for c in ("r2", "rmse", "mae") for e in ("lower", "upper"))},
+                   printf('%.3f (%.3f-%.3f)', ROUND(r2, 3), ROUND(r2_ci_lower, 3), ROUND(r2_ci_upper, 3)) AS r2_text,
+                   'Bootstrap' AS ci_source FROM records)
 """
 
 
-def baseline_bootstrap(spark, sf, reps: int = B_RANK):
-    """Percentile bootstrap interval of the test R^2 of both baseline models:
-    the two predictions share one exploded, keyed-weight pass."""
-    d = _xy(spark, sf)
-    train, test = d.where(~F.col("is_test")), d.where(F.col("is_test"))
-    f1 = train.agg(F.regr_slope("y", "x1").alias("a1"), F.regr_intercept("y", "x1").alias("c1"))
-    f2 = train.agg(F.regr_slope("y", "x2").alias("a2"), F.regr_intercept("y", "x2").alias("c2"))
-    p = test.crossJoin(F.broadcast(f1)).crossJoin(F.broadcast(f2)).select(
-        "id", "y", (F.col("c1") + F.col("a1") * F.col("x1")).alias("p1"),
-        (F.col("c2") + F.col("a2") * F.col("x2")).alias("p2"))
-    y, e1, e2 = F.col("y"), F.col("y") - F.col("p1"), F.col("y") - F.col("p2")
-    per = rs.replicate_sums(p, "id", reps, {"sw": F.lit(1.0), "sy": y, "syy": y * y, "se1": e1 * e1, "se2": e2 * e2})
-    den = F.col("syy") - F.col("sy") * F.col("sy") / F.col("sw")
-    rr = per.select((F.lit(1.0) - F.col("se1") / den).alias("r1"), (F.lit(1.0) - F.col("se2") / den).alias("r2"))
-    ci = rs.percentile_ci(rr, ["r1", "r2"])
-    rows = [F.struct(F.lit(m).alias("modelo"), F.col(f"{c}_ci_lower").alias("r2_boot_ci_lower"),
-                     F.col(f"{c}_ci_upper").alias("r2_boot_ci_upper"))
-            for m, c in (("Simple OLS (n_lines)", "r1"), ("Simple OLS (qty)", "r2"))]
-    return ci.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+RANK_SQL = _rank_sql()
+
+
+def linear_scores(spark, sf, reps: int = B_RANK):
+    """Test R2, RMSE and MAE of the five linear models with their bootstrap
+    intervals: one pass names the categories, one builds the moment cube that
+    all fits and both alpha grids come from, one scores every model and replicate."""
+    train, test, design = full_design(spark, sf)
+    part = F.when(F.col("is_test"), F.lit(-1)).otherwise(rs.hash_fold("id", K))
+    cube = rg.collect_moments(rg.cross_moments(train, design, part), design)
+    return rg.score_models(test, design, rg.linear_family(cube, ALPHAS, (ENET_ALPHA, ENET_L1)), "id", reps)
 
 
 @query("comparison_table", CMP_SQL + "SELECT modelo, tipo, " + ", ".join(
@@ -196,15 +211,14 @@ def improvement_report(spark, sf):
 
 @query("final_ranking", RANK_SQL + "SELECT * FROM ranking")
 def final_ranking(spark, sf):
-    """Ranked records with interval text and CI source
-    (bootstrap for baseline rows, CV for advanced ones)."""
-    return rp.final_ranking(linear_records(spark, sf), baseline_bootstrap(spark, sf))
+    """The linear models ranked, with intervals of R2, RMSE and MAE."""
+    return rp.final_ranking(rp.ranking_records(linear_scores(spark, sf)))
 
 
 @query("best_model_card", RANK_SQL + "SELECT * FROM ranking WHERE rank = 1")
 def best_model_card(spark, sf):
     """The best model's record."""
-    return rp.best_model_card(rp.final_ranking(linear_records(spark, sf), baseline_bootstrap(spark, sf)))
+    return rp.best_model_card(rp.final_ranking(rp.ranking_records(linear_scores(spark, sf))))
 
 
 # ---- synthetic table (A9) ----------------------------------------------------
@@ -301,48 +315,94 @@ def synthetic_table(spark, sf):
                     F.concat(F.col("gender"), F.lit("_"), F.col("education_level")).alias("gender_education"))
 
 
-# ---- trees (rows-only checks) --------------------------------------------------
+# ---- trees ----------------------------------------------------------------
 
-RF_PARAMS = {"numTrees": 50, "maxDepth": 8, "minInstancesPerNode": 2, "featureSubsetStrategy": "sqrt"}
-GBT_PARAMS = {"maxIter": 50, "stepSize": 0.1, "maxDepth": 4, "subsamplingRate": 0.8,
-              "featureSubsetStrategy": "all", "minInstancesPerNode": 5, "minInfoGain": 0.0}
-BOOT_PARAMS = {"numTrees": 20, "maxDepth": 8, "minInstancesPerNode": 2, "featureSubsetStrategy": "sqrt"}
+NUMERIC, ONE_HOT, LABELS = ["n_lines", "qty", "no_such_column"], ["segment"], ["priority"]     # B10: only existing columns are used
 B_REFIT = 50          # reference: 50 refits for prediction intervals
+GBT_FINAL = {**tr.GBT_DEFAULT, "maxIter": tr.FINAL_ROUNDS}
+TREES = [("Random Forest", "rf", tr.RF_DEFAULT), ("Gradient Boosting", "gbt", GBT_FINAL)]
+_FITTED: dict[tuple, object] = {}
 
 
 def _matrix(spark, sf):
     """J12 on the split facts; checkpointed (the fits iterate over it)."""
-    f = split_facts(spark, sf)
-    d, names = tr.model_matrix(f, ["n_lines", "qty"], ["segment"], ["priority"], "total", "id", keep=["is_test"])
+    d, names = tr.model_matrix(split_facts(spark, sf), NUMERIC, ONE_HOT, LABELS, "total", "id", keep=["is_test"])
     d = d.checkpoint()
     return d.where(~F.col("is_test")), d.where(F.col("is_test")), names
 
 
+def _fitted(spark, sf, kind, params):
+    """(model, feature names, test rows): fitted once per application and source folder."""
+    at = (spark.sparkContext.applicationId, sf, kind)
+    if at not in _FITTED:
+        train, test, names = _matrix(spark, sf)
+        _FITTED[at] = (tr.estimator(kind, params, "total").fit(train), names, test)
+    return _FITTED[at]
+
+
 def _predict(spark, sf, kind, params):
-    train, test, names = _matrix(spark, sf)
-    m = tr.estimator(kind, params, "total").fit(train)
-    return m, names, tr.predict(m, test, "id", "total").select("id", "total", F.round("prediction", 2)
-                                                                .alias("prediction"))
+    m, _, test = _fitted(spark, sf, kind, params)
+    return tr.predict(m, test, "id", "total").select("id", "total", F.round("prediction", 2).alias("prediction"))
+
+
+@query("model_matrix", with_sql(FACTS_SQL) + """
+SELECT id, total, CAST(n_lines AS DOUBLE) AS n_lines, qty, """ + ", ".join(
+    f"CAST(segment = '{v}' AS DOUBLE) AS var_segment_{v}" for c, v in sql.LEVELS if c == "segment") + """,
+       CAST(DENSE_RANK() OVER (ORDER BY priority) - 1 AS DOUBLE) AS priority_encoded FROM facts""")
+def model_matrix(spark, sf):
+    """The model matrix's entries, one column each; a column that
+    does not exist is left out."""
+    d, names = tr.model_matrix(facts(spark, sf), NUMERIC, ONE_HOT, LABELS, "total", "id")
+    x = vector_to_array("features")
+    return d.withColumn("x", x).select("id", "total", *[F.col("x")[i].alias(n) for i, n in enumerate(names)])
+
+
+@query("stored_model_scores", MULTI_SQL + """,
+c AS (SELECT LIST(b ORDER BY i) AS b FROM ols)
+SELECT id, ROUND(my + list_dot_product([""" + ", ".join(f"z{i}" for i in range(sql.P + 1)) + """], b), 2) AS prediction
+FROM z, c, sc WHERE is_test""")
+def stored_model_scores(spark, sf):
+    """Scaler, model matrix and a least-squares model fitted on the training
+    rows, saved in the shared folder, loaded again and applied to the test rows."""
+    train, test, _ = full_design(spark, sf)
+    scaler = tf.Scaler(sql.NUMERIC, "robust").fit(train)
+    scaled = scaler.transform(train.withColumns({c: F.col(c).cast("double") for c in sql.NUMERIC})).na.drop("any")
+    matrix = tr.Matrix.fit(scaled, sql.NUMERIC, sql.ONE_HOT, [])
+    model = tr.estimator("ols", {}, "total").fit(matrix.transform(scaled))
+    folder = scratch_path(spark, "scorer")
+    tr.Scorer(matrix, model, scaler).save(spark, folder)
+    return tr.Scorer.load(spark, folder).score(test, "id").select("id", F.round("prediction", 2).alias("prediction"))
 
 
 @query("rf_predict")
 def rf_predict(spark, sf):
-    """Random forest fitted on the training split, test predictions."""
-    return _predict(spark, sf, "rf", RF_PARAMS)[2]
+    """K8: random forest fitted on the training split, test predictions."""
+    return _predict(spark, sf, "rf", tr.RF_DEFAULT)
 
 
 @query("gbt_predict")
 def gbt_predict(spark, sf):
-    """Gradient-boosted trees, test predictions."""
-    return _predict(spark, sf, "gbt", GBT_PARAMS)[2]
+    """K7: gradient-boosted trees (300 rounds), test predictions."""
+    return _predict(spark, sf, "gbt", GBT_FINAL)
+
+
+@query("gbt_rounds")
+def gbt_rounds(spark, sf):
+    """K7: validation RMSE after each of 200 boosting rounds, and the round that
+    early stopping (30 rounds without a better one) chooses."""
+    train, _, _ = _matrix(spark, sf)
+    d = train.withColumn("fold", rs.hash_fold("id", K))
+    errors, chosen = tr.boost_with_stopping(tr.GBT_DEFAULT, d.where("fold <> 0"), d.where("fold = 0"), "total")
+    rows = [(i + 1, round(e, 2), i + 1 == chosen) for i, e in enumerate(errors)]
+    return spark.createDataFrame(rows, "round int, rmse double, chosen boolean")
 
 
 @query("feature_importance")
 def feature_importance(spark, sf):
     """Top-10 importances of both ensembles, ranked."""
     rows = []
-    for name, kind, params in (("Random Forest", "rf", RF_PARAMS), ("Gradient Boosting", "gbt", GBT_PARAMS)):
-        m, names, _ = _predict(spark, sf, kind, params)
+    for name, kind, params in TREES:
+        m, names, _ = _fitted(spark, sf, kind, params)
         rows += [(name, i + 1, f, round(v, 6)) for i, (f, v) in enumerate(tr.importances(m, names))]
     return spark.createDataFrame(rows, "modelo string, rank int, feature string, importance double")
 
@@ -350,42 +410,49 @@ def feature_importance(spark, sf):
 @query("random_search")
 def random_search(spark, sf):
     """Quick-mode random search (5 trials, 3 folds, 120 s budget
-    per model family); one row per trial with its CV RMSE and parameters."""
+    per model family); one row per trial with its CV RMSE, parameters and the
+    rounds early stopping chose."""
     train, _, _ = _matrix(spark, sf)
     rows = []
-    for name, kind, fixed in (("Random Forest", "rf", None), ("Gradient Boosting", "gbt", {"maxIter": 30})):
-        trials, best = tr.random_search(kind, train, "id", "total", n_trials=5, timeout_s=120.0, k=3, fixed=fixed)
+    for name, kind, _ in TREES:
+        trials, best = tr.random_search(kind, train, "id", "total", n_trials=5, timeout_s=120.0, k=3)
         for t in trials:
-            rows.append((name, t["trial"], round(t["cv_rmse"], 2), json.dumps(t["params"], sort_keys=True),
-                         t["params"] == best))
-    return spark.createDataFrame(rows, "modelo string, trial int, cv_rmse double, params string, is_best boolean")
+            rows.append((name, t["trial"], round(t["cv_rmse"], 2), json.dumps(t["params"], sort_keys=True), t["rounds"], t["params"] == best))
+    return spark.createDataFrame(rows, "modelo string, trial int, cv_rmse double, params string, rounds array<int>, is_best boolean")
 
 
 @query("bootstrap_prediction_interval")
 def bootstrap_prediction_interval(spark, sf):
     """50 Poisson-weighted refits, per-test-row mean and 95 % band."""
     train, test, _ = _matrix(spark, sf)
-    out = tr.bootstrap_prediction_interval("rf", BOOT_PARAMS, train, test, "id", "total", B_REFIT, parallelism=4)
+    out = tr.bootstrap_prediction_interval("rf", tr.RF_DEFAULT, train, test, "id", "total", B_REFIT, parallelism=8)
     return out.select("id", "total", F.round("pred_mean", 2).alias("pred_mean"),
                       F.round("pi_lower", 2).alias("pi_lower"), F.round("pi_upper", 2).alias("pi_upper"), "n_reps")
 
 
-@query("pipeline_quick")
-def pipeline_quick(spark, sf):
-    """L20 quick mode: matrix -> split -> search (3 trials, 3 folds) ->
-    final fits -> test metrics -> 3-fold CV -> comparison with the linear
-    baselines -> ranked table."""
-    train, test, _ = _matrix(spark, sf)
+def tree_pipeline(spark, sf, n_trials: int, timeout_s: float, test_fraction: float, k: int):
+    """Matrix -> split -> robust scaling -> search -> final fits -> test metrics
+    -> k-fold CV: the comparison rows of both ensembles."""
+    f = facts(spark, sf).withColumn("is_test", rs.split_flag("id", test_fraction)).withColumn("n_lines", F.col("n_lines").cast("double"))
+    scaler = tf.Scaler(["n_lines", "qty"], "robust").fit(f.where(~F.col("is_test")))
+    d, _ = tr.model_matrix(scaler.transform(f), NUMERIC, ONE_HOT, LABELS, "total", "id", keep=["is_test"])
+    d = d.checkpoint()
+    train, test = d.where(~F.col("is_test")), d.where(F.col("is_test"))
     cvs, tests = [], []
-    for name, kind, fixed in (("Random Forest", "rf", None), ("Gradient Boosting", "gbt", {"maxIter": 30})):
-        _, best = tr.random_search(kind, train, "id", "total", n_trials=3, timeout_s=120.0, k=3, fixed=fixed)
-        m = tr.estimator(kind, best, "total").fit(train)
-        p = m.transform(test).select(F.col("total").alias("y"), F.col("prediction").alias("pred"))
+    for name, kind, _ in TREES:
+        _, best = tr.random_search(kind, train, "id", "total", n_trials=n_trials, timeout_s=timeout_s, k=k)
+        final, folded = ({**best, "maxIter": r} if kind == "gbt" else best for r in (tr.FINAL_ROUNDS, tr.SEARCH_ROUNDS))
+        p = tr.estimator(kind, final, "total").fit(train).transform(test).select(F.col("total").alias("y"), F.col("prediction").alias("pred"))
         tests.append(_test_metrics(p, name))
-        cvs.append(tr.cv_summary(tr.fold_predictions(kind, best, train, "id", "total", 3), "total", 3, name))
-    base = linear_records(spark, sf).where(F.col("tipo") == rp.BASELINE).select(
-        "modelo", "r2_test", "rmse_test", "mae_test")
-    cmp = rp.comparison_table(rp.stack(cvs).select(*[c for c in rp.RECORD_COLS if c not in
-                                                     ("tipo", "r2_test", "rmse_test", "mae_test")]),
-                              rp.stack(tests).select("modelo", "r2_test", "rmse_test", "mae_test"), base)
-    return rp.final_ranking(cmp)
+        cvs.append(tr.cv_summary(tr.fold_predictions(kind, folded, train, "id", "total", k), "total", k, name))
+    test_cols = ("tipo", "r2_test", "rmse_test", "mae_test")
+    return rp.comparison_table(rp.stack(cvs).select(*[c for c in rp.RECORD_COLS if c not in test_cols]),
+                               rp.stack(tests).select("modelo", *test_cols[1:]), None)
+
+
+@query("pipeline_quick")
+def pipeline_quick(spark, sf):
+    """L20/L18 in the reference's quick mode (5 trials, 120 s, 30 % test, 3
+    folds): both ensembles and the five linear models in one ranking."""
+    trees = tree_pipeline(spark, sf, n_trials=5, timeout_s=120.0, test_fraction=0.3, k=3)
+    return rp.final_ranking(rp.ranking_records(linear_scores(spark, sf), trees))

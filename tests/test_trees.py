@@ -1,64 +1,170 @@
-"""Search budget and failure semantics (K9-K11), refit-bootstrap fallback
-shape, and the model matrix (J12) on a small fixture."""
+"""Search budget, early stopping and failure semantics (K7-K11), refit intervals
+(I6/L14), the model matrix (J12) and stored models (K12) on small fixtures."""
 
 import math
 
+import numpy as np
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from lodestar.operators import categories as ct
+from lodestar.operators import transform as tf
 from lodestar.operators import trees as tr
 
+NUMERIC, ONE_HOT, LABELS = ["x1", "x2", "missing_col"], ["c"], ["l"]
+
 
 @pytest.fixture(scope="module")
-def matrix(spark):
+def raw(spark):
     rows = [(i, float(i % 7), float(i % 5) * 2.0, "abc"[i % 3], "xy"[i % 2], 100.0 + 3.0 * (i % 7) + (i % 5))
             for i in range(300)] + [(1000, None, 1.0, "a", "x", 1.0)]
-    df = spark.createDataFrame(rows, "id long, x1 double, x2 double, c string, l string, y double")
-    d, names = tr.model_matrix(df, ["x1", "x2", "missing_col"], ["c"], ["l"], "y", "id")
+    return spark.createDataFrame(rows, "id long, x1 double, x2 double, c string, l string, y double").cache()
+
+
+@pytest.fixture(scope="module")
+def matrix(raw):
+    d, names = tr.model_matrix(raw, NUMERIC, ONE_HOT, LABELS, "y", "id")
     return d.cache(), names
 
 
 def test_model_matrix(matrix):
     d, names = matrix
     assert names == ["x1", "x2", "var_c_b", "var_c_c", "l_encoded"]   # first category dropped, absent column skipped
-    assert d.count() == 300                                               # the row with a null is dropped
+    got = {r.id: list(r.x) for r in d.select("id", vector_to_array("features").alias("x")).collect()}
+    assert len(got) == 300                                                # the row with a null is dropped
+    assert all(got[i] == [i % 7, i % 5 * 2, i % 3 == 1, i % 3 == 2, i % 2] for i in range(300))
+
+
+def test_unseen_and_null_categories(spark, raw):
+    m = tr.Matrix.fit(raw.na.drop(), NUMERIC, ONE_HOT, LABELS)
+    new = spark.createDataFrame([(1, 1.0, 2.0, "zzz", "y", None), (2, 1.0, 2.0, None, "?", None), (3, 1.0, 2.0, "c", None, None)], raw.schema)
+    got = {r.id: list(r.x) for r in m.transform(new).select("id", vector_to_array("features").alias("x")).collect()}
+    assert got == {1: [1, 2, 0, 0, 1], 2: [1, 2, 0, 0, -1], 3: [1, 2, 0, 1, -1]}
+
+
+def test_a_column_of_one_category_adds_nothing(spark):
+    df = spark.createDataFrame([(1, 1.0, "a"), (2, 2.0, "a")], "id long, y double, c string")
+    d, names = tr.model_matrix(df.withColumn("x", F.col("y")), ["x"], ["c"], [], "y", "id")
+    assert names == ["x"] and [list(r.x) for r in d.orderBy("id").select(vector_to_array("features").alias("x")).collect()] == [[1], [2]]
+
+
+def test_a_million_categories(spark):
+    """Ranked and joined without a category on the driver; one-hot entries only
+    up to a checked number."""
+    n = 1_000_000
+    df = spark.range(n).select("id", F.format_string("v%07d", F.col("id")).alias("c"), F.lit(1.0).alias("y"))
+    m = tr.Matrix.fit(df, [], [], ["c"])
+    got = m.transform(df).select(vector_to_array("features")[0].alias("x"), "id").agg(F.count_if(F.col("x") != F.col("id")).alias("bad"), F.count("x").alias("n")).first()
+    assert (got.bad, got.n) == (0, n) and m.names() == ["c_encoded"]
+    with pytest.raises(ValueError, match="label-encode"):
+        tr.Matrix.fit(df, [], ["c"], [])
+
+
+def test_label_encoding_casts_to_text_and_drops_nulls(spark):
+    df = spark.createDataFrame([(1, 10), (2, 9), (3, None), (4, 10)], "id long, v int")
+    assert [tuple(r) for r in tf.label_encode(df, "v").orderBy("id").collect()] == [(1, 10, 0.0), (2, 9, 1.0), (4, 10, 0.0)]      # '10' < '9'
+    assert [r.idx for r in ct.fit_categories(df, ["v"]).orderBy("idx").collect()] == [0, 1]
+
+
+def test_wide_dummies_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(tf, "MAX_DUMMIES", 10)
+    with pytest.raises(ValueError, match="more than 10"):
+        tf.one_hot_drop_first(spark.range(11).select(F.col("id").cast("string").alias("c")), "c")
+
+
+def test_best_round_waits_for_a_better_one():
+    assert tr.best_round([5.0, 4.0, 4.5, 3.0, 3.1, 3.2, 3.3], patience=3) == 4
+    assert tr.best_round([5.0, 4.0, 4.5, 4.6, 4.7, 3.0], patience=3) == 2       # stopped before the better one
+    assert tr.best_round([1.0], patience=30) == 1
+
+
+def test_early_stopping_chooses_a_round_below_the_maximum(spark):
+    r = np.random.default_rng(0)
+    rows = [(i, float(x), float(3 * x + r.normal(0, 5))) for i, x in enumerate(r.uniform(0, 10, 400))]
+    d, _ = tr.model_matrix(spark.createDataFrame(rows, "id long, x double, y double"), ["x"], [], [], "y", "id")
+    d = d.cache()
+    errors, chosen = tr.boost_with_stopping({"stepSize": 0.3, "maxDepth": 4}, d.where("id % 2 = 0"), d.where("id % 2 = 1"), "y", rounds=40, patience=10)
+    assert len(errors) == 40 and chosen < 40 and errors[chosen - 1] == min(errors[:chosen + 10])
+    # the error of a round is that of the model fitted with as many rounds
+    m = tr.estimator("gbt", {"stepSize": 0.3, "maxDepth": 4, "maxIter": chosen}, "y").fit(d.where("id % 2 = 0"))
+    e = m.transform(d.where("id % 2 = 1")).agg(F.sqrt(F.avg((F.col("y") - F.col("prediction")) ** 2))).first()[0]
+    assert e == pytest.approx(errors[chosen - 1], rel=1e-9)
 
 
 def test_failing_trials_score_inf_and_fall_back_to_defaults(matrix):
     d, _ = matrix
     trials, best = tr.random_search("rf", d, "id", "y", n_trials=2, timeout_s=60.0, k=3,
-                                    fixed={"numTrees": 3, "maxDepth": -1})
+                                    overrides={"numTrees": 3, "maxDepth": -1})
     assert len(trials) == 2 and all(math.isinf(t["cv_rmse"]) for t in trials)
     assert best == tr.RF_DEFAULT
 
 
+def test_errors_that_are_not_of_a_fit_are_raised(matrix):
+    d, _ = matrix
+    with pytest.raises(ValueError):
+        tr.random_search("no such model", d, "id", "y", n_trials=1, timeout_s=60.0, k=3)
+
+
 def test_deadline_stops_new_trials(matrix):
     d, _ = matrix
-    trials, _ = tr.random_search("rf", d, "id", "y", n_trials=5, timeout_s=0.0, k=3, fixed={"numTrees": 3})
+    trials, _ = tr.random_search("rf", d, "id", "y", n_trials=5, timeout_s=0.0, k=3, overrides={"numTrees": 3})
     assert trials == []
 
 
-def test_search_picks_lowest_cv_rmse(matrix):
+def test_search_picks_lowest_cv_rmse(matrix, monkeypatch):
     d, _ = matrix
     trials, best = tr.random_search("rf", d, "id", "y", n_trials=2, timeout_s=120.0, k=3,
-                                    fixed={"numTrees": 5})
+                                    overrides={"numTrees": 5})
     ok = [t for t in trials if math.isfinite(t["cv_rmse"])]
     assert ok and best == min(ok, key=lambda t: t["cv_rmse"])["params"]
+    monkeypatch.setattr(tr, "boost_with_stopping", lambda *a: ([3.0, 2.0], 2))
+    trials, _ = tr.random_search("gbt", d, "id", "y", n_trials=1, timeout_s=120.0, k=3)
+    assert trials[0]["cv_rmse"] == 2.0 and trials[0]["rounds"] == [2, 2, 2]
 
 
 def test_refit_bootstrap_interval(matrix):
     d, _ = matrix
+    d = d.checkpoint()
     train, test = d.where(F.col("id") % 5 != 0), d.where(F.col("id") % 5 == 0)
-    out = tr.bootstrap_prediction_interval("rf", {"numTrees": 5, "maxDepth": 4}, train, test, "id", "y", 4)
-    rows = out.collect()
-    assert len(rows) == test.count()
-    assert all(r.pi_lower <= r.pred_mean <= r.pi_upper and r.n_reps == 4 for r in rows)
-
-
-def test_score_new_data(spark, matrix):
-    d, names = matrix
-    model = tr.estimator("rf", {"numTrees": 3, "maxDepth": 3}, "y").fit(d)
-    fresh = d.select("id", *names)
-    out = tr.score_new_data(model, fresh, "id", names)
-    assert out is not None and out.count() == d.count()
-    assert tr.score_new_data(model, fresh.drop("x1"), "id", names) is None       # missing column -> None
+    params = {"numTrees": 5, "maxDepth": 4}
+    out = tr.bootstrap_prediction_interval("rf", params, train, test, "id", "y", 4)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Union" not in plan and plan.count("Scan ExistingRDD") == 1       # one pass over the test rows
+    rows = {r.id: r for r in out.collect()}
+    assert len(rows) == test.count() and all(r.n_reps == 4 for r in rows.values())
+    all_p = []
+    for b in range(4):
+        w = train.withColumn("__w", tr.poisson1_weight(tr.hash_uniform("id", F.lit(f"boot{b}"))).cast("double")).where("__w > 0")
+        all_p.append({r.id: r.prediction for r in tr.estimator("rf", params, "y", weight="__w").fit(w).transform(test).collect()})
+    for i, r in rows.items():
+        p = [x[i] for x in all_p]
+        assert [r.pred_mean, r.pi_lower, r.pi_upper] == pytest.approx([np.mean(p), *np.percentile(p, [2.5, 97.5])])
+
+
+def test_refit_interval_when_every_replicate_fails(matrix, monkeypatch):
+    d, _ = matrix
+    real, calls = tr.estimator, []
+
+    def failing(kind, params, y, weight=None):
+        calls.append(weight)
+        return real(kind, {**params, "maxDepth": -1} if weight else params, y, weight)
+    monkeypatch.setattr(tr, "estimator", failing)
+    rows = tr.bootstrap_prediction_interval("rf", {"numTrees": 2, "maxDepth": 2}, d, d, "id", "y", 2).collect()
+    assert len(rows) == 300 and all(r.n_reps == 0 and r.pi_lower < r.pred_mean < r.pi_upper for r in rows)
+
+
+def test_stored_model_scores_like_the_one_in_memory(spark, raw, tmp_path):
+    train = raw.na.drop()
+    scaler = tf.Scaler(["x1", "x2"], "robust").fit(train)
+    m = tr.Matrix.fit(scaler.transform(train), NUMERIC, ONE_HOT, LABELS)
+    for kind, params in (("rf", {"numTrees": 3, "maxDepth": 3}), ("ols", {})):
+        model = tr.estimator(kind, params, "y").fit(m.transform(scaler.transform(train)))
+        here = tr.Scorer(m, model, scaler)
+        here.save(spark, str(tmp_path / kind))
+        there = tr.Scorer.load(spark, str(tmp_path / kind))
+        a, b = ({r.id: r.prediction for r in s.score(train.drop("y"), "id").collect()} for s in (here, there))
+        assert len(a) == 300 and a == b
+        assert there.score(train.drop("x1"), "id") is None                    # a missing column
+    with pytest.raises(tf.NotFittedError):                                      # any other error is raised
+        tr.Scorer(m, model, tf.Scaler(["x1"], "robust")).score(train, "id")
