@@ -3,8 +3,10 @@ tables, let-binding for nested array expressions and skew-safe lookups."""
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +57,20 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def trimmed(run):
+    """``run`` over Arrow batches; at a task's end the worker, which lives on for
+    other tasks, gives the memory it no longer uses back to the system."""
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)       # glibc only
+            if trim is not None:
+                trim(0)
+    return wrapped
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it many times inside ``body`` (also
     inside lambdas, where an inlined expression would run per element)."""

@@ -32,11 +32,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm import wordhash as wh
-from lodestar.llm.base import near, query, read, small_batches, store
+from lodestar.llm.base import near, query, read, small_batches, store, trimmed
 
 K = 5
 SHORT = 8            # up to so many nodes of a list meet pairwise at once
 BLOCK = 2048         # nodes of a long list in one side of a tile
+WORDS = 1 << 20      # 64-bit words of bitmaps compared at a time in a tile
 BEST = 3             # candidates that a node outside a tile's largest component tries in a guided round
 BITS = 2             # bitmap bits per element, at least
 
@@ -73,9 +74,10 @@ def fold(b: np.ndarray, size: int) -> np.ndarray:
 
 
 def coarse(b: bytes, n: int) -> bytes:
-    """The bitmap folded to half a bit an element, 512 bits at least: enough to
-    tell texts that are not alike, in tiles, before the whole bitmaps decide."""
-    size = max(64, (1 << max(9, (n // 2).bit_length())) // 8)
+    """The bitmap folded to a bit an element, 512 bits at least, for the tiles: two
+    unlike sets of n elements differ in some n / 2 of n bits, far above the n / 5
+    that a link allows (of n / 2 bits they differ in n / 4, too near)."""
+    size = max(64, (1 << max(9, (n - 1).bit_length())) // 8)
     return fold(np.frombuffer(b, np.uint8), size).tobytes() if len(b) > size else b
 
 
@@ -84,7 +86,7 @@ def _digest(s: np.ndarray, salt: int) -> int:
     return int(wh.mix(np.array([x], np.uint64)).view(np.int64)[0])
 
 
-SIGNATURE = "doc_id bigint, n bigint, node bigint, proof bigint, keys array<bigint>, bits binary, small binary"
+SIGNATURE = "doc_id bigint, tag bigint, n bigint, node bigint, proof bigint, keys array<bigint>, bits binary, small binary"
 
 
 def _signatures(salt: int):
@@ -104,9 +106,9 @@ def _signatures(salt: int):
                 keys.append(s[:len(s) - (4 * len(s) + 4) // 5 + 1].view(np.int64)), bits.append(bitmap(s))
                 small.append(coarse(bits[-1], len(s)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(proof, pa.int64()),
+                [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(proof, pa.int64()),
                  pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array(small, pa.binary())],
-                names=["doc_id", "n", "node", "proof", "keys", "bits", "small"])
+                names=["doc_id", "tag", "n", "node", "proof", "keys", "bits", "small"])
     return run
 
 
@@ -243,9 +245,10 @@ def _tile(best: int | None):
         side, node, n, label = (table.column(x).to_numpy() for x in ("side", "node", "n", "label"))
         order = np.lexsort((node, n))
         side, node, n, label = side[order], node[order], n[order], label[order]
-        raw = table.column("bits").to_pylist()
-        raw = [np.frombuffer(raw[i], np.uint8) for i in order]
-        width = np.array([len(x) for x in raw])
+        bits = table.column("bits").combine_chunks()
+        edge, data = np.frombuffer(bits.buffers()[1], np.int32)[bits.offset:bits.offset + len(bits) + 1], np.frombuffer(bits.buffers()[2], np.uint8)
+        raw = lambda k: data[edge[order[k]]:edge[order[k] + 1]]  # noqa: E731  a view: the bitmaps are held once
+        width = np.diff(edge)[order]
         same = key[1].as_py() == key[2].as_py()
         names, counts = np.unique(label, return_counts=True)
         out = label != names[counts.argmax()]             # outside the largest component
@@ -260,11 +263,11 @@ def _tile(best: int | None):
                     cols = others[(5 * n[others] >= 4 * n[i[0]]) & (4 * n[others] <= 5 * n[i[-1]])]
                     hits = []
                     for v in np.unique(width[cols]):
-                        x = np.stack([fold(raw[k], min(w, v)) for k in i]).view(np.uint64)
-                        group = cols[width[cols] == v]
-                        for c in range(0, len(group), 256):
-                            j = group[c:c + 256]
-                            y = np.stack([fold(raw[k], min(w, v)) for k in j]).view(np.uint64)
+                        x = np.stack([fold(raw(k), min(w, v)) for k in i]).view(np.uint64)
+                        group, step = cols[width[cols] == v], max(1, WORDS // x.size)
+                        for c in range(0, len(group), step):
+                            j = group[c:c + step]
+                            y = np.stack([fold(raw(k), min(w, v)) for k in j]).view(np.uint64)
                             differ = np.bitwise_count(x[:, None, :] ^ y[None, :, :]).sum(axis=2, dtype=np.int64)
                             total = n[i][:, None] + n[j][None, :]
                             ok = ((total - differ) // 2 >= need(total)) & (label[i][:, None] != label[j][None, :])
@@ -306,12 +309,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, node, component_id."""
+    """One row per row of ``docs``: doc_id, tag (hash of the text: it tells rows
+    that share an id apart), n_shingles, node, component_id."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    tagged = docs.select("doc_id", "text", F.xxhash64("text").alias("tag"))
     salt = 0
     while True:            # a clash of node digests (sets differ, digests agree) is found by the proof: take other digests
-        signed = store(docs.mapInArrow(_signatures(salt), SIGNATURE), "jaccard-signatures")
+        signed = store(tagged.mapInArrow(trimmed(_signatures(salt)), SIGNATURE), "jaccard-signatures")
         nodes = store(signed.where("n > 0").groupBy("node", "n").agg(
             F.min("doc_id").alias("rep"), F.min("proof").alias("p0"), F.max("proof").alias("p1"),
             F.max("bits").alias("bits"), F.max("small").alias("small")), "jaccard-nodes")
@@ -320,7 +325,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         salt += 2
     met = (signed.where("keys is not null").select(F.explode("keys").alias("token"), "n", "node")
            .repartition("token").sortWithinPartitions("token", "n", "node"))
-    met = store(met.mapInArrow(_lists, MEETS), "jaccard-lists")
+    met = store(met.mapInArrow(trimmed(_lists), MEETS), "jaccard-lists")
 
     bits = nodes.select("node", "bits")
 
@@ -328,7 +333,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = pairs.where("a <> b").groupBy("a", "na", "b", "nb").agg(F.lit(1)).select("a", "na", "b", "nb")
         with_bits = (pairs.join(bits.withColumnsRenamed({"node": "a", "bits": "bits_a"}), "a")
                      .join(bits.withColumnsRenamed({"node": "b", "bits": "bits_b"}), "b").select("a", "na", "b", "nb", "bits_a", "bits_b"))
-        return store(with_bits.mapInArrow(_prune, TILE), "jaccard-candidates")
+        return store(with_bits.mapInArrow(trimmed(_prune), TILE), "jaccard-candidates")
 
     long = met.where("long").select("token", F.col("a").alias("node"), F.col("na").alias("n"), F.col("nb").alias("band"))
     share = long.groupBy("node").agg((F.count(F.lit(1)) / F.first("n")).alias("share"))
@@ -343,7 +348,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node")
         reps = near(store(nodes.select("node", "rep").join(wanted, "node", "left_semi"), "jaccard-wanted"))
         texts = docs.join(reps, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
-        return texts.mapInArrow(_pack_texts, "node bigint, packed binary").mapInArrow(_node_texts(salt), "node bigint, packed binary")
+        return texts.mapInArrow(_pack_texts, "node bigint, packed binary").mapInArrow(trimmed(_node_texts(salt)), "node bigint, packed binary")
 
     def links(pairs: DataFrame) -> DataFrame:
         # a hub of very many members is dealt to several tasks, each with a copy of the hub's text
@@ -353,7 +358,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         hubs = deal.select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("part"), F.col("hub").alias("node"))
         rows = hubs.union(members).join(texts_of(pairs), "node").select("hub", "salt", "part", F.col("node").alias("member"), "packed")
         rows = rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "part", "member")
-        return store(rows.mapInArrow(_verify, "a bigint, b bigint").where("a <> b"), "jaccard-links")
+        return store(rows.mapInArrow(trimmed(_verify), "a bigint, b bigint").where("a <> b"), "jaccard-links")
 
     linked = links(tried)
     labels = components(linked)
@@ -383,9 +388,9 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     ids = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     named = named.join(ids, "label").select("node", "component_id")
-    own = signed.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), "node", F.col("doc_id").alias("component_id"))
-    rest = signed.where("n > 0").select("doc_id", F.col("n").alias("n_shingles"), "node")
-    return rest.join(named, "node").select("doc_id", "n_shingles", "node", "component_id").union(own)
+    own = signed.where("n = 0").select("doc_id", "tag", F.col("n").alias("n_shingles"), "node", F.col("doc_id").alias("component_id"))
+    rest = signed.where("n > 0").select("doc_id", "tag", F.col("n").alias("n_shingles"), "node")
+    return rest.join(named, "node").select("doc_id", "tag", "n_shingles", "node", "component_id").union(own)
 
 
 def _tiles(lists: DataFrame, bits: DataFrame, best: int | None) -> DataFrame:
@@ -404,9 +409,11 @@ def _tiles(lists: DataFrame, bits: DataFrame, best: int | None) -> DataFrame:
 
 def one_per_component(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows linked to a smaller id; rows without shingles
-    and rows with a null id stay."""
+    and rows with a null id stay.  Rows that share an id are judged each by its
+    own text."""
     got = link_components(docs).where("n_shingles > 0 and doc_id <> component_id")
-    return docs.join(store(got.select("doc_id").distinct(), "jaccard-dropped"), "doc_id", "left_anti").select(*docs.columns)
+    gone = store(got.select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag")).distinct(), "jaccard-dropped")
+    return docs.join(gone, (docs["doc_id"] == F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__tag")), "left_anti")
 
 
 @query("op10_ngram_jaccard")
