@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import wordhash as wh
-from lodestar.llm.base import query, read
+from lodestar.llm.base import query, read, small_batches, trimmed
 
 FEATURES = 1 << 14
 ROWS = 64                 # texts of one feature matrix
@@ -151,7 +151,8 @@ def _predict(model):
 
 def train(rows: DataFrame) -> Model | None:
     """``rows`` (text, lang).  What reaches the driver: languages x FEATURES counts, languages x bits accuracies."""
-    got = rows.mapInArrow(_counts, "lang string, feature int, n bigint").groupBy("lang", "feature").agg(F.sum("n").alias("n")).collect()
+    small_batches(rows.sparkSession)
+    got = rows.mapInArrow(trimmed(_counts), "lang string, feature int, n bigint").groupBy("lang", "feature").agg(F.sum("n").alias("n")).collect()
     langs = sorted({r["lang"] for r in got})
     if not langs:
         return None
@@ -160,7 +161,7 @@ def train(rows: DataFrame) -> Model | None:
         counts[langs.index(r["lang"]), r["feature"]] = r["n"]
     model = Model(langs, counts)
     acc = np.full(model.code.shape, 0.5)
-    got = (rows.where(F.col("lang").isin(langs)).mapInArrow(_accuracy(model), "k bigint, j bigint, hit bigint, total bigint")
+    got = (rows.where(F.col("lang").isin(langs)).mapInArrow(trimmed(_accuracy(model)), "k bigint, j bigint, hit bigint, total bigint")
            .groupBy("k", "j").agg(F.sum("hit").alias("hit"), F.sum("total").alias("total")).collect())
     for r in got:
         if r["total"]:
@@ -176,7 +177,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     rows = docs.select(F.col(id_col).alias("doc_id"), held.alias("held_out"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     model = train(rows.where("not held_out and lang is not null and doc_id is not null and text is not null").select("text", "lang"))
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double, ambiguous boolean"
-    return rows.select("doc_id", "held_out", "text").mapInArrow(_predict(model), schema)
+    return rows.select("doc_id", "held_out", "text").mapInArrow(trimmed(_predict(model)), schema)
 
 
 def _accept(model, at):
@@ -199,7 +200,7 @@ def drop_unidentified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
     known = docs.where(~held & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
     model = train(known.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")))
-    return docs.mapInArrow(_accept(model, docs.columns.index(text_col)), docs.schema)
+    return docs.mapInArrow(trimmed(_accept(model, docs.columns.index(text_col))), docs.schema)
 
 
 @query("op3_language_id")
