@@ -7,7 +7,8 @@ a hash of the row splits even a signature that very many texts share).  In a
 shard an inverted index over the texts' token ids with BM25 weights (document
 frequencies and the mean length are those of the whole corpus; the vocabulary
 bounds them) returns, for a seed, its unused neighbours, best first; they fill
-the seed's window greedily, the last one is cut and its rest stays unused.  A
+the seed's window greedily (texts equal to one it holds only when no others are
+left), the last one is cut and its rest stays unused.  A
 window that a shard cannot fill goes on in the task's next shard; the one left
 at a task's end is cut into sequences whose lengths are powers of two, which
 need no padding.
@@ -21,9 +22,10 @@ from __future__ import annotations
 
 import base64
 import re
+import sys
 import zlib
 from array import array
-from functools import cache
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import wordhash as wh
-from lodestar.llm.base import query, read, small_batches, store
+from lodestar.llm.base import query, read, small_batches, store, trimmed
 
 WINDOW = 1024
 CHUNK = 1 << 20        # bytes of text tokenised at a time
@@ -100,11 +102,20 @@ class Encoder:
                 yield np.append(x, END).astype(self.kind)
 
 
-@cache
-def encoder_of(tokenizer: str, ranks: str, pattern: str) -> Encoder:
+def worker_memory() -> dict:
+    """What this worker process keeps between tasks.  It hangs on a module made
+    here, as the tasks' code travels by value and brings its own globals."""
+    return sys.modules.setdefault("_lodestar_worker", ModuleType("_lodestar_worker")).__dict__.setdefault("kept", {})
+
+
+def encoder_of(*paths: str) -> Encoder:
     """One for all tasks of a worker: its files are read once, its pieces stay
-    known, until a task of a later step needs the memory (``cache_clear``)."""
-    return Encoder(tokenizer, ranks, pattern)
+    known, until a task of a later step needs the memory."""
+    kept = worker_memory()
+    if paths not in kept:
+        kept.clear()
+        kept[paths] = Encoder(*paths)
+    return kept[paths]
 
 
 def crc(ids: np.ndarray) -> int:
@@ -145,7 +156,7 @@ def _tokenise(paths, window, with_ids):
 
 def _frequencies(size):
     def run(batches):
-        encoder_of.cache_clear()
+        worker_memory().clear()
         df = np.zeros(size, np.int64)
         for batch in batches:
             got = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<i4")
@@ -187,7 +198,7 @@ PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_token
 
 def _pack(idf, mean, window, with_ids):
     def run(batches):
-        encoder_of.cache_clear()
+        worker_memory().clear()
         part, made = TaskContext.get().partitionId(), 0
         out = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids")}
 
@@ -208,12 +219,13 @@ def _pack(idf, mean, window, with_ids):
                 v.clear()
             return batch
 
-        wide = [None, 0, None]                  # open window: pieces, tokens, terms of its seed
+        wide = [None, 0, None, None]            # open window: pieces, tokens, terms of its seed, its texts
 
         def take(row, room):
             ids = row["ids"][:room]
             wide[0].append((row, row["at"], ids))
             wide[1] += len(ids)
+            wide[3].add(row["key"])
             row["ids"], row["at"] = row["ids"][room:], row["at"] + len(ids)
             return not len(row["ids"])
 
@@ -223,14 +235,17 @@ def _pack(idf, mean, window, with_ids):
                 if wide[0] is None:
                     while not unused[seed]:
                         seed += 1
-                    wide[:] = [[], 0, rows[seed]["terms"]]
+                    wide[:] = [[], 0, rows[seed]["terms"], set()]
                     unused[seed] = not take(rows[seed], window)
                     if wide[1] < window and not unused.any():
                         break
-                for i in index.neighbours(wide[2], unused):
-                    if wide[1] == window:
-                        break
-                    unused[i] = not take(rows[i], window - wide[1])
+                order = index.neighbours(wide[2], unused)
+                for copies in (False, True):        # texts the window holds already come last
+                    for i in order:
+                        if wide[1] == window:
+                            break
+                        if unused[i] and (rows[i]["key"] in wide[3]) == copies:
+                            unused[i] = not take(rows[i], window - wide[1])
                 if wide[1] == window:
                     sequence(wide[0])
                     wide[0] = None
@@ -240,6 +255,7 @@ def _pack(idf, mean, window, with_ids):
             for r in batch.to_pylist():
                 size = len(r["tail"]) // r["tail_n"]
                 r["ids"], r["at"] = np.frombuffer(r.pop("tail"), "<u4" if size == 4 else "<u2"), r["n"] - r["tail_n"]
+                r["key"] = (r["n"], zlib.crc32(r["terms"]), zlib.crc32(r["counts"]), crc(r["ids"]))       # copies have the same
                 r["terms"], r["counts"] = np.frombuffer(r["terms"], "<i4"), np.frombuffer(r["counts"], "<i4")
                 rows.append(r)
                 if len(rows) == SHARD:
@@ -273,12 +289,12 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     tokenizer = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
     paths = (tokenizer, ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern)
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string"))
-    done = store(texts.mapInArrow(_tokenise(paths, window, with_ids), TOKENISED), "pack-tokens")
+    done = store(texts.mapInArrow(trimmed(_tokenise(paths, window, with_ids)), TOKENISED), "pack-tokens")
     n, mean, tails, top = done.agg(F.count(F.lit(1)), F.avg("n"), F.sum("tail_n"), F.max("top")).first()
     if not n:
         return spark.createDataFrame([], PIECE)
     df = np.zeros(top + 1)
-    for r in done.select("terms").mapInArrow(_frequencies(top + 1), "term int, df bigint").groupBy("term").agg(F.sum("df").alias("df")).collect():
+    for r in done.select("terms").mapInArrow(trimmed(_frequencies(top + 1)), "term int, df bigint").groupBy("term").agg(F.sum("df").alias("df")).collect():
         df[r["term"]] = r["df"]                  # at most one row per id of the vocabulary
     idf = np.log(1 + (n - df + 0.5) / (df + 0.5)).astype(np.float32)
 
@@ -290,7 +306,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     spread = F.xxhash64("doc_id", "n", "tail")
     dealt = done.where("tail_n > 0").select("doc_id", "n", "tail", "tail_n", "terms", "counts", "sig", spread.alias("spread"))
     dealt = dealt.repartitionByRange(parts, "sig", "spread").sortWithinPartitions("sig", "spread", "doc_id")
-    packed = dealt.select("doc_id", "n", "tail", "tail_n", "terms", "counts").mapInArrow(_pack(idf, mean, window, with_ids), PIECE)
+    packed = dealt.select("doc_id", "n", "tail", "tail_n", "terms", "counts").mapInArrow(trimmed(_pack(idf, mean, window, with_ids)), PIECE)
     return windows.unionByName(packed)
 
 
