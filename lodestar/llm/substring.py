@@ -115,23 +115,23 @@ def _texts(packed) -> pa.Array:
 
 
 PATH = [f"b{k}" for k in range(BLOCKS)]
-SUFFIX = "doc_id bigint, pos int, " + ", ".join(f"{b} bigint" for b in PATH)
+SUFFIX = "doc_id bigint, tid bigint, pos int, " + ", ".join(f"{b} bigint" for b in PATH)
 
 
 def _suffixes(batches):
     """Rows (doc_id, packed, seq, anchors that occur elsewhere too): the paths
     of the suffixes with such an anchor."""
     for batch in batches:
-        rows = zip(batch.column("doc_id").to_pylist(), batch.column("seq").to_pylist(), batch.column("shared").to_pylist(),
-                   _rows(_texts(batch.column("packed"))), strict=True)
-        for doc, seq, shared, (data, starts, ends, h) in rows:
+        rows = zip(batch.column("doc_id").to_pylist(), batch.column("tid").to_pylist(), batch.column("seq").to_pylist(),
+                   batch.column("shared").to_pylist(), _rows(_texts(batch.column("packed"))), strict=True)
+        for doc, tid, seq, shared, (data, starts, ends, h) in rows:
             if len(h) < WINDOW or hashlib.md5(_joined(data, starts, ends)).digest() != seq:
                 continue
             pos = np.flatnonzero(np.isin(windows_anchor(h), np.array(shared, np.int64).view(np.uint64)))
             if len(pos):
                 p = paths(h)[pos].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pos), doc)), pa.array(pos.astype(np.int32)),
-                                                  *[pa.array(p[:, k].copy()) for k in range(BLOCKS)]], names=["doc_id", "pos", *PATH])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pos), doc)), pa.array(np.full(len(pos), tid)), pa.array(pos.astype(np.int32)),
+                                                  *[pa.array(p[:, k].copy()) for k in range(BLOCKS)]], names=["doc_id", "tid", "pos", *PATH])
 
 
 def _removed(batches):
@@ -159,19 +159,19 @@ def _with_seq(batches):
 
 
 def repeats(suffixes: DataFrame) -> DataFrame:
-    """(doc_id, pos) of the suffixes whose window starts in a smaller document."""
+    """(doc_id, tid, pos) of the suffixes whose window starts in a smaller document."""
     open_, done, level = suffixes, [], 1
     while True:
         key = PATH[:level]
         sizes = store(open_.groupBy(*key).agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"))
                       .where("d0 < d1"), "suffix-groups")     # a group of one document holds no repeat
         if level == BLOCKS:
-            done.append(open_.join(sizes, key).where("doc_id > d0").select("doc_id", "pos"))
+            done.append(open_.join(sizes, key).where("doc_id > d0").select("doc_id", "tid", "pos"))
             break
         fits = open_.join(sizes.where(F.col("size") <= GROUP).select(*key), key)
         parts = int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        done.append(fits.repartition(parts, *key).sortWithinPartitions(*PATH, "doc_id").select(*PATH, "doc_id", "pos")
-                    .mapInArrow(_runs, "doc_id bigint, pos int"))
+        done.append(fits.repartition(parts, *key).sortWithinPartitions(*PATH, "doc_id").select(*PATH, "doc_id", "tid", "pos")
+                    .mapInArrow(_runs, "doc_id bigint, tid bigint, pos int"))
         big = sizes.where(F.col("size") > GROUP)
         if big.isEmpty():
             break
@@ -202,7 +202,7 @@ def _runs(batches):
         node = np.cumsum(new) - 1
         hit = doc != low[node]
         last, smallest = tuple(int(c[-1]) for c in cols), low[-1]
-        yield batch.select(["doc_id", "pos"]).filter(pa.array(hit))
+        yield batch.select(["doc_id", "tid", "pos"]).filter(pa.array(hit))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -221,10 +221,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wanted = near(store(of_text.select(F.col("doc_id").alias("__id")).distinct(), "suffix-ids"))
     texts = docs.join(wanted, F.col("doc_id") == F.col("__id"), "left_semi").mapInArrow(_pack, "doc_id bigint, packed binary")
     texts = store(texts.mapInArrow(_with_seq, "doc_id bigint, seq binary, packed binary").dropDuplicates(["doc_id", "seq"])
-                  .join(of_text, ["doc_id", "seq"]).select("doc_id", "seq", "packed", "shared"), "suffix-packed")
+                  .join(of_text, ["doc_id", "seq"]).select("doc_id", F.xxhash64("seq").alias("tid"), "seq", "packed", "shared"), "suffix-packed")
     suffixes = store(texts.mapInArrow(_suffixes, SUFFIX), "suffixes")
-    hits = repeats(suffixes).groupBy("doc_id").agg(F.collect_set("pos").alias("hits"))
-    changed = texts.drop("shared").join(hits, "doc_id").mapInArrow(_removed, "doc_id bigint, seq binary, n_words bigint, n_removed bigint, kept_sha256 string")
+    hits = repeats(suffixes).groupBy("doc_id", "tid").agg(F.collect_set("pos").alias("hits"))
+    changed = texts.drop("shared").join(hits, ["doc_id", "tid"]).mapInArrow(_removed, "doc_id bigint, seq binary, n_words bigint, n_removed bigint, kept_sha256 string")
     changed = store(changed, "suffix-changed").withColumnsRenamed({"n_words": "__n", "kept_sha256": "__sha"})
 
     none = F.lit(hashlib.sha256(b"").hexdigest())
