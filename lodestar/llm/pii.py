@@ -2,19 +2,31 @@
 
 Base patterns with their checks give the certain spans.  High-recall generators
 propose further, overlapping candidates: anything around an @, dotted numbers,
-long digit strings.  Each candidate has format features (digits, separators,
-runs, signs) and context features (what stands before and after, a telling word
-near by).  Boosted trees learn from all candidates of half of the documents
-(those that agree with a base span are positive; only counts per feature
-pattern reach the driver, whose number the feature ranges bound) and are
-calibrated on the other half: a candidate is selected from the score at which
-PRECISION of the candidates there are right.  Selected candidates that overlap
-no base span are added, best first.  Everything on the executors is built-in
-column expressions; the trees become CASE expressions.
+long digit strings, phone-like numbers with or without a plus, and long runs
+that mix letters and digits (secrets).  Each candidate has format features and
+context features.  What makes a candidate positive is evidence that its own
+features do not hold: for the four base kinds, that it meets a base span (the
+plus that the base pattern of phones demands is no feature, nor is a checksum);
+for secrets, that a telling name and an assignment stand before it (their
+context features are masked).  So the trees can only tell the format of such
+data, and select candidates that have it without the plus, the checksum or the
+name.  A phone number without a plus or a secret without a name is not a false
+one but an unlabelled one, so the share of labelled ones among the true ones is
+estimated from the scores of the labelled ones, and counts are corrected by it;
+a number that fails the checksum or the range of its kind is a false one.
+
+Boosted trees learn from all candidates of one half of the documents and score
+the other half, and the other way round (only counts per feature pattern reach
+the driver, whose number the feature ranges bound).  Over these scores of texts
+not learned from, each kind is calibrated by itself: a candidate is selected
+from the score at which PRECISION of its kind's candidates are right.  Selected
+candidates that overlap no base span are added, best first.  Everything on the
+executors is built-in column expressions; the trees become CASE expressions.
 
 Results for odd input: null text counts as empty and has no spans; positions
-are code points, ends exclusive; ids are carried as they are; an empty table
-gives no rows; other columns are not read.
+are code points, ends exclusive; ids are carried as they are, and rows that
+share one are judged each by its own text; an empty table gives no rows; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +38,10 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.base import let, query, read, store
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone")       # of the base patterns
+FOUND = (*KINDS, "secret")                      # that spans can have
+SECRET = len(KINDS)
+UNSEEN = ("phone", "secret")                    # kinds that may lack their evidence; what fails the check of an ip or a card is none
 # fixed values: the base patterns, with possessive repeats (the same matches,
 # without a retry inside a run that cannot succeed)
 _WORD = "[A-Za-z0-9._%+-]"
@@ -41,16 +56,19 @@ GENERATORS = {
     "ip": r"(?:\G|(?<![0-9.]))[0-9]{1,4}(?:\.[0-9]{1,4}){2,5}+",
     "card": r"[0-9](?:[\x20.-]?+[0-9]){11,}+",
     "phone": r"[+(]?[0-9][0-9().\x20-]{5,}[0-9]",
+    "secret": r"(?:\G|(?<![A-Za-z0-9+/=_-]))[A-Za-z0-9+/=_-]{16,}+",
 }
 TELLING = r"(?i)(tel|phone|call|fax|card|visa|pay|mail|contact|write|host|server|addr|login)[^\n]{0,16}$"
+NAMED = r"(?i)(token|secret|api[_-]?key|passw(or)?d|credential)[a-z_-]*[\"']?\x20?[:=]\x20?[\"']?$"
 PRECISION = 0.95
-ROUNDS, RATE, LEAST = 30, 0.3, 20       # boosting rounds, shrinkage, candidates of a leaf
+ROUNDS, RATE, LEAST = 30, 0.3, 5        # boosting rounds, shrinkage, candidates of a leaf
+SURE = 10                               # candidates of a kind that a cut must rest on
 
 
 def matches(t: Column, pattern: str, kind: str) -> Column:
     """Array of struct(start, k, end, m) of the non-overlapping matches: the
     pieces between matches give the positions."""
-    k = KINDS.index(kind)
+    k = FOUND.index(kind)
     found, pieces = F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), F.split(t, pattern, -1)
     empty = F.array().cast("array<struct<start:int,k:int,end:int,m:string>>")
 
@@ -98,13 +116,16 @@ def _is(k: int):
 
 
 def _all(t: Column, patterns: dict[str, str], check: bool) -> Column:
-    hit = {"email": "@", "phone": r"\+[0-9]" if check else "[0-9]{2}", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]{2}|[0-9][\x20.-][0-9]"}
+    hit = {"email": "@", "phone": r"\+[0-9]" if check else "[0-9]{2}", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]{2}|[0-9][\x20.-][0-9]",
+           "secret": "[A-Za-z0-9+/=_-]{16}"}
     empty = F.array().cast("array<struct<start:int,k:int,end:int,m:string>>")
     parts = []
     for kind, p in patterns.items():
         found = matches(t, p, kind)
         if check:
             found = F.filter(found, _checked(kind))
+        elif kind == "secret":
+            found = F.filter(found, lambda s: s["m"].rlike("[0-9]") & s["m"].rlike("[A-Za-z]"))
         parts.append(F.when(t.rlike(hit[kind]), found).otherwise(empty))
     return F.array_sort(F.concat(*parts))
 
@@ -114,26 +135,37 @@ def _overlaps(a, b) -> Column:
 
 
 FEATURES = {     # name: number of values
-    "kind": 4, "digits": 8, "seps": 5, "run": 6, "plus": 2, "paren": 2, "dots": 5, "before": 5, "after": 5, "telling": 2,
+    "kind": 5, "digits": 8, "seps": 5, "run": 6, "paren": 2, "dots": 5, "letters": 4, "length": 8, "before": 5, "after": 5, "telling": 2,
 }
 
 
 def _features(t: Column, s: Column) -> Column:
     m, before = s["m"], F.substring(t, F.greatest(F.lit(1), s["start"] - 31), F.least(s["start"], F.lit(32)))
     last, nxt = F.substring(t, s["start"], F.when(s["start"] > 0, 1).otherwise(0)), F.substring(t, s["end"] + 1, F.lit(1))
-    nd = F.char_length(digits(m))
+    nd, n, secret = F.char_length(digits(m)), F.char_length(m), s["k"] == SECRET
+    # the digits of a phone number with a plus are those of one without and a country code: its count is no sign of the plus
+    nd = F.when(m.startswith("+"), F.least(nd, F.lit(10))).otherwise(nd)
 
     def kind_of(c):
         return (F.when(c == "", 0).when(c.rlike(r"[\x20\x09-\x0D]"), 1).when(c.rlike(r"\p{L}"), 2).when(c.rlike("[0-9]"), 3).otherwise(4))
 
     def count(chars, most):
-        return F.least(F.lit(most), F.char_length(m) - F.char_length(F.regexp_replace(m, chars, "")))
+        return F.least(F.lit(most), n - F.char_length(F.regexp_replace(m, chars, "")))
     run = F.array_max(F.transform(F.regexp_extract_all(m, F.lit("[0-9]+"), F.lit(0)), lambda r: F.char_length(r)))
+    letters = F.when(~m.rlike("[A-Za-z]"), 0).when(m.rlike("^[0-9a-f]+$"), 1).when(~m.rlike("[A-Z]") | ~m.rlike("[a-z]"), 2).otherwise(3)
+    masked = lambda c: F.when(secret, 0).otherwise(c)
     return F.struct(
         s["k"].alias("kind"), F.when(nd < 7, 0).when(nd < 10, 1).when(nd < 12, 2).when(nd < 14, 3).when(nd < 16, 4).when(nd < 17, 5).when(nd < 20, 6).otherwise(7).alias("digits"),
-        count(r"[\x20()-]", 4).alias("seps"), F.least(F.lit(5), F.floor(F.coalesce(run, F.lit(0)) / 3).cast("int")).alias("run"),
-        m.startswith("+").cast("int").alias("plus"), m.contains("(").cast("int").alias("paren"), count(r"\.", 4).alias("dots"),
-        kind_of(last).alias("before"), kind_of(nxt).alias("after"), before.rlike(TELLING).cast("int").alias("telling"))
+        F.least(F.lit(4), F.greatest(F.lit(0), count(r"[\x20()-]", 9) - F.when(m.startswith("+"), 1).otherwise(0))).alias("seps"),
+        F.least(F.lit(5), F.floor(F.coalesce(run, F.lit(0)) / 3).cast("int")).alias("run"),
+        m.contains("(").cast("int").alias("paren"), count(r"\.", 4).alias("dots"), letters.alias("letters"),
+        F.when(secret, F.when(n < 20, 0).when(n < 24, 1).when(n < 32, 2).when(n < 40, 3).when(n == 40, 4).when(n < 64, 5).when(n == 64, 6).otherwise(7)).otherwise(0).alias("length"),
+        masked(kind_of(last)).alias("before"), masked(kind_of(nxt)).alias("after"), masked(before.rlike(TELLING).cast("int")).alias("telling"))
+
+
+def _named(t: Column, s: Column) -> Column:
+    """Evidence of a secret: a telling name and an assignment before it."""
+    return F.substring(t, F.greatest(F.lit(1), s["start"] - 31), F.least(s["start"], F.lit(32))).rlike(NAMED)
 
 
 def _grow(rows, grad, hess, depth):
@@ -185,17 +217,27 @@ def boost(rows) -> list:
     return trees
 
 
-def calibrate(trees, rows, precision: float) -> float:
-    """Lowest score from which on the rows' share of positives is at least ``precision`` at every cut above."""
-    scored = sorted(((sum(_value(t, r[0]) for t in trees), r[1], r[2]) for r in rows), reverse=True)
+def seen_share(scored) -> float:
+    """Of all true candidates of a kind, the share that has the evidence: the mean
+    predicted probability over those that have it (true ones show it at random,
+    so where every candidate is true the probability is that share)."""
+    hits = sum(b for _, _, b in scored)
+    return sum(b * _sigmoid(s) for s, _, b in scored) / hits if hits else 1.0
+
+
+def calibrate(scored, precision: float, share: float = 1.0) -> float:
+    """Lowest score from which on the share of true ones among (score, count,
+    with evidence) is at least ``precision`` at every cut above; ``share`` of
+    the true ones have evidence."""
+    scored = sorted(scored, reverse=True)
     n = good = 0
     cut = math.inf
     for i, (s, a, b) in enumerate(scored):
         n, good = n + a, good + b
         if i + 1 < len(scored) and scored[i + 1][0] == s:
             continue
-        if good < precision * n or n < LEAST:
-            if n >= LEAST:
+        if good < precision * n * share or n < SURE:
+            if n >= SURE:
                 break
             continue
         cut = s
@@ -225,39 +267,48 @@ def _best(picks: Column) -> Column:
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", precision: float = PRECISION) -> DataFrame:
-    """doc_id, text, base and spans (arrays of struct(start, k, end), by start, then kind)."""
+    """doc_id, tag (hash of the text), base and spans (arrays of struct(start, k,
+    end), by start, then kind)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    plain = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
+    plain = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("tag", F.xxhash64("text"))
 
     def candidates(t):
         return F.transform(_all(t, GENERATORS, False), lambda s: F.struct(
-            s["start"].alias("start"), s["k"].alias("k"), s["end"].alias("end"), _features(t, s).alias("f")))
+            s["start"].alias("start"), s["k"].alias("k"), s["end"].alias("end"), _features(t, s).alias("f"), _named(t, s).alias("named")))
     spans = let(F.col("text"), lambda t: F.struct(
         F.transform(_all(t, BASE, True), lambda s: F.struct(s["start"].alias("start"), s["k"].alias("k"), s["end"].alias("end"))).alias("base"),
         F.when(t.rlike("[0-9@]"), candidates(t)).alias("more")))
-    rows = store(plain.where(F.col("text").rlike("[0-9@]")).select("doc_id", spans.alias("s")).select("doc_id", "s.*"), "pii-candidates")
-    one = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("half"), "base", F.explode("more").alias("c")).select(
-        "half", "c.f.*", F.exists("base", lambda b: (b["k"] == F.col("c.k")) & _overlaps(b, F.col("c"))).cast("int").alias("hit"))
+    half = F.pmod(F.xxhash64("doc_id", "tag"), F.lit(2)).alias("half")
+    rows = store(plain.where(F.col("text").rlike("[0-9@]")).select("doc_id", "tag", half, spans.alias("s")).select("doc_id", "tag", "half", "s.*"), "pii-candidates")
+    one = rows.select("half", "base", F.explode("more").alias("c"))
+    met = F.exists("base", lambda b: (b["k"] == F.col("c.k")) & _overlaps(b, F.col("c")))
+    one = one.select("half", "c.f.*", F.when(F.col("c.k") == SECRET, F.col("c.named")).otherwise(met).cast("int").alias("hit"))
     counted = one.groupBy("half", *FEATURES).agg(F.count(F.lit(1)).alias("n"), F.sum("hit").alias("hits")).collect()
     halves = [sorted((tuple(r[f] for f in FEATURES), r["n"], r["hits"]) for r in counted if r["half"] == h) for h in (0, 1)]
-    trees = boost(halves[0])
-    cut = calibrate(trees, halves[1], precision) if trees else math.inf
-
-    scored = F.transform("more", lambda c: F.struct(c["start"].alias("start"), c["k"].alias("k"), c["end"].alias("end"),
-                                                   _score(trees, c["f"]).alias("z")))
-    picked = F.filter(scored, lambda c: (c["z"] >= F.lit(cut)) & ~F.exists("base", lambda b: _overlaps(b, c)))
-
-    more = let(picked, _best) if math.isfinite(cut) else F.filter("base", lambda b: F.lit(False))
-    found = rows.select("doc_id", "base", F.array_sort(F.concat("base", more)).alias("spans"))
+    trees = [boost(halves[1]), boost(halves[0])]            # of a half: learned from the other
+    held = [(r[0][0], sum(_value(t, r[0]) for t in trees[h]), r[1], r[2]) for h in (0, 1) for r in halves[h]]
+    cuts = []
+    for k, kind in enumerate(FOUND):
+        own = [x[1:] for x in held if x[0] == k]
+        cuts.append(calibrate(own, precision, seen_share(own) if kind in UNSEEN else 1.0) if all(trees) and own else math.inf)
+
+    score = lambda f: F.when(F.col("half") == 0, _score(trees[0], f)).otherwise(_score(trees[1], f))
+    scored = F.transform("more", lambda c: F.struct(c["start"].alias("start"), c["k"].alias("k"), c["end"].alias("end"), score(c["f"]).alias("z")))
+    cut = lambda k: F.get(F.array(*[F.lit(c if math.isfinite(c) else 1e9) for c in cuts]), k)
+    picked = F.filter(scored, lambda c: (c["z"] >= cut(c["k"])) & ~F.exists("base", lambda b: _overlaps(b, c)))
+
+    more = let(picked, _best) if any(map(math.isfinite, cuts)) else F.filter("base", lambda b: F.lit(False))
+    found = rows.select("doc_id", "tag", "base", F.array_sort(F.concat("base", more)).alias("spans"))
     none = F.array().cast("array<struct<start:int,k:int,end:int>>")
-    rest = plain.where(~F.col("text").rlike("[0-9@]")).select("doc_id", none.alias("base"), none.alias("spans"))
+    rest = plain.where(~F.col("text").rlike("[0-9@]")).select("doc_id", "tag", none.alias("base"), none.alias("spans"))
     return found.unionByName(rest)
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; overlapping spans become one, of the first's kind."""
-    got = find(docs, id_col, text_col).select(F.col("doc_id").alias("__id"), "spans").dropDuplicates(["__id"])
-    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    got = find(docs, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"), F.col("spans").alias("__spans"))
+    got = got.where(F.size("__spans") > 0).dropDuplicates(["__id", "__tag"])
+    names = F.array(*[F.lit(f"[{k.upper()}]") for k in FOUND])
 
     def step(t):
         def run(acc, s):
@@ -265,15 +316,16 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 s["end"].alias("at"), F.concat(acc["out"], F.substring(t, acc["at"] + 1, s["start"] - acc["at"]), F.get(names, s["k"])).alias("out"))
             ).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
         return run
-    t = F.col(text_col)
-    cut = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step(t),
+    t = docs[text_col]
+    cut = F.aggregate("__spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step(t),
                       lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.char_length(t))))
-    out = docs.join(got, docs[id_col].eqNullSafe(got["__id"]), "left")
-    return out.withColumn(text_col, F.when(F.size("spans") > 0, cut).otherwise(t)).select(*docs.columns)
+    mine = docs[id_col].eqNullSafe(got["__id"]) & (F.xxhash64(F.coalesce(t, F.lit(""))) == got["__tag"])
+    out = docs.join(got, mine, "left")
+    return out.select(*[F.when(F.size("__spans") > 0, cut).otherwise(t).alias(c) if c == text_col else docs[c] for c in docs.columns])
 
 
 def _joined(spans: str) -> Column:
-    kinds = F.array(*[F.lit(k) for k in KINDS])
+    kinds = F.array(*[F.lit(k) for k in FOUND])
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["k"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
