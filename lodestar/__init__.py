@@ -1,0 +1,9 @@
+"""Tabular analytics and regression as Spark jobs."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in executors' Python workers travel with the job: the
+# package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
