@@ -13,8 +13,8 @@ map back with defaults.  Here every stage is a DataFrame step:
   runs in ``mapInPandas`` (Arrow batches, retries, ``None`` on failure); the
   default completion is the rule classifier below, evaluated as Catalyst
   expressions and serialised as the same JSON reply;
-* replies are parsed with ``from_json`` (M4), failures become fallback
-  records (M5), results are mapped back by key (M6) or by position (C3).
+* replies are parsed and aligned by position in :mod:`lodestar.operators.replies`
+  (M4, M5, C3), results are mapped back by key (M6).
 
 The rules are a declared substitute for the model: same output schema and
 domains, not the same labels.  They are a ``CASE`` chain (first match wins),
@@ -25,11 +25,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from lodestar.functions.features import strip_code_fence
 from lodestar.operators.ordering import batch_number
 
 # ---------------------------------------------------------------------------
@@ -45,6 +43,7 @@ MANAGEMENT_LEVELS = ["None", "Team_Lead", "Manager", "Director"]
 RESPONSIBILITY_LEVELS = ["Low", "Medium", "High", "Very_High"]
 EDUCATION_LEVELS = ["High_School", "Bachelor", "Master", "PhD", "Other"]
 
+# Rules of the description prompt.
 SENIORITY_RULES = [
     ("Entry Level", ["junior", "assistant", "intern", "trainee", "copywriter", "recent graduate"]),
     ("Executive", ["director", "vp", "ceo", "cto", "executive", "head of department"]),
@@ -65,6 +64,25 @@ AREA_RULES = [
     ("Research", ["scientist", "researcher", "r&d", "clinical", "studies"]),
     ("Customer_Service", ["customer service", "support", "help desk", "client relations"]),
 ]
+# Rules of the title prompt: it names fewer words.
+TITLE_SENIORITY_RULES = [
+    ("Entry Level", ["junior", "assistant", "intern", "trainee", "copywriter"]),
+    ("Executive", ["director", "vp", "ceo", "cto"]),
+    ("Senior Level", ["project manager"]),
+    ("Senior Level", ["senior", "lead", "principal"]),
+    ("Executive", ["manager"]),
+    ("Mid Level", ["specialist", "analyst", "coordinator"]),
+]
+TITLE_AREA_RULES = [
+    ("HR", ["hr", "human resources", "recruiter", "talent", "training"]),
+    ("Product", ["product"]),
+    ("Technology", ["software", "developer", "engineer", "IT", "data scientist", "programmer"]),
+    ("Sales_Marketing", ["sales", "marketing", "account", "business development", "social media", "brand"]),
+    ("Finance", ["financial", "accounting", "audit", "treasury", "investment"]),
+    ("Operations", ["operations", "project manager", "supply chain", "logistics"]),
+    ("Research", ["scientist", "researcher", "r&d", "clinical"]),
+    ("Customer_Service", ["customer service", "support", "help desk"]),
+]
 AREA_DEFAULT = "Other"
 
 # Our choice (the reference gives no keyword rule for it): salary expectation
@@ -94,10 +112,6 @@ SKILL_VOCABULARY = ["python", "sql", "excel", "java", "communication", "leadersh
                     "design", "analysis"]
 # Years ranges a seniority level allows (M11): Entry 0-2, Mid 3-7, Senior 8-15, Executive 15+.
 LEVEL_YEARS = [("Entry Level", 0, 2), ("Mid Level", 3, 7), ("Senior Level", 8, 15), ("Executive", 15, None)]
-# Fallback records (M5): parse error -> confidence 0.5, no reply -> 0.0.
-FALLBACK = {"seniority_level": "Mid Level", "functional_area": "Other", "salary_expectation": "Medium"}
-PARSE_ERROR_CONFIDENCE = 0.5
-NO_REPLY_CONFIDENCE = 0.0
 # Defaults for keys the enrichment did not return.
 MISS_DEFAULTS = {"llm_seniority": "Unknown", "llm_functional_area": "Other", "llm_salary_expectation": "Medium",
                  "llm_confidence": 0.0}
@@ -148,8 +162,8 @@ def sql_map(mapping: dict, key_sql: str) -> str:
 def classify_titles(titles: DataFrame, col: str) -> DataFrame:
     """M7-M9 on a frame of distinct titles: seniority, area, salary, confidence."""
     t = F.col(col)
-    level = rule_label(t, SENIORITY_RULES, None)
-    area = rule_label(t, AREA_RULES, AREA_DEFAULT)
+    level = rule_label(t, TITLE_SENIORITY_RULES, None)
+    area = rule_label(t, TITLE_AREA_RULES, AREA_DEFAULT)
     out = titles.select(col, level.alias("__lvl"), area.alias("functional_area"))
     lvl = F.coalesce(F.col("__lvl"), F.lit(SENIORITY_DEFAULT))
     return out.select(col, lvl.alias("seniority_level"), "functional_area",
@@ -205,14 +219,6 @@ def description_batches(docs: DataFrame, key: str, text: str, size: int) -> tupl
 
 # ---- completion (M3) --------------------------------------------------------
 
-REPLY_ITEM = T.StructType([
-    T.StructField("job_title", T.StringType()), T.StructField("seniority_level", T.StringType()),
-    T.StructField("functional_area", T.StringType()), T.StructField("salary_expectation", T.StringType()),
-    T.StructField("confidence", T.DoubleType())])
-REPLY_OBJECT = T.StructType([T.StructField("results", T.ArrayType(REPLY_ITEM))])
-REPLY_LIST = T.ArrayType(REPLY_ITEM)
-
-
 def rule_replies(items: DataFrame, col: str) -> DataFrame:
     """Default completion: the rule classifier, serialised as the JSON reply a
     model would give, one reply per batch (batch_id, reply)."""
@@ -246,46 +252,7 @@ def model_replies(prompts: DataFrame, complete: Callable[[str], str | None], tri
     return prompts.select("batch_id", "prompt").mapInPandas(run, "batch_id bigint, reply string")
 
 
-# ---- parse, fallback, map back (M4-M6, C3) ----------------------------------
-
-def parse_reply(reply: Column) -> tuple[Column, Column]:
-    """M4: (results array, status).  Accepts an object with ``results``, a
-    bare list, or a single object; code fences are stripped first."""
-    body = strip_code_fence(reply)
-    as_obj = F.from_json(body, REPLY_OBJECT)["results"]
-    as_list = F.from_json(body, REPLY_LIST)
-    single = F.from_json(body, REPLY_ITEM)
-    one = F.when(single["job_title"].isNotNull() | single["seniority_level"].isNotNull(), F.array(single))
-    results = F.coalesce(as_obj, as_list, one)
-    status = (F.when(reply.isNull(), F.lit("no_reply"))
-              .when(results.isNull(), F.lit("parse_error")).otherwise(F.lit("ok")))
-    return results, status
-
-
-def fallback_record(status: Column) -> Column:
-    """M5: the record used when a reply is missing or unparseable."""
-    conf = F.when(status == "no_reply", F.lit(NO_REPLY_CONFIDENCE)).otherwise(F.lit(PARSE_ERROR_CONFIDENCE))
-    return F.struct(F.lit(None).cast("string").alias("job_title"),
-                    F.lit(FALLBACK["seniority_level"]).alias("seniority_level"),
-                    F.lit(FALLBACK["functional_area"]).alias("functional_area"),
-                    F.lit(FALLBACK["salary_expectation"]).alias("salary_expectation"), conf.alias("confidence"))
-
-
-def align_by_position(items: DataFrame, replies: DataFrame, col: str) -> DataFrame:
-    """The i-th result of a batch belongs to the i-th item of that batch.
-    A reply shorter than its batch leaves the tail unmatched -> fallback."""
-    results, status = parse_reply(F.col("reply"))
-    parsed = replies.select("batch_id", results.alias("__res"), status.alias("status"))
-    hits = parsed.select("batch_id", F.posexplode_outer("__res").alias("pos", "r"), "status")
-    j = items.join(parsed.select("batch_id", "status"), "batch_id", "left")
-    j = j.join(hits.where(F.col("r").isNotNull()).select("batch_id", "pos", "r"), ["batch_id", "pos"], "left")
-    st = F.when(F.col("status").isNull(), F.lit("no_reply")).when(
-        (F.col("status") == "ok") & F.col("r").isNull(), F.lit("short_reply")).otherwise(F.col("status"))
-    rec = F.when(F.col("r").isNotNull(), F.col("r")).otherwise(fallback_record(st))
-    return j.select("batch_id", "pos", col, st.alias("status"), rec.alias("rec")).select(
-        "batch_id", "pos", col, "status", "rec.seniority_level", "rec.functional_area", "rec.salary_expectation",
-        "rec.confidence")
-
+# ---- map back (M6) -------------------------------------------------------
 
 def map_back(df: DataFrame, col: str, classified: DataFrame) -> DataFrame:
     """Left join the per-key result onto every row; a miss gets the
@@ -431,6 +398,30 @@ def sql_describe_text(key: str, text: str) -> str:
     return ",\n       ".join(cols)
 
 
+def enrichment_report(df: DataFrame, dims: list[str], measures: dict[str, tuple[str, str]], cross: tuple[str, str] | None = None) -> DataFrame:
+    """Every distribution of an enriched frame from one
+    aggregation over GROUPING SETS: one set per dimension, the cells and margins
+    of one crosstab, and the whole.  Rows (dimension, label, other, n, pct,
+    measures): ``dimension`` is 'total' for the whole and 'a x b' for a cell; a
+    measure is the mean of a column or the count of its true values."""
+    sets = [[c] for c in dims] + ([[*cross]] if cross else []) + [[]]
+    agg = df.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in dims]).agg(
+        F.count(F.lit(1)).alias("n"), F.grouping_id(*dims).alias("__set"),
+        *[(F.avg(c) if kind == "mean" else F.count_if(F.col(c))).alias(name) for name, (kind, c) in measures.items()])
+    bits = {c: 1 << (len(dims) - 1 - i) for i, c in enumerate(dims)}              # a bit of grouping_id is set where the column is not in the set
+    full = (1 << len(dims)) - 1
+    rows = [F.when(F.col("__set") == full, F.struct(F.lit("total").alias("dimension"), F.lit(None).cast("string").alias("label"),
+                                                    F.lit(None).cast("string").alias("other")))]
+    for c in dims:
+        rows.append(F.when(F.col("__set") == full - bits[c], F.struct(F.lit(c).alias("dimension"), F.col(c).alias("label"), F.lit(None).cast("string").alias("other"))))
+    if cross:
+        a, b = cross
+        rows.append(F.when(F.col("__set") == full - bits[a] - bits[b], F.struct(F.lit(f"{a} x {b}").alias("dimension"), F.col(a).alias("label"), F.col(b).alias("other"))))
+    out = agg.select(F.coalesce(*rows).alias("d"), "n", *measures)
+    whole = F.max(F.when(F.col("d.dimension") == "total", F.col("n"))).over(Window.partitionBy())       # a few dozen rows
+    return out.select("d.*", "n", F.round(F.col("n") * 100.0 / whole, 4).alias("pct"), *[F.round(m, 4).alias(m) if kind == "mean" else F.col(m) for m, (kind, _) in measures.items()])
+
+
 def domain_violations(df: DataFrame) -> DataFrame:
     """Values outside the demanded domains, per dimension."""
     dims = [("seniority_level", SENIORITY_LEVELS), ("functional_area", FUNCTIONAL_AREAS),

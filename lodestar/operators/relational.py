@@ -70,3 +70,13 @@ def lookup_with_defaults(df: DataFrame, lookup: DataFrame, key: str,
     joined = df.join(lookup, key, "left")
     return joined.select(*[F.coalesce(F.col(c), F.lit(defaults[c])).alias(c) if c in defaults else F.col(c)
                            for c in joined.columns])
+
+
+def impute_from_text(df: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:
+    """Fill the nulls of a column with what a pattern's first group finds in a
+    text, cast to the column's type; a value that is there is kept.  ``<column>_imputed``
+    says where."""
+    types = dict(df.dtypes)
+    found = {c: F.nullif(F.regexp_extract(F.col(text), p, 1), F.lit("")).try_cast(types[c]) for c, p in patterns.items()}
+    out = [F.coalesce(F.col(c), found[c]).alias(c) if c in found else F.col(c) for c in df.columns]
+    return df.select(*out, *[(F.col(c).isNull() & e.isNotNull()).alias(f"{c}_imputed") for c, e in found.items()])

@@ -53,6 +53,13 @@ def strength_label(r: Column) -> Column:
     return F.when(a > 0.9, "Muy Alta").when(a > 0.7, "Alta").otherwise("Moderada")
 
 
+def advice(r: Column, with_target: Column) -> Column:
+    """What a correlation means for a model: two predictors above 0.95 call
+    for new variables or regularisation, a predictor and the target above 0.9
+    for a linear model."""
+    return F.when(~with_target & (r > 0.95), "regularise").when(with_target & (r > 0.9), "linear").otherwise("none")
+
+
 def box_stats(df: DataFrame, value: str, by: list[str], digits: int = 4) -> DataFrame:
     """Grouped five-number summary with 1.5 IQR whisker limits."""
     q = pf.quantiles_wide(df, value, [0.25, 0.5, 0.75], ["q1", "median", "q3"], by=by)

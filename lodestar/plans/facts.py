@@ -20,8 +20,6 @@ sizes; nothing is broadcast by hint because customer grows with the data.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,11 +52,18 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# (application id, source folder) -> the materialised working table
-_MATERIALISED: dict[tuple[str, str], str] = {}
+# (application id, the files of the three tables) -> the materialised working table
+_MATERIALISED: dict[tuple, str] = {}
 _SWITCH = "lodestar.materialise.facts"
 
 
+def files_of(spark: SparkSession, path: str) -> tuple:
+    """(name, bytes, time of change) of a table's files: other files, another key."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return tuple((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(at))
+
+
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The working table, computed once per application and source folder.
 
@@ -71,7 +76,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     if spark.conf.get(_SWITCH, "true").lower() != "true":
         return facts_plan(spark, sf_dir)
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    key = (spark.sparkContext.applicationId, *[files_of(spark, f"{sf_dir.rstrip('/')}/{t}.parquet") for t in ("lineitem", "orders", "customer")])
     path = _MATERIALISED.get(key)
     if path is None:
         path = scratch_path(spark, "facts")

@@ -82,6 +82,40 @@ def regex_impute(spark, sf):
     return pages.select("page_id", F.coalesce(from_url, from_html).alias("lang"), page_no.alias("page_no"))
 
 
+# Degrees and the text patterns of ages and degrees.
+DEGREES = ["Bachelor's", "Master's", "PhD"]
+AGE_PATTERN, DEGREE_PATTERN = r"([0-9]+)-year-old", r"(Bachelor's|Master's|PhD)"
+
+PEOPLE_SQL = f"""pe AS (SELECT c_custkey AS id, 23 + c_custkey % 31 AS a, [{', '.join("'" + d.replace("'", "''") + "'" for d in DEGREES)}][CAST(c_custkey % 3 AS INTEGER) + 1] AS e,
+                c_mktsegment AS m FROM customer),
+people AS (SELECT id, CASE WHEN id % 7 <> 0 THEN CAST(a AS DOUBLE) END AS age, CASE WHEN id % 5 <> 0 THEN e END AS education,
+      CASE id % 4 WHEN 0 THEN 'A ' || a || '-year-old professional in ' || m || ' with a ' || e || ' degree.'
+                  WHEN 1 THEN 'Holder of a ' || e || ' degree.' WHEN 2 THEN 'Manager, ' || a || '-year-old, of ' || m || '.' END AS description FROM pe)"""
+
+
+def _people(spark, sf):
+    """A person per customer: age and education are missing here and there, the
+    description names both, one of them, or there is none."""
+    c = F.col("c_custkey")
+    pe = read_table(spark, sf, "customer").select(c.alias("id"), (c % 31 + 23).alias("a"),
+                                                  F.element_at(F.array(*[F.lit(d) for d in DEGREES]), (c % 3 + 1).cast("int")).alias("e"), F.col("c_mktsegment").alias("m"))
+    text = (F.when(F.col("id") % 4 == 0, F.concat(F.lit("A "), "a", F.lit("-year-old professional in "), "m", F.lit(" with a "), "e", F.lit(" degree.")))
+            .when(F.col("id") % 4 == 1, F.concat(F.lit("Holder of a "), "e", F.lit(" degree.")))
+            .when(F.col("id") % 4 == 2, F.concat(F.lit("Manager, "), "a", F.lit("-year-old, of "), "m", F.lit("."))))
+    return pe.select("id", F.when(F.col("id") % 7 != 0, F.col("a").cast("double")).alias("age"),
+                     F.when(F.col("id") % 5 != 0, F.col("e")).alias("education"), text.alias("description"))
+
+
+@query("text_impute", "WITH " + PEOPLE_SQL + f""",
+x AS (SELECT *, TRY_CAST(NULLIF(regexp_extract(description, '{AGE_PATTERN}', 1), '') AS DOUBLE) AS xa,
+             NULLIF(regexp_extract(description, '{DEGREE_PATTERN.replace("'", "''")}', 1), '') AS xe FROM people)
+SELECT id, COALESCE(age, xa) AS age, COALESCE(education, xe) AS education, age IS NULL AND xa IS NOT NULL AS age_imputed,
+       education IS NULL AND xe IS NOT NULL AS education_imputed FROM x""")
+def text_impute(spark, sf):
+    """Missing ages and degrees filled from the description."""
+    return rel.impute_from_text(_people(spark, sf), "description", {"age": AGE_PATTERN, "education": DEGREE_PATTERN}).drop("description")
+
+
 @query("twin_impute", with_sql(DOCLAB_SQL) + """,
 keyed AS (SELECT dl.doc_id, dl.quality, md5(d.text) AS h
           FROM doclab dl JOIN documents d ON d.doc_id = dl.doc_id),

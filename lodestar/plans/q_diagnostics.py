@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from lodestar.functions.features import metric_name_clean
 from lodestar.functions.hashing import sql_hash_u32
 from lodestar.functions.stats import sql_t975, t975_expr
-from lodestar.operators import enrich as en
 from lodestar.operators import inference as inf
 from lodestar.operators import reports as rp
 from lodestar.operators import resample as rs
@@ -22,7 +21,6 @@ from lodestar.plans.q_models import CMP_SQL, RANK_SQL, _xy, linear_scores
 from lodestar.plans.q_linear import MULTI_SQL, full_design
 from lodestar.plans.q_split import NUM, SPLIT_SQL, split_facts
 from lodestar.plans.registry import query
-from lodestar.sources.tables import read_table
 
 
 # ---- L8: approximate intervals of the multiple regression ---------------------
@@ -210,55 +208,3 @@ def metric_names_clean(spark, sf):
     return raw.select("fold", "scorer", metric_name_clean(c("scorer")).alias("metric"),
                       F.round(F.when(c("scorer").startswith("neg_"), -c("score")).otherwise(c("score")), 6)
                       .alias("value"))
-
-
-# ---- B13: default fill by column class -------------------------------------
-
-_ATTR_COLS = ["llm_seniority", "llm_functional_area", "llm_salary_expectation", "llm_management_level",
-              "llm_responsibility_level", "llm_years_experience"] + [f"llm_{f}" for f in en.FLAG_RULES] + \
-             ["llm_education_level", "llm_key_skills", "llm_validation_notes", "llm_confidence"]
-
-
-def _fill_sql() -> str:
-    def fill(c):
-        if c.startswith("llm_has_") or c.startswith("llm_requires_"):
-            return f"COALESCE(a.{c}, false) AS {c}"
-        if c == "llm_confidence":
-            return f"COALESCE(a.{c}, CAST(0.0 AS DOUBLE)) AS {c}"
-        return f"COALESCE(a.{c}, 'Unknown') AS {c}"
-    return ("WITH a AS (SELECT " + en.sql_describe_text("doc_id", "text") +
-            " FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))\n"
-            "SELECT d.doc_id, " + ", ".join(fill(c) for c in _ATTR_COLS) +
-            " FROM documents d LEFT JOIN a ON a.doc_id = d.doc_id")
-
-
-@query("fill_llm_defaults", _fill_sql())
-def fill_llm_defaults(spark, sf):
-    """Documents left-joined to the attributes of the analysed subset
-    (those with labels); misses are filled by column class: flags False,
-    confidence 0.0, any other column 'Unknown' (one ``na.fill`` per class)."""
-    docs = read_table(spark, sf, "documents").select("doc_id", "text")
-    labelled = docs.join(read_table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
-    attrs = en.describe_text(labelled, "doc_id", "text").select("doc_id", *_ATTR_COLS)
-    j = docs.select("doc_id").join(attrs, "doc_id", "left")
-    types = dict(j.dtypes)
-    flags = [c for c in _ATTR_COLS if types[c] == "boolean"]
-    text = [c for c in _ATTR_COLS if types[c] == "string"]
-    return j.na.fill(False, subset=flags).na.fill(0.0, subset=["llm_confidence"]).na.fill("Unknown", subset=text)
-
-
-# ---- H15/M2: description prompts with a null default --------------------------
-
-@query("description_prompts", f"""
-WITH it AS (SELECT doc_id, COALESCE(text, '{en.NO_DESCRIPTION}') AS item,
-                   CAST((ROW_NUMBER() OVER (ORDER BY doc_id) - 1) // 3 AS BIGINT) AS batch_id,
-                   CAST((ROW_NUMBER() OVER (ORDER BY doc_id) - 1) % 3 AS INTEGER) AS pos FROM documents)
-SELECT batch_id, CAST(COUNT(*) AS INTEGER) AS n_items, CAST(to_json(list(doc_id ORDER BY pos)) AS VARCHAR) AS doc_ids,
-       CAST(SUM(length(item)) AS BIGINT) AS n_chars FROM it GROUP BY batch_id""")
-def description_prompts(spark, sf):
-    """Descriptions in batches of 3 (null text -> the default text),
-    one prompt per batch with the whole texts; the check compares the batch
-    membership and sizes."""
-    docs = read_table(spark, sf, "documents").select("doc_id", "text")
-    items, prompts = en.description_batches(docs, "doc_id", "text", 3)
-    return prompts.select("batch_id", "n_items", "doc_ids", "n_chars")

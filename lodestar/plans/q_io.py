@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodestar.operators import relational as rel
 from lodestar.plans.facts import FACTS_SQL, facts, with_sql
 from lodestar.plans.registry import query
+from lodestar.session import scratch_path
 from lodestar.sources import tables as io
 
 
@@ -74,3 +75,44 @@ SELECT DISTINCT p_name FROM part WHERE p_name IS NOT NULL""")
 def distinct_titles(spark, sf):
     """Distinct non-null titles."""
     return rel.distinct_non_null(io.read_table(spark, sf, "part"), "p_name")
+
+
+@query("csv_load", with_sql(FACTS_SQL) + """
+SELECT 'loaded' AS part, segment, COUNT(*) AS n, ROUND(SUM(total), 2) AS total FROM facts WHERE id % 97 <> 0 GROUP BY segment
+UNION ALL SELECT 'rejected', NULL, COUNT(*), NULL FROM facts WHERE id % 97 = 0
+UNION ALL SELECT 'raw', segment, COUNT(*), NULL FROM facts WHERE id % 97 = 0 GROUP BY segment""")
+def csv_load(spark, sf):
+    """A1: a CSV some of whose lines do not fit the schema (a word for a number)
+    is loaded as a table; the lines that do not fit are kept in a second one."""
+    f = facts(spark, sf)
+    lines = f.select("id", "n_lines", F.when(F.col("id") % 97 == 0, F.lit("many")).otherwise(F.col("qty").cast("string")).alias("qty"), "total", "priority", "segment")
+    path = io.write_csv(lines, scratch_path(spark, "facts-lines"))
+    loaded, rejected = io.load_csv(spark, path, "id bigint, n_lines bigint, qty double, total double, priority string, segment string", "lodestar_csv_load")
+    good = loaded.groupBy("segment").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("total"), 2).alias("total"))
+    raw = rejected.groupBy(F.element_at(F.split(io.CORRUPT, ","), -1).alias("segment")).agg(F.count(F.lit(1)).alias("n"))
+    none = F.lit(None).cast("double").alias("total")
+    return (good.select(F.lit("loaded").alias("part"), "segment", "n", "total")
+            .union(rejected.agg(F.count(F.lit(1)).alias("n")).select(F.lit("rejected"), F.lit(None).cast("string"), "n", none))
+            .union(raw.select(F.lit("raw"), "segment", "n", none)))
+
+
+@query("frame_to_table", with_sql(FACTS_SQL) + """
+SELECT priority, COUNT(*) AS n, ROUND(AVG(total), 2) AS mean_total FROM facts GROUP BY priority""")
+def frame_to_table(spark, sf):
+    """A4: a frame stored as a table (replaced if it is there) and scanned by its name."""
+    f = facts(spark, sf).groupBy("priority").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("total"), 2).alias("mean_total"))
+    io.frame_to_table(f, "lodestar_frame_by_priority")
+    return spark.table("lodestar_frame_by_priority")
+
+
+@query("optional_source", with_sql(FACTS_SQL) + """
+SELECT 'there' AS source, TRUE AS found, COUNT(*) AS n FROM facts UNION ALL SELECT 'missing', FALSE, 0""")
+def optional_source(spark, sf):
+    """An optional CSV that is there and one that is not."""
+    path = io.write_csv(facts(spark, sf).select("id", "total"), scratch_path(spark, "optional"))
+    parts = []
+    for name, at in (("there", path), ("missing", f"{path}-missing")):
+        got = io.read_csv_optional(spark, at, "id bigint, total double")
+        rows = spark.createDataFrame([], "id bigint, total double") if got is None else got
+        parts.append(rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("source"), F.lit(got is not None).alias("found"), "n"))
+    return parts[0].union(parts[1])

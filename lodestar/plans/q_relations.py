@@ -49,6 +49,21 @@ def high_corr_pairs(spark, sf):
     return m.where((F.col("a") < F.col("b")) & (F.abs("r") > 0.8)).withColumn("strength", rl.strength_label(F.col("r")))
 
 
+@query("corr_advice", """SELECT a, b, r, CASE WHEN abs(r) > 0.9 THEN 'Muy Alta' WHEN abs(r) > 0.7 THEN 'Alta' ELSE 'Moderada' END AS strength,
+  CASE WHEN b <> 'total' AND r > 0.95 THEN 'regularise' WHEN b = 'total' AND r > 0.9 THEN 'linear' ELSE 'none' END AS advice FROM (""" + with_sql(FACTS_SQL) + """,
+  f AS (SELECT CAST(n_lines AS DOUBLE) AS n_lines, qty, n_lines * n_lines AS n_lines2, total FROM facts)
+  """ + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, ROUND(corr({a}, {b}), 4) AS r FROM f" for a, b in
+                          [("n_lines", "n_lines2"), ("n_lines", "qty"), ("n_lines", "total"), ("n_lines2", "qty"), ("n_lines2", "total"), ("qty", "total")]) + ") m")
+def corr_advice(spark, sf):
+    """Every pair of predictors (a count, its square, a quantity) and the
+    target, with its strength label and the advice for the model."""
+    cols = ["n_lines", "n_lines2", "qty", "total"]
+    f = facts(spark, sf).withColumn("n_lines2", F.col("n_lines") * F.col("n_lines"))
+    order = lambda c: F.array_position(F.array(*[F.lit(x) for x in cols]), F.col(c))
+    m = rl.corr_long(f, cols).where(order("a") < order("b"))
+    return m.select("a", "b", "r", rl.strength_label(F.col("r")).alias("strength"), rl.advice(F.col("r"), F.col("b") == "total").alias("advice"))
+
+
 def _box_sql(by):
     keys = ", ".join(by)
     return with_sql(FACTS_SQL) + f""",

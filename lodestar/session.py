@@ -11,6 +11,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -21,23 +22,24 @@ def get_spark(master: str | None = None, app: str = "lodestar",
     """Session with the settings every job here relies on.
 
     AQE is on (runtime coalescing, skew-join splitting, broadcast demotion);
-    the UI is off; timestamps are UTC so results match the SQL oracle.
+    the UI is off; timestamps are UTC so results match the SQL oracle.  A
+    setting that the cluster gives is left as it is.
     """
     cpus = os.environ.get("BENCH_CPUS", "8")
-    master = master or f"local[{cpus}]"
-    parts = shuffle_partitions or int(cpus)
-    builder = (
-        SparkSession.builder.master(master).appName(app)
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", str(parts))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("LODESTAR_DRIVER_MEM", "16g"))
-    )
+    given = dict(SparkConf().getAll())                     # what spark-submit or the cluster set
+    ours = {
+        "spark.master": master or f"local[{cpus}]", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
+        "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.session.timeZone": "UTC",
+        "spark.sql.execution.arrow.pyspark.enabled": "true",
+    }
+    if "spark.master" not in given:                        # a local run: sized for this machine
+        ours |= {"spark.sql.shuffle.partitions": str(shuffle_partitions or int(cpus)),
+                 "spark.driver.memory": os.environ.get("LODESTAR_DRIVER_MEM", "16g")}
+    builder = SparkSession.builder.appName(app)
+    for key, value in ours.items():
+        if key not in given:
+            builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
@@ -61,5 +63,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared scratch folder for one materialisation."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/lodestar-scratch/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """Where this application's materialisations lie, in the shared folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/lodestar-scratch/{spark.sparkContext.applicationId}"
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Delete what this application has materialised; frames read from it are gone."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

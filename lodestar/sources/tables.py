@@ -22,12 +22,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def register_views(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
-    """Temp views named like the tables, so ``spark.sql`` can address them."""
-    for n in names:
-        read_table(spark, sf_dir, n).createOrReplaceTempView(n)
-
-
 def table_name_from_path(path: str) -> str:
     """Table name = file basename without extension (A1)."""
     return os.path.splitext(os.path.basename(path.rstrip("/")))[0]
@@ -42,16 +36,35 @@ def save_table(df: DataFrame, name: str) -> DataFrame:
     return spark.table(name)
 
 
-def csv_to_table(spark: SparkSession, path: str, schema=None, name: str | None = None) -> DataFrame:
+CORRUPT = "_rejected_line"
+
+
+def csv_reader(spark: SparkSession, multi_line: bool = False):
+    """CSV with a header.  ``multi_line`` is for values with line breaks: it makes
+    every file one task, so it is off unless asked for."""
+    return spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
+
+
+def csv_to_table(spark: SparkSession, path: str, schema=None, name: str | None = None, multi_line: bool = False) -> DataFrame:
     """A1: load a CSV with a header and create-or-replace a table of the same name.
 
-    Pass ``schema`` at scale; inference costs an extra pass over the file.
+    With ``schema`` the file is read once and a line that does not fit it is an
+    error (see :func:`load_csv`); inference costs an extra pass over the file.
     """
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-    df = reader.csv(path)
+    reader = csv_reader(spark, multi_line)
+    reader = reader.schema(schema).option("mode", "FAILFAST") if schema is not None else reader.option("inferSchema", True)
+    return save_table(reader.csv(path), name or table_name_from_path(path))
+
+
+def load_csv(spark: SparkSession, path: str, schema: str, name: str | None = None, multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
+    """A1: typed load that loses no line: (table of the rows that fit the schema,
+    table ``<name>_rejected`` of the lines that do not, as they are)."""
     name = name or table_name_from_path(path)
-    return save_table(df, name)
+    rows = (csv_reader(spark, multi_line).schema(f"{schema}, {CORRUPT} string").option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", CORRUPT).csv(path))
+    parsed = save_table(rows, f"{name}_parsed")                     # parsed once for both
+    loaded = save_table(parsed.where(f"{CORRUPT} is null").drop(CORRUPT), name)
+    return loaded, save_table(parsed.where(f"{CORRUPT} is not null").select(CORRUPT), f"{name}_rejected")
 
 
 def frame_to_table(df: DataFrame, name: str) -> DataFrame:
@@ -78,13 +91,16 @@ def write_csv(df: DataFrame, path: str) -> str:
     return path
 
 
-def read_csv_optional(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
-    """An optional source; a missing path gives ``None`` instead of failing."""
+def read_csv_optional(spark: SparkSession, path: str, schema=None, multi_line: bool = False) -> DataFrame | None:
+    """An optional source; a missing path gives ``None`` instead of failing,
+    any other fault is raised."""
+    reader = csv_reader(spark, multi_line)
+    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     try:
-        reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-        reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
         return reader.csv(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 
@@ -92,4 +108,4 @@ def csv_roundtrip(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as CSV to the shared scratch folder and read it back typed."""
     spark = df.sparkSession
     path = write_csv(df, scratch_path(spark, name))
-    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').schema(df.schema).csv(path)
+    return csv_reader(spark, multi_line=True).schema(df.schema).csv(path)
