@@ -195,13 +195,6 @@ def _prune(batches):
         yield batch.select(["a", "na", "b", "nb"]).filter(pa.array(keep))
 
 
-def _pack_texts(batches):
-    z = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(
-            [z.compress((x or "").encode()) for x in batch.column(1).to_pylist()], pa.binary())], names=["node", "packed"])
-
-
 def _unpack(packed) -> list[np.ndarray]:
     z = zstandard.ZstdDecompressor()
     texts = pa.array([z.decompress(x).decode() for x in packed], pa.large_string())
@@ -209,12 +202,14 @@ def _unpack(packed) -> list[np.ndarray]:
 
 
 def _node_texts(salt: int):
-    """Rows (doc_id, packed, node) whose text really has that node's set."""
+    """Rows (node, text) whose text really has that node's set, compressed."""
     def run(batches):
+        z = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            sets = _unpack(batch.column("packed").to_pylist())
-            keep = [len(s) > 0 and _digest(s, 1 + salt) == node for s, node in zip(sets, batch.column("node").to_pylist(), strict=True)]
-            yield batch.select(["node", "packed"]).filter(pa.array(keep, pa.bool_()))
+            nodes, texts = batch.column(0).to_pylist(), batch.column(1)
+            keep = [k for k, (s, node) in enumerate(zip(sets_of(texts), nodes, strict=True)) if len(s) and _digest(s, 1 + salt) == node]
+            packed = [z.compress((texts[k].as_py() or "").encode()) for k in keep]
+            yield pa.RecordBatch.from_arrays([pa.array([nodes[k] for k in keep], pa.int64()), pa.array(packed, pa.binary())], names=["node", "packed"])
     return run
 
 
@@ -348,7 +343,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node")
         reps = near(store(nodes.select("node", "rep").join(wanted, "node", "left_semi"), "jaccard-wanted"))
         texts = docs.join(reps, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
-        return texts.mapInArrow(_pack_texts, "node bigint, packed binary").mapInArrow(trimmed(_node_texts(salt)), "node bigint, packed binary")
+        return texts.mapInArrow(trimmed(_node_texts(salt)), "node bigint, packed binary")
 
     def links(pairs: DataFrame) -> DataFrame:
         # a hub of very many members is dealt to several tasks, each with a copy of the hub's text
