@@ -38,8 +38,8 @@ from lodestar.llm import wordhash as wh
 from lodestar.llm.base import query, read, small_batches, store, trimmed
 
 WINDOW = 1024
-CHUNK = 1 << 20        # bytes of text tokenised at a time
-KNOWN = 200_000        # encoded pieces a worker remembers
+CHUNK = 1 << 19        # bytes of text tokenised at a time
+KNOWN = 100_000        # encoded pieces a worker remembers
 SHARD = 256            # tails of one index
 END = 0                # id after each document
 K1, B = 1.2, 0.75
