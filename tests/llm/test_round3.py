@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 
 from lodestar.llm import embeddings, filter_audit, turn_trie
-from lodestar.llm.base import ORACLE, QUERIES
+from lodestar.llm.queries import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
