@@ -23,12 +23,14 @@ so they run inside whole-stage codegen and have an exact SQL twin.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.operators.ordering import batch_number
+from lodestar.operators.relational import small_side
 
 # ---------------------------------------------------------------------------
 # Output domains and keyword rules.  Category names and keyword
@@ -256,10 +258,10 @@ def model_replies(prompts: DataFrame, complete: Callable[[str], str | None], tri
 
 def map_back(df: DataFrame, col: str, classified: DataFrame) -> DataFrame:
     """Left join the per-key result onto every row; a miss gets the
-    defaults.  The classified side has one row per distinct key; AQE
-    broadcasts it when its runtime size is small and sort-merges otherwise."""
-    c = classified.select(col, F.col("seniority_level").alias("__s"), F.col("functional_area").alias("__a"),
-                          F.col("salary_expectation").alias("__x"), F.col("confidence").alias("__c"))
+    defaults.  The classified side has one row per distinct key and is broadcast
+    if it is small, so a key that most rows have meets no single task."""
+    c = small_side(classified.select(col, F.col("seniority_level").alias("__s"), F.col("functional_area").alias("__a"),
+                          F.col("salary_expectation").alias("__x"), F.col("confidence").alias("__c")))
     j = df.join(c, col, "left")
     d = MISS_DEFAULTS
     return j.select(*df.columns,
@@ -286,15 +288,24 @@ def level_rank(level: Column) -> Column:
     return F.array_position(F.array(*[F.lit(x) for x in SENIORITY_LEVELS]), level)
 
 
-def keyword_hits(text: Column, words: list[str]) -> Column:
-    """Every whole-word keyword occurrence in ``text`` (lower-cased), found in
-    ONE scan: a zero-width lookahead at each position captures the keyword
-    starting there (longest first), so overlapping keywords at different
-    positions are all reported.  Same semantics as :func:`keyword_pattern`
-    per word, for a family whose keywords never share a starting position."""
-    alt = _alternation(sorted(set(words), key=lambda w: (-len(w), w)))
-    found = F.regexp_extract_all(text, F.lit(f"(?i)(?=(?<![a-z0-9])({alt})(?![a-z0-9]))"), 1)
-    return F.transform(found, lambda w: F.lower(w))
+def keyword_hits(text: Column, tokens: Column, words: list[str]) -> Column:
+    """The keywords (lower-cased) that occur in a text as whole words, from its
+    distinct tokens (runs of ASCII letters and digits, as written): a
+    one-token keyword is a token, a longer one is looked for in the text only
+    if its first token is there.  Same semantics as :func:`keyword_pattern`."""
+    single = sorted({w for w in words if re.fullmatch("[a-z0-9]+", w)})
+    phrases = sorted({w for w in words if not re.fullmatch("[A-Za-z0-9]+", w)})
+    exact = sorted({w for w in words if w.isupper() and w.isalnum()})
+    firsts = {re.match("[a-z0-9]+", w)[0] for w in phrases}
+    known = F.array(*[F.lit(w) for w in sorted({*single, *firsts})])
+    seen = F.array_intersect(F.transform(tokens, lambda t: F.lower(t)), known)
+    keep = F.array(*[F.lit(w) for w in single])
+
+    def with_phrases(hit: Column) -> Column:
+        more = [F.when(F.array_contains(hit, re.match("[a-z0-9]+", w)[0]) & text.rlike(keyword_pattern([w])), F.lit(w)) for w in phrases]
+        more += [F.when(F.array_contains(tokens, w), F.lit(w.lower())) for w in exact]
+        return F.concat(F.array_intersect(hit, keep), F.array_compact(F.array(*more)))
+    return F.get(F.transform(F.array(seen), with_phrases), F.lit(0))             # evaluated once
 
 
 def _has_any(hits: Column, words: list[str]) -> Column:
@@ -318,26 +329,17 @@ def describe_text(df: DataFrame, key: str, text: str) -> DataFrame:
     conservative validation: Executive needs explicit evidence, and stated
     years that a level does not allow lower it, never raise it.
 
-    Long texts dominate the cost, so the keyword families are scanned in two
-    passes (plus one for the years) into small arrays of hits; every label
-    is then an array test.  The hits are a separate projection that
-    Catalyst keeps (it does not inline non-cheap expressions it would have
-    to duplicate)."""
+    Long texts dominate the cost, so each is cut into distinct tokens once; the
+    keywords of all families are found among these, and every label is an
+    array test on the few that occur."""
     t = F.coalesce(F.col(text), F.lit(""))
     flag_words = [w for ws in FLAG_RULES.values() for w in ws]
-    # Two scans cover all six families.  Families share a scan only when no
-    # keyword of one is a longer phrase starting with a different keyword of
-    # the other (e.g. area "customer service" would hide flag "customer"),
-    # so every occurrence a per-rule test finds is still captured.
-    staged = df.select(
-        F.col(key),
-        keyword_hits(t, _words(SENIORITY_RULES) + flag_words + _words(EDUCATION_RULES) + SKILL_VOCABULARY)
-        .alias("__h1"),
-        keyword_hits(t, _words(AREA_RULES) + _words(MANAGEMENT_RULES)).alias("__h2"),
-        F.nullif(F.regexp_extract(t, YEARS_PATTERN, 1), F.lit("")).try_cast("int").alias("__yrs"))
-    staged = staged.select(key, F.col("__h1").alias("__hs"), F.col("__h1").alias("__hf"),
-                           F.col("__h1").alias("__he"), F.col("__h1").alias("__hk"),
-                           F.col("__h2").alias("__ha"), F.col("__h2").alias("__hm"), "__yrs")
+    words = [*_words(SENIORITY_RULES), *flag_words, *_words(EDUCATION_RULES), *SKILL_VOCABULARY, *_words(AREA_RULES), *_words(MANAGEMENT_RULES)]
+    staged = df.select(F.col(key), t.alias("__t"), F.array_distinct(F.split(t, "[^A-Za-z0-9]+")).alias("__tokens"))
+    years = F.when(F.lower("__t").contains("year"), F.regexp_extract("__t", YEARS_PATTERN, 1))
+    staged = staged.select(F.col(key), keyword_hits(F.col("__t"), F.col("__tokens"), words).alias("__h"),
+                           F.nullif(years, F.lit("")).try_cast("int").alias("__yrs"))
+    staged = staged.select(key, *[F.col("__h").alias(c) for c in ("__hs", "__hf", "__he", "__hk", "__ha", "__hm")], "__yrs")
     hs, yrs = F.col("__hs"), F.col("__yrs")
     raw_level = label_from_hits(hs, SENIORITY_RULES, SENIORITY_DEFAULT)
     exec_evidence = _has_any(hs, ["director", "vp", "ceo", "cto", "executive", "head of department"])

@@ -31,6 +31,13 @@ def distinct_non_null(df: DataFrame, col: str) -> DataFrame:
     return df.select(col).na.drop().distinct()
 
 
+def small_side(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``df``, computed once and marked for broadcast if its counted rows allow it;
+    beyond that the join shuffles both sides and AQE splits what is skewed."""
+    kept = df.checkpoint()
+    return F.broadcast(kept) if kept.count() <= rows else kept
+
+
 def any_null(cols: list[str]) -> Column:
     """B2: OR-fold of isNull over columns."""
     return reduce(lambda a, b: a | b, [F.col(c).isNull() for c in cols])

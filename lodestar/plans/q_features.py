@@ -110,3 +110,11 @@ def interval_text(spark, sf):
     half = F.lit(1.959963984540054) * F.col("sd") / F.sqrt("n")
     return s.select("priority", fx.interval_text(F.col("m"), F.col("m") - half, F.col("m") + half)
                     .alias("mean_ci_text"))
+
+
+@query("clip_values", with_sql(FACTS_SQL) + """
+SELECT id, greatest(30000.0, least(200000.0, total)) AS total, total < 30000 OR total > 200000 AS clipped FROM facts""")
+def clip_values(spark, sf):
+    """The target clipped to the reference's salary range."""
+    out = F.col("total") < 30000
+    return facts(spark, sf).select("id", fx.clip(F.col("total"), 30000.0, 200000.0).alias("total"), (out | (F.col("total") > 200000)).alias("clipped"))

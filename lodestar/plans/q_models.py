@@ -10,6 +10,7 @@ not SQL-expressible, so they get no oracle entry.
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -413,9 +414,10 @@ def random_search(spark, sf):
     per model family); one row per trial with its CV RMSE, parameters and the
     rounds early stopping chose."""
     train, _, _ = _matrix(spark, sf)
+    with ThreadPoolExecutor(max_workers=len(TREES)) as pool:
+        found = list(pool.map(lambda t: tr.random_search(t[1], train, "id", "total", n_trials=5, timeout_s=120.0, k=3), TREES))
     rows = []
-    for name, kind, _ in TREES:
-        trials, best = tr.random_search(kind, train, "id", "total", n_trials=5, timeout_s=120.0, k=3)
+    for (name, _, _), (trials, best) in zip(TREES, found):
         for t in trials:
             rows.append((name, t["trial"], round(t["cv_rmse"], 2), json.dumps(t["params"], sort_keys=True), t["rounds"], t["params"] == best))
     return spark.createDataFrame(rows, "modelo string, trial int, cv_rmse double, params string, rounds array<int>, is_best boolean")
@@ -438,16 +440,20 @@ def tree_pipeline(spark, sf, n_trials: int, timeout_s: float, test_fraction: flo
     d, _ = tr.model_matrix(scaler.transform(f), NUMERIC, ONE_HOT, LABELS, "total", "id", keep=["is_test"])
     d = d.checkpoint()
     train, test = d.where(~F.col("is_test")), d.where(F.col("is_test"))
-    cvs, tests = [], []
-    for name, kind, _ in TREES:
+
+    def family(name, kind):
+        """Both families side by side, and the final fit beside the folds: fits are many small jobs."""
         _, best = tr.random_search(kind, train, "id", "total", n_trials=n_trials, timeout_s=timeout_s, k=k)
         final, folded = ({**best, "maxIter": r} if kind == "gbt" else best for r in (tr.FINAL_ROUNDS, tr.SEARCH_ROUNDS))
-        p = tr.estimator(kind, final, "total").fit(train).transform(test).select(F.col("total").alias("y"), F.col("prediction").alias("pred"))
-        tests.append(_test_metrics(p, name))
-        cvs.append(tr.cv_summary(tr.fold_predictions(kind, folded, train, "id", "total", k), "total", k, name))
+        with ThreadPoolExecutor(max_workers=1) as beside:
+            cv = beside.submit(tr.fold_predictions, kind, folded, train, "id", "total", k)
+            p = tr.estimator(kind, final, "total").fit(train).transform(test).select(F.col("total").alias("y"), F.col("prediction").alias("pred"))
+            return tr.cv_summary(cv.result(), "total", k, name), _test_metrics(p, name)
+    with ThreadPoolExecutor(max_workers=len(TREES)) as pool:
+        cvs, tests = zip(*pool.map(lambda t: family(*t[:2]), TREES))
     test_cols = ("tipo", "r2_test", "rmse_test", "mae_test")
-    return rp.comparison_table(rp.stack(cvs).select(*[c for c in rp.RECORD_COLS if c not in test_cols]),
-                               rp.stack(tests).select("modelo", *test_cols[1:]), None)
+    return rp.comparison_table(rp.stack(list(cvs)).select(*[c for c in rp.RECORD_COLS if c not in test_cols]),
+                               rp.stack(list(tests)).select("modelo", *test_cols[1:]), None)
 
 
 @query("pipeline_quick")

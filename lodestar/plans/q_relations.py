@@ -94,10 +94,11 @@ WHERE f.total < q.q1 - 1.5 * (q.q3 - q.q1) OR f.total > q.q3 + 1.5 * (q.q3 - q.q
 def whiskers(spark, sf):
     """Rows beyond the 1.5 IQR fences of their group (join back + filter)."""
     from lodestar.operators import profile as pf
+    from lodestar.operators import relational as rel
     f = facts(spark, sf)
     q = pf.quantiles_wide(f, "total", [0.25, 0.75], ["q1", "q3"], by=["segment"])
     iqr = F.col("q3") - F.col("q1")
-    j = f.join(q, "segment")  # one row per group; AQE broadcasts it when small
+    j = f.join(rel.small_side(q), "segment")  # one row per group
     hi = F.col("total") > F.col("q3") + 1.5 * iqr
     lo = F.col("total") < F.col("q1") - 1.5 * iqr
     return j.where(lo | hi).select("id", "segment", "total", hi.alias("high"))
