@@ -21,10 +21,8 @@ rows; other columns are not read.
 from __future__ import annotations
 
 import base64
-import re
 import sys
 import zlib
-from array import array
 from types import ModuleType
 
 import numpy as np
@@ -38,67 +36,96 @@ from lodestar.llm import wordhash as wh
 from lodestar.llm.base import query, read, small_batches, store, trimmed
 
 WINDOW = 1024
-CHUNK = 1 << 19        # bytes of text tokenised at a time
-KNOWN = 100_000        # encoded pieces a worker remembers
+CHUNK = 1 << 20        # bytes of text tokenised at a time
 SHARD = 256            # tails of one index
 END = 0                # id after each document
 K1, B = 1.2, 0.75
 TASK_TOKENS = 1 << 23  # tail tokens of one packing task
-PLAIN = r"[^\n\x20-\x7eÀ-ɏ]"      # texts with other characters go to the reference tokenizer
+# bytes (C9 with what follows it) of characters other than a line break, ASCII from the space on and U+00C0 to U+024F: such texts go to the reference tokenizer
+ODD = np.array([b < 0x20 and b != 0x0A or b == 0x7F or b == 0xC2 or b >= 0xCA for b in range(256)])
 
 
 class Encoder:
     """ids of texts.  Both files hold one vocabulary; the ranks are the faster
     way for ordinary characters, anything else takes the tokenizer file."""
 
-    def __init__(self, tokenizer: str, ranks: str, pattern: str):
+    def __init__(self, tokenizer: str, ranks: str, pattern: str, chunk: int = CHUNK):
         import tiktoken
         from tokenizers import Tokenizer
 
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+        self.width = np.zeros(max(table.values()) + 1, np.int64)           # bytes of each token
+        self.width[list(table.values())] = [len(x) for x in table]
         self.full = Tokenizer.from_file(tokenizer)
         self.full.encode_special_tokens = True      # their strings in a text are ordinary text
-        self.other = re.compile(PLAIN)
-        self.known: dict[bytes, bytes] = {}            # ids as unsigned 32-bit
+        self.chunk = chunk
         self.kind = np.uint16 if self.full.get_vocab_size() <= 1 << 16 else np.uint32
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.full.encode(text, add_special_tokens=False).ids, np.uint32)
 
+    def pieces(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces one after another, ids of each).  Pieces of white
+        space and a word after it are encoded as one text, as no token crosses
+        from one to the next, and told apart by the bytes of the tokens; the
+        others, or all if a token should cross, one by one."""
+        white = (data[starts] == 32) | (data[starts] == 10)
+        joined = white & (data[ends - 1] != 32) & (data[ends - 1] != 10)
+        found, count = np.zeros(0, np.uint32), np.zeros(len(starts), np.int64)
+        if joined.any():
+            size = (ends - starts)[joined]
+            stop = np.cumsum(size)
+            text = data[np.repeat(starts[joined] - stop + size, size) + np.arange(stop[-1])].tobytes().decode()
+            found = np.array(self.fast.encode_ordinary(text), np.uint32)
+            reached = np.cumsum(self.width[found])
+            last = np.searchsorted(reached, stop)
+            if (reached[np.minimum(last, len(reached) - 1)] == stop).all():
+                count[joined] = np.diff(np.append(0, last + 1))
+            else:
+                joined[:], found = False, np.zeros(0, np.uint32)
+        out = np.zeros(len(starts), object)
+        alone = np.flatnonzero(~joined)
+        if not len(alone):
+            return found, count
+        for k in alone:
+            out[k] = np.array(self.fast.encode_ordinary(data[starts[k]:ends[k]].tobytes().decode()), np.uint32)
+            count[k] = len(out[k])
+        # one after another in the order of the pieces
+        flat, first = np.zeros(count.sum(), np.uint32), np.cumsum(count) - count
+        size = count[joined]
+        flat[np.repeat(first[joined] - np.cumsum(size) + size, size) + np.arange(size.sum())] = found
+        for k in alone:
+            flat[first[k]:first[k] + count[k]] = out[k]
+        return flat, count
+
     def batch(self, column: pa.Array):
         """ids of each row, with the end id.  No token reaches from a character
         into white space after it, so a text is the pieces (white space and the
-        word after it) put together, and equal pieces are encoded once."""
-        for lo, data, offsets in wh.chunks(column, CHUNK):
-            plain = [not self.other.search(data[a:b].tobytes().decode()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        word after it) put together, and equal pieces of a chunk are encoded once."""
+        for lo, data, offsets in wh.chunks(column, self.chunk):
+            odd = ODD[data]
+            odd[:-1] |= (data[:-1] == 0xC9) & (data[1:] > 0x8F)
+            seen = np.append(0, np.cumsum(odd))
+            plain = seen[offsets[1:]] == seen[offsets[:-1]]
             space = (data == 32) | (data == 10)
             start = np.zeros(len(data) + 1, bool)
             start[1:-1] = space[1:] & ~space[:-1]
             start[offsets] = True
             starts = np.flatnonzero(start[:-1])
             ends = np.append(starts[1:], len(data))
+            kept = plain[np.searchsorted(offsets, starts, "right") - 1] if len(starts) else np.zeros(0, bool)
+            starts, ends = starts[kept], ends[kept]
             _, at, inverse = np.unique(wh.word_hashes(data, starts, ends), return_index=True, return_inverse=True)
-            raw, pieces = data.tobytes(), []
-            for i, j in zip(starts[at].tolist(), ends[at].tolist(), strict=True):
-                piece = raw[i:j]
-                got = self.known.get(piece)
-                if got is None:
-                    if len(self.known) >= KNOWN:
-                        self.known.clear()
-                    # a piece of a text with other characters is not used below
-                    got = self.known[piece] = array("I", self.fast.encode_ordinary(piece.decode("utf-8", "replace"))).tobytes()
-                pieces.append(got)
-            size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
-            flat = np.frombuffer(b"".join(pieces), np.uint32)
+            flat, size = self.pieces(data, starts[at], ends[at])
             first = (np.cumsum(size) - size)[inverse]
             count = size[inverse]
             total = np.append(0, np.cumsum(count))
             ids = flat[np.repeat(first - total[:-1], count) + np.arange(total[-1])] if len(count) else flat
             cut = total[np.searchsorted(starts, offsets)]
             for r, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
-                x = ids[a:b] if plain[r] else self.ids(raw[offsets[r]:offsets[r + 1]].decode())
+                x = ids[a:b] if plain[r] else self.ids(data[offsets[r]:offsets[r + 1]].tobytes().decode())
                 yield np.append(x, END).astype(self.kind)
 
 
@@ -108,14 +135,14 @@ def worker_memory() -> dict:
     return sys.modules.setdefault("_lodestar_worker", ModuleType("_lodestar_worker")).__dict__.setdefault("kept", {})
 
 
-def encoder_of(*paths: str) -> Encoder:
-    """One for all tasks of a worker: its files are read once, its pieces stay
-    known, until a task of a later step needs the memory."""
+def encoder_of(*given) -> Encoder:
+    """One for all tasks of a worker: its files are read once, until a task of a
+    later step needs the memory."""
     kept = worker_memory()
-    if paths not in kept:
+    if given not in kept:
         kept.clear()
-        kept[paths] = Encoder(*paths)
-    return kept[paths]
+        kept[given] = Encoder(*given)
+    return kept[given]
 
 
 def crc(ids: np.ndarray) -> int:
@@ -254,8 +281,9 @@ def _pack(idf, mean, window, with_ids):
         for batch in batches:
             for r in batch.to_pylist():
                 size = len(r["tail"]) // r["tail_n"]
-                r["ids"], r["at"] = np.frombuffer(r.pop("tail"), "<u4" if size == 4 else "<u2"), r["n"] - r["tail_n"]
-                r["key"] = (r["n"], zlib.crc32(r["terms"]), zlib.crc32(r["counts"]), crc(r["ids"]))       # copies have the same
+                tail = r.pop("tail")
+                r["key"] = (r["n"], zlib.crc32(tail))                  # copies have the same
+                r["ids"], r["at"] = np.frombuffer(tail, "<u4" if size == 4 else "<u2"), r["n"] - r["tail_n"]
                 r["terms"], r["counts"] = np.frombuffer(r["terms"], "<i4"), np.frombuffer(r["counts"], "<i4")
                 rows.append(r)
                 if len(rows) == SHARD:
@@ -281,13 +309,15 @@ def _pack(idf, mean, window, with_ids):
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, with_ids: bool = False,
-         tokenizer: str | None = None, ranks: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+         tokenizer: str | None = None, ranks: str | None = None, pattern: str = public_tokenizers.PATTERN,
+         chunk: int = CHUNK) -> DataFrame:
     """One row per piece; with ``with_ids`` also its ids (little-endian unsigned
-    32-bit).  A sequence is its pieces in order of offset."""
+    32-bit).  A sequence is its pieces in order of offset.  ``chunk`` (bytes of
+    text) bounds a worker's memory."""
     spark = docs.sparkSession
     small_batches(spark)
     tokenizer = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
-    paths = (tokenizer, ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern)
+    paths = (tokenizer, ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern, chunk)
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string"))
     done = store(texts.mapInArrow(trimmed(_tokenise(paths, window, with_ids)), TOKENISED), "pack-tokens")
     n, mean, tails, top = done.agg(F.count(F.lit(1)), F.avg("n"), F.sum("tail_n"), F.max("top")).first()
