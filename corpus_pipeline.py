@@ -48,8 +48,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of a sequence; a null or empty text is its end id alone."""
-    return packing.pack(docs).drop("ids")
+    """One row per piece of a sequence; a null or empty text is its end id alone.
+    Its workers share the executors with what the stages before have left there,
+    so they hold less than packing by itself may."""
+    return packing.pack(docs, chunk=1 << 19).drop("ids")
 
 
 STAGES = [
