@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import wordhash as wh
-from lodestar.llm.base import near, query, read, small_batches, store
+from lodestar.llm.base import near, query, read, small_batches, store, trimmed
 
 WINDOW, BLOCKS = 50, 5
 STEP = 25                # words of an anchor
@@ -102,11 +102,13 @@ def _scan(batches):
                                          names=["doc_id", "n_words", "sha", "seq", "anchors"])
 
 
-def _pack(batches):
+def _packed(batches):
+    """Rows (doc_id, text) to (doc_id, seq, packed)."""
     z = zstandard.ZstdCompressor(level=1)
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(
-            [z.compress((x or "").encode()) for x in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "packed"])
+        seq = [hashlib.md5(_joined(data, starts, ends)).digest() for data, starts, ends, _ in _rows(batch.column(1))]
+        packed = [z.compress((x or "").encode()) for x in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(seq, pa.binary()), pa.array(packed, pa.binary())], names=["doc_id", "seq", "packed"])
 
 
 def _texts(packed) -> pa.Array:
@@ -152,12 +154,6 @@ def _removed(batches):
                                           pa.array(sha, pa.string())], names=["doc_id", "seq", "n_words", "n_removed", "kept_sha256"])
 
 
-def _with_seq(batches):
-    for batch in batches:
-        seq = [hashlib.md5(_joined(d, s, e)).digest() for d, s, e, _ in _rows(_texts(batch.column("packed")))]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(seq, pa.binary()), batch.column("packed")], names=["doc_id", "seq", "packed"])
-
-
 def repeats(suffixes: DataFrame) -> DataFrame:
     """(doc_id, tid, pos) of the suffixes whose window starts in a smaller document."""
     open_, done, level = suffixes, [], 1
@@ -171,7 +167,7 @@ def repeats(suffixes: DataFrame) -> DataFrame:
         fits = open_.join(sizes.where(F.col("size") <= GROUP).select(*key), key)
         parts = int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         done.append(fits.repartition(parts, *key).sortWithinPartitions(*PATH, "doc_id").select(*PATH, "doc_id", "tid", "pos")
-                    .mapInArrow(_runs, "doc_id bigint, tid bigint, pos int"))
+                    .mapInArrow(trimmed(_runs), "doc_id bigint, tid bigint, pos int"))
         big = sizes.where(F.col("size") > GROUP)
         if big.isEmpty():
             break
@@ -209,7 +205,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per document: doc_id, n_words, n_removed, kept_sha256."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    scanned = store(docs.mapInArrow(_scan, SCAN), "suffix-scan")
+    scanned = store(docs.mapInArrow(trimmed(_scan), SCAN), "suffix-scan")
     firsts = scanned.where("doc_id is not null and anchors is not null").groupBy("seq").agg(F.min("doc_id").alias("first"))
     # one text per word sequence, and the anchors that at least two of these texts have
     mine = scanned.where("anchors is not null").join(firsts, "seq").where("doc_id = first").dropDuplicates(["doc_id", "seq"]).select("doc_id", "seq", "anchors")
@@ -219,12 +215,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     of_text = store(anchors.join(shared, "anchor").groupBy("doc_id", "seq").agg(F.collect_list("anchor").alias("shared")), "suffix-shared")
 
     wanted = near(store(of_text.select(F.col("doc_id").alias("__id")).distinct(), "suffix-ids"))
-    texts = docs.join(wanted, F.col("doc_id") == F.col("__id"), "left_semi").mapInArrow(_pack, "doc_id bigint, packed binary")
-    texts = store(texts.mapInArrow(_with_seq, "doc_id bigint, seq binary, packed binary").dropDuplicates(["doc_id", "seq"])
+    texts = docs.join(wanted, F.col("doc_id") == F.col("__id"), "left_semi").mapInArrow(trimmed(_packed), "doc_id bigint, seq binary, packed binary")
+    texts = store(texts.dropDuplicates(["doc_id", "seq"])
                   .join(of_text, ["doc_id", "seq"]).select("doc_id", F.xxhash64("seq").alias("tid"), "seq", "packed", "shared"), "suffix-packed")
-    suffixes = store(texts.mapInArrow(_suffixes, SUFFIX), "suffixes")
+    suffixes = store(texts.mapInArrow(trimmed(_suffixes), SUFFIX), "suffixes")
     hits = repeats(suffixes).groupBy("doc_id", "tid").agg(F.collect_set("pos").alias("hits"))
-    changed = texts.drop("shared").join(hits, ["doc_id", "tid"]).mapInArrow(_removed, "doc_id bigint, seq binary, n_words bigint, n_removed bigint, kept_sha256 string")
+    changed = texts.drop("shared").join(hits, ["doc_id", "tid"]).mapInArrow(trimmed(_removed), "doc_id bigint, seq binary, n_words bigint, n_removed bigint, kept_sha256 string")
     changed = store(changed, "suffix-changed").withColumnsRenamed({"n_words": "__n", "kept_sha256": "__sha"})
 
     none = F.lit(hashlib.sha256(b"").hexdigest())
