@@ -142,6 +142,13 @@ def test_refit_bootstrap_interval(matrix):
         assert [r.pred_mean, r.pi_lower, r.pi_upper] == pytest.approx([np.mean(p), *np.percentile(p, [2.5, 97.5])])
 
 
+def test_refit_interval_scores_on_all_cores(spark, matrix):
+    d = matrix[0].coalesce(1).checkpoint()
+    out = tr.bootstrap_prediction_interval("rf", {"numTrees": 2, "maxDepth": 2}, d, d, "id", "y", 2)
+    assert out.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism > 1
+    assert out.count() == 300 and out.select("id").distinct().count() == 300
+
+
 def test_refit_interval_when_every_replicate_fails(matrix, monkeypatch):
     d, _ = matrix
     real, calls = tr.estimator, []
