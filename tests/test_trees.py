@@ -175,3 +175,45 @@ def test_stored_model_scores_like_the_one_in_memory(spark, raw, tmp_path):
         assert there.score(train.drop("x1"), "id") is None                    # a missing column
     with pytest.raises(tf.NotFittedError):                                      # any other error is raised
         tr.Scorer(m, model, tf.Scaler(["x1"], "robust")).score(train, "id")
+
+
+def test_many_rows_are_put_together(spark, monkeypatch):
+    """A fit of many rows reads a bounded number of weighted blocks that hold all rows,
+    and what comes out is close to a fit of the rows."""
+    d = spark.range(40_000).select("id", (F.col("id") % 1009 / 7.0).alias("x1"), (F.col("id") % 5).cast("double").alias("x2"))
+    d = d.withColumn("y", F.col("x1") * 3 + F.col("x2") * 20 + F.hash("id") % 10)
+    d, names = tr.model_matrix(d, ["x1", "x2"], [], [], "y", "id")
+    d = d.checkpoint()
+    params = {"maxIter": 20, "maxDepth": 4, "stepSize": 0.3, "minInstancesPerNode": 50}
+    plain = tr.fit("gbt", params, d, "y")
+    monkeypatch.setattr(tr, "FIT_ROWS", 1000)
+    seen, real = [], tr.estimator
+    monkeypatch.setattr(tr, "estimator", lambda *a, **k: seen.append(a[1]) or real(*a, **k))
+    blocks = tr.Blocks.of(d, "y", F.col("id") % 3)
+    n, w, total = blocks.table.agg(F.count("*"), F.sum("__w"), F.sum(F.col("y") * F.col("__w"))).first()
+    assert n <= tr.BINS * 5 * tr.BLOCKS * 3 and w == 40_000
+    assert total == pytest.approx(d.agg(F.sum("y")).first()[0], rel=1e-12)
+    m = tr.fit("gbt", params, d, "y")
+    assert isinstance(m, tr.Binned) and seen[-1]["minWeightFractionPerNode"] == pytest.approx(49.5 / 40_000)
+    near, far = (x.transform(d).agg(F.sqrt(F.avg((F.col("y") - F.col("prediction")) ** 2))).first()[0] for x in (m, plain))
+    assert near == pytest.approx(far, rel=0.1)
+    assert m.evaluateEachIteration(d, "squared")[-1] == pytest.approx(near ** 2)
+    # errors of a fold from its blocks are those of its rows
+    m = blocks.fit("gbt", params, without=1)
+    rows = [math.sqrt(e) for e in m.evaluateEachIteration(d.where("id % 3 = 1"), "squared")]
+    assert blocks.round_errors(m, 1) == pytest.approx(rows)
+    m = blocks.fit("rf", {"numTrees": 3, "maxDepth": 4}, without=1)
+    held = m.transform(d.where("id % 3 = 1")).agg(F.sqrt(F.avg((F.col("y") - F.col("prediction")) ** 2))).first()[0]
+    assert blocks.rmse(m, 1) == pytest.approx(held)
+
+
+def test_blocks_keep_least_rows_and_refuse_what_spark_refuses(spark, monkeypatch):
+    monkeypatch.setattr(tr, "FIT_ROWS", 10)
+    d, _ = tr.model_matrix(spark.range(100).select("id", F.col("id").cast("double").alias("x"), F.col("id").cast("double").alias("y")), ["x"], [], [], "y", "id")
+    m = tr.fit("rf", {"numTrees": 1, "maxDepth": 5, "minInstancesPerNode": 60, "bootstrap": False}, d, "y")
+    assert m.transform(d).select("prediction").distinct().count() == 1
+    m = tr.fit("rf", {"numTrees": 1, "maxDepth": 5, "minInstancesPerNode": 20, "bootstrap": False}, d, "y")
+    assert m.transform(d).groupBy("prediction").count().agg(F.min("count")).first()[0] >= 20
+    bad, _ = tr.model_matrix(spark.range(100).select("id", F.when(F.col("id") == 7, float("inf")).otherwise(F.col("id")).alias("x"), F.lit(1.0).alias("y")), ["x"], [], [], "y", "id")
+    with pytest.raises(tr.FIT_ERRORS):
+        tr.fit("rf", {"numTrees": 1}, bad, "y")
