@@ -217,3 +217,21 @@ def test_blocks_keep_least_rows_and_refuse_what_spark_refuses(spark, monkeypatch
     bad, _ = tr.model_matrix(spark.range(100).select("id", F.when(F.col("id") == 7, float("inf")).otherwise(F.col("id")).alias("x"), F.lit(1.0).alias("y")), ["x"], [], [], "y", "id")
     with pytest.raises(tr.FIT_ERRORS):
         tr.fit("rf", {"numTrees": 1}, bad, "y")
+
+
+@pytest.mark.parametrize("kind, params", [("rf", {"numTrees": 1, "maxDepth": 2, "bootstrap": False, "featureSubsetStrategy": "all"}),
+                                          ("gbt", {"maxIter": 5, "maxDepth": 2, "stepSize": 0.5})])
+def test_blocks_split_numbers_by_a_threshold(spark, monkeypatch, kind, params):
+    """A bin is a number, not a category: where no draw is made, a fit of blocks is the fit
+    of the rows, also where the target goes up and down with a feature."""
+    d = spark.range(4000).select("id", (F.col("id") % 10).cast("double").alias("x1"), (F.col("id") % 7).cast("double").alias("x2"))
+    d = d.withColumn("y", F.col("x1") % 2 * 50 + F.col("x1") * F.col("x1") + F.col("x2") * 3)
+    d, _ = tr.model_matrix(d, ["x1", "x2"], [], [], "y", "id")
+    d = d.checkpoint()
+    plain = tr.fit(kind, params, d, "y")
+    monkeypatch.setattr(tr, "FIT_ROWS", 100)
+    put_together = tr.fit(kind, params, d, "y")
+    assert isinstance(put_together, tr.Binned)
+    both = [{r.id: r.prediction for r in m.transform(d).collect()} for m in (plain, put_together)]
+    assert both[1] == pytest.approx(both[0])
+    assert list(put_together.featureImportances.toArray()) == pytest.approx(list(plain.featureImportances.toArray()))
