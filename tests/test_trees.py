@@ -235,3 +235,27 @@ def test_blocks_split_numbers_by_a_threshold(spark, monkeypatch, kind, params):
     both = [{r.id: r.prediction for r in m.transform(d).collect()} for m in (plain, put_together)]
     assert both[1] == pytest.approx(both[0])
     assert list(put_together.featureImportances.toArray()) == pytest.approx(list(plain.featureImportances.toArray()))
+
+
+def test_folds_after_a_search_are_its_best_trials_fits(spark, monkeypatch):
+    """The folds of the best parameters are not fitted a second time, the models of
+    other trials are let go, and a final fit reads the blocks of all folds."""
+    monkeypatch.setattr(tr, "FIT_ROWS", 500)
+    monkeypatch.setattr(tr, "SEARCH_ROUNDS", 4)
+    d = spark.range(2000).select("id", (F.col("id") % 13).cast("double").alias("x"), (F.col("id") % 13 * 2 + F.col("id") % 3).cast("double").alias("y"))
+    d, _ = tr.model_matrix(d, ["x"], [], [], "y", "id")
+    d = d.checkpoint()
+    blocks = tr.Blocks.of(d, "y", tr.hash_fold("id", 3, seed=tr.SEED))
+    fits, real = [], tr.Blocks._fit
+    monkeypatch.setattr(tr.Blocks, "_fit", lambda self, kind, params, without: fits.append(without) or real(self, kind, params, without))
+    over = {"minInstancesPerNode": 5, "minInfoGain": 0.0}
+    trials, best = tr.random_search("gbt", d, "id", "y", n_trials=3, timeout_s=60.0, k=3, overrides=over, blocks=blocks)
+    assert sorted(fits) == [0, 0, 0, 1, 1, 1, 2, 2, 2] and len(trials) == 3
+    assert set(blocks.fitted) == {(*blocks._at("gbt", tr.search_params("gbt", best)), f) for f in range(3)}
+    got = {(r.fold, r.id): r.prediction for r in tr.fold_predictions("gbt", tr.search_params("gbt", best), d, "id", "y", 3, blocks=blocks).collect()}
+    assert len(fits) == 9 and len(got) == 2000
+    errors = [sum((got[f, r.id] - r.y) ** 2 for r in d.where(tr.hash_fold("id", 3, seed=tr.SEED) == f).collect()) for f in range(3)]
+    assert sum(errors) > 0 and len({f for f, _ in got}) == 3
+    m = tr.fit("rf", {"numTrees": 1, "maxDepth": 6, "bootstrap": False}, d, "y", blocks)
+    alone = tr.fit("rf", {"numTrees": 1, "maxDepth": 6, "bootstrap": False}, d, "y")
+    assert [r.prediction for r in m.transform(d).orderBy("id").collect()] == pytest.approx([r.prediction for r in alone.transform(d).orderBy("id").collect()])
